@@ -1,15 +1,90 @@
-"""The corpus pipeline: language ID, toxicity, near-duplicates, mixing, tokens."""
+"""The corpus pipeline: language ID, toxicity, near-duplicates, mixing to target weights, SentencePiece.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+stage's docs. All but the last return the columns of documents. Models are learned from what the stage gets.
+
+Cases: null texts have no language and go in the first stage, as do texts without a letter; null ids are kept as
+documents of their own; of rows with a repeated id one stays; an empty table stays empty; extra columns pass through
+whatever their names.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from recollect.llm import language, mixing, neardup, pieces, toxicity
+from recollect.llm.supervised import crc_mod
+from recollect.llm.tables import written
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A document goes if no language has this share of it.
+MIN_LANGUAGE_SHARE = 0.4
+#: A document goes if it is at least this likely to be toxic.
+MAX_TOXIC = 0.3
+
+
+def _shielded(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Runs `work` with columns that aren't documents' own under other names, so that none can clash."""
+    other = {c: f"extra_{i}_" for i, c in enumerate(docs.columns) if c not in COLUMNS}
+    done = work(docs.withColumnsRenamed(other))
+    return done.withColumnsRenamed({b: a for a, b in other.items()})
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that have a main language."""
+
+    def work(rows: DataFrame) -> DataFrame:
+        model = language.train(rows, crc_mod("doc_id", 3) != 1)
+        judged = language.mixtures(rows, model, rows.columns, out=("pred_", "share_", "all_"))
+        return judged.filter((F.col("pred_") != "und") & (F.col("share_") >= MIN_LANGUAGE_SHARE)).select(rows.columns)
+
+    return _shielded(docs, work)
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that aren't toxic."""
+
+    def work(rows: DataFrame) -> DataFrame:
+        model = toxicity.train(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), crc_mod("doc_id", 4) != 2)
+        return toxicity.score(rows, model, rows.columns, out="toxic_").filter(F.col("toxic_") < MAX_TOXIC).select(rows.columns)
+
+    return _shielded(docs, work)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group."""
+
+    def work(rows: DataFrame) -> DataFrame:
+        kept = neardup.near_duplicates(rows.select("doc_id", "text")).filter("kept and doc_id is not null").select("doc_id").distinct()
+        one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+        stay = rows.join(kept, "doc_id", "left_semi").withColumn("n_", F.row_number().over(one)).filter("n_ = 1")
+        return stay.select(rows.columns).union(rows.filter("doc_id is null"))
+
+    return _shielded(docs, work)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Samples documents by calibrated probabilities."""
+    return _shielded(docs, lambda rows: mixing.mixed(rows).filter("m_kept").select(rows.columns))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces."""
+    return pieces.encode(docs.select("doc_id", "text", "lang", "source")).withColumn("n_pieces", F.size("ids"))
+
 
-STAGES: list = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", languages), ("toxicity", toxic), ("near_duplicates", near_duplicates), ("mixing", mix), ("pieces", tokens),
+]
+#: Learned models and sketches are not SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
     return docs

@@ -151,23 +151,24 @@ def _mixtures(data: np.ndarray, offs: np.ndarray, logp: np.ndarray, p: LanguageP
     return out, has
 
 
-def mixtures(docs: DataFrame, model: dict, keep: list[str], p: LanguageParams = LanguageParams()) -> DataFrame:
-    """Columns `keep`, lang_pred, its proportion as score, and all proportions of the chosen set as a map."""
+def mixtures(docs: DataFrame, model: dict, keep: list[str], p: LanguageParams = LanguageParams(), out: tuple[str, str, str] = ("lang_pred", "score", "proportions")) -> DataFrame:
+    """Columns `keep`, and as `out` the language, its proportion, and all proportions of the chosen set as a map."""
+    text = "text" if "text" in keep else "_text"
     shared = docs.sparkSession.sparkContext.broadcast((model["langs"], model["logp"]))  # 2^bits x max_languages numbers a gram order
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, logp = shared.value
         for b in batches:
             pred, score, mixed = [], [], []
-            for lo, hi, data, offs in tb.text_blocks(b.column("_text")):
+            for lo, hi, data, offs in tb.text_blocks(b.column(text)):
                 share, has = _mixtures(data, offs, logp, p) if langs else (np.zeros((hi - lo, 1)), np.zeros(hi - lo, bool))
                 top = share.argmax(1)
                 pred += [langs[k] if ok else "und" for k, ok in zip(top, has, strict=True)]
                 score += np.where(has, share.max(1), 0.0).clip(0, 1).tolist()
                 mixed += [[(langs[k], float(x[k])) for k in np.flatnonzero(x)] if ok else [] for x, ok in zip(share, has, strict=True)]
             arrays = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(mixed, pa.map_(pa.string(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *arrays], [*keep, "lang_pred", "score", "proportions"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *arrays], [*keep, *out])
 
-    rows = docs.select(*keep, F.col("text").alias("_text"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "_text")
-    return rows.mapInArrow(run, schema + ", lang_pred string, score double, proportions map<string,double>")
+    rows = docs.select(*keep) if text in keep else docs.select(*keep, F.col("text").alias(text))
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c in keep)
+    return rows.mapInArrow(run, schema + f", `{out[0]}` string, `{out[1]}` double, `{out[2]}` map<string,double>")

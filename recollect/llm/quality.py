@@ -161,19 +161,20 @@ def train(docs: DataFrame, labels: DataFrame, train_rows, p: QualityParams = Qua
     return fit_in_task(features(with_sample(docs, sample, key, [F.col("text")]), p), lambda t: fit(t, p))
 
 
-def score(docs: DataFrame, model: dict, keep: list[str], p: QualityParams = QualityParams()) -> DataFrame:
-    """Columns `keep` of every row and its score between 0 and 1, from the whole text."""
+def score(docs: DataFrame, model: dict, keep: list[str], p: QualityParams = QualityParams(), out: str = "score") -> DataFrame:
+    """Columns `keep` of every row and, as `out`, its score between 0 and 1, from the whole text."""
+    text = "text" if "text" in keep else "_text"
     shared = docs.sparkSession.sparkContext.broadcast((model["w"], model["v"], float(model["bias"])))  # 2^bits x (rank + 1) numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, v, bias = shared.value
         for b in batches:
             got = []
-            for _, _, data, offs in tb.text_blocks(b.column("_text")):
+            for _, _, data, offs in tb.text_blocks(b.column(text)):
                 index, value = zip(*_vectors(data, offs, p), strict=True)
                 at = np.concatenate([[0], np.cumsum([len(x) for x in index])])
                 got.append(machine(np.concatenate(index), np.concatenate(value), at, w, v, bias)[0])
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(sigmoid(np.concatenate(got) if got else np.zeros(0)))], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(sigmoid(np.concatenate(got) if got else np.zeros(0)))], [*keep, out])
 
-    rows = docs.select(*keep, F.col("text").alias("_text"))
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "_text") + ", score double")
+    rows = docs.select(*keep) if text in keep else docs.select(*keep, F.col("text").alias(text))
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c in keep) + f", `{out}` double")

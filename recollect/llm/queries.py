@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, metric_join, neardup, posting_lists, quality, toxicity
+from . import language, license_scan, metric_join, mixing, neardup, pieces, posting_lists, quality, toxicity, url_filter
 from .supervised import crc_mod
 
 
@@ -46,5 +46,25 @@ def op10_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_join.metric_links(_read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language, op4_posting_lists, op7_quality, op8_minhash, op10_metric_join)}
-ORACLE_SQL: dict[str, str] = {}
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.filter_urls(pages, url_filter.default_labels(spark), url_filter.default_rules(spark))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"), license_scan.known(spark))
+
+
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pieces.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "decoded_ok")
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixing.mixed(docs).select("doc_id", "m_source", "m_lang", "m_topic", "m_tokens", "m_p", "m_kept")
+
+
+_EVERY = (op1_toxicity, op2_language, op3_url_filter, op4_posting_lists, op5_license_scan, op6_pieces, op7_quality, op8_minhash, op9_mixing, op10_metric_join)
+QUERIES = {f.__name__: f for f in _EVERY}
+ORACLE_SQL: dict[str, str] = {"op5_license_scan": license_scan.ORACLE, "op9_mixing": mixing.oracle()}

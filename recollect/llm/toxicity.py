@@ -114,15 +114,16 @@ def train(docs: DataFrame, labels: DataFrame, train_rows, p: ToxicityParams = To
     return fit_in_task(features(rows, p), lambda t: fit(t, p))
 
 
-def score(docs: DataFrame, model: dict, keep: list[str], p: ToxicityParams = ToxicityParams()) -> DataFrame:
-    """Columns `keep` of every row and its score between 0 and 1, from the whole text."""
+def score(docs: DataFrame, model: dict, keep: list[str], p: ToxicityParams = ToxicityParams(), out: str = "score") -> DataFrame:
+    """Columns `keep` of every row and, as `out`, its score between 0 and 1, from the whole text."""
+    text = "text" if "text" in keep else "_text"
     shared = docs.sparkSession.sparkContext.broadcast((model["weight"], float(model["bias"])))  # 2^bits numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, bias = shared.value
         for b in batches:
-            got = [float(weight[x].sum(dtype=np.float64)) for _, _, data, offs in tb.text_blocks(b.column("_text")) for x in _buckets(data, offs, p)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(sigmoid(np.array(got, np.float64) + bias))], [*keep, "score"])
+            got = [float(weight[x].sum(dtype=np.float64)) for _, _, data, offs in tb.text_blocks(b.column(text)) for x in _buckets(data, offs, p)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(sigmoid(np.array(got, np.float64) + bias))], [*keep, out])
 
-    rows = docs.select(*keep, F.col("text").alias("_text"))
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "_text") + ", score double")
+    rows = docs.select(*keep) if text in keep else docs.select(*keep, F.col("text").alias(text))
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c in keep) + f", `{out}` double")
