@@ -1 +1,239 @@
-"""Empty."""
+"""Queries of ranked retrieval: R1-R23, F2-F4, F14."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import score as s
+from ..functions.text import snippet, token_set, tokens
+from ..operators import facts as f
+from ..operators import recall as r
+from .registry import NOW, NOW_SESSIONS, Views, query
+
+TOK = "list_transform(regexp_extract_all({}, '[A-Za-z0-9][A-Za-z0-9_.-]*'), lambda x: lower(x))"
+
+
+def _bm25(where: str = "true") -> str:
+    return f"""WITH q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({TOK.format('text')}) AS term FROM benchmark WHERE {where}) GROUP BY 1, 2),
+d AS (SELECT doc_id, {TOK.format('label')} AS a, {TOK.format('summary')} AS b, {TOK.format('body')} AS c FROM papers),
+n AS (SELECT count(*) AS n, avg(len(a) + len(b) + len(c)) AS avgdl FROM d),
+x AS (SELECT doc_id, len(a) + len(b) + len(c) AS dl, unnest(a) AS term, 10.0::DOUBLE AS w FROM d UNION ALL SELECT doc_id, len(a) + len(b) + len(c), unnest(b), 4.0 FROM d UNION ALL SELECT doc_id, len(a) + len(b) + len(c), unnest(c), 1.0 FROM d),
+p AS (SELECT doc_id, dl, term, sum(w) AS f FROM x WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+i AS (SELECT term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END::DOUBLE AS idf, avgdl FROM df, n),
+k AS (SELECT item_id, doc_id, sum(times * idf * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score FROM p JOIN q USING (term) JOIN i USING (term) GROUP BY 1, 2)"""
+
+
+FEW = "item_id % 10 = 0"
+
+
+def _few(v: Views) -> DataFrame:
+    return v.benchmark.filter(FEW)  # the queries asked, not the rows searched
+
+
+def _keyword(v: Views, queries: DataFrame) -> DataFrame:
+    return r.keyword_scores(v.papers, queries, "doc_id", "item_id", "text")
+
+
+@query(_bm25() + """, t AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY floor(score * 1e6 + 0.5) / 1e6 DESC, doc_id) AS rank FROM k)
+SELECT item_id, doc_id, floor(score * 1e4 + 0.5) / 1e4 AS score, rank FROM t WHERE rank <= 10""")
+def r1_keyword_recall(v: Views) -> DataFrame:
+    found = _keyword(v, v.benchmark).withColumn("order", s.rounded(F.col("score"), 6))
+    return r.top(found, "item_id", "doc_id", 10, "order").select("item_id", "doc_id", s.rounded(F.col("score")).alias("score"), "rank")
+
+
+@query(_bm25() + """, t AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY floor(score * 1e6 + 0.5) / 1e6 DESC, doc_id) AS rank FROM k), gold AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+z AS (SELECT gold.item_id, min(rank) AS rank FROM gold LEFT JOIN (SELECT * FROM t WHERE rank <= 5) t USING (item_id, doc_id) GROUP BY 1)
+SELECT count(*) AS queries, floor(avg(CASE WHEN rank <= 1 THEN 1.0::DOUBLE ELSE 0 END) * 1e4 + 0.5) / 1e4 AS recall_1, floor(avg(CASE WHEN rank <= 3 THEN 1.0::DOUBLE ELSE 0 END) * 1e4 + 0.5) / 1e4 AS recall_3,
+floor(avg(CASE WHEN rank <= 5 THEN 1.0::DOUBLE ELSE 0 END) * 1e4 + 0.5) / 1e4 AS recall_k, floor(avg(coalesce(1.0::DOUBLE / rank, 0)) * 1e4 + 0.5) / 1e4 AS mrr FROM z""")
+def r1_keyword_quality(v: Views) -> DataFrame:
+    """Recall at 1, 3 and 5 of the documents that hold a benchmark passage."""
+    from ..operators.telemetry import retrieval_metrics
+
+    ranked = r.top(_keyword(v, v.benchmark).withColumn("score", s.rounded(F.col("score"), 6)), "item_id", "doc_id", 5)
+    passages = r.small(v.benchmark.select("item_id", F.col("text").alias("passage")))
+    gold = v.documents.join(passages, F.contains("text", "passage")).select("item_id", "doc_id")
+    return retrieval_metrics(ranked, gold, 5, "item_id", "doc_id")
+
+
+KNN = """WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0),
+d AS (SELECT query_id, vec_id, label, list_distance(embedding::DOUBLE[], e::DOUBLE[]) AS distance FROM embeddings, q WHERE vec_id <> query_id)"""
+
+
+def _asked(v: Views) -> DataFrame:
+    return v.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def _others(v: Views, k: int, group: str | None = None) -> DataFrame:
+    """Every row but the query itself."""
+    near = r.nearest(v.embeddings, _asked(v), "vec_id", "query_id", k + 1) if not group else r.nearest(v.embeddings, _asked(v), "vec_id", "query_id", k, group=group)
+    return near
+
+
+@query("WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), d AS (SELECT query_id, label, min(list_distance(embedding::DOUBLE[], e::DOUBLE[])) AS distance FROM embeddings, q GROUP BY 1, 2), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, label) AS rank FROM d) SELECT query_id, label, floor(distance * 1e4 + 0.5) / 1e4 AS distance, rank FROM t WHERE rank <= 5")
+def r2_semantic_by_session(v: Views) -> DataFrame:
+    near = r.nearest(v.embeddings, _asked(v), "vec_id", "query_id", 5, group="label")
+    return near.select("query_id", "label", s.rounded(F.col("distance")).alias("distance"), "rank")
+
+
+@query(KNN + ", t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d) SELECT query_id, vec_id, floor(greatest(-1, least(1, 1 - distance * distance / 2)) * 1e4 + 0.5) / 1e4 AS similarity, rank FROM t WHERE rank <= 10")
+def r3_cosine(v: Views) -> DataFrame:
+    near = _others(v, 10).filter("vec_id <> query_id")
+    return near.select("query_id", "vec_id", s.cosine_of_l2(F.col("distance")).alias("similarity"), (F.col("rank") - 1).alias("rank"))
+
+
+LEGS = ", kw AS (SELECT item_id, doc_id, floor(score * 1e6 + 0.5) / 1e6 AS p FROM k QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY floor(score * 1e6 + 0.5) / 1e6 DESC, doc_id) <= 30), sem AS (SELECT item_id, doc_id, floor(1e3 / (1 + abs(doc_id % 97 - item_id)) + 0.5) / 1e3 AS x FROM documents, (SELECT item_id FROM benchmark WHERE item_id % 10 = 0) WHERE abs(doc_id % 97 - item_id) <= 3)"
+MERGED = LEGS + """, m AS (SELECT coalesce(kw.item_id, sem.item_id) AS item_id, coalesce(kw.doc_id, sem.doc_id) AS doc_id, p, x FROM kw FULL JOIN sem ON kw.item_id = sem.item_id AND kw.doc_id = sem.doc_id),
+h AS (SELECT item_id, doc_id, p IS NOT NULL AS in_primary, x IS NOT NULL AS in_secondary, CASE WHEN p IS NOT NULL THEN 0.5 + 0.5 * p / greatest(1, max(p) OVER (PARTITION BY item_id)) ELSE 0.5 * x / greatest(1, max(x) OVER (PARTITION BY item_id)) END AS score FROM m)"""
+
+
+def _legs(v: Views) -> tuple[DataFrame, DataFrame]:
+    kw = r.top(_keyword(v, _few(v)).withColumn("score", s.rounded(F.col("score"), 6)), "item_id", "doc_id", 30)
+    # A stand-in for the semantic leg, as documents have no vectors: near by number.
+    near = v.documents.select("doc_id", F.pmod("doc_id", F.lit(97)).alias("m")).withColumn("item_id", F.explode(F.sequence(F.col("m") - 3, F.col("m") + 3)))
+    near = near.join(_few(v).select("item_id"), "item_id", "left_semi")
+    return kw, near.select("item_id", "doc_id", s.rounded(1 / (1 + F.abs(F.col("m") - F.col("item_id"))), 3).alias("score"))
+
+
+@query(_bm25(FEW) + MERGED + " SELECT item_id, doc_id, floor(score * 1e4 + 0.5) / 1e4 AS score, in_primary, in_secondary FROM h")
+def r4_hybrid_bands(v: Views) -> DataFrame:
+    return r.hybrid(*_legs(v), "item_id", "doc_id").withColumn("score", s.rounded(F.col("score")))
+
+
+FINAL = """, w AS (SELECT h.*, lang, source, TIMESTAMP '2024-01-31 00:00:00' - to_days((doc_id % 400)::INT) AS started_at, CASE WHEN doc_id % 5 = 0 THEN 'superseded' ELSE 'closed' END AS status FROM h JOIN documents USING (doc_id)),
+y AS (SELECT *, floor(score * greatest(0.25, pow(2, -((doc_id % 400)) / 180)) * (CASE WHEN status = 'superseded' THEN 0.7 ELSE 1 END) * (1 + 0.13 * (lang = 'en')::INT + 0.02 * (source = 'src0')::INT) * 1e4 + 0.5) / 1e4 AS final, count(*) OVER (PARTITION BY item_id) AS total FROM w)"""
+
+
+@query(_bm25(FEW) + MERGED + FINAL + " SELECT item_id, doc_id, final, total, row_number() OVER (PARTITION BY item_id ORDER BY final DESC, doc_id) AS rank FROM y QUALIFY rank <= 10")
+def r9_finalise(v: Views) -> DataFrame:
+    meta = v.documents.select("doc_id", F.expr(f"timestampadd(DAY, -CAST(doc_id % 400 AS INT), TIMESTAMP '{NOW}')").alias("started_at"), F.when(F.col("doc_id") % 5 == 0, "superseded").otherwise("closed").alias("status"),
+                              (1 + s.DECISION_WEIGHT * (F.col("lang") == "en").cast("int") + s.ENTITY_WEIGHT * (F.col("source") == "src0").cast("int")).alias("tiebreak"))
+    hits = r.hybrid(*_legs(v), "item_id", "doc_id").join(meta, "doc_id")
+    return r.finalise(hits, NOW, "item_id", "doc_id", 10).select("item_id", "doc_id", "final", "total", "rank")
+
+
+@query(f"""WITH q AS (SELECT item_id, list_distinct({TOK.format('text')}) AS q FROM benchmark WHERE item_id = 0), p AS (SELECT doc_id, q, {TOK.format('label')} AS a, {TOK.format('summary')} AS b, {TOK.format('body')} AS c FROM papers, q)
+SELECT doc_id, array_to_string(list_filter([CASE WHEN list_has_any(a, q) THEN 'label' END, CASE WHEN list_has_any(b, q) THEN 'summary' END, CASE WHEN list_has_any(c, q) THEN 'body' END], lambda x: x IS NOT NULL), ',') AS fields FROM p""")
+def r5_match_fields(v: Views) -> DataFrame:
+    asked = F.broadcast(v.benchmark.filter("item_id = 0").select(token_set(F.col("text")).alias("q")))  # one row
+    fields = r.match_fields({c: F.col(c) for c in ("label", "summary", "body")}, F.col("q"))
+    return v.papers.crossJoin(asked).select("doc_id", F.array_join(fields, ",").alias("fields"))
+
+
+@query("SELECT id, floor(greatest(0.25, CASE WHEN started_at >= $then THEN 1 ELSE pow(2, -(epoch_us($then) - epoch_us(started_at)) / 86400000000.0 / 180) END) * 1e4 + 0.5) / 1e4 AS decay FROM sessions")
+def r6_recency(v: Views) -> DataFrame:
+    return v.sessions.select("id", s.rounded(s.recency(F.col("started_at"), NOW_SESSIONS)).alias("decay"))
+
+
+@query(f"""WITH q AS (SELECT list_distinct({TOK.format('text')}) AS q FROM benchmark WHERE item_id = 1), p AS (SELECT doc_id, q, {TOK.format('label')} AS a, {TOK.format('summary')} AS b FROM papers, q)
+SELECT doc_id, floor((1 + 0.13 * len(list_intersect(q, list_distinct(a))) / len(q) + 0.02 * len(list_intersect(q, list_distinct(b))) / len(q)) * 1e4 + 0.5) / 1e4 AS factor FROM p""")
+def r7_tiebreak(v: Views) -> DataFrame:
+    asked = F.broadcast(v.benchmark.filter("item_id = 1").select(token_set(F.col("text")).alias("q")))  # one row
+    return v.papers.crossJoin(asked).select("doc_id", s.rounded(s.tiebreak(F.col("q"), tokens(F.col("label")), tokens(F.col("summary")))).alias("factor"))
+
+
+@query("SELECT id, CASE WHEN status = 'superseded' THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END AS factor FROM sessions WHERE status NOT IN ('replaced')")
+def r8_supersede_penalty(v: Views) -> DataFrame:
+    return v.sessions.filter("status <> 'replaced'").select("id", F.when(F.col("status") == "superseded", s.SUPERSEDED_FACTOR).otherwise(1.0).alias("factor"))
+
+
+@query("SELECT s.id, n.successor FROM sessions s LEFT JOIN (SELECT to_session AS id, max(from_session) AS successor FROM edges WHERE kind = 'supersedes' GROUP BY 1) n USING (id) WHERE status = 'superseded'")
+def r11_successors(v: Views) -> DataFrame:
+    return r.successors(v.sessions.filter("status = 'superseded'").select("id"), v.edges, "id")
+
+
+FACT_Q = "['stack', 'e7', 'nf1']"
+
+
+@query(f"""WITH w AS (SELECT * FROM versions WHERE superseded_by IS NULL AND retired = 0 ORDER BY created_at DESC, id DESC LIMIT 500),
+k AS (SELECT id, 3 * len(list_intersect({FACT_Q}, list_distinct({TOK.format('value')}))) + len(list_intersect({FACT_Q}, list_distinct({TOK.format('subject')}))) + len(list_intersect({FACT_Q}, list_distinct({TOK.format('predicate')}))) AS score FROM w)
+SELECT id, score FROM k WHERE score > 0""")
+def r12_fact_keyword(v: Views) -> DataFrame:
+    """Over the newest 500 candidates, as the window of candidates is the operator's contract."""
+    window = f.current(v.versions).orderBy(F.desc("created_at"), F.desc("id")).limit(500)
+    asked = F.array(*(F.lit(x) for x in ("stack", "e7", "nf1")))
+    return window.select("id", f.keyword_score(asked).alias("score")).filter("score > 0")
+
+
+@query(KNN + ", t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d WHERE label <> 3) SELECT query_id, vec_id, rank FROM t WHERE rank <= 8")
+def r13_fact_semantic(v: Views) -> DataFrame:
+    near = r.nearest(v.embeddings.filter("label <> 3"), _asked(v), "vec_id", "query_id", 9).filter("vec_id <> query_id")
+    return r.top(near.withColumn("score", -F.col("distance")).drop("rank"), "query_id", "vec_id", 8).select("query_id", "vec_id", "rank")
+
+
+@query(_bm25(FEW) + MERGED.replace("p IS NOT NULL AS in_primary, x IS NOT NULL AS in_secondary, CASE WHEN p IS NOT NULL THEN 0.5 + 0.5 * p / greatest(1, max(p) OVER (PARTITION BY item_id)) ELSE 0.5 * x / greatest(1, max(x) OVER (PARTITION BY item_id)) END", "CASE WHEN x IS NOT NULL THEN 0.5 + 0.5 * x / greatest(1, max(x) OVER (PARTITION BY item_id)) ELSE 0.5 * p / greatest(1, max(p) OVER (PARTITION BY item_id)) END") + " SELECT item_id, doc_id, floor(score * 1e4 + 0.5) / 1e4 AS score FROM h")
+def r14_fact_hybrid(v: Views) -> DataFrame:
+    """Facts band the semantic leg first."""
+    kw, near = _legs(v)
+    return r.hybrid(near, kw, "item_id", "doc_id").select("item_id", "doc_id", s.rounded(F.col("score")).alias("score"))
+
+
+@query("SELECT subject, predicate, value, count(DISTINCT session_id) AS sessions, floor(least(2.0, 1 + log10(greatest(1, count(DISTINCT session_id)))) * 1e4 + 0.5) / 1e4 AS factor FROM facts GROUP BY 1, 2, 3")
+def r15_corroboration(v: Views) -> DataFrame:
+    return f.corroborated(v.facts)
+
+
+@query("SELECT id, 0.0::DOUBLE AS score FROM versions WHERE superseded_by IS NULL AND retired = 0 AND subject = 'e11' ORDER BY created_at DESC, id DESC LIMIT 10")
+def r16_structured_facts(v: Views) -> DataFrame:
+    return f.current(v.versions).filter("subject = 'e11'").orderBy(F.desc("created_at"), F.desc("id")).limit(10).select("id", F.lit(0.0).alias("score"))
+
+
+@query("""WITH e AS (SELECT DISTINCT entity FROM session_entities WHERE session_id IN ('s1', 's2', 's3', 's4', 's5')), a AS (SELECT * FROM versions WHERE superseded_by IS NULL AND retired = 0 AND confidence >= 0.7 AND subject IN (SELECT entity FROM e)),
+c AS (SELECT subject, predicate, value, count(DISTINCT session_id) AS sessions FROM facts GROUP BY 1, 2, 3 HAVING count(DISTINCT session_id) >= 2),
+b AS (SELECT a.*, sessions FROM a JOIN c USING (subject, predicate, value) QUALIFY row_number() OVER (PARTITION BY subject, predicate ORDER BY sessions DESC, confidence DESC, value, id) = 1)
+SELECT id, subject, predicate, value, sessions FROM b ORDER BY sessions DESC, confidence DESC, id LIMIT 5""")
+def r17_related_facts(v: Views) -> DataFrame:
+    entities = v.session_entities.filter(F.col("session_id").isin("s1", "s2", "s3", "s4", "s5"))
+    return f.related(v.versions, entities).select("id", "subject", "predicate", "value", "sessions")
+
+
+@query(KNN + ", t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d) SELECT query_id, vec_id FROM t WHERE rank <= 2 AND distance <= 1.0")
+def r18_related_exemplars(v: Views) -> DataFrame:
+    return _others(v, 2).filter("vec_id <> query_id and distance <= 1.0").select("query_id", "vec_id")
+
+
+@query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 5), c AS (SELECT vec_id, label >= 8 AS negative, floor((list_distance(embedding::DOUBLE[], e::DOUBLE[]) + CASE WHEN vec_id % 7 = 0 THEN 0.05 ELSE 0 END + CASE WHEN label >= 8 THEN 0.1 ELSE 0 END) * 1e4 + 0.5) / 1e4 AS cost FROM embeddings, q WHERE vec_id <> 5)
+SELECT vec_id, negative, cost, row_number() OVER (ORDER BY cost, vec_id) AS rank FROM c QUALIFY rank <= 10""")
+def r19_code_search(v: Views) -> DataFrame:
+    rows = v.embeddings.filter("vec_id <> 5").withColumn("negative", F.col("label") >= 8).withColumn("survived", F.when(F.col("vec_id") % 7 == 0, 0).otherwise(1))
+    asked = v.embeddings.filter("vec_id = 5").select(F.col("vec_id").alias("query_id"), "embedding")
+    return r.code_search(rows, asked, "query_id", "vec_id", 10).select("vec_id", "negative", "cost", "rank")
+
+
+@query("""WITH c AS (SELECT id, count(*) AS n FROM cited GROUP BY 1) SELECT s.id, floor((CASE WHEN x > 0 THEN x + 0.15 * ln(1 + coalesce(n, 0)) ELSE x END) * 1e4 + 0.5) / 1e4 AS score FROM (SELECT id, (seq % 4) / 4.0::DOUBLE AS x FROM sessions) s LEFT JOIN c USING (id)""")
+def r20_citation_boosts(v: Views) -> DataFrame:
+    counts = v.cited.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    rows = v.sessions.select("id", (F.col("seq") % 4 / 4.0).alias("x")).join(counts, "id", "left")
+    return rows.select("id", s.rounded(F.when(F.col("x") > 0, F.col("x") + 0.15 * F.log1p(F.coalesce("n", F.lit(0)).cast("double"))).otherwise(F.col("x"))).alias("score"))
+
+
+@query("""SELECT doc_id, 3 * contains(lower(label), 'the')::INT + 2 * contains(lower(summary), 'and')::INT + contains(lower(body), 'licen')::INT + 5 * contains(lower(label), 'and the')::INT AS score FROM papers""")
+def r22_substring_scorer(v: Views) -> DataFrame:
+    has = lambda c, w: F.contains(F.lower(c), F.lit(w)).cast("int")
+    return v.papers.select("doc_id", (3 * has("label", "the") + 2 * has("summary", "and") + has("body", "licen") + 5 * has("label", "and the")).alias("score"))
+
+
+@query("""WITH p AS (SELECT doc_id, text, instr(lower(text), 'licen') AS i FROM documents) SELECT doc_id, CASE WHEN i > 0 THEN (CASE WHEN greatest(1, i - 60) > 1 THEN '...' ELSE '' END) || substr(text, greatest(1, i - 60), 120) || (CASE WHEN greatest(1, i - 60) + 120 <= length(text) THEN '...' ELSE '' END) ELSE substr(text, 1, 120) END AS snippet FROM p""")
+def r23_snippets(v: Views) -> DataFrame:
+    return v.documents.select("doc_id", snippet(F.col("text"), F.instr(F.lower("text"), F.lit("licen"))).alias("snippet"))
+
+
+@query("""WITH h AS (SELECT conversation_id, id, count(*)::DOUBLE AS score FROM queries_log l JOIN (SELECT DISTINCT returned_id AS rid FROM queries_log) ON rid = returned_id, LATERAL (SELECT returned_id AS id) GROUP BY 1, 2), used AS (SELECT DISTINCT conversation_id, id FROM cited),
+m AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY score, id) AS i, count(*) OVER (PARTITION BY conversation_id) AS n FROM h), m2 AS (SELECT *, max(CASE WHEN i = n // 2 + 1 THEN score END) OVER (PARTITION BY conversation_id) AS mid FROM m),
+e AS (SELECT m2.* FROM m2 ANTI JOIN used USING (conversation_id, id) WHERE score >= 1 AND score >= 0.5 * mid), b AS (SELECT conversation_id, count(DISTINCT id) AS u FROM used GROUP BY 1)
+SELECT conversation_id, id, score, row_number() OVER (PARTITION BY conversation_id ORDER BY score DESC, id) AS pick FROM e LEFT JOIN b USING (conversation_id) QUALIFY pick <= least(3, greatest(0, 10 - coalesce(u, 0)))""")
+def f14_select_hits(v: Views) -> DataFrame:
+    hits = v.queries_log.groupBy("conversation_id", F.col("returned_id").alias("id")).agg(F.count(F.lit(1)).cast("double").alias("score"))
+    return r.select_hits(hits, v.cited.select("conversation_id", "id").distinct(), "conversation_id", "id", 1.0, 0.5)
+
+
+@query("SELECT id, status <> 'replaced' AS with_superseded, status NOT IN ('superseded', 'replaced') AS plain, workstream_id IN ('w1', 'w2') AS member FROM sessions")
+def f2_visibility(v: Views) -> DataFrame:
+    """which sessions a query sees, with and without superseded ones, and within workstreams."""
+    st = F.col("status")
+    return v.sessions.select("id", (st != "replaced").alias("with_superseded"), (~st.isin("superseded", "replaced")).alias("plain"), F.col("workstream_id").isin("w1", "w2").alias("member"))
+
+
+@query("SELECT id FROM versions WHERE retired = 0 AND confidence >= 0.7 AND kind = 'decision'")
+def f4_fact_acceptance(v: Views) -> DataFrame:
+    return v.versions.filter(f.accepted(superseded=True, min_confidence=0.7, kind="decision")).select("id")
