@@ -24,7 +24,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -63,11 +62,17 @@ class Encoder:
         self.score = {p: s for p, s, kind in vocabulary if kind == 1}
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(vocabulary) if kind == 6}
         self.value = {i: b for b, i in self.bytes.items()}
+        #: What each id stands for, where one id is enough to tell, and which ids are parts of longer characters.
+        self.shown = [chr(self.value[i]) if self.value.get(i, 128) < 128 else p.replace(MARK, " ") for i, p in enumerate(self.pieces)]
+        self.high = np.array([self.value.get(i, 0) >= 128 for i in range(len(self.pieces))])
         self.longest = max(map(len, self.ids))
-        self.memory, self.words, self.pairs = memory, {}, {}
+        self.memory, self.words, self.units, self.pairs = memory, {}, {}, {}
         #: Pieces that are their own encoding; no other is ever in an encoding.
         self.halves: dict[str, tuple[str, str]] = {}
         self.whole = {p: i for p, i in self.ids.items() if len(p) == 1 or self.merged(p) == [p]}
+        #: Two code points between which some piece goes on; between any others every path ends a piece.
+        self.inside = {p[i : i + 2] for p in self.whole for i in range(len(p) - 1)}
+        self.parts: dict[str, list[str]] = {}
         self.reach: dict[str, int] = {}  # the longest of them by its first two code points
         for p in self.whole:
             self.reach[p[:2]] = max(self.reach.get(p[:2], 1), len(p))
@@ -159,9 +164,33 @@ class Encoder:
                 out.append(i)
         return out
 
+    def split(self, text: str) -> Iterator[str]:
+        """A text without two marks in a row, cut where no piece goes on: there the matrix has rank one."""
+        inside, start = self.inside, 0
+        for i in range(1, len(text)):
+            if text[i - 1 : i + 1] not in inside:
+                yield text[start:i]
+                start = i
+        yield text[start:]
+
     def word(self, text: str) -> list[str]:
-        """The pieces of a text without two marks in a row: the path is searched from the longest piece on, and a
-        position from which it can't go on is closed, as only one piece can end there."""
+        return [p for part in self.split(text) for p in self.path(part)]
+
+    def word_ids(self, text: str) -> bytes:
+        """Ids of a word as 32-bit numbers. Its parts are often seen again, in other words."""
+        parts, out = self.parts, []
+        for part in self.split(text):
+            got = parts.get(part)
+            if got is None:
+                if len(parts) > self.memory:
+                    parts.clear()
+                got = parts[part] = np.array(self.to_ids(self.path(part)), np.int32).tobytes()
+            out.append(got)
+        return out[0] if len(out) == 1 else b"".join(out)
+
+    def path(self, text: str) -> list[str]:
+        """The path is searched from the longest piece on, and a position from which it can't go on is closed, as only
+        one piece can end there."""
         n, pos, out, closed = len(text), 0, [], set()
         whole, reach, pairs = self.whole, self.reach, self.pairs
         end, before = min(n, reach.get(text[:2], 1)), None
@@ -208,31 +237,29 @@ class Encoder:
         rest = self.word(text[n - 1 :])
         return [*self.spaced(n), *rest[1:]] if rest[0] == MARK else [*self.spaced(n - 1), *rest]
 
-    def remembered(self, words: list[str]) -> list[list[int]]:
-        """Ids of words that stand without their mark, as in a text that was split at single spaces."""
+    def learn(self, texts: list[str]) -> None:
+        """Encodes the words of many texts that aren't known yet, each once. What isn't in use is forgotten when memory is full."""
+        words = set().union(*(t.split(" ") for t in texts))
+        if len(self.words) + len(words) > self.memory:
+            self.words = {w: ids for w in words if (ids := self.words.get(w)) is not None}
         known = self.words
-        try:
-            return [known[w] for w in words]
-        except KeyError:
-            if len(known) > self.memory:
-                known.clear()
-            for w in set(words):
-                if w not in known:
-                    known[w] = self.to_ids(self.word(MARK + w)) if w else []
-            return [known[w] for w in words]
+        for w in words.difference(known):
+            known[w] = self.word_ids(MARK + w) if w else b""
 
     def encode(self, text: str) -> np.ndarray:
-        """Ids of a text that is one chunk."""
+        """Ids of a text that is one chunk. A text without two spaces in a row is looked up word by word."""
         if not text:
             return np.zeros(0, np.int32)
         if "  " in text or text[0] == " " or text[-1] == " " or MARK in text:
-            ids = self.ids_of_units(MARK + text.replace(" ", MARK))
-        else:
-            ids = chain.from_iterable(self.remembered(text.split(" ")))
-        return np.fromiter(ids, np.int32)
+            return np.fromiter(self.ids_of_units(MARK + text.replace(" ", MARK)), np.int32)
+        known, words = self.words, text.split(" ")
+        if not known.keys() >= set(words):
+            self.learn([text])
+            known = self.words
+        return np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32)
 
     def ids_of_units(self, marked: str) -> Iterator[int]:
-        known = self.words
+        known = self.units
         for u in _UNIT.findall(marked):
             got = known.get(u)
             if got is None:
@@ -242,6 +269,9 @@ class Encoder:
             yield from got
 
     def decode(self, ids: np.ndarray) -> str:
+        if not self.high[ids].any():
+            text = "".join(map(self.shown.__getitem__, ids.tolist()))
+            return text[1:] if text[:1] == " " else text
         out: list[str] = []
         raw = bytearray()
         for i in ids.tolist():
@@ -397,6 +427,7 @@ def encode(docs: DataFrame, p: PieceParams = PieceParams(), keep: list[str] | No
             column = b.column("_text")
             for lo in range(0, len(column), 256):
                 texts = column.slice(lo, 256).to_pylist()
+                enc.learn([t for t in texts if t])
                 ids = [None if t is None else enc.encode(t) for t in texts]
                 ok = [None if t is None else enc.decode(i) == t.replace(MARK, " ") for t, i in zip(texts, ids, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, 256) for c in keep), _list(ids), pa.array(ok, pa.bool_())], [*keep, "ids", "decoded_ok"])
