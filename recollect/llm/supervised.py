@@ -41,13 +41,24 @@ def unpack(data: bytes) -> dict[str, np.ndarray]:
         return {k: z[k] for k in z.files}
 
 
+def ragged(column: pa.ChunkedArray, kind) -> tuple[np.ndarray, np.ndarray]:
+    """Elements of a binary column's rows in one array, and the rows' lengths, without a copy for each row."""
+    flat, lens = [], []
+    for c in column.chunks:
+        _, offs, data = c.buffers()
+        at = np.frombuffer(offs, np.int32)[c.offset : c.offset + len(c) + 1]
+        if len(c):
+            flat.append(np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(kind) if data is not None and at[-1] > at[0] else np.zeros(0, kind))
+            lens.append(np.diff(at) // np.dtype(kind).itemsize)
+    return np.concatenate(flat or [np.zeros(0, kind)]), np.concatenate(lens or [np.zeros(0, np.int64)]).astype(np.int64)
+
+
 def fit_in_task(features: DataFrame, fit: Callable[[pa.Table], bytes]) -> dict[str, np.ndarray]:
     """Runs `fit` over the rows in one task (they are a bounded sample) and brings back the model, whose size is fixed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
-        table = pa.Table.from_batches(got) if got else None
-        yield pa.RecordBatch.from_arrays([pa.array([fit(table)], pa.binary())], ["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([fit(pa.Table.from_batches(got) if got else None)], pa.binary())], ["model"])
 
     rows = features.repartition(1).mapInArrow(run, "model binary").collect()
     return unpack(bytes(rows[0]["model"]))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbuf as tb
-from .supervised import fit_in_task, label_sample, pack, sigmoid, with_sample
+from .supervised import fit_in_task, label_sample, pack, ragged, sigmoid, with_sample
 
 
 @dataclass(frozen=True)
@@ -27,9 +27,11 @@ class ToxicityParams:
     orders: tuple[int, ...] = (4, 5, 6)
     bits: int = 18
     #: Bound of the labelled rows that the classifier is fitted on.
-    max_fit_rows: int = 8000
+    max_fit_rows: int = 6000
     smoothing: float = 1.0
     min_docs: int = 3
+    #: Buckets with a smaller log-count ratio say nothing.
+    min_ratio: float = 0.5
     ridge: float = 2e-4
     rounds: int = 70
     seed: int = 7
@@ -77,27 +79,32 @@ def fit(table: pa.Table | None, p: ToxicityParams) -> bytes:
     y = np.array(table.column("label").to_pylist(), np.float64)
     if y.min() == y.max():
         return pack(weight=np.zeros(size, np.float32), bias=np.float64(35.0 if y[0] else -35.0))
-    docs = [np.frombuffer(x, np.uint32) for x in table.column("buckets").to_pylist()]
-    pos, neg = np.zeros(size), np.zeros(size)
-    for x, label in zip(docs, y, strict=True):
-        (pos if label else neg)[x] += 1
+    flat, lens = ragged(table.column("buckets"), np.uint32)
+    del table
+    pos = np.bincount(flat[np.repeat(y > 0, lens)], minlength=size)
+    both = np.bincount(flat, minlength=size)
     n1, n0 = y.sum(), len(y) - y.sum()
-    ratio = np.log((pos + p.smoothing) / (n1 + 2 * p.smoothing)) - np.log((neg + p.smoothing) / (n0 + 2 * p.smoothing))
-    ratio[pos + neg < p.min_docs] = 0
-    keep = np.abs(ratio) >= 0.25
-    ratio[~keep] = 0
-    docs = [x[keep[x]] for x in docs]
-    lens = np.array([len(x) for x in docs])
-    index = np.concatenate(docs) if lens.sum() else np.zeros(0, np.uint32)
+    ratio = np.log((pos + p.smoothing) / (n1 + 2 * p.smoothing)) - np.log((both - pos + p.smoothing) / (n0 + 2 * p.smoothing))
+    keep = (both >= p.min_docs) & (np.abs(ratio) >= p.min_ratio)
+    # Blocks of rows, so that what a step needs beside the features stays small.
+    names, place, blocks = np.flatnonzero(keep), np.cumsum(keep, dtype=np.int32) - 1, []
     offs = np.concatenate([[0], np.cumsum(lens)])
-    names, index = np.unique(index, return_inverse=True)
+    for s in range(0, len(y), 256):
+        part = flat[offs[s] : offs[min(s + 256, len(y))]]
+        kept = keep[part]
+        row = np.repeat(np.arange(min(256, len(y) - s), dtype=np.uint8), lens[s : s + 256])[kept]
+        blocks.append((place[part[kept]], row, y[s : s + 256]))
+    del flat
     r = ratio[names]
     w, b = np.zeros(len(names)), float(np.log(n1 / n0))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for k in range(1, p.rounds + 1):  # full gradients with per-weight steps
-        g = sigmoid(tb.row_sums((w * r)[index], offs) + b) - y
-        gw = np.bincount(index, np.repeat(g, lens), len(names)) * r / len(y) + p.ridge * w
-        gb = g.mean()
+        gw, gb, scaled = np.zeros(len(names)), 0.0, w * r
+        for index, row, truth in blocks:
+            g = sigmoid(np.bincount(row, scaled[index], len(truth)) + b) - truth
+            gw += np.bincount(index, g[row], len(names))
+            gb += g.sum()
+        gw, gb = gw * r / len(y) + p.ridge * w, gb / len(y)
         m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         step = 0.03 / (1 + k / 40)
         w -= step * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
