@@ -1 +1,121 @@
-"""Empty."""
+"""Queries over graphs and integrity: G1-G9, I1-I7."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import base_name
+from ..operators import graph, integrity
+from .registry import Views, query
+
+RESOLVE = """WITH RECURSIVE r AS (SELECT id, id AS node, 0 AS d FROM workstreams UNION ALL SELECT r.id, w.merged_into, d + 1 FROM r JOIN workstreams w ON w.id = r.node WHERE w.merged_into IS NOT NULL AND d < 100),
+s AS (SELECT id, arg_max(node, d) AS survivor FROM r GROUP BY 1)"""
+
+
+@query(RESOLVE + " SELECT id, survivor FROM s")
+def g4_survivors(v: Views) -> DataFrame:
+    return graph.survivors(v.workstreams, "id", "merged_into")
+
+
+@query(RESOLVE + " SELECT survivor, count(DISTINCT x.id) AS sessions, count(f.id) AS facts FROM s JOIN sessions x ON x.workstream_id = s.id LEFT JOIN facts f ON f.session_id = x.id GROUP BY 1")
+def g5_rollup(v: Views) -> DataFrame:
+    to = graph.survivors(v.workstreams, "id", "merged_into").withColumnRenamed("id", "workstream_id")
+    n = v.facts.groupBy(F.col("session_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    rows = v.sessions.select("id", "workstream_id").join(to, "workstream_id").join(n, "id", "left")
+    return rows.groupBy("survivor").agg(F.count(F.lit(1)).alias("sessions"), F.coalesce(F.sum("n"), F.lit(0)).alias("facts"))
+
+
+MARK = "WITH RECURSIVE w AS (SELECT to_session AS predecessor, from_session AS successor FROM edges WHERE kind = 'supersedes' AND from_session LIKE 's%5' UNION ALL SELECT from_session, to_session FROM edges WHERE kind = 'supersedes' AND from_session LIKE 's%00' UNION ALL SELECT 's1', 's1' UNION ALL SELECT 's1', 'nobody'),"
+
+
+def _wanted(v: Views) -> DataFrame:
+    e = v.edges.filter("kind = 'supersedes'")
+    a = e.filter("from_session like 's%5'").select(F.col("to_session").alias("predecessor"), F.col("from_session").alias("successor"))
+    b = e.filter("from_session like 's%00'").select(F.col("from_session").alias("predecessor"), F.col("to_session").alias("successor"))
+    return a.union(b).union(v.spark.createDataFrame([("s1", "s1"), ("s1", "nobody")], "predecessor string, successor string"))
+
+
+@query(MARK + """ r AS (SELECT DISTINCT predecessor AS start, e.to_session AS node, 1 AS d FROM w JOIN edges e ON e.from_session = predecessor WHERE e.kind IN ('supersedes', 'replaces')
+UNION SELECT start, e.to_session, d + 1 FROM r JOIN edges e ON e.from_session = r.node WHERE e.kind IN ('supersedes', 'replaces') AND d < 100)
+SELECT predecessor, successor, CASE WHEN predecessor = successor THEN 'self' WHEN predecessor NOT IN (SELECT id FROM sessions) OR successor NOT IN (SELECT id FROM sessions) THEN 'missing' WHEN EXISTS (SELECT 1 FROM r WHERE start = predecessor AND node = successor) THEN 'cycle' ELSE 'ok' END AS verdict FROM w""")
+def g1_mark_superseded(v: Views) -> DataFrame:
+    return graph.marked_superseded(v.edges, _wanted(v), v.sessions)
+
+
+@query("SELECT id, before AS prior, CASE WHEN seq % 7 = 0 THEN 'replaces' ELSE 'continues' END AS kind, CASE WHEN seq % 7 = 0 THEN 'replaced' END AS new_status FROM ordered WHERE before IS NOT NULL AND before <> id")
+def g2_ingest_edges(v: Views) -> DataFrame:
+    rows = v.ordered.filter("before is not null and before <> id")
+    late = F.col("seq") % 7 == 0
+    return rows.select("id", F.col("before").alias("prior"), F.when(late, "replaces").otherwise("continues").alias("kind"), F.when(late, "replaced").alias("new_status"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT c_custkey % 60 AS a, (c_custkey * 7 + 3) % 60 AS b FROM customer WHERE c_custkey % 60 <> (c_custkey * 7 + 3) % 60), r AS (SELECT a AS start, b AS node FROM e UNION SELECT start, b FROM r JOIN e ON a = node) SELECT DISTINCT start AS node FROM r WHERE start = node""")
+def g3_cycles(v: Views) -> DataFrame:
+    e = v.customer.select((F.col("c_custkey") % 60).alias("a"), ((F.col("c_custkey") * 7 + 3) % 60).alias("b"))
+    return graph.on_cycles(e, "a", "b")
+
+
+@query("""WITH RECURSIVE p AS (SELECT from_session AS id, to_session AS old FROM edges WHERE kind = 'replaces'), r AS (SELECT id AS head, old, 1 AS d FROM p WHERE id NOT IN (SELECT old FROM p) UNION ALL SELECT head, p.old, d + 1 FROM r JOIN p ON p.id = r.old WHERE d < 100)
+SELECT head, count(*) AS n_replaced, max(d) AS depth FROM r GROUP BY 1""")
+def g6_replace_chains(v: Views) -> DataFrame:
+    p = v.edges.filter("kind = 'replaces'").select("from_session", "to_session")
+    heads = p.select(F.col("from_session").alias("start")).distinct().join(p.select(F.col("to_session").alias("start")), "start", "left_anti")
+    return graph.reachable(p, heads, "from_session", "to_session").groupBy(F.col("start").alias("head")).agg(F.count(F.lit(1)).alias("n_replaced"), F.max("hops").cast("int").alias("depth"))
+
+
+@query("SELECT page_id, regexp_extract(url, '([^/]+)/*$', 1) AS base FROM pages")
+def g7_base_names(v: Views) -> DataFrame:
+    return v.pages.select("page_id", base_name(F.col("url")).alias("base"))
+
+
+@query("SELECT id, (SELECT count(*) FROM edges e WHERE e.from_session = s.id AND kind = 'supersedes') AS supersedes, (SELECT max(from_session) FROM edges e WHERE e.to_session = s.id AND kind = 'supersedes') AS superseded_by FROM sessions s")
+def g8_lineage(v: Views) -> DataFrame:
+    e = v.edges.filter("kind = 'supersedes'")
+    down = e.groupBy(F.col("from_session").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    up = e.groupBy(F.col("to_session").alias("id")).agg(F.max("from_session").alias("superseded_by"))
+    return v.sessions.select("id").join(down, "id", "left").join(up, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("supersedes"), "superseded_by")
+
+
+@query("SELECT id, row_number() OVER (PARTITION BY subject, predicate ORDER BY created_at DESC, id DESC) AS version FROM facts")
+def g9_fact_history(v: Views) -> DataFrame:
+    from ..operators.facts import history
+
+    return history(v.facts).select("id", "version")
+
+
+INTEGRITY = {
+    "i1": "SELECT count(*) FROM edges WHERE from_session = to_session",
+    "i2": "SELECT count(*) FROM sessions s WHERE status = 'superseded' AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.to_session = s.id AND e.kind = 'supersedes')",
+    "i2r": "SELECT count(*) FROM sessions s WHERE status = 'replaced' AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.to_session = s.id AND e.kind = 'replaces')",
+    "i4": "SELECT (SELECT count(*) FROM edges WHERE from_session NOT IN (SELECT id FROM sessions)) + (SELECT count(*) FROM edges WHERE to_session NOT IN (SELECT id FROM sessions))",
+    "i5a": "SELECT count(*) FROM (SELECT subject FROM versions WHERE superseded_by IS NULL AND retired = 0 AND predicate <> 'stack' GROUP BY subject, predicate HAVING count(*) > 1)",
+    "i5a_mv": "SELECT count(*) FROM (SELECT subject FROM versions WHERE superseded_by IS NULL AND retired = 0 AND predicate = 'stack' GROUP BY subject, predicate HAVING count(*) > 1)",
+    "i5b": "SELECT count(*) FROM versions WHERE superseded_by IS NOT NULL AND superseded_by NOT IN (SELECT id FROM versions)",
+    "i6": "SELECT count(*) FROM signals WHERE session_id NOT IN (SELECT id FROM sessions)",
+    "i7": "SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)",
+    "i7b_1": "SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)",
+    "i7b_2": "SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS \"check\", ({q}) AS n" for k, q in INTEGRITY.items()))
+def i_report(v: Views) -> DataFrame:
+    """I1-I7 in one report; the cycle checks are g3_cycles and i3_session_cycles."""
+    return integrity.report({
+        "i1": integrity.self_loops(v.edges), "i2": integrity.unexplained(v.sessions, v.edges, "superseded", "supersedes"), "i2r": integrity.unexplained(v.sessions, v.edges, "replaced", "replaces"),
+        "i4": integrity.dangling_edges(v.edges, v.sessions), "i5a": integrity.several_current(v.versions, False), "i5a_mv": integrity.several_current(v.versions, True), "i5b": integrity.dangling_versions(v.versions),
+        "i6": integrity.missing(v.signals, "session_id", v.sessions, "id"), "i7": integrity.missing(v.labels, "doc_id", v.documents, "doc_id"),
+        "i7b_1": integrity.missing(v.embeddings, "vec_id", v.documents, "doc_id"), "i7b_2": integrity.missing(v.documents, "doc_id", v.labels, "doc_id"),
+    })
+
+
+@query("SELECT count(*) AS cycles FROM edges a JOIN edges b ON a.from_session = b.to_session AND a.to_session = b.from_session")
+def i3_session_cycles(v: Views) -> DataFrame:
+    """Edges lead from newer to older sessions, so that none can close."""
+    return graph.on_cycles(v.edges, "from_session", "to_session").agg(F.count(F.lit(1)).alias("cycles"))
+
+
+@query("SELECT id, CASE WHEN status IN ('superseded', 'replaced') AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.to_session = s.id AND ((kind = 'supersedes' AND status = 'superseded') OR (kind = 'replaces' AND status = 'replaced'))) THEN 'closed' ELSE status END AS status FROM sessions s")
+def m10_repair(v: Views) -> DataFrame:
+    return integrity.repaired_status(v.sessions, v.edges).select("id", "status")

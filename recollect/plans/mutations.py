@@ -1 +1,140 @@
-"""Empty."""
+"""Queries over changes: K1-K5, M1-M14."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.score import micros
+from ..operators import mutations as m
+from .registry import NOW, Views, query
+
+
+def _batch(v: Views) -> DataFrame:
+    late = F.col("seq") % 3 == 0
+    new = v.sessions.filter("seq % 6 = 0").select("id", F.concat("label", F.lit("!")).alias("label"), F.when(late, "late").alias("runtime"), F.lit(0.0).alias("size"))
+    return new.unionByName(v.spark.createDataFrame([("new1", "fresh", "late", 5.0)], "id string, label string, runtime string, size double"))
+
+
+@query("""WITH n AS (SELECT id, label || '!' AS label, CASE WHEN seq % 3 = 0 THEN 'late' END AS runtime, 0.0::DOUBLE AS size FROM sessions WHERE seq % 6 = 0 UNION ALL SELECT 'new1', 'fresh', 'late', 5.0)
+SELECT coalesce(o.id, n.id) AS id, coalesce(n.label, o.label) AS label, coalesce(n.runtime, o.runtime) AS runtime, CASE WHEN o.id IS NOT NULL THEN o.size ELSE n.size END AS size FROM sessions o FULL JOIN n ON n.id = o.id""")
+def k1_upsert(v: Views) -> DataFrame:
+    old = v.sessions.select("id", "label", "runtime", "size")
+    return m.upsert(old, _batch(v), "id", keep=["size"], fill=["runtime"])
+
+
+@query("WITH n AS (SELECT DISTINCT session_id, 'x' || entity AS entity FROM session_entities WHERE session_id LIKE 's%7'), a AS (SELECT * FROM session_entities WHERE session_id NOT IN (SELECT session_id FROM n) UNION ALL SELECT * FROM n) SELECT session_id, count(*) AS n, min(entity) AS first FROM a GROUP BY 1")
+def k2_replace_children(v: Views) -> DataFrame:
+    new = v.session_entities.filter("session_id like 's%7'").withColumn("entity", F.concat(F.lit("x"), "entity"))
+    return m.replace_children(v.session_entities, new, "session_id").groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.min("entity").alias("first"))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (producer = 'again') AS fresh FROM (SELECT event_id, producer FROM signals WHERE event_id % 2 = 0 UNION ALL SELECT event_id, 'again' FROM signals WHERE event_id % 3 = 0 AND event_id % 2 <> 0)")
+def k3_insert_ignore(v: Views) -> DataFrame:
+    old = v.signals.filter("event_id % 2 = 0").select("event_id", "producer")
+    again = v.signals.filter("event_id % 3 = 0").select("event_id", F.lit("again").alias("producer"))
+    out = m.insert_ignore(old, again.union(again), ["event_id"])
+    return out.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("producer") == "again").alias("fresh"))
+
+
+@query("SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day FROM events WHERE date_diff('day', ts::DATE, DATE '2024-01-31') >= 14")
+def k5_snapshot_rotation(v: Views) -> DataFrame:
+    days = v.events.select(F.date_format("ts", "yyyy-MM-dd").alias("day")).distinct()
+    return m.prune_snapshots(days, "day", 14, "2024-01-31")
+
+
+ACTIONS = """a AS (SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN 'rename_entity' WHEN 1 THEN 'retire_entity' WHEN 2 THEN 'merge_entity' WHEN 3 THEN 'set_coherence' WHEN 4 THEN 'label_entity' ELSE 'snooze' END AS kind, 'entity' AS subject_type, 'e' || CAST(user_id % 40 AS VARCHAR) AS subject_id,
+CASE event_id % 6 WHEN 0 THEN CASE WHEN event_id % 5 = 0 THEN '{"to": " "}' ELSE '{"to": "n' || event_id % 9 || '"}' END WHEN 2 THEN CASE WHEN event_id % 5 = 0 THEN 'broken' ELSE '{"into": "e' || event_id % 40 || '"}' END WHEN 3 THEN CASE WHEN event_id % 4 = 1 THEN '{"state": "odd"}' ELSE '{"state": "stale"}' END
+WHEN 4 THEN CASE WHEN event_id % 5 = 0 THEN '{}' ELSE '{"new_type": "t' || event_id % 7 || '"}' END WHEN 5 THEN '{"snoozed_until": "2024-0' || (event_id % 3 + 1) || '-15T00:00:00"}' END AS payload, CASE WHEN event_id % 50 = 0 THEN 1 END AS reverted_by FROM events)"""
+LAID = "WITH " + ACTIONS + """, p AS (SELECT *, CASE WHEN payload IS NULL OR payload = 'broken' THEN '' ELSE coalesce(trim(CASE kind WHEN 'rename_entity' THEN json_extract_string(payload, '$.to') WHEN 'merge_entity' THEN json_extract_string(payload, '$.into') WHEN 'set_coherence' THEN json_extract_string(payload, '$.state')
+ WHEN 'label_entity' THEN json_extract_string(payload, '$.new_type') WHEN 'snooze' THEN json_extract_string(payload, '$.snoozed_until') END), '') END AS raw FROM a WHERE reverted_by IS NULL),
+x AS (SELECT *, CASE WHEN kind = 'set_coherence' AND raw NOT IN ('active', 'sparse', 'stale') THEN '' WHEN kind = 'rename_entity' AND raw = subject_id THEN '' ELSE raw END AS value FROM p),
+l AS (SELECT kind, subject_type, subject_id, value FROM x WHERE kind IN ('rename_entity', 'merge_entity', 'set_coherence', 'retire_entity') OR (kind = 'label_entity' AND value <> '') OR (kind = 'snooze' AND value > '2024-01-31T00:00:00') QUALIFY row_number() OVER (PARTITION BY kind, subject_type, subject_id ORDER BY id DESC) = 1),
+o AS (SELECT * FROM l WHERE kind NOT IN ('rename_entity', 'merge_entity', 'set_coherence') OR value <> '')"""
+
+
+def _actions(v: Views) -> DataFrame:
+
+    sql = ACTIONS[len("a AS (") : -1].replace("FROM events", "FROM {events}").replace("AS VARCHAR", "AS STRING")
+    for word in ("event_id % 9 ||", "event_id % 40 ||", "event_id % 7 ||"):
+        sql = sql.replace(f"|| {word}", f"|| CAST({word[:-3]} AS STRING) ||")
+    # Braces of the JSON texts are not names of tables.
+    safe = sql.replace("'{\"", "'<\"").replace("\"}'", "\">'").replace("'{}'", "'<>'")
+    found = v.spark.sql(safe, events=v.events)
+    return found.withColumn("payload", F.translate("payload", "<>", "{}"))
+
+
+@query(LAID + " SELECT kind, subject_type, subject_id, value FROM o")
+def m1_overlay(v: Views) -> DataFrame:
+    return m.overlay(_actions(v), NOW)
+
+
+@query(LAID + """, e AS (SELECT 'e' || CAST(user_id % 40 AS VARCHAR) AS entity, count(*) AS n FROM events GROUP BY 1), t AS (SELECT coalesce(o.value, e.entity) AS entity, sum(n)::BIGINT AS n FROM e LEFT JOIN o ON o.subject_id = e.entity AND o.kind = 'merge_entity' GROUP BY 1)
+SELECT t.entity, n, CASE WHEN r.kind IS NOT NULL THEN 'retired' WHEN s.kind IS NOT NULL THEN 'snoozed' ELSE 'active' END AS state FROM t LEFT JOIN o r ON r.subject_id = t.entity AND r.kind = 'retire_entity' LEFT JOIN o s ON s.subject_id = t.entity AND s.kind = 'snooze'""")
+def m2_projection(v: Views) -> DataFrame:
+    entities = v.events.groupBy(F.concat(F.lit("e"), (F.col("user_id") % 40).cast("string")).alias("entity")).agg(F.count(F.lit(1)).alias("n"))
+    return m.projected(entities, m.overlay(_actions(v), NOW))
+
+
+@query("""WITH n AS (SELECT id, session_id, subject, predicate, row_number() OVER (ORDER BY created_at, id) AS pos FROM facts WHERE session_id LIKE 's%3'), w AS (SELECT subject, predicate, arg_max(id, pos) AS winner FROM n GROUP BY 1, 2),
+a AS (SELECT id, subject, predicate, superseded_by FROM versions WHERE session_id NOT IN (SELECT session_id FROM n) UNION ALL SELECT id, subject, predicate, NULL FROM n)
+SELECT id, coalesce(superseded_by, CASE WHEN winner <> id THEN winner END) AS superseded_by FROM a LEFT JOIN w USING (subject, predicate)""")
+def m3_fact_ingest(v: Views) -> DataFrame:
+    new = v.facts.filter("session_id like 's%3'").withColumn("pos", F.struct("created_at", "id"))
+    return m.ingested_facts(v.versions, new)
+
+
+@query("SELECT id, CASE WHEN version = 2 THEN NULL ELSE superseded_by END AS superseded_by, CASE WHEN confidence < 0.4 THEN 1 ELSE retired END AS retired FROM versions")
+def m4_fact_versions(v: Views) -> DataFrame:
+    return v.versions.select("id", F.when(F.col("version") != 2, F.col("superseded_by")).alias("superseded_by"), F.when(F.col("confidence") < 0.4, 1).otherwise(F.col("retired")).alias("retired"))
+
+
+@query("""WITH k AS (SELECT DISTINCT x.session_id, CASE WHEN CAST(substr(entity, 2) AS INT) % 10 = 7 THEN 'e' || CAST(CAST(substr(entity, 2) AS INT) - 7 AS VARCHAR) ELSE entity END AS entity FROM session_entities x)
+SELECT entity, count(*) AS n, min(epoch_us(started_at)) AS first_us, max(epoch_us(started_at)) AS last_us FROM k JOIN sessions s ON s.id = k.session_id GROUP BY 1""")
+def m5_entity_merge(v: Views) -> DataFrame:
+    merges = v.spark.createDataFrame([(f"e{i}", f"e{i - 7}") for i in range(7, 400, 10)], "source string, target string")
+    return m.merged_entities(v.session_entities, merges, v.sessions)
+
+
+@query("SELECT coalesce(w.merged_into, w.id) AS id, count(*) AS n FROM sessions s JOIN workstreams w ON w.id = s.workstream_id WHERE w.segment <> 'BUILDING' GROUP BY 1")
+def m6_workstream_merge(v: Views) -> DataFrame:
+    rows = v.sessions.join(v.workstreams.filter("segment <> 'BUILDING'").select(F.col("id").alias("workstream_id"), "merged_into"), "workstream_id")
+    return rows.groupBy(F.coalesce("merged_into", "workstream_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH l AS (SELECT user_id AS id, event_type = 'error' AS survived, CASE WHEN event_id % 40 = 0 THEN 'human' ELSE 'model' END AS source, ts FROM events)
+SELECT id, survived, source FROM l QUALIFY row_number() OVER (PARTITION BY id ORDER BY source = 'human' DESC, ts DESC, survived) = 1""")
+def m7_exemplar_verdicts(v: Views) -> DataFrame:
+    labels = v.events.select(F.col("user_id").alias("id"), (F.col("event_type") == "error").alias("survived"), F.when(F.col("event_id") % 40 == 0, "human").otherwise("model").alias("source"), "ts")
+    return m.verdicts(labels.select("id").distinct(), labels).select("id", "survived", "source")
+
+
+@query("SELECT count(*) AS kept FROM signals WHERE ts >= $now - INTERVAL 20 DAY")
+def m8_signal_retention(v: Views) -> DataFrame:
+    from ..operators.telemetry import since
+
+    return since(v.signals, NOW, 20).agg(F.count(F.lit(1)).alias("kept"))
+
+
+@query("SELECT workstream_id, CASE WHEN count(DISTINCT scope) = 1 AND count(*) = count(scope) THEN min(scope) END AS scope FROM sessions GROUP BY 1")
+def m9_scope_backfill(v: Views) -> DataFrame:
+    return m.derived_scopes(v.sessions, "workstream_id", "scope")
+
+
+@query("SELECT id FROM sessions WHERE seq > 500 AND id NOT IN (SELECT session_id FROM facts) ORDER BY seq LIMIT 40")
+def m11_fact_backfill(v: Views) -> DataFrame:
+    done = v.facts.select(F.substring("session_id", 2, 20).cast("long").alias("seq")).distinct()
+    return m.pending(v.sessions.select("id", "seq"), done, "seq", after=500).orderBy("seq").limit(40).select("id")
+
+
+@query("SELECT id, coalesce(runtime, 'from ' || status) AS runtime, runtime IS NOT NULL AS stamped FROM sessions")
+def m13_derivables_backfill(v: Views) -> DataFrame:
+    return v.sessions.select("id", F.coalesce("runtime", F.concat(F.lit("from "), "status")).alias("runtime"), F.col("runtime").isNotNull().alias("stamped"))
+
+
+@query("SELECT count(*) AS n, min(seq) AS next FROM sessions WHERE seq NOT IN (SELECT seq FROM sessions WHERE epoch_us(started_at) % 3 = 0 OR status = 'closed')")
+def m14_resumable(v: Views) -> DataFrame:
+    done = v.sessions.filter((micros(F.col("started_at")) % 3 == 0) | (F.col("status") == "closed"))
+    return m.pending(v.sessions, done, "seq").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("next"))
+
+
