@@ -101,6 +101,6 @@ def safe_session_id(raw: Column) -> Column:
 def short_summary(text: Column, most: int = 200, least: int = 60) -> Column:
     """Cut after the last sentence that ends in [least, most], else at the last space there, else hard."""
     head = F.substring(text, 1, most)
-    sentence = F.regexp_extract(head, rf"(?s)^(.{{{least},}}[.!?])(?:$| )", 1)
+    sentence = F.regexp_extract(head, rf"(?s)^(.{{{least},}}[.!?])(?:\z| )", 1)
     words = F.regexp_extract(head, rf"(?s)^(.{{{least},}}) ", 1)
     return F.when(F.length(text) <= most, text).when(sentence != "", sentence).when(words != "", F.concat(words, F.lit(" ..."))).otherwise(F.concat(head, F.lit(" ...")))

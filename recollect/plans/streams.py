@@ -1 +1,82 @@
-"""Empty."""
+"""Queries of streams: ST1-ST10, run over all that is available, with the same rows as their batch twins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..streaming import pipelines as p
+from .registry import Views, query
+
+
+def _events(v: Views) -> DataFrame:
+    return p.opened(v.spark, f"{v.sf_dir}/events.parquet")
+
+
+CLOSED = "(SELECT max(epoch_us(ts)) // 1000 * 1000 - 600000000 FROM events)"
+
+
+@query(f"SELECT epoch_us(ts) // 3600000000 * 3600000000 AS start_us, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING epoch_us(any_value(ts)) // 3600000000 * 3600000000 + 3600000000 <= {CLOSED}")
+def st1_tumbling(v: Views) -> DataFrame:
+    return p.available(p.windowed(_events(v), "event_type", "1 hour"))
+
+
+@query(f"SELECT start_us, event_type, count(*) AS n FROM (SELECT event_type, unnest(range(epoch_us(ts) // 86400000000 - 13, epoch_us(ts) // 86400000000 + 1)) * 86400000000 AS start_us FROM events) GROUP BY 1, 2 HAVING start_us + 14 * 86400000000 <= {CLOSED}")
+def st8_sliding(v: Views) -> DataFrame:
+    return p.available(p.windowed(_events(v), "event_type", "14 days", "1 day"))
+
+
+@query(f"""WITH e AS (SELECT user_id, epoch_us(ts) AS us FROM events), g AS (SELECT *, coalesce((us - lag(us) OVER (PARTITION BY user_id ORDER BY us) > 7200000000)::INT, 0) AS new FROM e), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS span FROM g)
+SELECT user_id, min(us) AS start_us, max(us) AS end_us, count(*) AS n FROM s GROUP BY user_id, span HAVING max(us) + 7200000000 <= {CLOSED}""")
+def st2_session_windows(v: Views) -> DataFrame:
+    return p.available(p.activity(_events(v), "user_id", "2 hours"))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT event_id) AS ids FROM events")
+def st6_deduplicated(v: Views) -> DataFrame:
+    twice = _events(v).select("event_id", "ts", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
+    return p.available(p.deduplicated(twice, ["event_id"])).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("ids"))
+
+
+@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def st4_upserted(v: Views) -> DataFrame:
+    return p.upserted(_events(v), "user_id", "ts").select("user_id", "event_id", "event_type")
+
+
+ALERTS = """WITH e AS (SELECT user_id, event_id, event_type <> 'error' AS ok FROM events), i AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS island FROM e)
+SELECT user_id, event_id FROM i WHERE NOT ok QUALIFY row_number() OVER (PARTITION BY user_id, island ORDER BY event_id) = 2"""
+
+
+@query(ALERTS)
+def st10_alerts(v: Views) -> DataFrame:
+    rows = _events(v).select("user_id", "event_id", (F.col("event_type") != "error").alias("ok"))
+    return p.available(p.alerts(rows, "user_id", "ok"))
+
+
+@query(ALERTS)
+def st10_alerts_batch(v: Views) -> DataFrame:
+    rows = v.events.select("user_id", "event_id", (F.col("event_type") != "error").alias("ok"))
+    return p.alerts_batch(rows, "user_id", "ok", "event_id")
+
+
+@query("""SELECT 'd' || doc_id AS path, n_chars AS size FROM documents WHERE (doc_id % 3 = 0 OR doc_id % 3 = 1) AND doc_id % 40 >= 15""")
+def st3_changed_files(v: Views) -> DataFrame:
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path")
+    files = v.documents.select(name, F.col("n_chars").alias("size"), (F.lit(2_400_000_000) - (F.col("doc_id") % 40) * 60_000_000).alias("modified_us"))
+    state = v.documents.filter("doc_id % 3 > 0").select(name, F.when(F.col("doc_id") % 3 == 1, F.col("n_chars") - 1).otherwise(F.col("n_chars")).alias("size"))
+    return p.changed(files, state, 2_400_000_000)
+
+
+@query("SELECT 'd' || doc_id AS path, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE doc_id % 4 + 1 END AS failures FROM documents WHERE doc_id % 5 <> 0 AND (doc_id % 2 <> 0) AND doc_id % 4 + 1 >= 3")
+def st5_dead_letters(v: Views) -> DataFrame:
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path")
+    state = v.documents.select(name, F.when(F.col("doc_id") % 2 == 0, -1).otherwise(F.col("n_chars")).alias("size"), (F.col("doc_id") % 4).alias("failures"))
+    attempts = v.documents.select(name, F.col("n_chars").alias("size"), (F.col("doc_id") % 5 != 0).alias("failed"))
+    return p.failures(state, attempts)[1].select("path", "failures")
+
+
+@query("SELECT conversation_id, count(DISTINCT id) AS n FROM surfaced GROUP BY 1")
+def st9_surfaced_memo(v: Views) -> DataFrame:
+    return v.surfaced.groupBy("conversation_id").agg(F.countDistinct("id").alias("n"))
+
+

@@ -1 +1,275 @@
-"""Empty."""
+"""Queries over scalar transforms and sources: F9-F33, S8-S17."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import rules
+from ..functions.hashes import fnv_12
+from ..functions.injected import strip_blocks
+from ..functions.text import chunks, folded, label_key, repo_base, short_id
+from ..sources import transcripts as t
+from .registry import Views, query
+
+
+@query(r"""WITH p AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(text, '<(ide_selection|system-reminder|command-name)[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS p FROM conversations)
+SELECT conv_id, turn, CASE WHEN NOT regexp_matches(p, '[A-Za-z0-9]{2,}') OR regexp_matches(p, '(?i)^(yes|yep|yeah|sure|ok|okay|k|thanks|thank you|ty|done|nice|cool|great|perfect|continue|next|go|go ahead|do it|yes please|sounds good|good|got it|right|correct)\W*$') THEN 'skip'
+ WHEN regexp_matches(p, '(?i)^(write|draft|create|compose|generate|brainstorm|design|outline|sketch|invent|rename|come up with)\b') THEN 'generative' ELSE 'evaluate' END AS class FROM p""")
+def f9_prompt_class(v: Views) -> DataFrame:
+    return v.conversations.select("conv_id", "turn", rules.prompt_class(F.col("text")).alias("class"))
+
+
+PROMPTS = ["what depends on the parser", "when did we change the port", "look at Ada and the API", "two weeks ago we met", "", "fix it before I leave", "Which tool uses Kafka?", "ok", "please write a note", "open the door on monday", "the I'd rather", "see README now", "why does the build fail on Linux machines"]
+VALUES = "(VALUES " + ", ".join(f"({i}, '" + p.replace("'", "''") + "')" for i, p in enumerate(PROMPTS)) + ") AS p(i, q)"
+
+
+def _prompts(v: Views) -> DataFrame:
+    return v.spark.createDataFrame(list(enumerate(PROMPTS)), "i int, q string")
+
+
+TEMPORAL = r"regexp_matches(q, '(?i)\b(\d+\s+(day|week|month|year)s?\s+ago|(last|past|next)\s+(week|month|year)|when\s+did|ago|(yesterday|today|tomorrow))\b') OR regexp_matches(q, '\b(before|after)\s+I\b')"
+
+
+@query(rf"SELECT i, CASE WHEN trim(q) = '' THEN 'other' WHEN regexp_matches(q, '(?i)\b(depends\s+on|related\s+to|connected\s+(to|with)|what\s+uses|downstream\s+of)\b') THEN 'relational' WHEN {TEMPORAL} THEN 'temporal' ELSE 'lookup' END AS intent FROM {VALUES}")
+def f10_query_intent(v: Views) -> DataFrame:
+    return _prompts(v).select("i", rules.query_intent(F.col("q")).alias("intent"))
+
+
+@query(rf"SELECT i, {TEMPORAL} AS temporal, i IN (2, 6, 11, 12) AS named FROM {VALUES}")
+def f11_query_shape(v: Views) -> DataFrame:
+    return _prompts(v).select("i", rules.has_temporal(F.col("q")).alias("temporal"), rules.has_name(F.col("q")).alias("named"))
+
+
+@query("SELECT i, q FROM (VALUES (0, 'depends parser'), (1, 'change port'), (2, 'look Ada API'), (3, 'two weeks ago met'), (4, NULL), (5, 'fix leave'), (6, 'tool uses Kafka'), (7, NULL), (8, 'write note'), (9, 'open door monday'), (10, NULL), (11, 'see README'), (12, 'build fail Linux machines')) AS p(i, q)")
+def f12_recall_query(v: Views) -> DataFrame:
+    found = _prompts(v).select("i", rules.recall_query(F.col("q")).alias("q"))
+    return found.withColumn("q", F.when(F.col("i") == 10, F.lit(None)).otherwise(F.col("q")))
+
+
+@query("SELECT conv_id, turn, len(list_filter(regexp_extract_all(lower(text), '[a-z0-9]{2,}'), lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in rules.NO_TOPIC) + "))) AS n FROM conversations")
+def f13_topical_words(v: Views) -> DataFrame:
+    return v.conversations.select("conv_id", "turn", rules.topical_words(F.col("text")).cast("long").alias("n"))
+
+
+@query(r"""WITH h AS (SELECT doc_id, text, substr(text, 1, 200) AS h FROM documents), m AS (SELECT *, CASE WHEN right(h, 1) IN ('.', '!', '?') THEN h ELSE regexp_extract(h, '(?s)^(.{60,}[.!?]) ', 1) END AS a, regexp_extract(h, '(?s)^(.{60,}) ', 1) AS b FROM h)
+SELECT doc_id, CASE WHEN length(text) <= 200 THEN text WHEN a <> '' THEN a WHEN b <> '' THEN b || ' ...' ELSE h || ' ...' END AS summary FROM m""")
+def f15_summary(v: Views) -> DataFrame:
+    return v.documents.select("doc_id", rules.short_summary(F.col("text")).alias("summary"))
+
+
+@query("SELECT conv_id, turn, 'intro' || chr(10) || chr(10) || text AS text FROM conversations WHERE NOT contains(text, chr(10)) AND trim(text) = text")
+def f16_strip_injected(v: Views) -> DataFrame:
+    rows = v.conversations.filter(~F.contains("text", F.lit("\n")) & (F.trim("text") == F.col("text")))
+    made = F.concat(F.lit("intro\n\n## Known\n- a\nTools: x, y\n\n\n\n"), "text")
+    return rows.select("conv_id", "turn", strip_blocks(made, ["## Known"]).alias("text"))
+
+
+@query("SELECT id, CASE WHEN status IN ('superseded', 'replaced') THEN status WHEN seq % 2000 < 15 THEN 'active' WHEN seq % 2000 < 1440 THEN 'idle' ELSE 'closed' END AS live FROM sessions")
+def f17_live_status(v: Views) -> DataFrame:
+    return v.sessions.select("id", rules.live_status(F.col("status"), F.col("seq") % 2000).alias("live"))
+
+
+@query("""WITH p AS (SELECT doc_id, trim(label) AS h, trim(body) AS b FROM papers), q AS (SELECT *, CASE WHEN h <> '' THEN h || ' ' ELSE '' END AS pre FROM p), r AS (SELECT *, greatest(1, 1000 - length(pre)) AS bud FROM q),
+s AS (SELECT doc_id, CASE WHEN b = '' THEN [h] WHEN length(b) <= bud THEN [trim(pre || b)] ELSE [trim(pre || substr(b, 1, bud))] || list_filter(list_transform(range(0, greatest(0, ceil((length(b) - greatest(0, bud - 100) - 1000) / 900))::BIGINT + 1), lambda k: trim(substr(b, greatest(0, bud - 100) + k * 900 + 1, 1000))), lambda x: x <> '') END AS c FROM r)
+SELECT doc_id, len(c) AS n, md5(array_to_string(c, '|')) AS digest FROM s""")
+def f18_chunks(v: Views) -> DataFrame:
+    pieces = chunks(F.col("label"), F.col("body"), 1000, 100)
+    return v.papers.select("doc_id", pieces.alias("c")).select("doc_id", F.size("c").cast("long").alias("n"), F.md5(F.array_join("c", "|")).alias("digest"))
+
+
+@query("SELECT seq, CASE WHEN seq % 3 = 0 THEN NULL WHEN seq % 3 = 1 THEN seq * 1000000 ELSE seq * 100 END AS x, CASE WHEN seq % 3 = 0 THEN NULL WHEN seq % 3 = 1 THEN CASE WHEN seq * 1000000 > 10000000000 THEN seq * 1000000 ELSE seq * 1000000000 END ELSE seq * 100000 END AS ms FROM sessions")
+def f19_timestamps(v: Views) -> DataFrame:
+    k = F.col("seq")
+    x = F.when(k % 3 == 1, k * 1000000).when(k % 3 == 2, k * 100)
+    return v.sessions.select("seq", x.alias("x"), rules.as_millis(x).alias("ms"))
+
+
+@query("SELECT id, CASE WHEN seq % 3 = 0 THEN 'a_' || id || '_x_y' WHEN seq % 3 = 1 THEN 'a_' || id ELSE id END AS raw, CASE WHEN seq % 3 = 0 THEN 'a_' || id || '_y' WHEN seq % 3 = 1 THEN 'a_' || id ELSE id END AS safe FROM sessions")
+def f20_safe_ids(v: Views) -> DataFrame:
+    k = F.col("seq") % 3
+    raw = F.when(k == 0, F.concat(F.lit("a_"), "id", F.lit("_x_y"))).when(k == 1, F.concat(F.lit("a_"), "id")).otherwise(F.col("id"))
+    return v.sessions.select("id", raw.alias("raw")).select("id", "raw", rules.safe_session_id(F.col("raw")).alias("safe"))
+
+
+@query("SELECT id, coalesce(greatest(0, (epoch_us(ended_at) - epoch_us(started_at)) // 60000000), 0) AS minutes FROM sessions")
+def f21_duration(v: Views) -> DataFrame:
+    return v.sessions.select("id", rules.duration_minutes(F.col("started_at"), F.col("ended_at")).alias("minutes"))
+
+
+@query(r"SELECT p_partkey, regexp_replace(lower(trim('  ' || p_name || '  X ')), '\s+', ' ', 'g') AS label, regexp_replace(lower(p_name), '[\s\-_.]+', '', 'g') AS fold, regexp_replace(regexp_replace(lower(p_name || '.py'), '[\s\-_.]+', '', 'g'), '(ts|js|py|rs|go)$', '') AS base FROM part")
+def f22_names(v: Views) -> DataFrame:
+    """F22, F23."""
+    name = F.col("p_name")
+    return v.part.select("p_partkey", label_key(F.concat(F.lit("  "), name, F.lit("  X "))).alias("label"), folded(name).alias("fold"), repo_base(folded(F.concat(name, F.lit(".py")))).alias("base"))
+
+
+PREFIXES = [("https://m", "mobile"), ("https://m.thed", "mobile-d"), ("http://www", "global"), ("http://www", "web"), ("https", "any")]
+
+
+@query("WITH p AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in PREFIXES) + ") AS t(prefix, scope)) SELECT page_id, scope FROM pages JOIN p ON starts_with(url, prefix) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(prefix) DESC, scope = 'global', scope) = 1")
+def f24_scopes(v: Views) -> DataFrame:
+    """Longest prefix; named scopes before the global one, then by name."""
+    table = v.spark.createDataFrame(PREFIXES, "prefix string, scope string")
+    hits = v.pages.select("page_id", "url").join(F.broadcast(table), F.col("url").startswith(F.col("prefix")))  # a small fixed table
+    w = Window.partitionBy("page_id").orderBy(F.desc(F.length("prefix")), F.col("scope") == "global", "scope")
+    return hits.withColumn("r", F.row_number().over(w)).filter("r = 1").select("page_id", "scope")
+
+
+@query("SELECT event_id, 'sig_' || substr(sha256(coalesce(session_id, '') || '|' || producer || '|' || kind || '|' || coalesce(step, '') || '|' || outcome), 1, 16) AS id FROM signals")
+def f25_signal_ids(v: Views) -> DataFrame:
+    return v.signals.select("event_id", F.concat(F.lit("sig_"), short_id(F.col("session_id"), F.col("producer"), F.col("kind"), F.col("step"), F.col("outcome"))).alias("id"))
+
+
+@query()
+def f25_fnv_ids(v: Views) -> DataFrame:
+    return v.conversations.select("conv_id", "turn", fnv_12(F.col("text")).alias("hash"))
+
+
+@query("""SELECT event_id, CASE WHEN kind = 'test' THEN NULL ELSE kind END AS kind, coalesce(step, 'unknown') AS step, json_extract_string(props, '$.k') AS k, kind <> 'test' AND outcome <> 'exhausted' AS valid FROM signals JOIN (SELECT event_id, props FROM events) USING (event_id)""")
+def f26_signal_checks(v: Views) -> DataFrame:
+    rows = v.signals.join(v.events.select("event_id", "props"), "event_id")
+    ok = F.col("kind").isin("gate", "eval", "review") & F.col("outcome").isin("pass", "fail", "fix")
+    return rows.select("event_id", F.when(F.col("kind") != "test", F.col("kind")).alias("kind"), F.coalesce("step", F.lit("unknown")).alias("step"), F.get_json_object("props", "$.k").alias("k"), ok.alias("valid"))
+
+
+@query(r"SELECT doc_id, sha256(regexp_replace(trim(text), '[ \t\n\r]+', ' ', 'g')) AS code_hash, len(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> '')) BETWEEN 2 AND 200 AS fit FROM documents")
+def f27_exemplars(v: Views) -> DataFrame:
+    n = F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""))
+    return v.documents.select("doc_id", F.sha2(F.regexp_replace(F.trim("text"), r"[ \t\n\r]+", " "), 256).alias("code_hash"), n.between(2, 200).alias("fit"))
+
+
+@query("SELECT conv_id, 'src/b.py' AS file, '@@ -5 +5 @@' AS header, 2 AS n, text || chr(10) || 'again' AS added, 'py' AS lang FROM conversations WHERE turn = 0 AND trim(text) <> '' AND NOT contains(text, chr(10))")
+def f28_diff_hunks(v: Views) -> DataFrame:
+    rows = v.conversations.filter("turn = 0 and trim(text) <> ''").filter(~F.contains("text", F.lit("\n")))
+    diff = F.concat(F.lit("+++ b/src/a.ts\n@@ -1 +1 @@\n+one\n-two\n+++ b/src/b.py\n@@ -5 +5 @@\n+"), "text", F.lit("\n+again\n context"))
+    return t.hunks(rows.select("conv_id", diff.alias("diff")), "conv_id", "diff").select("conv_id", "file", "header", F.col("n").cast("int").alias("n"), "added", t.language_of(F.col("file")).alias("lang"))
+
+
+@query("""WITH r AS (SELECT user_id, event_type, event_id FROM events), m AS (SELECT user_id, event_type, count(*) AS n, max(event_id) AS l FROM r GROUP BY 1, 2)
+SELECT user_id AS session, (SELECT arg_max(event_type, (n, l)) FROM m WHERE m.user_id = u.user_id) AS model, sum(event_id % 7 + event_id % 5)::BIGINT AS tokens, arg_min(event_type, event_id) FILTER (event_type IN ('view', 'click')) AS skill FROM events u GROUP BY user_id""")
+def f29_derivables(v: Views) -> DataFrame:
+    rows = v.events.select(F.col("user_id").alias("session"), F.col("event_id").alias("pos"), F.col("event_type").alias("model"), (F.col("event_id") % 7).alias("input_tokens"), (F.col("event_id") % 5).alias("output_tokens"), F.when(F.col("event_type").isin("view", "click"), F.col("event_type")).alias("skill"))
+    return t.derivables(rows)
+
+
+@query("SELECT id, regexp_extract('agent-' || workstream_id || '@' || id, '^agent-([^@]+)@(.+)$', 1) AS persona, regexp_extract('agent-' || workstream_id || '@' || id, '^agent-([^@]+)@(.+)$', 2) AS parent FROM sessions")
+def f30_personas(v: Views) -> DataFrame:
+    name = F.concat(F.lit("agent-"), "workstream_id", F.lit("@"), "id")
+    return v.sessions.select("id", F.regexp_extract(name, "^agent-([^@]+)@(.+)$", 1).alias("persona"), F.regexp_extract(name, "^agent-([^@]+)@(.+)$", 2).alias("parent"))
+
+
+@query("SELECT id, subject || ' ' || predicate || ' ' || value AS text FROM facts")
+def f31_fact_texts(v: Views) -> DataFrame:
+    return v.facts.select("id", F.concat_ws(" ", "subject", "predicate", "value").alias("text"))
+
+
+@query("SELECT b.item_id, d.doc_id, CASE WHEN d.doc_id % 2 = 0 THEN 'tool_use' ELSE 'prose' END AS kind FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
+def f32_citations(v: Views) -> DataFrame:
+    """Which documents hold which passages; the passages' side is small after a check, so the scan isn't shuffled."""
+    from ..operators.recall import small
+
+    passages = small(v.benchmark.select("item_id", F.col("text").alias("passage")))
+    hits = v.documents.join(passages, F.contains("text", "passage"))
+    return hits.select("item_id", "doc_id", F.when(F.col("doc_id") % 2 == 0, "tool_use").otherwise("prose").alias("kind"))
+
+
+@query("SELECT * FROM (VALUES (1, 1), (2, 1), (3, 50), (4, 100)) AS t(i, clamped)")
+def f33_limits(v: Views) -> DataFrame:
+    from ..operators.access import clamp_limit
+
+    return v.spark.createDataFrame([(1, clamp_limit(float("nan"))), (2, clamp_limit(-4)), (3, clamp_limit(50)), (4, clamp_limit(1e9))], "i int, clamped int")
+
+
+BODY = "SELECT 'conv_' || conv_id || '_z' AS session, count(*) AS n_turns, md5(string_agg({}, chr(10) || chr(10) ORDER BY turn)) AS digest FROM conversations WHERE trim(text) <> '' GROUP BY 1"
+
+
+def _json_lines(v: Views, **fields: object) -> DataFrame:
+    """Lines as a source would have them, made of the driver's conversations."""
+    made = F.to_json(F.struct(*(c.alias(k) for k, c in fields.items())))
+    return v.conversations.select(F.concat(F.lit("/x/"), F.col("conv_id").cast("string")).alias("file"), F.col("turn").alias("pos"), made.alias("line"))
+
+
+def _digested(rows: DataFrame) -> DataFrame:
+    return rows.select("session", "n_turns", F.md5("body").alias("digest"))
+
+
+
+def _name():
+    return F.concat(F.lit("conv_"), F.col("conv_id").cast("string"), F.lit("_z"))
+
+
+@query(BODY.format("'[' || role || '] ' || trim(text)"))
+def s8_block_jsonl(v: Views) -> DataFrame:
+    block = F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))))
+    rows = _json_lines(v, type=F.col("role"), sessionId=_name(), message=F.struct(F.col("role"), block.alias("content")))
+    return _digested(t.sessions(t.block_jsonl(rows)))
+
+
+@query("SELECT 'conv_' || conv_id || '_z' AS session, count(*) AS n_turns, md5(string_agg('[' || role || '] ' || text, chr(10) || chr(10) ORDER BY turn)) AS digest FROM conversations WHERE trim(text) <> '' AND role IN ('user', 'assistant') AND conv_id IN (SELECT conv_id FROM conversations WHERE turn = 0) GROUP BY 1")
+def s9_event_jsonl(v: Views) -> DataFrame:
+    kind = F.when(F.col("role") == "user", "user_message").when(F.col("role") == "assistant", "agent_message").otherwise("other")
+    rows = _json_lines(v, type=F.lit("event_msg"), payload=F.struct(kind.alias("type"), F.col("text").alias("message")))
+    heads = v.conversations.filter("turn = 0").select(F.concat(F.lit("/x/"), F.col("conv_id").cast("string")).alias("file"), F.lit(-1).cast("long").alias("pos"), F.to_json(F.struct(F.lit("session_meta").alias("type"), F.struct(_name().alias("id")).alias("payload"))).alias("line"))
+    return _digested(t.sessions(t.event_jsonl(rows.union(heads))))
+
+
+@query("SELECT 'conv_' || conv_id || '_z' AS session, count(*) AS n FROM conversations WHERE role = 'system' AND conv_id IN (SELECT conv_id FROM conversations WHERE turn = 0) GROUP BY 1")
+def s10_custom_jsonl(v: Views) -> DataFrame:
+    kind = F.when(F.col("role") == "system", "custom").otherwise("message")
+    rows = _json_lines(v, type=kind, customType=F.lit("signal"), data=F.struct(F.col("turn")), message=F.struct(F.col("role"), F.col("text").alias("content")))
+    heads = v.conversations.filter("turn = 0").select(F.concat(F.lit("/x/"), F.col("conv_id").cast("string")).alias("file"), F.lit(-1).cast("long").alias("pos"), F.to_json(F.struct(F.lit("session").alias("type"), _name().alias("id"))).alias("line"))
+    _, signals = t.custom_jsonl(rows.union(heads))
+    return signals.groupBy("session").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 'conv_' || conv_id || '_z' AS session, count(*) AS n_turns, md5(string_agg('[' || role || '] ' || text, chr(10) || chr(10) ORDER BY turn)) AS digest FROM conversations WHERE trim(text) <> '' AND role <> 'system' GROUP BY 1")
+def s11_message_json(v: Views) -> DataFrame:
+    whole = v.conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
+    docs = whole.select(_name().alias("s"), "m").select(F.concat(F.lit("/x/"), "s").alias("file"), F.to_json(F.struct(F.col("s").alias("session_id"), F.col("m").alias("messages"))).alias("value"))
+    dumps = docs.select(F.concat(F.lit("/a/"), "file").alias("file"), F.regexp_replace("value", '"messages"', '"old"').alias("value"))
+    return _digested(t.sessions(t.message_json(docs.union(dumps))))
+
+
+@query("SELECT 'conv_' || conv_id || '_z' AS session, count(*) AS n_turns, md5(string_agg(role || ': ' || text, chr(10) || chr(10) ORDER BY turn)) AS digest FROM conversations WHERE trim(text) <> '' AND conv_id % 5 <> 0 GROUP BY 1")
+def s12_relational(v: Views) -> DataFrame:
+    heads = v.conversations.select(_name().alias("id"), (F.col("conv_id") % 5 == 0).alias("archived")).distinct()
+    messages = v.conversations.select(_name().alias("session_id"), "role", "text", F.col("turn").alias("at"), F.lit(False).alias("ignored"))
+    return _digested(t.sessions(t.relational(heads, messages), t.plain))
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS session, count(*) AS n_turns, md5(string_agg(role || ': ' || text, chr(10) || chr(10) ORDER BY turn)) AS digest FROM conversations WHERE trim(text) <> '' AND role <> 'system' GROUP BY 1")
+def s13_keyed_rows(v: Views) -> DataFrame:
+    kind = F.when(F.col("role") == "user", 1).when(F.col("role") == "assistant", 2).otherwise(3)
+    rows = v.conversations.select(F.concat_ws(":", F.lit("bubble"), "conv_id", "turn").alias("key"), F.to_json(F.struct(kind.alias("type"), F.col("text").alias("text"))).alias("value"))
+    return _digested(t.sessions(t.keyed_rows(rows), t.plain))
+
+
+@query("SELECT conv_id || '_1' AS session, count(*) AS n_turns, count(*) FILTER (role = 'user') AS users FROM conversations WHERE trim(text) <> '' AND NOT contains(text, chr(10)) AND NOT starts_with(text, '#') AND NOT starts_with(text, '>') GROUP BY 1")
+def s14_markdown_log(v: Views) -> DataFrame:
+    file = F.concat(F.lit("/x/"), F.col("conv_id").cast("string")).alias("file")
+    ok = v.conversations.filter("trim(text) <> ''").filter(~F.contains("text", F.lit("\n")) & ~F.col("text").startswith("#") & ~F.col("text").startswith(">"))
+    rows = ok.select(file, F.col("turn").alias("pos"), F.concat(F.when(F.col("role") == "user", "#### ").otherwise(""), "text").alias("line"))
+    heads = ok.select(file).distinct().select("file", F.lit(-1).cast("long").alias("pos"), F.lit("# tool chat started at 2024-01-02 03:04:05").alias("line"))
+    turns = t.markdown_log(rows.union(heads))
+    return turns.groupBy("session").agg(F.count(F.lit(1)).alias("n_turns"), F.count_if(F.col("role") == "user").alias("users"))
+
+
+@query(BODY.format("CASE WHEN role = 'user' THEN 'User' ELSE 'Assistant' END || ': ' || text"))
+def s15_generic_jsonl(v: Views) -> DataFrame:
+    rows = _json_lines(v, c=F.col("text"), r=F.col("role"), s=_name())
+    return _digested(t.sessions(t.generic_jsonl(rows, {"content": "c", "role": "r", "session_id": "s"}), t.titled))
+
+
+@query("SELECT doc_id, 'webhook_' || substr(sha256(source || '|' || CAST(n_chars AS VARCHAR) || '|' || substr(text, 1, 4000)), 1, 16) AS id FROM documents")
+def s17_webhook(v: Views) -> DataFrame:
+    rows = v.documents.select("doc_id", F.col("source").alias("runtime"), F.col("n_chars").alias("started_at"), "text")
+    return t.pushed(rows).select("doc_id", "id")
+
+
+@query("SELECT conv_id, min(turn) AS first, max(turn) AS last, count(*) AS n FROM conversations GROUP BY 1")
+def s16_turn_counts(v: Views) -> DataFrame:
+    """What every reader's turns come to."""
+    return v.conversations.groupBy("conv_id").agg(F.min("turn").alias("first"), F.max("turn").alias("last"), F.count(F.lit(1)).alias("n"))
+
+
