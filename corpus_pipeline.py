@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from recollect.llm import language, mixing, neardup, pieces, toxicity
 from recollect.llm.supervised import crc_mod
-from recollect.llm.tables import written
+from recollect.llm.tables import small_batches, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document goes if no language has this share of it.
@@ -28,6 +28,7 @@ MAX_TOXIC = 0.3
 
 def _shielded(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Runs `work` with columns that aren't documents' own under other names, so that none can clash."""
+    small_batches(docs.sparkSession)
     other = {c: f"extra_{i}_" for i, c in enumerate(docs.columns) if c not in COLUMNS}
     done = work(docs.withColumnsRenamed(other))
     return done.withColumnsRenamed({b: a for a, b in other.items()})
@@ -73,6 +74,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces."""
+    small_batches(spark)
     return pieces.encode(docs.select("doc_id", "text", "lang", "source")).withColumn("n_pieces", F.size("ids"))
 
 

@@ -41,7 +41,7 @@ class PieceParams:
     model: str = DEFAULT_MODEL
     chunk: int = 32768
     #: Words and pairs that a worker remembers, each.
-    memory: int = 600_000
+    memory: int = 250_000
 
 
 def load_vocabulary(path: str) -> list[tuple[str, float, int]]:

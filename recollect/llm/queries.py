@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from . import language, license_scan, metric_join, mixing, neardup, pieces, posting_lists, quality, toxicity, url_filter
 from .supervised import crc_mod
+from .tables import small_batches
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

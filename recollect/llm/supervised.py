@@ -58,7 +58,11 @@ def fit_in_task(features: DataFrame, fit: Callable[[pa.Table], bytes]) -> dict[s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
-        yield pa.RecordBatch.from_arrays([pa.array([fit(pa.Table.from_batches(got) if got else None)], pa.binary())], ["model"])
+        table = [pa.Table.from_batches(got) if got else None]
+        got.clear()
+        model = fit(table.pop())  # which is then the only holder of the features, and can let them go
+        pa.default_memory_pool().release_unused()
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
     rows = features.repartition(1).mapInArrow(run, "model binary").collect()
     return unpack(bytes(rows[0]["model"]))

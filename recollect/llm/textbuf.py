@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 _LOWER = np.arange(0x600, dtype=np.uint32)
 for _c in range(0x600):

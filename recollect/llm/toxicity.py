@@ -24,7 +24,7 @@ from .supervised import fit_in_task, label_sample, pack, ragged, sigmoid, with_s
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    orders: tuple[int, ...] = (4, 5, 6)
+    orders: tuple[int, ...] = (4, 6)
     bits: int = 18
     #: Bound of the labelled rows that the classifier is fitted on.
     max_fit_rows: int = 6000
@@ -32,7 +32,7 @@ class ToxicityParams:
     min_docs: int = 3
     #: Buckets with a smaller log-count ratio say nothing.
     min_ratio: float = 0.5
-    ridge: float = 2e-4
+    ridge: float = 1e-3
     rounds: int = 70
     seed: int = 7
 
