@@ -27,6 +27,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def small_batches(spark: SparkSession, size: int = 16 << 20) -> None:
     """Bounds what a Python worker gets at once, as texts differ a lot in length; a smaller setting of the session stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(name, "") or ""
+    now = spark.conf.get(name) or ""
     if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= size:
         spark.conf.set(name, str(size))
