@@ -170,5 +170,5 @@ def mixtures(docs: DataFrame, model: dict, keep: list[str], p: LanguageParams =
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *arrays], [*keep, *out])
 
     rows = docs.select(*keep) if text in keep else docs.select(*keep, F.col("text").alias(text))
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c in keep)
-    return rows.mapInArrow(run, schema + f", `{out[0]}` string, `{out[1]}` double, `{out[2]}` map<string,double>")
+    kept = [f"`{c}` {t}" for c, t in rows.dtypes if c in keep]
+    return rows.mapInArrow(run, ", ".join([*kept, f"`{out[0]}` string, `{out[1]}` double, `{out[2]}` map<string,double>"]))

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-COPYRIGHT_LINES = r"\n[^\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: A notice: `copyright` with a mark or a year, a mark with a year, or the reservation of rights, at the start of a line.
+COPYRIGHT_LINES = r"\n[^\na-z0-9(©]*(?:(?:\(c\)|©)? ?copyright[ :]*(?:\(c\)|©|[0-9]|<|\[)|(?:\(c\)|©) ?[0-9]|all rights reserved)[^\n]*"
 MARKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F\x{A0}-\x{BF}\x{2010}-\x{2027}]+"
 #: Spelling -> the one that stands for it. Applied in this order.
 SPELLINGS = [

@@ -10,7 +10,7 @@ Targets are by default each value's share of tokens to the power `temper`, scale
 
 Cases: a null source or language is a value of its own (''), and so is a null text's topic (`none`); a document without
 a word has weight 0, and its cell's probability if the cell has tokens, else 0; a null id hashes as the empty text;
-repeated rows are kept or dropped alike; an empty table gives no rows; values without a target share are not kept.
+repeated rows are kept or dropped alike; columns of the names that are added are replaced; an empty table gives no rows; values without a target share are not kept.
 """
 
 from __future__ import annotations
@@ -87,7 +87,7 @@ def chance(key: str) -> Column:
 
 def mixed(docs: DataFrame, p: MixParams = MixParams(), topic: Column | None = None, targets: dict[str, DataFrame] | None = None, key: str = "doc_id") -> DataFrame:
     """`docs` with m_source, m_lang, m_topic, m_tokens, m_p and m_kept."""
-    rows = featured(docs, topic)
+    rows = featured(docs.drop("m_p", "m_kept"), topic)
     cells = probabilities(rows, p, targets).select(*DIMENSIONS, F.col("p").alias("m_p"))
     out = rows.join(cells, list(DIMENSIONS), "left").withColumn("m_p", F.coalesce("m_p", F.lit(0.0)))
     return out.withColumn("m_kept", chance(key) < F.col("m_p"))

@@ -414,17 +414,20 @@ def vocabulary(spark: SparkSession, p: PieceParams):
 
 
 def encode(docs: DataFrame, p: PieceParams = PieceParams(), keep: list[str] | None = None, text: str = "text", shared=None) -> DataFrame:
-    """Columns `keep` (default: all but the text), ids array<int>, and decoded_ok: whether decoding gives the text back."""
+    """Columns `keep` (default: all but the text), ids array<int>, and decoded_ok: whether decoding gives the text back.
+
+    Columns of these two names are replaced.
+    """
     shared = shared or vocabulary(docs.sparkSession, p)
-    keep = [c for c in docs.columns if c != text] if keep is None else keep
-    rows = docs.select(*keep, F.col(text).alias("_text"))
+    keep = [c for c in docs.columns if c not in (text, "ids", "decoded_ok")] if keep is None else keep
+    rows = docs.select(*keep, F.col(text).alias("_piece_text"))
     types = dict(rows.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + (", " if keep else "")
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(shared, p.memory)
         for b in batches:
-            column = b.column("_text")
+            column = b.column("_piece_text")
             for lo in range(0, len(column), 256):
                 texts = column.slice(lo, 256).to_pylist()
                 enc.learn([t for t in texts if t])
@@ -432,52 +435,52 @@ def encode(docs: DataFrame, p: PieceParams = PieceParams(), keep: list[str] | No
                 ok = [None if t is None else enc.decode(i) == t.replace(MARK, " ") for t, i in zip(texts, ids, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, 256) for c in keep), _list(ids), pa.array(ok, pa.bool_())], [*keep, "ids", "decoded_ok"])
 
-    is_long = F.length("_text") >= p.chunk
+    is_long = F.length("_piece_text") >= p.chunk
     few = rows.filter(~F.coalesce(is_long, F.lit(False))).mapInArrow(short, schema + "ids array<int>, decoded_ok boolean")
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for name, t in zip(pdf["name"], pdf["_text"], strict=True):
+            for name, t in zip(pdf["_piece_name"], pdf["_piece_text"], strict=True):
                 marked = MARK + t.replace(" ", MARK)
                 at = [*cuts(marked, p.chunk), len(marked)]
                 for c, (s, e) in enumerate(zip(at[:-1], at[1:], strict=True)):
-                    yield pd.DataFrame({"name": [name], "c": [c], "before": [marked[max(0, s - 16) : s]], "part": [marked[s:e]], "after": [marked[e : e + 16]]})
+                    yield pd.DataFrame({"_piece_name": [name], "c": [c], "before": [marked[max(0, s - 16) : s]], "part": [marked[s:e]], "after": [marked[e : e + 16]]})
 
     def matrix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = _encoder(shared, p.memory)
         for pdf in batches:
             got = [enc.transfer(x, y, z) for x, y, z in zip(pdf["before"], pdf["part"], pdf["after"], strict=True)]
-            yield pd.DataFrame({"name": pdf["name"], "c": pdf["c"], "m": [[(*x, *y) for x, y in g] for g in got]})
+            yield pd.DataFrame({"_piece_name": pdf["_piece_name"], "c": pdf["c"], "m": [[(*x, *y) for x, y in g] for g in got]})
 
     def combine(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("c")
         ends = scan([[((r["s"], r["k"]), (r["t"], r["j"])) for r in m] for m in pdf["m"]])
-        return pd.DataFrame({"name": pdf["name"], "c": pdf["c"], "s": [x[0] for x, _ in ends], "k": [x[1] for x, _ in ends], "t": [y[0] for _, y in ends], "j": [y[1] for _, y in ends]})
+        return pd.DataFrame({"_piece_name": pdf["_piece_name"], "c": pdf["c"], "s": [x[0] for x, _ in ends], "k": [x[1] for x, _ in ends], "t": [y[0] for _, y in ends], "j": [y[1] for _, y in ends]})
 
     def back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = _encoder(shared, p.memory)
         for pdf in batches:
             got = [enc.traced(r.part, r.after, (r.s, r.k), (r.t, r.j)) for r in pdf.itertuples()]
-            yield pd.DataFrame({"name": pdf["name"], "c": pdf["c"], "part_ids": got})
+            yield pd.DataFrame({"_piece_name": pdf["_piece_name"], "c": pdf["c"], "part_ids": got})
 
-    name = F.sha2("_text", 256).alias("name")
+    name = F.sha2("_piece_text", 256).alias("_piece_name")
     long_rows = rows.filter(is_long)
-    chunks = long_rows.select(name, "_text").dropDuplicates(["name"]).mapInPandas(split, "name string, c int, before string, part string, after string")
-    chunks = chunks.repartition("name", "c")
-    matrices = chunks.mapInPandas(matrix, "name string, c int, m array<struct<s:string,k:int,t:string,j:int>>")
-    ends = matrices.groupBy("name").applyInPandas(combine, "name string, c int, s string, k int, t string, j int")
-    traced = chunks.join(ends, ["name", "c"]).mapInPandas(back, "name string, c int, part_ids array<int>")
+    chunks = long_rows.select(name, "_piece_text").dropDuplicates(["_piece_name"]).mapInPandas(split, "_piece_name string, c int, before string, part string, after string")
+    chunks = chunks.repartition("_piece_name", "c")
+    matrices = chunks.mapInPandas(matrix, "_piece_name string, c int, m array<struct<s:string,k:int,t:string,j:int>>")
+    ends = matrices.groupBy("_piece_name").applyInPandas(combine, "_piece_name string, c int, s string, k int, t string, j int")
+    traced = chunks.join(ends, ["_piece_name", "c"]).mapInPandas(back, "_piece_name string, c int, part_ids array<int>")
     ids = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("c", "part_ids"))), lambda x: x["part_ids"]))
-    whole = traced.groupBy("name").agg(ids.alias("ids"))
-    joined = long_rows.withColumn("name", F.sha2("_text", 256)).join(whole, "name")
+    whole = traced.groupBy("_piece_name").agg(ids.alias("ids"))
+    joined = long_rows.withColumn("_piece_name", F.sha2("_piece_text", 256)).join(whole, "_piece_name")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(shared, p.memory)
         for b in batches:
-            ok = [enc.decode(np.asarray(i.values)) == t.as_py().replace(MARK, " ") for i, t in zip(b.column("ids"), b.column("_text"), strict=True)]
+            ok = [enc.decode(np.asarray(i.values)) == t.as_py().replace(MARK, " ") for i, t in zip(b.column("ids"), b.column("_piece_text"), strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), b.column("ids"), pa.array(ok, pa.bool_())], [*keep, "ids", "decoded_ok"])
 
-    return few.union(joined.select(*keep, "ids", "_text").mapInArrow(check, schema + "ids array<int>, decoded_ok boolean"))
+    return few.union(joined.select(*keep, "ids", "_piece_text").mapInArrow(check, schema + "ids array<int>, decoded_ok boolean"))
 
 
 def decode(rows: DataFrame, p: PieceParams = PieceParams(), ids: str = "ids", out: str = "text", shared=None) -> DataFrame:

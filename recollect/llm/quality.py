@@ -177,4 +177,4 @@ def score(docs: DataFrame, model: dict, keep: list[str], p: QualityParams = Qual
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(sigmoid(np.concatenate(got) if got else np.zeros(0)))], [*keep, out])
 
     rows = docs.select(*keep) if text in keep else docs.select(*keep, F.col("text").alias(text))
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c in keep) + f", `{out}` double")
+    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes if c in keep), f"`{out}` double"]))

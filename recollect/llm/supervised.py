@@ -65,7 +65,7 @@ def fit_in_task(features: DataFrame, fit: Callable[[pa.Table], bytes]) -> dict[s
         yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
     rows = features.repartition(1).mapInArrow(run, "model binary").collect()
-    return unpack(bytes(rows[0]["model"]))
+    return unpack(bytes(rows[0]["model"]) if rows else fit(None))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

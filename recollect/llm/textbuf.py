@@ -66,9 +66,14 @@ def doc_of(offs: np.ndarray) -> np.ndarray:
 
 
 def row_sums(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Sums of each row's elements, 0 for empty rows; values may have several columns."""
-    total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
-    return total[offs[1:]] - total[offs[:-1]]
+    """Sums of each row's elements, 0 for empty rows; values may have several columns. `offs` covers all of them.
+
+    Each row is summed on its own, so that equal rows have equal sums wherever they stand.
+    """
+    out, some = np.zeros((len(offs) - 1, *values.shape[1:])), offs[1:] > offs[:-1]
+    if some.any():
+        out[some] = np.add.reduceat(values, offs[:-1][some], axis=0, dtype=np.float64)
+    return out
 
 
 def mix64(h: np.ndarray) -> np.ndarray:

@@ -96,7 +96,7 @@ def longest_rule(pages: DataFrame, rules: DataFrame, p: UrlParams = UrlParams())
     as_struct = lambda host, path, verdict: F.struct(size(host, path).alias("n"), F.length(host).alias("h"), F.concat(host, path).alias("rule"), verdict.alias("verdict"))
     if len(got) <= p.inline_rules:
         each = [F.when((F.col("host") == r.host) | F.col("host").endswith("." + r.host), F.when(F.col("path").startswith(r.path), as_struct(F.lit(r.host), F.lit(r.path), F.lit(r.verdict)))) for r in sorted(got, key=lambda r: (-len(r.host) - len(r.path), -len(r.host), r.host + r.path, r.verdict))]
-        return pages.withColumn("_rule", F.coalesce(*each) if each else F.lit(None))
+        return pages.withColumn("_rule", F.coalesce(*each) if each else F.lit(None).cast("struct<n:int,h:int,rule:string,verdict:string>"))
     parts = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     hosts = pages.select("host", "path").distinct()
