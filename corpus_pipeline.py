@@ -20,8 +20,8 @@ from recollect.llm.supervised import crc_mod
 from recollect.llm.tables import small_batches, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A document goes if no language has this share of it.
-MIN_LANGUAGE_SHARE = 0.4
+#: A document of at least so many characters goes if no language has this share of it; shorter ones can't be told.
+MIN_LANGUAGE_SHARE, SHORT = 0.4, 200
 #: A document goes if it is at least this likely to be toxic.
 MAX_TOXIC = 0.3
 
@@ -40,7 +40,7 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def work(rows: DataFrame) -> DataFrame:
         model = language.train(rows, crc_mod("doc_id", 3) != 1)
         judged = language.mixtures(rows, model, rows.columns, out=("pred_", "share_", "all_"))
-        return judged.filter((F.col("pred_") != "und") & (F.col("share_") >= MIN_LANGUAGE_SHARE)).select(rows.columns)
+        return judged.filter((F.col("pred_") != "und") & ((F.col("share_") >= MIN_LANGUAGE_SHARE) | (F.length("text") < SHORT))).select(rows.columns)
 
     return _shielded(docs, work)
 
