@@ -131,7 +131,7 @@ def j9_rederivation(v: Views) -> DataFrame:
     return sets.rederived(sessions, members, links, similarity=0.3).withColumn("similarity", rounded(F.col("similarity")))
 
 
-STREAMS = """WITH s AS (SELECT 'w' || CAST(o_custkey % 40 AS VARCHAR) AS id, list_distinct(list('e' || CAST(o_custkey % 7 AS VARCHAR))) AS entities, list_distinct(list('s' || CAST(o_totalprice::BIGINT % 50 AS VARCHAR))) AS sessions FROM orders GROUP BY 1),
+STREAMS = """WITH s AS (SELECT 'w' || CAST(o_custkey % 40 AS VARCHAR) AS id, list_distinct(list('e' || CAST(o_custkey % 7 AS VARCHAR))) AS entities, list_distinct(list('s' || CAST(floor(o_totalprice)::BIGINT % 50 AS VARCHAR))) AS sessions FROM orders GROUP BY 1),
 t AS (SELECT *, 'stream ' || id AS label FROM s)"""
 
 
@@ -139,7 +139,7 @@ t AS (SELECT *, 'stream ' || id AS label FROM s)"""
  + 1 - levenshtein(a.label, b.label) / greatest(length(a.label), length(b.label))) / 3 AS x FROM t a JOIN t b ON a.id < b.id) WHERE x >= 0.6""")
 def j10_merge_suggestions(v: Views) -> DataFrame:
     key = lambda c: c.cast("string")
-    rows = v.orders.groupBy(F.concat(F.lit("w"), key(F.col("o_custkey") % 40)).alias("id")).agg(F.collect_set(F.concat(F.lit("e"), key(F.col("o_custkey") % 7))).alias("entities"), F.collect_set(F.concat(F.lit("s"), key(F.round("o_totalprice").cast("long") % 50))).alias("sessions"))
+    rows = v.orders.groupBy(F.concat(F.lit("w"), key(F.col("o_custkey") % 40)).alias("id")).agg(F.collect_set(F.concat(F.lit("e"), key(F.col("o_custkey") % 7))).alias("entities"), F.collect_set(F.concat(F.lit("s"), key(F.floor("o_totalprice").cast("long") % 50))).alias("sessions"))
     return sets.merge_suggestions(rows.withColumn("label", F.concat(F.lit("stream "), "id")), 0.6).withColumn("score", rounded(F.col("score")))
 
 
