@@ -22,6 +22,7 @@ space mark U+2581 as a space, as the vocabulary can't tell them apart.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,7 +42,7 @@ class PieceParams:
     model: str = DEFAULT_MODEL
     chunk: int = 32768
     #: Words and pairs that a worker remembers, each.
-    memory: int = 250_000
+    memory: int = 400_000
 
 
 def load_vocabulary(path: str) -> list[tuple[str, float, int]]:
@@ -73,9 +74,10 @@ class Encoder:
         #: Two code points between which some piece goes on; between any others every path ends a piece.
         self.inside = {p[i : i + 2] for p in self.whole for i in range(len(p) - 1)}
         self.parts: dict[str, list[str]] = {}
-        self.reach: dict[str, int] = {}  # the longest of them by its first two code points
+        self.reach: dict[str, int] = {}  # the longest of them by its first three code points
         for p in self.whole:
-            self.reach[p[:2]] = max(self.reach.get(p[:2], 1), len(p))
+            if len(p) > 2:
+                self.reach[p[:3]] = max(self.reach.get(p[:3], 2), len(p))
         self.runs = [p for p in self.ids if set(p) == {MARK}]
         self.run = max(map(len, self.runs), default=0)
 
@@ -184,7 +186,7 @@ class Encoder:
             if got is None:
                 if len(parts) > self.memory:
                     parts.clear()
-                got = parts[part] = np.array(self.to_ids(self.path(part)), np.int32).tobytes()
+                got = parts[part] = array("i", self.to_ids(self.path(part))).tobytes()
             out.append(got)
         return out[0] if len(out) == 1 else b"".join(out)
 
@@ -193,7 +195,7 @@ class Encoder:
         one piece can end there."""
         n, pos, out, closed = len(text), 0, [], set()
         whole, reach, pairs = self.whole, self.reach, self.pairs
-        end, before = min(n, reach.get(text[:2], 1)), None
+        end, before = min(n, reach.get(text[:3], 2)), None
         while pos < n:
             while end > pos:
                 if end not in closed:
@@ -213,7 +215,7 @@ class Encoder:
             if end > pos:
                 out.append(text[pos:end])
                 before, pos = out[-1], end
-                end = min(n, pos + reach.get(text[pos : pos + 2], 1))
+                end = min(n, pos + reach.get(text[pos : pos + 3], 2))
             else:
                 closed.add(pos)
                 end = pos - 1
@@ -237,26 +239,24 @@ class Encoder:
         rest = self.word(text[n - 1 :])
         return [*self.spaced(n), *rest[1:]] if rest[0] == MARK else [*self.spaced(n - 1), *rest]
 
-    def learn(self, texts: list[str]) -> None:
-        """Encodes the words of many texts that aren't known yet, each once. What isn't in use is forgotten when memory is full."""
-        words = set().union(*(t.split(" ") for t in texts))
+    def learn(self, words: set[str]) -> None:
+        """Encodes words that aren't known yet, each once. What isn't in use is forgotten when memory is full."""
         if len(self.words) + len(words) > self.memory:
             self.words = {w: ids for w in words if (ids := self.words.get(w)) is not None}
         known = self.words
         for w in words.difference(known):
             known[w] = self.word_ids(MARK + w) if w else b""
 
+    def encoded(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        """Ids of texts that are one chunk each. Texts without two spaces in a row are looked up word by word."""
+        plain = [None if not t or "  " in t or t[0] == " " or t[-1] == " " or MARK in t else t.split(" ") for t in texts]
+        self.learn(set().union(*(w for w in plain if w)))
+        find = self.words.__getitem__
+        return [None if t is None else np.frombuffer(b"".join(map(find, w)), np.int32) if w else self.encode(t) for t, w in zip(texts, plain, strict=True)]
+
     def encode(self, text: str) -> np.ndarray:
-        """Ids of a text that is one chunk. A text without two spaces in a row is looked up word by word."""
-        if not text:
-            return np.zeros(0, np.int32)
-        if "  " in text or text[0] == " " or text[-1] == " " or MARK in text:
-            return np.fromiter(self.ids_of_units(MARK + text.replace(" ", MARK)), np.int32)
-        known, words = self.words, text.split(" ")
-        if not known.keys() >= set(words):
-            self.learn([text])
-            known = self.words
-        return np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32)
+        """Ids of any text that is one chunk."""
+        return np.fromiter(self.ids_of_units(MARK + text.replace(" ", MARK)) if text else (), np.int32)
 
     def ids_of_units(self, marked: str) -> Iterator[int]:
         known = self.units
@@ -430,8 +430,7 @@ def encode(docs: DataFrame, p: PieceParams = PieceParams(), keep: list[str] | No
             column = b.column("_piece_text")
             for lo in range(0, len(column), 256):
                 texts = column.slice(lo, 256).to_pylist()
-                enc.learn([t for t in texts if t])
-                ids = [None if t is None else enc.encode(t) for t in texts]
+                ids = enc.encoded(texts)
                 ok = [None if t is None else enc.decode(i) == t.replace(MARK, " ") for t, i in zip(texts, ids, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, 256) for c in keep), _list(ids), pa.array(ok, pa.bool_())], [*keep, "ids", "decoded_ok"])
 
