@@ -34,17 +34,37 @@ def shared_pairs(members: DataFrame, key: str, member: str, most: int | None = N
     return a.join(b, member).filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
 
 
+def similar_sets(sets: DataFrame, key: str, items: str, similarity: float) -> DataFrame:
+    """(a, b, similarity) with a < b of keys whose sets are similar enough, exactly.
+
+    Prefix filter: with items in a global order from the rarest on, sets of n items at similarity t share one of their
+    first n - ceil(t n) + 1 items. Only those are joined, so that frequent items make no pairs.
+    """
+    rows = sets.select(key, F.array_distinct(items).alias("s")).filter(F.size("s") > 0)
+    each = rows.select(key, F.size("s").alias("n"), F.explode("s").alias("item"))
+    often = each.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
+    order = Window.partitionBy(key).orderBy("df", "item")
+    first = each.join(often, "item").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= F.col("n") - F.ceil(similarity * F.col("n")) + 1)
+    a, b = first.select(F.col(key).alias("a"), "item", F.col("n").alias("na")), first.select(F.col(key).alias("b"), "item", F.col("n").alias("nb"))
+    pairs = a.join(b, "item").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb"))).select("a", "b").distinct()
+    s = lambda n: rows.select(F.col(key).alias(n), F.col("s").alias(f"s{n}"))
+    both = pairs.join(s("a"), "a").join(s("b"), "b")
+    return both.select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("similarity")).filter(F.col("similarity") >= similarity)
+
+
 def rederived(sessions: DataFrame, members: DataFrame, links: DataFrame, gap_days: int = 7, similarity: float = 0.5) -> DataFrame:
-    """(a, b, similarity): sessions that share a member, aren't linked, lie apart, and have similar decisions.
+    """(a, b, similarity): sessions with similar decisions that share a member, aren't linked, and lie apart.
 
-    Sessions have id, started_at and decisions (an array of tokens).
+    Sessions have id, started_at and decisions (an array of tokens). Similar decisions come first, as they are rare;
+    members, of which some are in a large share of sessions, only test pairs that are known.
     """
-    pairs = shared_pairs(members, "id", "member").select("a", "b")
+    pairs = similar_sets(sessions, "id", "decisions", similarity)
     both = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = pairs.join(both, ["a", "b"], "left_anti")
-    s = lambda n: sessions.select(F.col("id").alias(n), F.col("started_at").alias(f"t{n}"), F.col("decisions").alias(f"d{n}"))
-    far = pairs.join(s("a"), "a").join(s("b"), "b").filter(F.abs(F.unix_timestamp(F.col("ta").cast("timestamp")) - F.unix_timestamp(F.col("tb").cast("timestamp"))) > gap_days * 86400)
-    return far.select("a", "b", jaccard(F.col("da"), F.col("db")).alias("similarity")).filter(F.col("similarity") >= similarity)
+    own = members.groupBy("id").agg(F.collect_set("member").alias("m"))
+    s = lambda n: sessions.join(own, "id").select(F.col("id").alias(n), F.col("started_at").cast("timestamp").alias(f"t{n}"), F.col("m").alias(f"m{n}"))
+    far = pairs.join(s("a"), "a").join(s("b"), "b").filter(F.abs(F.unix_timestamp("ta") - F.unix_timestamp("tb")) > gap_days * 86400)
+    return far.filter(F.arrays_overlap("ma", "mb")).select("a", "b", "similarity")
 
 
 def merge_suggestions(streams: DataFrame, min_score: float) -> DataFrame:

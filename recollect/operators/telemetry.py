@@ -151,14 +151,22 @@ def precision_recall(truth: DataFrame, found: DataFrame, case: str, item: str) -
     return per.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))))
 
 
-def nearest_rank(values: DataFrame, column: str, percents: list[int]) -> DataFrame:
-    """(percent, value): the value at floor(p / 100 * (n - 1)) in sorted order, found by rank and not by gathering."""
-    n = values.filter(F.col(column).isNotNull())
-    ranked = n.select(F.col(column).alias("value")).repartitionByRange("value")
-    counts = ranked.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    # Distinct values carry their counts, so that the running sum is over them only.
-    run = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    sums = counts.withColumn("upto", F.sum("n").over(run)).withColumn("all", F.sum("n").over(Window.partitionBy(F.lit(1))))
-    each = sums.withColumn("percent", F.explode(F.array(*(F.lit(p) for p in percents))))
-    want = F.floor(F.col("percent") / 100 * (F.col("all") - 1))
-    return each.filter((F.col("upto") > want) & (F.col("upto") - F.col("n") <= want)).select("percent", "value")
+def nearest_rank(values: DataFrame, column: str, percents: list[int], buckets: int = 256) -> DataFrame:
+    """(percent, value): the value at floor(p / 100 * (n - 1)) in sorted order, exactly.
+
+    Approximate quantiles only cut the values into buckets; the buckets' counts tell which of them hold the ranks that are
+    asked for, and only those are sorted, each in a task of its own and with equal values as one row.
+    """
+    rows = values.filter(F.col(column).isNotNull()).select(F.col(column).alias("value"))
+    edges = rows.agg(F.percentile_approx("value", [k / buckets for k in range(1, buckets)], 10_000).alias("edges")).first()["edges"] or []
+    place = F.size(F.filter(F.array(*(F.lit(e) for e in sorted(set(edges)))) if edges else F.array(), lambda e: e < F.col("value")))
+    counts = rows.groupBy("value").agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", place)
+    sums = {r["bucket"]: r["n"] for r in counts.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # at most `buckets` rows
+    total, before, wanted = sum(sums.values()), 0, []
+    for bucket in sorted(sums):
+        wanted += [(p, bucket, p * (total - 1) // 100 - before) for p in percents if before <= p * (total - 1) // 100 < before + sums[bucket]]
+        before += sums[bucket]
+    want = values.sparkSession.createDataFrame(wanted, "percent int, bucket int, rank long")
+    run = Window.partitionBy("bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    held = counts.join(F.broadcast(want.select("bucket").distinct()), "bucket", "left_semi").withColumn("upto", F.sum("n").over(run))
+    return held.join(F.broadcast(want), "bucket").filter("upto > rank and upto - n <= rank").select("percent", "value")

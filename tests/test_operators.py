@@ -186,3 +186,25 @@ def test_entry_and_contract(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_similar_sets_against_brute_force(spark):
+    import random
+    from itertools import combinations
+
+    r = random.Random(5)
+    made = {k: frozenset(r.sample(range(12), r.randint(0, 7))) for k in range(60)}
+    rows = spark.createDataFrame([(k, [str(x) for x in v]) for k, v in made.items()], "id int, s array<string>")
+    for least in (0.3, 0.5, 0.8):
+        want = {(a, b) for a, b in combinations(made, 2) if made[a] | made[b] and len(made[a] & made[b]) / len(made[a] | made[b]) >= least}
+        assert {(x["a"], x["b"]) for x in sets.similar_sets(rows, "id", "s", least).collect()} == want
+
+
+def test_nearest_rank_against_sorting(spark):
+    import random
+
+    r = random.Random(6)
+    for xs in ([r.choice([1.0, 2.0, 2.0, r.random() * 9]) for _ in range(999)], [4.0], []):
+        rows = spark.createDataFrame([(x,) for x in [*xs, None]], "x double")
+        got = dict(values(telemetry.nearest_rank(rows, "x", [0, 50, 95, 100]), "percent", "value"))
+        assert got == {p: sorted(xs)[p * (len(xs) - 1) // 100] for p in (0, 50, 95, 100) if xs}
