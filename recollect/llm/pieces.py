@@ -263,11 +263,19 @@ class Encoder:
         for u in _UNIT.findall(marked):
             got = known.get(u)
             if got is None:
-                if len(known) > self.memory:
+                if len(known) > self.memory // 8:
                     known.clear()
                 got = known[u] = self.to_ids(self.unit(u))
             yield from got
 
+    def whole_words(self, marked: str) -> np.ndarray:
+        """Ids of a text that begins with a mark, up to where another mark begins a word."""
+        if not marked or MARK * 2 in marked:
+            return np.fromiter(self.ids_of_units(marked), np.int32)
+        words = marked[1:].split(MARK)
+        self.learn(set(words))
+        return np.frombuffer(b"".join(map(self.words.__getitem__, words)), np.int32)
+
     def decode(self, ids: np.ndarray) -> str:
         if not self.high[ids].any():
             text = "".join(map(self.shown.__getitem__, ids.tolist()))
@@ -303,12 +311,12 @@ class Encoder:
         """The finite entries of a chunk's matrix, as (state at its start, state at its end)."""
         both, n = text + right[: self.longest], len(text)
         starts = [("", 0)] if not left else self.states(left, both)
-        hard = [m.start() for m in _HARD.finditer(text)]
+        first, last = hard_marks(text)
         out = []
-        if hard:
-            tail = self.ends(both, hard[-1], n, None)
+        if first is not None:
+            tail = self.ends(both, last, n, None)
             for s in starts:
-                if s[1] <= hard[0] and self.meets(both, s, hard[0]):
+                if s[1] <= first and self.meets(both, s, first):
                     out += [(s, e) for e in tail]
             return out
         for s in starts:
@@ -328,17 +336,17 @@ class Encoder:
             return True
         return self.walk(both, state[1], stop, state[0] or None)[stop - state[1]] is not None
 
-    def traced(self, text: str, right: str, start: tuple, end: tuple) -> list[int]:
+    def traced(self, text: str, right: str, start: tuple, end: tuple) -> np.ndarray:
         """Ids of the pieces that begin in the chunk, between its states."""
         both, n = text + right[: self.longest], len(text)
         if start[1] >= n:
-            return []
-        stop = n + end[1]
-        hard = [m.start() for m in _HARD.finditer(text) if m.start() >= start[1]]
-        if not hard:
-            return self.to_ids(self.between(both, start, stop))
-        head = self.to_ids(self.between(both, start, hard[0])) if hard[0] > start[1] else []
-        return [*head, *self.ids_of_units(both[hard[0] : hard[-1]]), *self.to_ids(self.between(both, ("", hard[-1]), stop))]
+            return np.zeros(0, np.int32)
+        stop, (first, last) = n + end[1], hard_marks(text, start[1])
+        if first is None:
+            return np.array(self.to_ids(self.between(both, start, stop)), np.int32)
+        head = self.to_ids(self.between(both, start, first)) if first > start[1] else []
+        tail = self.to_ids(self.between(both, ("", last), stop))
+        return np.concatenate([np.array(head, np.int32), self.whole_words(both[first:last]), np.array(tail, np.int32)])
 
     def between(self, both: str, start: tuple, stop: int) -> list[str]:
         begin = start[1]
@@ -351,6 +359,17 @@ _UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _HARD = re.compile(f"(?<=[^{MARK}]){MARK}")
 
 
+def hard_marks(text: str, begin: int = 0) -> tuple[int | None, int | None]:
+    """The first and the last mark from `begin` on that comes after another character."""
+    found = _HARD.search(text, begin)
+    if not found:
+        return None, None
+    last = text.rfind(MARK)
+    while text[last - 1] == MARK:
+        last = text.rfind(MARK, 0, last)
+    return found.start(), last
+
+
 def compose(a: list[tuple], b: list[tuple]) -> list[tuple]:
     """The max-plus product of two sparse matrices of weights 0 and minus infinity."""
     rows: dict = {}
