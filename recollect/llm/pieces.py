@@ -180,48 +180,64 @@ class Encoder:
 
     def word_ids(self, text: str) -> bytes:
         """Ids of a word as 32-bit numbers. Its parts are often seen again, in other words."""
-        parts, out = self.parts, []
-        for part in self.split(text):
-            got = parts.get(part)
-            if got is None:
-                if len(parts) > self.memory:
-                    parts.clear()
-                got = parts[part] = array("i", self.to_ids(self.path(part))).tobytes()
-            out.append(got)
-        return out[0] if len(out) == 1 else b"".join(out)
+        inside, parts, out, start = self.inside, self.parts, b"", 0
+        for i in range(1, len(text) + 1):
+            if text[i - 1 : i + 1] not in inside:  # at the end one code point is left, that is in no pair
+                part = text[start:i]
+                got = parts.get(part)
+                if got is None:
+                    if len(parts) > self.memory:
+                        parts.clear()
+                    got = parts[part] = array("i", self.path_ids(part)).tobytes()
+                out += got
+                start = i
+        return out
 
     def path(self, text: str) -> list[str]:
-        """The path is searched from the longest piece on, and a position from which it can't go on is closed, as only
-        one piece can end there."""
-        n, pos, out, closed = len(text), 0, [], set()
+        return [self.pieces[i] if i >= 0 else chr(-i - 1) for i in self.path_of(text)]
+
+    def path_ids(self, text: str) -> list[int]:
+        ids = self.path_of(text)
+        if min(ids) >= 0:
+            return ids
+        return [x for i in ids for x in ((i,) if i >= 0 else (self.bytes[b] for b in chr(-i - 1).encode("utf-8", "replace")))]
+
+    def path_of(self, text: str) -> list[int]:
+        """Ids on the only path of weight 0; a character c without a piece is -1 - c. The path is searched from the longest
+        piece on, and a position from which it can't go on is closed, as only one piece can end there."""
         whole, reach, pairs = self.whole, self.reach, self.pairs
-        end, before = min(n, reach.get(text[:3], 2)), None
+        n, pos, before, ids, starts, closed = len(text), 0, -1, [], [], ()
+        end = min(n, reach.get(text[:3], 2))
         while pos < n:
             while end > pos:
                 if end not in closed:
-                    piece = text[pos:end]
-                    y = whole.get(piece)
-                    if y is None:
-                        if end == pos + 1:
-                            break
-                    else:
-                        x = whole.get(before)
-                        if x is None:
+                    y = whole.get(text[pos:end])
+                    if y is not None:
+                        if before < 0:
                             break
-                        ok = pairs.get(x << 24 | y)
-                        if self.compatible(before, piece) if ok is None else ok:
+                        ok = pairs.get(before << 24 | y)
+                        if ok is None:
+                            ok = self.compatible(self.pieces[before], self.pieces[y])
+                        if ok:
                             break
+                    elif end == pos + 1:
+                        y = -1 - ord(text[pos])
+                        break
                 end -= 1
             if end > pos:
-                out.append(text[pos:end])
-                before, pos = out[-1], end
-                end = min(n, pos + reach.get(text[pos : pos + 3], 2))
+                ids.append(y)
+                starts.append(pos)
+                before, pos = y, end
+                end = pos + reach.get(text[pos : pos + 3], 2)
+                if end > n:
+                    end = n
             else:
-                closed.add(pos)
+                closed = {pos, *closed}
                 end = pos - 1
-                pos -= len(out.pop())
-                before = out[-1] if out else None
-        return out
+                pos = starts.pop()
+                ids.pop()
+                before = ids[-1] if ids else -1
+        return ids
 
     def spaced(self, n: int) -> list[str]:
         """The pieces of n marks in a row."""
