@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import written
+
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -500,7 +502,8 @@ def encode(docs: DataFrame, p: PieceParams = PieceParams(), keep: list[str] | No
     name = F.sha2("_piece_text", 256).alias("_piece_name")
     long_rows = rows.filter(is_long)
     chunks = long_rows.select(name, "_piece_text").dropDuplicates(["_piece_name"]).mapInPandas(split, "_piece_name string, c int, before string, part string, after string")
-    chunks = chunks.repartition("_piece_name", "c")
+    # Written once, as matrices and traces both read them, and dealt out by chunk and not by document.
+    chunks = written(chunks.repartition("_piece_name", "c"), "chunks")
     matrices = chunks.mapInPandas(matrix, "_piece_name string, c int, m array<struct<s:string,k:int,t:string,j:int>>")
     ends = matrices.groupBy("_piece_name").applyInPandas(combine, "_piece_name string, c int, s string, k int, t string, j int")
     traced = chunks.join(ends, ["_piece_name", "c"]).mapInPandas(back, "_piece_name string, c int, part_ids array<int>")
