@@ -44,7 +44,7 @@ class PieceParams:
     model: str = DEFAULT_MODEL
     chunk: int = 32768
     #: Words and pairs that a worker remembers, each.
-    memory: int = 400_000
+    memory: int = 300_000
 
 
 def load_vocabulary(path: str) -> list[tuple[str, float, int]]:
