@@ -429,15 +429,14 @@ def cuts(marked: str, chunk: int) -> list[int]:
     return out
 
 
-_encoders: dict[int, Encoder] = {}
+_held: list[tuple[list, Encoder]] = []
 
 
 def _encoder(shared, memory: int) -> Encoder:
-    """One for each worker and vocabulary, so that what it remembers serves later tasks."""
-    if shared.id not in _encoders if hasattr(shared, "id") else True:
-        _encoders.clear()
-        _encoders[getattr(shared, "id", 0)] = Encoder(shared.value, memory)
-    return _encoders[getattr(shared, "id", 0)]
+    """One for each worker and vocabulary, so that what it remembers serves later tasks. A worker has one copy of a broadcast."""
+    if not _held or _held[0][0] is not shared.value:
+        _held[:] = [(shared.value, Encoder(shared.value, memory))]
+    return _held[0][1]
 
 
 def _list(arrays: list[np.ndarray | None]) -> pa.Array:
