@@ -3,16 +3,16 @@
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents. Models are learned from what the stage gets.
 
-Cases: null texts have no language and go in the first stage, as do texts without a letter; null ids are kept as
-documents of their own; of rows with a repeated id one stays; an empty table stays empty; extra columns pass through
-whatever their names.
+Cases: null texts have no language and go in the first stage, as do texts without a letter; rows with a null or repeated
+id are documents of their own, of which near-duplicates go like any other's; an empty table stays empty; extra columns
+pass through whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.llm import language, mixing, neardup, pieces, toxicity
@@ -56,13 +56,15 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group."""
+    """Keeps one row of each group: that with the smallest id, a row without an id only if none has one."""
 
     def work(rows: DataFrame) -> DataFrame:
-        kept = neardup.near_duplicates(rows.select("doc_id", "text")).filter("kept and doc_id is not null").select("doc_id").distinct()
-        one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-        stay = rows.join(kept, "doc_id", "left_semi").withColumn("n_", F.row_number().over(one)).filter("n_ = 1")
-        return stay.select(rows.columns).union(rows.filter("doc_id is null"))
+        # Rows are the nodes, as ids may be null or repeated; a number of their own is fixed by writing it.
+        keyed = written(rows.withColumn("row_", F.monotonically_increasing_id()).withColumn("hash_", F.xxhash64("text")), "rows")
+        groups = neardup.near_duplicates(keyed.select("row_", "text"), key="row_").select(F.col("doc_id").alias("row_"), "component_id")
+        first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash_", "row_")).alias("first_")
+        kept = keyed.select("row_", "doc_id", "hash_").join(groups, "row_").groupBy("component_id").agg(first).select("first_.row_")
+        return keyed.join(kept, "row_", "left_semi").select(rows.columns)
 
     return _shielded(docs, work)
 

@@ -71,3 +71,12 @@ def test_queries_have_the_contract_s_columns(spark):
     }
     for name, columns in want.items():
         assert queries.QUERIES[name](spark, SF).columns[: len(columns)] == columns
+
+
+def test_near_duplicates_are_told_by_texts_not_by_ids(spark):
+    """Unrelated texts with one id all stay; of copies one stays, whatever their ids, and that with an id first."""
+    text = lambda k: " ".join(f"w{k}.{j}" for j in range(30))
+    rows = [(7, text(k)) for k in range(4)] + [(7, text(0)), (None, text(0)), (None, text(9)), (None, text(9)), (None, text(8)), (3, text(1)), (None, text(1) + " more"), (5, text(6)), (5, text(6))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r["text"], r["doc_id"]) for r in c.near_duplicates(spark, docs, SF).collect())
+    assert got == sorted([(text(0), 7), (text(1), 3), (text(2), 7), (text(3), 7), (text(6), 5), (text(8), None), (text(9), None)])
