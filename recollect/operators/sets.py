@@ -52,15 +52,19 @@ def similar_sets(sets: DataFrame, key: str, items: str, similarity: float) -> Da
     return both.select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("similarity")).filter(F.col("similarity") >= similarity)
 
 
-def rederived(sessions: DataFrame, members: DataFrame, links: DataFrame, gap_days: int = 7, similarity: float = 0.5) -> DataFrame:
+def rederived(sessions: DataFrame, members: DataFrame, links: DataFrame | Column, gap_days: int = 7, similarity: float = 0.5) -> DataFrame:
     """(a, b, similarity): sessions with similar decisions that share a member, aren't linked, and lie apart.
 
     Sessions have id, started_at and decisions (an array of tokens). Similar decisions come first, as they are rare;
-    members, of which some are in a large share of sessions, only test pairs that are known.
+    members, of which some are in a large share of sessions, only test pairs that are known. Links are pairs (a, b), or a
+    condition on a and b where a rule says which are linked.
     """
     pairs = similar_sets(sessions, "id", "decisions", similarity)
-    both = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = pairs.join(both, ["a", "b"], "left_anti")
+    if isinstance(links, Column):
+        pairs = pairs.filter(~links)
+    else:
+        both = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = pairs.join(both, ["a", "b"], "left_anti")
     own = members.groupBy("id").agg(F.collect_set("member").alias("m"))
     s = lambda n: sessions.join(own, "id").select(F.col("id").alias(n), F.col("started_at").cast("timestamp").alias(f"t{n}"), F.col("m").alias(f"m{n}"))
     far = pairs.join(s("a"), "a").join(s("b"), "b").filter(F.abs(F.unix_timestamp("ta") - F.unix_timestamp("tb")) > gap_days * 86400)

@@ -125,10 +125,7 @@ def j9_rederivation(v: Views) -> DataFrame:
     part = v.lineitem.filter("l_orderkey % 20 = 3")
     sessions = part.groupBy(F.col("l_suppkey").alias("id")).agg(F.min("l_shipdate").alias("started_at"), F.collect_set(F.concat("l_returnflag", (F.col("l_partkey") % 30).cast("string"))).alias("decisions"))
     members = part.select(F.col("l_suppkey").alias("id"), (F.col("l_partkey") % 30).alias("member"))
-    ids = v.supplier.select(F.col("s_suppkey").alias("a"))
-    rest = F.pmod(7 - F.col("a") % 7, F.lit(7))
-    links = ids.withColumn("b", F.explode(F.sequence(rest, F.lit(20_000), F.lit(7)))) if v.supplier.count() <= 1000 else ids.withColumn("b", F.lit(-1))
-    return sets.rederived(sessions, members, links, similarity=0.3).withColumn("similarity", rounded(F.col("similarity")))
+    return sets.rederived(sessions, members, (F.col("a") + F.col("b")) % 7 == 0, similarity=0.3).withColumn("similarity", rounded(F.col("similarity")))
 
 
 STREAMS = """WITH s AS (SELECT 'w' || CAST(o_custkey % 40 AS VARCHAR) AS id, list_distinct(list('e' || CAST(o_custkey % 7 AS VARCHAR))) AS entities, list_distinct(list('s' || CAST(floor(o_totalprice)::BIGINT % 50 AS VARCHAR))) AS sessions FROM orders GROUP BY 1),

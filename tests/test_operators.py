@@ -208,3 +208,21 @@ def test_nearest_rank_against_sorting(spark):
         rows = spark.createDataFrame([(x,) for x in [*xs, None]], "x double")
         got = dict(values(telemetry.nearest_rank(rows, "x", [0, 50, 95, 100]), "percent", "value"))
         assert got == {p: sorted(xs)[p * (len(xs) - 1) // 100] for p in (0, 50, 95, 100) if xs}
+
+
+def test_rederived_pairs_leave_out_linked_ones_at_any_size(spark, tmp_path):
+    """More than 1000 suppliers, some numbered beyond 20,000."""
+    from datetime import datetime, timedelta
+
+    from recollect import catalog
+
+    ids = [*range(1, 8), *range(30_000, 30_008)]
+    rows = [(20 * k + 3, i, 1 + k, "A" if k else flag, datetime(1998, 1, 1) + timedelta(days=10 * n)) for n, (i, flag) in enumerate(zip(ids, "AR" * 8)) for k in range(3)]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_partkey long, l_returnflag string, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(1, 1202).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    own = {i: {f"{f}{p}" for _, j, p, f, _ in rows if j == i} for i in ids}
+    want = [(a, b) for a in ids for b in ids if a < b and (a + b) % 7 and len(own[a] & own[b]) / len(own[a] | own[b]) >= 0.3]
+    assert values(catalog.QUERIES["j9_rederivation"](spark, str(tmp_path)), "a", "b") == want
+    sessions = spark.createDataFrame([(1, datetime(2020, 1, 1), ["x"]), (2, datetime(2021, 1, 1), ["x"]), (3, datetime(2022, 1, 1), ["x"])], "id long, started_at timestamp, decisions array<string>")
+    members = spark.createDataFrame([(1, "m"), (2, "m"), (3, "m")], "id long, member string")
+    assert values(sets.rederived(sessions, members, spark.createDataFrame([(3, 1)], "a long, b long")), "a", "b") == [(1, 2), (2, 3)]
