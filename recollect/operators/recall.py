@@ -17,6 +17,8 @@ K1, B, MIN_IDF = 1.2, 0.75, 1e-6
 WEIGHTS = {"label": 10.0, "summary": 4.0, "body": 1.0}
 #: Rows up to which the queries' side counts as small enough to copy to all executors.
 SMALL = 200_000
+#: Query vectors that a task of exact search holds at once.
+QUERY_BLOCK = 5000
 
 
 def small(df: DataFrame, limit: int = SMALL) -> DataFrame:
@@ -71,12 +73,11 @@ def top(scored: DataFrame, query: str, key: str, k: int, score: str = "score") -
 def nearest(vectors: DataFrame, queries: DataFrame, key: str, query: str, k: int, vector: str = "embedding", group: str | None = None) -> DataFrame:
     """(query, key or group, distance, rank): exact, filters first, the least distance of each group.
 
-    The queries must be few: they are copied to all executors after their number was checked.
+    Few queries are copied to all executors; more are dealt to blocks, and each task pairs a block with a part of the
+    vectors.
     """
-    limit = 5000
-    if queries.limit(limit + 1).count() > limit:
-        raise ValueError(f"exact search takes {limit} queries at a time")
-    asked = F.broadcast(queries.select(query, F.col(vector).alias("_q")))
+    asked, n = queries.select(query, F.col(vector).alias("_q")), queries.count()
+    asked = F.broadcast(asked) if n <= QUERY_BLOCK else asked.repartition(-(-n // QUERY_BLOCK))
     each = vectors.crossJoin(asked).select(query, F.col(group or key).alias(group or key), s.l2(F.col(vector), F.col("_q")).alias("distance"))
     if group:
         each = each.groupBy(query, group).agg(F.min("distance").alias("distance"))

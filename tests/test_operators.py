@@ -226,3 +226,20 @@ def test_rederived_pairs_leave_out_linked_ones_at_any_size(spark, tmp_path):
     sessions = spark.createDataFrame([(1, datetime(2020, 1, 1), ["x"]), (2, datetime(2021, 1, 1), ["x"]), (3, datetime(2022, 1, 1), ["x"])], "id long, started_at timestamp, decisions array<string>")
     members = spark.createDataFrame([(1, "m"), (2, "m"), (3, "m")], "id long, member string")
     assert values(sets.rederived(sessions, members, spark.createDataFrame([(3, 1)], "a long, b long")), "a", "b") == [(1, 2), (2, 3)]
+
+
+@pytest.mark.parametrize("threshold", ["10485760", "-1"])
+def test_nearest_answers_any_number_of_queries(spark, threshold):
+    import numpy as np
+
+    random = np.random.default_rng(6)
+    near, asked = random.normal(size=(30, 3)), random.normal(size=(5003, 3))
+    frame = lambda x, name: spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], f"{name} long, embedding array<double>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        got = values(recall.nearest(frame(near, "vec_id"), frame(asked, "query_id"), "vec_id", "query_id", 2), "query_id", "rank", "vec_id")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    order = ((asked[:, None] - near[None]) ** 2).sum(2).argsort(1)
+    assert got == [(q, r + 1, int(order[q, r])) for q in range(len(asked)) for r in range(2)]
