@@ -26,13 +26,13 @@ from . import textbuf as tb
 class LanguageParams:
     orders: tuple[int, ...] = (1, 3)
     bits: int = 15
-    #: Languages learned, the most frequent first, and about how many documents and n-grams each is learned from.
-    max_languages: int = 64
+    #: About how many documents each language is learned from.
     docs_per_language: int = 1500
     smoothing: float = 0.1
     #: Likelihoods of one word differ by e^`cap` at most, so that a single odd word can't outweigh the rest.
     cap: float = 12.0
-    max_set: int = 3
+    #: Sizes of the set that are tried for every text; larger ones are for as long as the last one was the best.
+    least_tries: int = 3
     rounds: int = 8
     penalty: float = 1.0
     min_share: float = 0.02
@@ -53,7 +53,7 @@ def _clean(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def train(docs: DataFrame, train_rows, p: LanguageParams = LanguageParams(), lang: str = "lang", key: str = "doc_id") -> dict:
     """{"langs": names, "logp": 2^bits x languages}. `train_rows` is a condition on the rows of `docs`."""
     seen = docs.filter(train_rows & F.col(lang).isNotNull())
-    counts = seen.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(p.max_languages).collect()
+    counts = seen.groupBy(lang).count().collect()
     langs = sorted(r[0] for r in counts)
     if not langs:
         return {"langs": [], "logp": np.zeros((1 << p.bits, 0), np.float32)}
@@ -119,32 +119,39 @@ def _mixtures(data: np.ndarray, offs: np.ndarray, logp: np.ndarray, p: LanguageP
     edges = np.searchsorted(of_word, np.arange(rows + 1))
     n_words = np.diff(edges).astype(np.float64)
 
-    def em(allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def em(allowed: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Proportions and log-likelihoods of the rows `which`."""
+        n = n_words[which]
+        cut = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+        of = np.repeat(np.arange(len(which)), n.astype(np.int64))
+        own = like if len(which) == rows else like[np.isin(of_word, which)]
         pi = allowed / np.maximum(1, allowed.sum(1, keepdims=True))
         for _ in range(p.rounds):
-            got = like * pi[of_word]
+            got = own * pi[of]
             got /= np.maximum(got.sum(1, keepdims=True), 1e-300)
-            pi = tb.row_sums(got, edges) / np.maximum(1, n_words)[:, None]
-        total = tb.row_sums(np.log(np.maximum((like * pi[of_word]).sum(1), 1e-300)), edges)
-        return pi, total + base
+            pi = tb.row_sums(got, cut) / np.maximum(1, n)[:, None]
+        total = tb.row_sums(np.log(np.maximum((own * pi[of]).sum(1), 1e-300)), cut)
+        return pi, total + base[which]
 
-    every, _ = em(np.ones((rows, n_lang)))
+    which = np.arange(rows)
+    every, _ = em(np.ones((rows, n_lang)), which)
     # Order of entry into the set: the language that explains the whole text best, then by proportion.
     alone = tb.row_sums(np.log(like), edges)
     rank = every.copy()
     rank[np.arange(rows), alone.argmax(1)] = 2
     order = np.argsort(-rank, axis=1, kind="stable")
-    pick, top = None, None
-    for size in range(1, min(p.max_set, n_lang) + 1):
-        allowed = np.zeros((rows, n_lang))
-        np.put_along_axis(allowed, order[:, :size], 1, axis=1)
-        pi, total = em(allowed) if size > 1 else (allowed, alone[np.arange(rows), order[:, 0]] + base)
-        value = total - p.penalty * size * np.log(np.maximum(2, n_words))
-        if pick is None:
-            pick, top = pi, value
-        else:
-            more = value > top
-            pick[more], top[more] = pi[more], value[more]
+    pick, top = np.zeros((rows, n_lang)), np.full(rows, -np.inf)
+    for size in range(1, n_lang + 1):
+        allowed = np.zeros((len(which), n_lang))
+        np.put_along_axis(allowed, order[which, :size], 1, axis=1)
+        pi, total = em(allowed, which) if size > 1 else (allowed, alone[which, order[:, 0]] + base)
+        value = total - p.penalty * size * np.log(np.maximum(2, n_words[which]))
+        more = value > top[which]
+        pick[which[more]], top[which[more]] = pi[more], value[more]
+        if size >= p.least_tries:
+            which = which[more]
+        if not len(which):
+            break
     pick[pick < p.min_share] = 0
     pick /= np.maximum(pick.sum(1, keepdims=True), 1e-300)
     out[has] = pick[has]
@@ -154,7 +161,7 @@ def _mixtures(data: np.ndarray, offs: np.ndarray, logp: np.ndarray, p: LanguageP
 def mixtures(docs: DataFrame, model: dict, keep: list[str], p: LanguageParams = LanguageParams(), out: tuple[str, str, str] = ("lang_pred", "score", "proportions")) -> DataFrame:
     """Columns `keep`, and as `out` the language, its proportion, and all proportions of the chosen set as a map."""
     text = "text" if "text" in keep else "_text"
-    shared = docs.sparkSession.sparkContext.broadcast((model["langs"], model["logp"]))  # 2^bits x max_languages numbers a gram order
+    shared = docs.sparkSession.sparkContext.broadcast((model["langs"], model["logp"]))  # 2^bits x languages numbers a gram order
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, logp = shared.value

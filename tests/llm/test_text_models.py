@@ -89,3 +89,17 @@ def test_blocks_cover_rows():
         seen += ["".join(map(chr, chars[s:e])) for s, e in zip(starts[:-1], starts[1:], strict=True)]
         assert hi - lo == len(offs) - 1
     assert seen == [t or "" for t in column.to_pylist()]
+
+
+def test_every_language_is_learned_and_a_text_may_have_many(spark):
+    random = np.random.default_rng(12)
+    own = lambda k: [chr(0x4E00 + 40 * k + j) for j in range(40)]
+    text = lambda k, n: " ".join("".join(random.choice(own(k), 4)) for _ in range(n))
+    rows = [(k, text(k, 60), f"l{k:02}") for k in range(70)]
+    asked = [(100, text(69, 40), None), (101, " ".join(text(k, 30) for k in (1, 2, 3, 65, 66)), None)]
+    docs = spark.createDataFrame(rows + asked, "doc_id long, text string, lang string")
+    model = language.train(docs, F.lit(True))
+    assert model["langs"] == [r[2] for r in rows]
+    got = {r["doc_id"]: r for r in language.mixtures(docs.filter("doc_id >= 100"), model, ["doc_id"]).collect()}
+    assert got[100]["lang_pred"] == "l69"
+    assert set(got[101]["proportions"]) == {"l01", "l02", "l03", "l65", "l66"} and got[101]["score"] == pytest.approx(0.2, abs=0.05)
