@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import dropped, written
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -38,7 +38,8 @@ def components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     edges = written(edges, "edges")
     state = _state(edges)
     while state[0]:
-        edges = written(_small(_large(edges)).filter("u != v").distinct(), "edges")
+        before, edges = edges, written(_small(_large(edges)).filter("u != v").distinct(), "edges")
+        dropped(before)
         now = _state(edges)
         if now == state:
             break

@@ -3,16 +3,22 @@
 1. One pass over the texts gives each document's number of shingles, a 128-bit name of its set, and its band keys.
    Documents with the same set are one from here on (`rep`, the smallest id).
 2. Each bucket's smallest rep is the centre of a star; its members are candidates with the centre only, so that a bucket
-   of n gives n - 1 pairs. Pairs are confirmed on full shingle sets; confirmed links give components.
+   of n gives n - 1 pairs. Pairs whose sizes allow a link are confirmed on full shingle sets; links give components.
 3. A bucket that still spans several components may hide links between members that the centre isn't linked with. Small
-   ones are compared as pairs (at most `small` a row); larger ones in blocks, inside tasks, that return stars of links.
+   ones are compared as pairs (at most `small` a row). In larger ones, members outside the bucket's largest component are
+   compared with all members, in blocks, inside tasks, that return stars of links.
 4. Components over all links.
 
-With 24 bands of 6 rows a pair at similarity 0.85 shares no bucket with probability 1e-5; sets of under six shingles can
-only be linked if they are equal, so they have no band keys. All members of every bucket are handled, whatever its size.
+Texts never go through a shuffle: members of buckets are told on the scan by a bitmap of their ids, of at most
+`bitmap_bits`, and only their sets go on. A bit that several ids share only adds sets that no pair asks for.
 
-Cases: null and empty texts have no shingles and link with nothing; repeated ids are one node, and get a row for each of
-their rows; null ids link with nothing, and have a null component and kept = true. An empty table gives no rows.
+With 24 bands of 6 rows a pair at similarity 0.85 shares no bucket with probability 1e-5; so does one at 0.8 with 32 bands
+of 5 (`LOOSE`). Sets that are too small for two different ones to be linked have no band keys. All members of every bucket
+are handled, whatever its size.
+
+Cases: null and empty texts have no shingles and link with nothing; very long texts are hashed block by block; repeated
+ids are one node, and get a row for each of their rows; null ids link with nothing, and have a null component and kept =
+true; other columns, whatever their names, are left behind. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,8 +34,9 @@ from pyspark.sql import functions as F
 
 from . import shingles as sh
 from . import textbuf as tb
+from .bitmap import id_bitmap, place
 from .components import components
-from .tables import written
+from .tables import dropped, written
 
 
 @dataclass(frozen=True)
@@ -42,6 +49,14 @@ class NearDupParams:
     #: Members up to which a bucket's remaining pairs are joined; beyond it, they are compared in blocks of `block`.
     small: int = 24
     block: int = 128
+    #: Shingles of a block, about; long sets make for blocks of fewer members.
+    block_shingles: int = 500_000
+    #: Bound of the bitmap of candidates (32 MB), which is copied to all executors.
+    bitmap_bits: int = 1 << 28
+
+
+#: Similarity 0.8.
+LOOSE = NearDupParams(percent=80, bands=32, rows=5)
 
 
 def signatures(docs: DataFrame, p: NearDupParams, key: str) -> DataFrame:
@@ -66,34 +81,41 @@ def signatures(docs: DataFrame, p: NearDupParams, key: str) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, p: NearDupParams, key: str) -> DataFrame:
-    """(id, n, s): the sorted shingle sets of the documents in `ids`."""
+    """(id, n, s): the sorted shingle sets of the documents in `ids`, and of a few others whose bit in the bitmap is set."""
+    bitmap, bits = id_bitmap(ids, "id", p.bitmap_bits)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            at = b.column("_place").to_numpy()
+            b = b.filter(pa.array((shared.value[at >> 3] >> (at & 7) & 1).astype(bool)))
             for lo, hi, data, offs in tb.text_blocks(b.column("_text")):
                 found = [x.view(np.int64) for x in sh.shingle_sets(data, offs, p.words)]
                 n = np.array([len(x) for x in found])
                 at = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([b.column("id").slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.ListArray.from_arrays(at, pa.array(np.concatenate(found)))], ["id", "n", "s"])
 
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col("text").alias("_text")).join(ids.select("id"), "id", "left_semi")
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col("text").alias("_text")).filter("id is not null").withColumn("_place", place("id", bits))
     return rows.mapInArrow(run, "id long, n long, s array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, p: NearDupParams) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """The pairs (a, b) whose full sets are similar enough. A member's set goes to its centre's once for each pair."""
     a = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
     b = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
-    near = pairs.join(a, "a").join(b, "b").filter(f"100 * least(na, nb) >= {p.percent} * greatest(na, nb)")
-    both = near.withColumn("both", F.size(F.array_intersect("sa", "sb")))
+    both = pairs.join(b, "b").join(a, "a").withColumn("both", F.size(F.array_intersect("sa", "sb")))
     return both.filter(f"100 * both >= {p.percent} * (na + nb - both)").select("a", "b")
 
 
-def _blocks(pdf: pd.DataFrame, i: int, j: int, percent: int) -> pd.DataFrame:
-    """Links between rows of block i and block j in different components, as a star for each group that they form."""
+def _fits(a: str, b: str, p: NearDupParams) -> str:
+    return f"100 * least({a}, {b}) >= {p.percent} * greatest({a}, {b})"
+
+
+def _blocks(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links between rows that are `asked` and others, in different components, as a star for each group that they form."""
     empty = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-    pdf = pdf.sort_values("id").reset_index(drop=True)
-    left, right = (np.flatnonzero(pdf["mine"].to_numpy() == x) for x in (i, j))
+    pdf = pdf.sort_values(["id", "asked"]).reset_index(drop=True)
+    left, right = (np.flatnonzero(pdf["asked"].to_numpy() == x) for x in (True, False))
     if not len(left) or not len(right):
         return empty
     n, comp = pdf["n"].to_numpy(), pdf["component"].to_numpy()
@@ -125,24 +147,31 @@ def _blocks(pdf: pd.DataFrame, i: int, j: int, percent: int) -> pd.DataFrame:
 
 
 def hidden_links(buckets: DataFrame, comp: DataFrame, sets: DataFrame, p: NearDupParams) -> DataFrame:
-    """Links inside buckets between different components; `buckets` has (key, id), of buckets with several members."""
-    named = buckets.join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo != hi")
-    rows = written(named.join(mixed.select("key", "m"), "key"), "mixed")
-    few = rows.filter(F.col("m") <= p.small).select("key", "id", "component")
-    other = few.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-    pairs = few.join(other, "key").filter("id < b and component != cb").select(F.col("id").alias("a"), "b").distinct()
+    """Links inside buckets between different components; `buckets` has (key, id, n), of buckets with several members."""
+    named = buckets.join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+    shares = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t"))
+    mixed = shares.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("c").alias("most"), F.sum("c").alias("m"), F.sum("t").alias("total")).filter("lo != hi")
+    largest = shares.join(mixed, ["key"]).filter("c = most").groupBy("key", "m", "total").agg(F.min("component").alias("main"))
+    rows = written(named.join(largest, "key"), "mixed")
+    few = rows.filter(F.col("m") <= p.small).select("key", "id", "n", "component")
+    other = few.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    pairs = few.join(other, "key").filter("id < b and component != cb").filter(_fits("n", "nb", p)).select(F.col("id").alias("a"), "b").distinct()
     found = confirmed(pairs, sets, p)
-    many = rows.filter(F.col("m") > p.small).withColumn("blocks", F.ceil(F.col("m") / p.block))
-    many = many.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
-    many = many.select("key", "id", "component", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    many = many.join(sets, "id")
+    # Every member is in a block of members, and those outside the largest component also in a block of askers.
+    many = rows.filter(F.col("m") > p.small).withColumn("blocks", F.greatest(F.ceil(F.col("m") / p.block), F.ceil(F.col("total") / p.block_shingles)).cast("int"))
+    many = many.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    asking = many.filter("component != main").select("key", "id", "component", F.col("mine").alias("i"), F.col("other").alias("j"), F.lit(True).alias("asked"))
+    asked = many.select("key", "id", "component", F.col("other").alias("i"), F.col("mine").alias("j"), F.lit(False).alias("asked"))
+    # Blocks that nobody asks from aren't sent anywhere.
+    asked = asked.join(asking.select("key", "i").distinct(), ["key", "i"], "left_semi")
+    both = asking.unionByName(asked).join(sets, "id")
 
-    def compare(name: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _blocks(pdf, int(name[1]), int(name[2]), p.percent)
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _blocks(pdf, p.percent)
 
-    return found.union(many.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long"))
+    links = written(found.union(both.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")), "links")
+    dropped(rows)
+    return links
 
 
 def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams(), key: str = "doc_id") -> DataFrame:
@@ -151,14 +180,17 @@ def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams(), key: st
     classes = sig.filter("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
     reps = classes.select(F.col("rep").alias("doc_id"), "n", "f1", "f2")
     lone = sig.select("doc_id", "n", "f1", "f2", "keys").filter("size(keys) > 0").join(reps, ["doc_id", "n", "f1", "f2"], "left_semi")
-    rows = lone.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
+    rows = lone.select(F.col("doc_id").alias("id"), "n", F.explode("keys").alias("key"))
     centres = rows.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("most")).filter("centre != most")
-    buckets = written(rows.join(centres.select("key", "centre"), "key").select("key", "id", "centre"), "buckets")
-    sets = written(sets_of(docs, buckets.select("id").distinct(), p, key), "sets")
-    pairs = buckets.filter("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    buckets = written(rows.join(centres.select("key", "centre"), "key").select("key", "id", "n", "centre").distinct(), "buckets")
+    members = buckets.select("id", "n").distinct()
+    sets = written(sets_of(docs, members.select("id").distinct(), p, key), "sets")
+    pairs = buckets.filter("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b"), "n").distinct()
+    pairs = pairs.join(members.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").filter(_fits("n", "na", p)).select("a", "b").distinct()
     links = written(confirmed(pairs, sets, p), "links")
     first = components(links, "a", "b")
-    more = written(hidden_links(buckets.select("key", "id").distinct(), first, sets, p), "links")
+    more = hidden_links(buckets.select("key", "id", "n"), first, sets, p)
+    dropped(sets, buckets)
     comp = components(links.union(more), "a", "b") if more.take(1) else first
     named = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
     out = sig.select("doc_id", "n", "f1", "f2").join(named, ["n", "f1", "f2"], "left")

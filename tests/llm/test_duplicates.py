@@ -1,6 +1,7 @@
 """Near-duplicates and the metric join against brute force."""
 
 import re
+from dataclasses import replace
 from itertools import combinations
 
 import numpy as np
@@ -28,10 +29,10 @@ def least(ids, links):
     return label
 
 
-def near(rows):
+def near(rows, percent=85):
     sets = {i: as_set(t) for i, t in rows}
     ids = [i for i in sets if i is not None and sets[i]]
-    links = [(a, b) for a, b in combinations(ids, 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    links = [(a, b) for a, b in combinations(ids, 2) if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     return sets, least([i for i in sets if i is not None], links)
 
 
@@ -65,6 +66,23 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_looser_similarity(spark):
+    """Links between 0.8 and 0.85, of long and of short sets; and a bitmap so full that every set goes on."""
+    random = np.random.default_rng(14)
+    texts = []
+    for n in (9, 14, 30, 60, 120, 400):
+        for k in range(12):
+            base = [f"w{n}.{k}.{j}" for j in range(n)]
+            texts += [" ".join(base), " ".join(base[: n - int(random.integers(0, max(2, n // 6)))]), varied(random, base, max(1, n // 50))]
+    rows = list(enumerate(texts))
+    _, label = near(rows, 80)
+    _, strict = near(rows)
+    assert label != strict
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for p in (neardup.LOOSE, replace(neardup.LOOSE, bitmap_bits=1, small=1, block=4, block_shingles=50)):
+        assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, p).collect()} == label
+
+
 def test_members_that_only_meet_in_a_bucket(spark):
     """Links between members that the star's centre isn't linked with are found in both ways of the second step."""
     base = [f"w{k}" for k in range(200)]

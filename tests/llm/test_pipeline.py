@@ -29,7 +29,7 @@ def test_near_duplicates_leave_one_of_each_group(spark, stages):
     from tests.llm.test_duplicates import near
 
     before, after = stages["near_duplicates"]
-    _, label = near([(r["doc_id"], r["text"]) for r in before.collect()])
+    _, label = near([(r["doc_id"], r["text"]) for r in before.collect()], 80)
     assert {r["doc_id"] for r in after.collect()} == set(label.values())
 
 
