@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.llm import language, mixing, neardup, pieces, toxicity
+from recollect.llm.bitmap import without
 from recollect.llm.supervised import crc_mod
 from recollect.llm.tables import small_batches, written
 
@@ -56,15 +57,17 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group: that with the smallest id, a row without an id only if none has one."""
+    """Keeps one row of each group of texts that are similar by 0.8: that with the smallest id, a row without an id only if none has one."""
 
     def work(rows: DataFrame) -> DataFrame:
         # Rows are the nodes, as ids may be null or repeated; a number of their own is fixed by writing it.
         keyed = written(rows.withColumn("row_", F.monotonically_increasing_id()).withColumn("hash_", F.xxhash64("text")), "rows")
-        groups = neardup.near_duplicates(keyed.select("row_", "text"), key="row_").select(F.col("doc_id").alias("row_"), "component_id")
+        groups = neardup.near_duplicates(keyed.select("row_", "text"), neardup.LOOSE, key="row_").select(F.col("doc_id").alias("row_"), "component_id")
+        several = written(groups.join(groups.groupBy("component_id").count().filter("count > 1").select("component_id"), "component_id"), "several")
         first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash_", "row_")).alias("first_")
-        kept = keyed.select("row_", "doc_id", "hash_").join(groups, "row_").groupBy("component_id").agg(first).select("first_.row_")
-        return keyed.join(kept, "row_", "left_semi").select(rows.columns)
+        members = keyed.select("row_", "doc_id", "hash_").join(several, "row_")
+        gone = several.select("row_").join(members.groupBy("component_id").agg(first).select("first_.row_"), "row_", "left_anti")
+        return without(keyed, written(gone, "gone"), "row_").select(rows.columns)
 
     return _shielded(docs, work)
 
