@@ -1,24 +1,30 @@
-"""Hashes that must wrap: FNV-1a with 64 bits over UTF-16 units, batched by Arrow as Spark's own longs don't wrap."""
+"""FNV-1a with 64 bits over UTF-16 units, as a column expression.
+
+Longs don't wrap here, so the hash is kept as two halves of 32 bits: h * (2^40 + 435) has the low half lo * 435, and the
+high half hi * 435 + lo * 2^8, each with what it carries, modulo 2^32.
+"""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
-
-# Fixed values of FNV-1a, 64 bits.
-OFFSET, PRIME = 0xCBF29CE484222325, 0x100000001B3
-
-
-@F.pandas_udf(StringType())
-def fnv_12(texts: pd.Series) -> pd.Series:
-    """The first 12 hex digits; all texts of a batch advance together, unit by unit."""
-    units = [np.frombuffer((t or "").encode("utf-16-le", "surrogatepass"), np.uint16) for t in texts]
-    lens = np.array([len(u) for u in units])
-    h = np.full(len(units), OFFSET, np.uint64)
-    order = np.argsort(-lens, kind="stable")
-    for i in range(int(lens.max(initial=0))):
-        live = order[: int((lens > i).sum())]
-        h[live] = (h[live] ^ np.array([units[k][i] for k in live], np.uint64)) * np.uint64(PRIME)
-    return pd.Series([None if t is None else f"{x:016x}"[:12] for t, x in zip(texts, h.tolist(), strict=True)])
+
+# Fixed values of FNV-1a, 64 bits: the offset's halves, and the prime 2^40 + 435.
+HIGH, LOW, FACTOR = 0xCBF29CE4, 0x84222325, 435
+_MASK = 0xFFFFFFFF
+
+
+def fnv_12(text: Column) -> Column:
+    """The first 12 hex digits; null for null."""
+    units = F.transform(F.regexp_extract_all(F.hex(F.encode(text, "utf-16be")), F.lit("(....)"), 1), lambda u: F.conv(u, 16, 10).cast("long"))
+
+    def step(h: Column, unit: Column) -> Column:
+        changed = h["lo"].bitwiseXOR(unit)
+        low = changed * FACTOR
+        high = h["hi"] * FACTOR + F.shiftright(low, 32) + F.shiftleft(changed.bitwiseAND(F.lit(0xFFFFFF)), 8)
+        return F.struct(high.bitwiseAND(F.lit(_MASK)).alias("hi"), low.bitwiseAND(F.lit(_MASK)).alias("lo"))
+
+    start = F.struct(F.lit(HIGH).cast("long").alias("hi"), F.lit(LOW).cast("long").alias("lo"))
+    half = lambda c: F.lpad(F.lower(F.hex(c)), 8, "0")
+    return F.when(text.isNotNull(), F.aggregate(units, start, step, lambda h: F.substring(F.concat(half(h["hi"]), half(h["lo"])), 1, 12)))
+

@@ -13,5 +13,5 @@ def strip_blocks(text: Column, headers: list[str], footer: str = FOOTER) -> Colu
     head = "|".join(rf"\Q{h}\E" for h in headers)
     out = F.regexp_replace(text, rf"(?ms)^[ \t]*(?:{head})[ \t]*$.*?^\Q{footer}\E[^\n]*\n?", "")
     out = F.regexp_replace(out, r"\n(?:[ \t]*\n){2,}", "\n\n")
-    out = F.regexp_replace(F.regexp_replace(out, r"^(?:[ \t]*\n)+", ""), r"(?:\n[ \t]*)+$", "")
+    out = F.regexp_replace(F.regexp_replace(out, r"^(?:[ \t]*\n)+", ""), r"(?:\n[ \t]*)+\z", "")
     return F.when(F.contains(text, F.lit(footer)), out).otherwise(text)

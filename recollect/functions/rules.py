@@ -62,11 +62,16 @@ off over under again further then once here there when where why how all both ea
 whose any much many sounds good great sure right well done nice cool perfect exactly proceed continue go ahead next help""".split()
 
 
+# Tags of the harness that open a message which is no query.
+HARNESS = "task-notification command-name command-message command-args local-command-stdout local-command-caveat output-file system-reminder".split()
+
+
 def recall_query(prompt: Column) -> Column:
-    """The content words of a prompt in order, or null with fewer than two."""
+    """The content words of a prompt in order, or null with fewer than two, and for messages of the harness."""
     words = F.transform(F.split(F.trim(prompt), r"\s+"), lambda t: F.regexp_replace(t, r"^[^A-Za-z0-9_-]+|[^A-Za-z0-9_-]+$", ""))
     words = F.filter(words, lambda t: (F.length(t) >= 3) & ~F.lower(t).isin(*STOP))
-    return F.when(F.size(words) >= 2, F.array_join(words, " "))
+    own = prompt.rlike(rf"^\s*<({'|'.join(HARNESS)}){RIGHT}")
+    return F.when((F.size(words) >= 2) & ~own, F.array_join(words, " "))
 
 
 # Words that carry no topic.

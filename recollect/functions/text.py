@@ -10,9 +10,10 @@ TOKEN = "[A-Za-z0-9][A-Za-z0-9_.-]*"
 LEFT, RIGHT = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 
 
-def tokens(text: Column) -> Column:
-    """Lower-cased ASCII tokens in order, with repeats."""
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({TOKEN})"), 1), F.lower)
+def tokens(text: Column, lower: bool = True) -> Column:
+    """ASCII tokens in order, with repeats, lower-cased unless that is done later."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({TOKEN})"), 1)
+    return F.transform(found, F.lower) if lower else found
 
 
 def token_set(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,3 +27,8 @@ def clamp_limit(limit: float | None, most: int = 100) -> int:
         return max(1, min(most, int(limit)))  # type: ignore[arg-type]
     except (TypeError, ValueError, OverflowError):
         return 1
+
+
+def clamped(limit: Column, most: int = 100) -> Column:
+    """The same for a column of doubles."""
+    return F.when(limit.isNull() | F.isnan(limit) | (limit < 1), F.lit(1)).when(limit > most, F.lit(most)).otherwise(F.floor(limit).cast("int"))

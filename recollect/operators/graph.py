@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def shared_dir(spark) -> None:
-    """Makes sure that checkpoints have a folder; a cluster names its own in spark.checkpoint.dir."""
+def shared_dir(spark) -> str:
+    """The folder that all machines share: the cluster's spark.checkpoint.dir, or what the session was told. Only a session
+    on one machine that names none gets a temporary one."""
+    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
+        found = tempfile.mkdtemp(prefix="recollect-")
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="recollect-"))
+        spark.sparkContext.setCheckpointDir(found)
+    return found
 
 
 def survivors(nodes: DataFrame, key: str, pointer: str, rounds: int = 40) -> DataFrame:
@@ -48,22 +55,65 @@ def reachable(edges: DataFrame, starts: DataFrame, src: str, dst: str, depth: in
     return seen.filter("hops > 0")
 
 
-def on_cycles(edges: DataFrame, src: str, dst: str, depth: int = 100) -> DataFrame:
-    """(node) of true cycles: what is left after nodes without an edge in or out are taken away again and again, and
-    then reaches itself. A diamond is no cycle."""
+def on_cycles(edges: DataFrame, src: str, dst: str) -> DataFrame:
+    """(node) of true cycles, of any length; a diamond is none, nor is an edge from a node to itself.
+
+    Nodes without an edge in or out go first. Then each node takes the least node that reaches it as its colour; what
+    reaches its own colour's node inside the colour is strongly connected with it. Such nodes are done; those that are
+    alone were on no cycle; the rest starts again. A row for each edge and node, never for pairs; as many rounds as the
+    longest way.
+    """
     shared_dir(edges.sparkSession)
-    e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a <> b").distinct()
-    left = e.count()
-    for _ in range(depth):
-        e = e.join(e.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(e.select(F.col("a").alias("b")).distinct(), "b", "left_semi").checkpoint()
-        now = e.count()
-        if now in (0, left):
+    e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a <> b").distinct().checkpoint()
+    found = []
+    while True:
+        left = e.count()
+        while left:
+            e = e.join(e.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(e.select(F.col("a").alias("b")).distinct(), "b", "left_semi").checkpoint()
+            now = e.count()
+            if now == left:
+                break
+            left = now
+        if not left:
             break
-        left = now
-    loops = reachable(e, e.select(F.col("a").alias("start")).distinct(), "a", "b", depth)
-    # The start is counted as seen at once, so a cycle shows by an edge from what it reaches back to it.
-    back = loops.join(e, loops["node"] == e["a"]).filter("b = start")
-    return back.select(F.col("start").alias("node")).distinct()
+        colour = _spread(e.select(F.col("a").alias("n")).distinct().withColumn("c", F.col("n")), e)
+        of = lambda k, colour=colour: colour.select(F.col("n").alias(k), F.col("c").alias(f"c{k}"))
+        inside = e.join(of("a"), "a").join(of("b"), "b").filter("ca = cb").select(F.col("b").alias("a"), F.col("a").alias("b")).checkpoint()
+        # Backwards from the colour's own node; others have a colour that is larger than any until they are reached.
+        start = colour.select("n", F.when(F.col("n") == F.col("c"), F.col("c")).alias("c"))
+        reached = _spread(start, inside).filter("c is not null").checkpoint()
+        found.append(reached.join(reached.groupBy("c").count().filter("count > 1").select("c"), "c", "left_semi").select(F.col("n").alias("node")))
+        e = e.join(reached.select(F.col("n").alias("a")), "a", "left_anti").join(reached.select(F.col("n").alias("b")), "b", "left_anti").checkpoint()
+    out = edges.select(F.col(src).alias("node")).limit(0)
+    for f in found:
+        out = out.union(f)
+    return out
+
+
+def _spread(values: DataFrame, e: DataFrame) -> DataFrame:
+    """(n, c): the least c along edges (a, b), from values (n, c) where c may be null."""
+    before = None
+    while True:
+        for _ in range(2):  # a step reads the values twice, so that more of them would multiply the plan
+            come = e.join(values.filter("c is not null").withColumnRenamed("n", "a"), "a").groupBy(F.col("b").alias("n")).agg(F.min("c").alias("new"))
+            values = values.join(come, "n", "left").select("n", F.least("c", "new").alias("c"))
+        values = values.checkpoint()
+        now = values.agg(F.count("c"), F.sum(F.xxhash64("n", "c").cast("decimal(38,0)"))).first()
+        if now == before:
+            return values
+        before = now
+
+
+def pointer_cycles(nodes: DataFrame, key: str, pointer: str) -> DataFrame:
+    """(node) on cycles of a graph where each node points to one other at most: after as many steps as there are nodes, by
+    doubling, every node that still stands somewhere stands on a cycle, and every node of a cycle has one standing on it."""
+    shared_dir(nodes.sparkSession)
+    at = nodes.filter(F.col(pointer).isNotNull() & (F.col(pointer) != F.col(key))).select(F.col(key).alias("n"), F.col(pointer).alias("p")).checkpoint()
+    steps, n = 1, at.count()
+    while steps < n:
+        at = at.join(at.select(F.col("n").alias("p"), F.col("p").alias("q")), "p").select("n", F.col("q").alias("p")).checkpoint()
+        steps *= 2
+    return at.select(F.col("p").alias("node")).distinct()
 
 
 def marked_superseded(edges: DataFrame, wanted: DataFrame, sessions: DataFrame) -> DataFrame:

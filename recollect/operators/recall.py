@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import score as s
-from ..functions.text import tokens
+from ..functions.text import token_set, tokens
+from .graph import shared_dir
 
 #: Fixed values of the keyword ranking.
 K1, B, MIN_IDF = 1.2, 0.75, 1e-6
@@ -26,20 +27,27 @@ def small(df: DataFrame, limit: int = SMALL) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def tokenised(docs: DataFrame, key: str, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """(key, length, terms): all weighted tokens of a document as one array, made once, before any row is multiplied."""
-    terms = F.concat(*(_weighted(tokens(F.col(c)), w) for c, w in weights.items()))
-    return docs.select(key, terms.alias("terms")).select(key, F.size("terms").alias("length"), "terms")
+def field_tokens(docs: DataFrame, key: str, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """(key, term, w): a row for each token of each field, and one without a term whose w is the number of all tokens."""
+    parts = [tokens(F.col(c), lower=False) for c in weights]
+    each = docs.select(key, *(p.alias(f"_{i}") for i, p in enumerate(parts)))
+    ends = [sum((F.size(f"_{k}") for k in range(i + 1)), F.lit(0)) for i in range(len(parts))]
+    every = F.concat(F.array(F.lit("")), *(F.col(f"_{i}") for i in range(len(parts))))
+    rows = each.select(key, *(e.alias(f"_e{i}") for i, e in enumerate(ends)), F.posexplode(every).alias("_pos", "term"))
+    weight = F.when(F.col("_pos") == 0, F.col(f"_e{len(parts) - 1}").cast("double"))
+    for i, w in enumerate(weights.values()):
+        weight = weight.when(F.col("_pos") <= F.col(f"_e{i}"), F.lit(float(w)))
+    return rows.select(key, F.lower("term").alias("term"), weight.alias("w"))
 
 
-def postings(docs: DataFrame, key: str, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """(key, term, f, length): f is the weighted count of the term, length the tokens of all columns."""
-    rows = tokenised(docs, key, weights).select(key, "length", F.explode("terms").alias("t"))
-    return rows.groupBy(key, "length", F.col("t.term").alias("term")).agg(F.sum("t.w").alias("f"))
+def postings(docs: DataFrame, wanted: DataFrame, key: str, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """(key, term, f): the weighted counts of the `wanted` terms, and for the empty term the length of the document.
 
-
-def _weighted(array: Column, weight: float) -> Column:
-    return F.transform(array, lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
+    One pass over the texts; tokens that nobody asks for end in the scan's own stage.
+    """
+    wanted = wanted.select("term").union(wanted.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    rows = field_tokens(docs, key, weights).join(small(wanted), "term", "left_semi")
+    return rows.groupBy(key, "term").agg(F.sum("w").alias("f"))
 
 
 def query_terms(queries: DataFrame, query: str, text: str) -> DataFrame:
@@ -48,19 +56,21 @@ def query_terms(queries: DataFrame, query: str, text: str) -> DataFrame:
 
 
 def keyword_scores(docs: DataFrame, queries: DataFrame, key: str, query: str, text: str, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """(query, key, score) of all documents that share a term with a query."""
-    every = tokenised(docs, key, weights)
-    size = every.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_len"))
+    """(query, key, score) of all documents that share a term with a query.
+
+    Postings are written once and lie by document, so that scores are summed where they are.
+    """
+    shared_dir(docs.sparkSession)
     terms = query_terms(queries, query, text)
-    wanted = terms.select("term").distinct()
-    rows = every.select(key, "length", F.explode("terms").alias("t")).select(key, "length", F.col("t.term").alias("term"), F.col("t.w").alias("w"))
-    rows = rows.join(small(wanted), "term", "left_semi")
-    post = rows.groupBy(key, "length", "term").agg(F.sum("w").alias("f"))
+    every = postings(docs, terms, key, weights).repartition(key).checkpoint()
+    size = every.filter("term = ''").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("f").alias("avg_len"))
+    post = every.filter("term <> ''")
     spread = post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(size))  # one row of two numbers
     rough = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = spread.select("term", F.when(rough <= 0, F.lit(MIN_IDF)).otherwise(rough).alias("idf"), "avg_len")
+    long = every.filter("term = ''").select(key, F.col("f").alias("length"))
     part = F.col("times") * F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.col("avg_len")))
-    hits = post.join(terms.join(idf, "term"), "term")
+    hits = post.join(long, key).join(small(terms.join(idf, "term")), "term")
     return hits.groupBy(query, key).agg(F.sum(part).alias("score"))
 
 
@@ -70,15 +80,20 @@ def top(scored: DataFrame, query: str, key: str, k: int, score: str = "score") -
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, key: str, query: str, k: int, vector: str = "embedding", group: str | None = None) -> DataFrame:
-    """(query, key or group, distance, rank): exact, filters first, the least distance of each group.
+def nearest(vectors: DataFrame, queries: DataFrame, key: str, query: str, k: int, vector: str = "embedding", group: str | None = None, others: bool = False, digits: int | None = None) -> DataFrame:
+    """(query, key or group, distance, rank): exact, filters first, the least distance of each group. `others`: a query
+    whose own row is among the vectors (the same key) isn't its own neighbour. `digits`: distances that are equal when they
+    are rounded are ties.
 
     Few queries are copied to all executors; more are dealt to blocks, and each task pairs a block with a part of the
     vectors.
     """
     asked, n = queries.select(query, F.col(vector).alias("_q")), queries.count()
     asked = F.broadcast(asked) if n <= QUERY_BLOCK else asked.repartition(-(-n // QUERY_BLOCK))
-    each = vectors.crossJoin(asked).select(query, F.col(group or key).alias(group or key), s.l2(F.col(vector), F.col("_q")).alias("distance"))
+    pairs = vectors.crossJoin(asked)
+    each = (pairs.filter(F.col(key) != F.col(query)) if others else pairs).select(query, F.col(group or key).alias(group or key), s.l2(F.col(vector), F.col("_q")).alias("distance"))
+    if digits is not None:
+        each = each.withColumn("distance", s.rounded(F.col("distance"), digits))
     if group:
         each = each.groupBy(query, group).agg(F.min("distance").alias("distance"))
     order = Window.partitionBy(query).orderBy("distance", group or key)
@@ -130,8 +145,43 @@ def select_hits(hits: DataFrame, surfaced: DataFrame, query: str, key: str, thre
 
 
 def code_search(exemplars: DataFrame, queries: DataFrame, query: str, key: str, k: int) -> DataFrame:
-    """Nearest exemplars with penalties: 0.05 for code that didn't survive, 0.1 for negative outcomes. Filters come first."""
-    each = exemplars.crossJoin(F.broadcast(queries.select(query, F.col("embedding").alias("_q"))))  # one query a call
+    """Nearest other exemplars with penalties: 0.05 for code that didn't survive, 0.1 for negative outcomes."""
+    asked, n = queries.select(query, F.col("embedding").alias("_q")), queries.count()
+    asked = F.broadcast(asked) if n <= QUERY_BLOCK else asked.repartition(-(-n // QUERY_BLOCK))
+    each = exemplars.crossJoin(asked).filter(F.col(key) != F.col(query))
     cost = s.l2(F.col("embedding"), F.col("_q")) + F.when(F.col("survived") == 0, 0.05).otherwise(0.0) + F.when(F.col("negative"), 0.1).otherwise(0.0)
     order = Window.partitionBy(query).orderBy("cost", key)
     return each.select(query, key, "negative", s.rounded(cost).alias("cost")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def shared_terms(docs: DataFrame, queries: DataFrame, key: str, query: str, text: str, fields: list[str]) -> DataFrame:
+    """(query, key, term, field) of the distinct terms that a query shares with a document's fields, by an equi-join."""
+    terms = queries.select(query, F.explode(token_set(F.col(text))).alias("term"))
+
+    def named(field: str) -> Column:
+        return F.transform(token_set(F.col(field)), lambda t: F.struct(t.alias("term"), F.lit(field).alias("field")))
+
+    each = F.flatten(F.array(*map(named, fields)))
+    rows = docs.select(key, F.explode(each).alias("t")).select(key, "t.term", "t.field")
+    return rows.join(small(terms), "term").select(query, key, "term", "field")
+
+
+def holding(docs: DataFrame, passages: DataFrame, key: str, passage: str, text: str = "text") -> DataFrame:
+    """(passage, key) of the documents whose text contains the passage's `text`, character by character.
+
+    A passage's inner words (between single spaces) are words of any text that holds it. The longest one is its anchor: an
+    equi-join on it gives the candidates. Passages of fewer than three words have no anchor and are compared with all.
+    """
+    words = F.split("_p", " ")
+    inner = F.filter(F.slice(words, 2, F.greatest(F.lit(0), F.size(words) - 2)), lambda w: w != "")
+    longest = F.reduce(inner, F.lit(""), lambda best, w: F.when(F.length(w) > F.length(best), w).otherwise(best))
+    asked = passages.select(passage, F.col(text).alias("_p")).filter("_p is not null").withColumn("_w", longest)
+    anchored, bare = asked.filter("_w <> ''"), asked.filter("_w = ''")
+    each = docs.select(key, text, F.explode(F.array_distinct(F.split(text, " "))).alias("_w"))
+    if anchored.limit(SMALL + 1).count() <= SMALL:  # one stage: a text is compared where it was read
+        found = each.join(F.broadcast(anchored), "_w").filter(F.contains(text, "_p"))
+    else:  # candidates first, so that a text isn't sent once for each of its words
+        pairs = each.select(key, "_w").join(anchored.select(passage, "_w"), "_w").select(key, passage)
+        found = docs.select(key, text).join(pairs, key).join(anchored.select(passage, "_p"), passage).filter(F.contains(text, "_p"))
+    rest = docs.select(key, text).join(small(bare.select(passage, "_p")), F.contains(text, "_p"))
+    return found.select(passage, key).union(rest.select(passage, key)).distinct()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as x
 from ..functions.score import jaccard
+from .graph import shared_dir
 
 
 def set_key(array: Column) -> Column:
@@ -15,25 +16,24 @@ def set_key(array: Column) -> Column:
 
 
 def predecessors(sessions: DataFrame, key: str, members: str, started: str, tie: str, as_of: bool = True) -> DataFrame:
-    """(key, predecessor): the latest other session with exactly the same set; `as_of`: only earlier ones."""
+    """(key, predecessor): the latest other session with exactly the same set; `as_of`: only earlier ones.
+
+    Rows are sorted over all tasks by set and time, so that a frequent set is cut too; the first row of a task takes the
+    last one of the task before.
+    """
     rows = sessions.select(key, set_key(F.col(members)).alias("k"), started, tie)
-    w = Window.partitionBy("k").orderBy(started, tie)
     if as_of:
-        return rows.withColumn("predecessor", F.lag(key).over(w)).filter("predecessor is not null").select(key, "predecessor")
+        shared_dir(sessions.sparkSession)
+        dealt = rows.repartitionByRange("k", started, tie).withColumn("part", F.spark_partition_id()).checkpoint()
+        inside = dealt.withColumn("predecessor", F.lag(key).over(Window.partitionBy("part", "k").orderBy(started, tie)))
+        last = dealt.groupBy("k", "part").agg(F.max_by(key, F.struct(started, tie)).alias("last"))  # a row for each task and set
+        last = last.select("k", "part", F.lag("last").over(Window.partitionBy("k").orderBy("part")).alias("before"))
+        return inside.join(last, ["k", "part"]).select(key, F.coalesce("predecessor", "before").alias("predecessor")).filter("predecessor is not null")
     last = Window.partitionBy("k").orderBy(F.desc(started), F.desc(tie))
     newest = rows.withColumn("r", F.row_number().over(last)).filter("r <= 2").groupBy("k").agg(F.max(F.when(F.col("r") == 1, F.col(key))).alias("one"), F.max(F.when(F.col("r") == 2, F.col(key))).alias("two"))
     return rows.join(newest, "k").select(key, F.when(F.col("one") != F.col(key), F.col("one")).otherwise(F.col("two")).alias("predecessor")).filter("predecessor is not null")
 
 
-def shared_pairs(members: DataFrame, key: str, member: str, most: int | None = None) -> DataFrame:
-    """(a, b, shared) with a < b of keys with a common member; members of more than `most` keys can be left out by choice."""
-    rows = members.select(key, member).distinct()
-    if most is not None:
-        rows = rows.join(rows.groupBy(member).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= most).select(member), member, "left_semi")
-    a, b = rows.select(F.col(key).alias("a"), member), rows.select(F.col(key).alias("b"), member)
-    return a.join(b, member).filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-
-
 def similar_sets(sets: DataFrame, key: str, items: str, similarity: float) -> DataFrame:
     """(a, b, similarity) with a < b of keys whose sets are similar enough, exactly.
 
@@ -52,19 +52,15 @@ def similar_sets(sets: DataFrame, key: str, items: str, similarity: float) -> Da
     return both.select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("similarity")).filter(F.col("similarity") >= similarity)
 
 
-def rederived(sessions: DataFrame, members: DataFrame, links: DataFrame | Column, gap_days: int = 7, similarity: float = 0.5) -> DataFrame:
+def rederived(sessions: DataFrame, members: DataFrame, links: DataFrame, gap_days: int = 7, similarity: float = 0.5) -> DataFrame:
     """(a, b, similarity): sessions with similar decisions that share a member, aren't linked, and lie apart.
 
     Sessions have id, started_at and decisions (an array of tokens). Similar decisions come first, as they are rare;
-    members, of which some are in a large share of sessions, only test pairs that are known. Links are pairs (a, b), or a
-    condition on a and b where a rule says which are linked.
+    members, of which some are in a large share of sessions, only test pairs that are known. Links are pairs (a, b).
     """
     pairs = similar_sets(sessions, "id", "decisions", similarity)
-    if isinstance(links, Column):
-        pairs = pairs.filter(~links)
-    else:
-        both = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = pairs.join(both, ["a", "b"], "left_anti")
+    both = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = pairs.join(both, ["a", "b"], "left_anti")
     own = members.groupBy("id").agg(F.collect_set("member").alias("m"))
     s = lambda n: sessions.join(own, "id").select(F.col("id").alias(n), F.col("started_at").cast("timestamp").alias(f"t{n}"), F.col("m").alias(f"m{n}"))
     far = pairs.join(s("a"), "a").join(s("b"), "b").filter(F.abs(F.unix_timestamp("ta") - F.unix_timestamp("tb")) > gap_days * 86400)
@@ -75,12 +71,13 @@ def merge_suggestions(streams: DataFrame, min_score: float) -> DataFrame:
     """(a, b, score): the mean of entity similarity, session similarity and label similarity, of pairs that share a member.
 
     Streams have id, label, entities, sessions. Pairs without a common entity or session reach a third at most, so
-    `min_score` must be above it; then the equi-join on members loses none.
+    `min_score` must be above it. Then one of the two set similarities is at least (3 * min_score - 1) / 2, and the pairs
+    are found by the prefix filter on either.
     """
     if min_score <= 1 / 3:
         raise ValueError("min_score must be above 1/3")
-    members = streams.select("id", F.explode(F.concat(F.transform("entities", lambda e: F.concat(F.lit("e:"), e)), F.transform("sessions", lambda e: F.concat(F.lit("s:"), e)))).alias("member"))
-    pairs = shared_pairs(members, "id", "member").select("a", "b")
+    least = (3 * min_score - 1) / 2
+    pairs = similar_sets(streams, "id", "entities", least).union(similar_sets(streams, "id", "sessions", least)).select("a", "b").distinct()
     s = lambda n: streams.select(F.col("id").alias(n), x.label_key(F.col("label")).alias(f"l{n}"), F.col("entities").alias(f"e{n}"), F.col("sessions").alias(f"s{n}"))
     both = pairs.join(s("a"), "a").join(s("b"), "b")
     longest = F.greatest(F.length("la"), F.length("lb"))

@@ -28,6 +28,7 @@ def counts_by(log: DataFrame, key: Column, name: str, top: int | None = None, di
     return out.orderBy(F.desc("n"), name).limit(top) if top else out
 
 
+#: What test traffic says, as a part of a query and as a whole one.
 PROBE_WORDS = ("probe", "beacon", "smoke", "path test", "recall test", "cutover-test")
 PROBE_EXACT = ("pgvector", "hono", "x", "")
 
@@ -45,6 +46,34 @@ def attributable(conversation: Column) -> Column:
     return F.coalesce(~conversation.isin("", "unknown", "mcp_tool") & ~conversation.rlike("^(conv_)?test"), F.lit(False))
 
 
+#: Fixed value: ids that are shorter say nothing when they are found in a text.
+MIN_ID = 6
+
+
+def _of_server(server: str) -> Column:
+    return F.col("name").rlike(f"^mcp__[^_]*{server}[^_]*__")
+
+
+def citations(surfaced: DataFrame, calls: DataFrame, prose: DataFrame, conversation: str, server: str = "memory") -> DataFrame:
+    """(conversation, id, kind): surfaced ids that a tool call's input holds, or else the answer's prose; each once.
+
+    `surfaced` has (conversation, id), `calls` (conversation, name, input), `prose` (conversation, text). Only tools of the
+    memory's server count; explicit citations don't, as they are logged where they are made.
+    """
+    ids = surfaced.filter(F.length("id") >= MIN_ID).select(conversation, "id").distinct()
+    own = calls.filter(_of_server(server) & ~F.col("name").endswith("__cite_session")).select(conversation, F.col("input").alias("said"), F.lit(0).alias("kind"))
+    said = own.union(prose.select(conversation, F.col("text").alias("said"), F.lit(1).alias("kind")))
+    hits = said.join(ids, conversation).filter(F.contains("said", "id")).groupBy(conversation, "id").agg(F.min("kind").alias("kind"))
+    return hits.select(conversation, "id", F.when(F.col("kind") == 0, "tool_use").otherwise("prose").alias("kind"))
+
+
+def misses(surfaced: DataFrame, calls: DataFrame, conversation: str, pos: str, server: str = "memory") -> DataFrame:
+    """(conversation, id, kind): ids that a call names outright without having been surfaced; the first call counts."""
+    kind = F.when(F.col("name").endswith("__get_session"), "get_session").when(F.col("name").endswith("__cite_session"), "cite_session")
+    asked = calls.filter(_of_server(server)).select(conversation, pos, F.get_json_object("input", "$.id").alias("id"), kind.alias("kind")).filter((F.length("id") >= MIN_ID) & F.col("kind").isNotNull())
+    return asked.join(surfaced.select(conversation, "id"), [conversation, "id"], "left_anti").groupBy(conversation, "id").agg(F.min_by("kind", pos).alias("kind"))
+
+
 def precision(surfaced: DataFrame, cited: DataFrame, conversation: str = "conversation_id", key: str = "id") -> DataFrame:
     """(conversation, surfaced, cited, precision) of the distinct surfaced ids of each conversation."""
     shown = surfaced.select(conversation, key).distinct()
@@ -152,7 +181,23 @@ def precision_recall(truth: DataFrame, found: DataFrame, case: str, item: str) -
 
 
 def nearest_rank(values: DataFrame, column: str, percents: list[int], buckets: int = 256) -> DataFrame:
-    """(percent, value): the value at floor(p / 100 * (n - 1)) in sorted order, exactly.
+    """(percent, value): the value at floor(p / 100 * (n - 1)) in sorted order, exactly."""
+    found, total = _at_ranks(values, column, lambda n: {p * (n - 1) // 100 for p in percents}, buckets)
+    table = values.sparkSession.createDataFrame([(p, p * (total - 1) // 100) for p in percents], "percent int, rank long")
+    return found.join(F.broadcast(table), "rank").select("percent", "value")
+
+
+def percentiles(values: DataFrame, column: str, percents: list[int], buckets: int = 256) -> DataFrame:
+    """(percent, value): the value at p / 100 * (n - 1) in sorted order, between two rows by their distance."""
+    found, total = _at_ranks(values, column, lambda n: {p * (n - 1) // 100 + k for p in percents for k in (0, 1)}, buckets)
+    table = values.sparkSession.createDataFrame([(p, p * (total - 1) // 100, p * (total - 1) % 100 / 100) for p in percents], "percent int, rank long, part double")
+    upper = found.select((F.col("rank") - 1).alias("rank"), F.col("value").alias("upper"))
+    both = found.join(F.broadcast(table), "rank").join(upper, "rank", "left")
+    return both.select("percent", (F.col("value") + F.col("part") * F.coalesce(F.col("upper") - F.col("value"), F.lit(0.0))).alias("value"))
+
+
+def _at_ranks(values: DataFrame, column: str, ranks, buckets: int) -> tuple[DataFrame, int]:
+    """(rank, value) of the ranks (from 0) that a function of the number of values asks for, and that number.
 
     Approximate quantiles only cut the values into buckets; the buckets' counts tell which of them hold the ranks that are
     asked for, and only those are sorted, each in a task of its own and with equal values as one row.
@@ -164,9 +209,9 @@ def nearest_rank(values: DataFrame, column: str, percents: list[int], buckets: i
     sums = {r["bucket"]: r["n"] for r in counts.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # at most `buckets` rows
     total, before, wanted = sum(sums.values()), 0, []
     for bucket in sorted(sums):
-        wanted += [(p, bucket, p * (total - 1) // 100 - before) for p in percents if before <= p * (total - 1) // 100 < before + sums[bucket]]
+        wanted += [(r, bucket, r - before) for r in sorted(ranks(total)) if before <= r < before + sums[bucket]]
         before += sums[bucket]
-    want = values.sparkSession.createDataFrame(wanted, "percent int, bucket int, rank long")
+    want = values.sparkSession.createDataFrame(wanted, "rank long, bucket int, inside long")
     run = Window.partitionBy("bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     held = counts.join(F.broadcast(want.select("bucket").distinct()), "bucket", "left_semi").withColumn("upto", F.sum("n").over(run))
-    return held.join(F.broadcast(want), "bucket").filter("upto > rank and upto - n <= rank").select("percent", "value")
+    return held.join(F.broadcast(want), "bucket").filter("upto > inside and upto - n <= inside").select("rank", "value"), total

@@ -50,9 +50,12 @@ def g2_ingest_edges(v: Views) -> DataFrame:
     return rows.select("id", F.col("before").alias("prior"), F.when(late, "replaces").otherwise("continues").alias("kind"), F.when(late, "replaced").alias("new_status"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT c_custkey % 60 AS a, (c_custkey * 7 + 3) % 60 AS b FROM customer WHERE c_custkey % 60 <> (c_custkey * 7 + 3) % 60), r AS (SELECT a AS start, b AS node FROM e UNION SELECT start, b FROM r JOIN e ON a = node) SELECT DISTINCT start AS node FROM r WHERE start = node""")
+@query("""WITH RECURSIVE e AS (SELECT c_custkey AS a, c_custkey - c_custkey % 10 + (c_custkey * 7 + 3) % 10 AS b FROM customer UNION SELECT c_custkey, c_custkey + 10 FROM customer WHERE c_custkey % 3 = 0),
+r AS (SELECT a AS start, b AS node FROM e WHERE a - a % 10 = b - b % 10 UNION SELECT start, b FROM r JOIN e ON a = node WHERE a - a % 10 = b - b % 10) SELECT DISTINCT start AS node FROM r JOIN e ON e.a = start AND e.a <> e.b WHERE start = node""")
 def g3_cycles(v: Views) -> DataFrame:
-    e = v.customer.select((F.col("c_custkey") % 60).alias("a"), ((F.col("c_custkey") * 7 + 3) % 60).alias("b"))
+    """Rings inside tens of customers, and edges from ten to ten that close none."""
+    k = F.col("c_custkey")
+    e = v.customer.select(k.alias("a"), (k - k % 10 + (k * 7 + 3) % 10).alias("b")).union(v.customer.filter(k % 3 == 0).select(k, k + 10))
     return graph.on_cycles(e, "a", "b")
 
 
@@ -110,10 +113,21 @@ def i_report(v: Views) -> DataFrame:
     })
 
 
-@query("SELECT count(*) AS cycles FROM edges a JOIN edges b ON a.from_session = b.to_session AND a.to_session = b.from_session")
+@query("""WITH RECURSIVE e AS (SELECT from_session AS a, to_session AS b FROM edges UNION SELECT to_session, from_session FROM edges WHERE kind = 'replaces'), r AS (SELECT a AS start, b AS node FROM e UNION SELECT start, b FROM r JOIN e ON a = node)
+SELECT count(*) AS cycles FROM r WHERE start = node""")
 def i3_session_cycles(v: Views) -> DataFrame:
-    """Edges lead from newer to older sessions, so that none can close."""
-    return graph.on_cycles(v.edges, "from_session", "to_session").agg(F.count(F.lit(1)).alias("cycles"))
+    """Sessions on cycles. Edges lead from newer to older sessions; replacements that point both ways close some."""
+    back = v.edges.filter("kind = 'replaces'").select("to_session", "from_session")
+    return graph.on_cycles(v.edges.select("from_session", "to_session").union(back), "from_session", "to_session").agg(F.count(F.lit(1)).alias("cycles"))
+
+
+@query("""WITH n AS (SELECT subject, predicate, arg_min(id, version) AS newest, arg_max(id, version) AS oldest FROM versions GROUP BY 1, 2 HAVING count(*) > 1 AND subject LIKE '%7')
+SELECT v.id AS node FROM versions v JOIN n USING (subject, predicate)""")
+def i5c_fact_cycles(v: Views) -> DataFrame:
+    """Facts on cycles of supersedence: the chains of some subjects, whose newest fact points to their oldest."""
+    one = v.versions.filter("subject like '%7'").groupBy("subject", "predicate").agg(F.min_by("id", "version").alias("id"), F.max_by("id", "version").alias("oldest"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    rows = v.versions.select("id", "superseded_by").join(one.select("id", "oldest"), "id", "left")
+    return graph.pointer_cycles(rows.select("id", F.coalesce("superseded_by", "oldest").alias("p")), "id", "p")
 
 
 @query("SELECT id, CASE WHEN status IN ('superseded', 'replaced') AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.to_session = s.id AND ((kind = 'supersedes' AND status = 'superseded') OR (kind = 'replaces' AND status = 'replaced'))) THEN 'closed' ELSE status END AS status FROM sessions s")

@@ -197,16 +197,20 @@ def a28_verdict_gate(v: Views) -> DataFrame:
 @query("""WITH q AS (SELECT quantile_cont(o_totalprice, [0.25, 0.5, 0.75]) AS q FROM orders)
 SELECT CASE WHEN o_totalprice <= q[1] THEN 1 WHEN o_totalprice <= q[2] THEN 2 WHEN o_totalprice <= q[3] THEN 3 ELSE 4 END AS quartile, count(*) AS n FROM orders, q GROUP BY 1""")
 def a29_quartiles(v: Views) -> DataFrame:
-    edges = v.orders.agg(F.percentile("o_totalprice", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    edges = t.percentiles(v.orders, "o_totalprice", [25, 50, 75]).agg(F.sort_array(F.collect_list("value")).alias("q"))
     q, x = F.col("q"), F.col("o_totalprice")
     place = F.when(x <= q[0], 1).when(x <= q[1], 2).when(x <= q[2], 3).otherwise(4)
     return v.orders.crossJoin(F.broadcast(edges)).groupBy(place.alias("quartile")).agg(F.count(F.lit(1)).alias("n"))  # one row of three numbers
 
 
-@query("""WITH p AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(substr(text, 1, 200)), '[a-z0-9][a-z0-9_.-]*')) AS a, list_distinct(regexp_extract_all(lower(substr(text, 101, 200)), '[a-z0-9][a-z0-9_.-]*')) AS b, source IN ('src0', 'src1') AS m FROM documents)
+HALF = "list_distinct(list_transform(regexp_extract_all({}, '[A-Za-z0-9][A-Za-z0-9_.-]*'), lambda x: lower(x)))"
+
+
+@query(f"""WITH p AS (SELECT doc_id, {HALF.format("substr(text, 1, length(text) // 2)")} AS a, {HALF.format("substr(text, length(text) // 2 + 1)")} AS b, source IN ('src0', 'src1') AS m FROM documents)
 SELECT floor(avg(m::INT::DOUBLE) * 1e4 + 0.5) / 1e4 AS match_rate, floor(avg(CASE WHEN len(a) + len(b) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(a, b)) / len(list_distinct(a || b)) END) * 1e4 + 0.5) / 1e4 AS mean_jaccard FROM p""")
 def a30_parity(v: Views) -> DataFrame:
-    a, b = token_set(F.substring("text", 1, 200)), token_set(F.substring("text", 101, 200))
+    """The halves of each whole text play two runs that found words."""
+    a, b = token_set(F.expr("substring(text, 1, int(length(text) div 2))")), token_set(F.expr("substring(text, int(length(text) div 2) + 1)"))
     rows = v.documents.select(a.alias("a"), b.alias("b"), F.col("source").isin("src0", "src1").alias("m"))
     both_empty = F.size(F.array_union("a", "b")) == 0
     return rows.agg(rounded(F.avg(F.col("m").cast("double"))).alias("match_rate"), rounded(F.avg(F.when(both_empty, 1.0).otherwise(jaccard(F.col("a"), F.col("b"))))).alias("mean_jaccard"))

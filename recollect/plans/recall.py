@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import score as s
-from ..functions.text import snippet, token_set, tokens
+from ..functions.text import snippet, token_set
 from ..operators import facts as f
 from ..operators import recall as r
 from .registry import NOW, NOW_SESSIONS, Views, query
@@ -14,8 +14,8 @@ from .registry import NOW, NOW_SESSIONS, Views, query
 TOK = "list_transform(regexp_extract_all({}, '[A-Za-z0-9][A-Za-z0-9_.-]*'), lambda x: lower(x))"
 
 
-def _bm25(where: str = "true") -> str:
-    return f"""WITH q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({TOK.format('text')}) AS term FROM benchmark WHERE {where}) GROUP BY 1, 2),
+def _bm25() -> str:
+    return f"""WITH q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({TOK.format('text')}) AS term FROM benchmark) GROUP BY 1, 2),
 d AS (SELECT doc_id, {TOK.format('label')} AS a, {TOK.format('summary')} AS b, {TOK.format('body')} AS c FROM papers),
 n AS (SELECT count(*) AS n, avg(len(a) + len(b) + len(c)) AS avgdl FROM d),
 x AS (SELECT doc_id, len(a) + len(b) + len(c) AS dl, unnest(a) AS term, 10.0::DOUBLE AS w FROM d UNION ALL SELECT doc_id, len(a) + len(b) + len(c), unnest(b), 4.0 FROM d UNION ALL SELECT doc_id, len(a) + len(b) + len(c), unnest(c), 1.0 FROM d),
@@ -24,13 +24,6 @@ i AS (SELECT term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE
 k AS (SELECT item_id, doc_id, sum(times * idf * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score FROM p JOIN q USING (term) JOIN i USING (term) GROUP BY 1, 2)"""
 
 
-FEW = "item_id % 10 = 0"
-
-
-def _few(v: Views) -> DataFrame:
-    return v.benchmark.filter(FEW)  # the queries asked, not the rows searched
-
-
 def _keyword(v: Views, queries: DataFrame) -> DataFrame:
     return r.keyword_scores(v.papers, queries, "doc_id", "item_id", "text")
 
@@ -51,8 +44,7 @@ def r1_keyword_quality(v: Views) -> DataFrame:
     from ..operators.telemetry import retrieval_metrics
 
     ranked = r.top(_keyword(v, v.benchmark).withColumn("score", s.rounded(F.col("score"), 6)), "item_id", "doc_id", 5)
-    passages = r.small(v.benchmark.select("item_id", F.col("text").alias("passage")))
-    gold = v.documents.join(passages, F.contains("text", "passage")).select("item_id", "doc_id")
+    gold = r.holding(v.documents, v.benchmark, "doc_id", "item_id")
     return retrieval_metrics(ranked, gold, 5, "item_id", "doc_id")
 
 
@@ -64,10 +56,9 @@ def _asked(v: Views) -> DataFrame:
     return v.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
-def _others(v: Views, k: int, group: str | None = None) -> DataFrame:
+def _others(v: Views, k: int) -> DataFrame:
     """Every row but the query itself."""
-    near = r.nearest(v.embeddings, _asked(v), "vec_id", "query_id", k + 1) if not group else r.nearest(v.embeddings, _asked(v), "vec_id", "query_id", k, group=group)
-    return near
+    return r.nearest(v.embeddings, _asked(v), "vec_id", "query_id", k, others=True)
 
 
 @query("WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), d AS (SELECT query_id, label, min(list_distance(embedding::DOUBLE[], e::DOUBLE[])) AS distance FROM embeddings, q GROUP BY 1, 2), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, label) AS rank FROM d) SELECT query_id, label, floor(distance * 1e4 + 0.5) / 1e4 AS distance, rank FROM t WHERE rank <= 5")
@@ -78,24 +69,26 @@ def r2_semantic_by_session(v: Views) -> DataFrame:
 
 @query(KNN + ", t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d) SELECT query_id, vec_id, floor(greatest(-1, least(1, 1 - distance * distance / 2)) * 1e4 + 0.5) / 1e4 AS similarity, rank FROM t WHERE rank <= 10")
 def r3_cosine(v: Views) -> DataFrame:
-    near = _others(v, 10).filter("vec_id <> query_id")
-    return near.select("query_id", "vec_id", s.cosine_of_l2(F.col("distance")).alias("similarity"), (F.col("rank") - 1).alias("rank"))
+    return _others(v, 10).select("query_id", "vec_id", s.cosine_of_l2(F.col("distance")).alias("similarity"), "rank")
 
 
-LEGS = ", kw AS (SELECT item_id, doc_id, floor(score * 1e6 + 0.5) / 1e6 AS p FROM k QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY floor(score * 1e6 + 0.5) / 1e6 DESC, doc_id) <= 30), sem AS (SELECT item_id, doc_id, floor(1e3 / (1 + abs(doc_id % 97 - item_id)) + 0.5) / 1e3 AS x FROM documents, (SELECT item_id FROM benchmark WHERE item_id % 10 = 0) WHERE abs(doc_id % 97 - item_id) <= 3)"
+# A passage's vector is that of its number, a document's that of its own; vectors are of unit length, or nearly so.
+LEGS = """, kw AS (SELECT item_id, doc_id, floor(score * 1e6 + 0.5) / 1e6 AS p FROM k QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY floor(score * 1e6 + 0.5) / 1e6 DESC, doc_id) <= 30),
+vec AS (SELECT item_id, x.vec_id AS doc_id, list_distance(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS d FROM benchmark JOIN embeddings y ON y.vec_id = item_id, embeddings x WHERE x.vec_id IN (SELECT doc_id FROM documents)),
+sem AS (SELECT item_id, doc_id, floor(greatest(-1, least(1, 1 - d * d / 2)) * 1e4 + 0.5) / 1e4 AS x FROM vec QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY d, doc_id) <= 30)"""
 MERGED = LEGS + """, m AS (SELECT coalesce(kw.item_id, sem.item_id) AS item_id, coalesce(kw.doc_id, sem.doc_id) AS doc_id, p, x FROM kw FULL JOIN sem ON kw.item_id = sem.item_id AND kw.doc_id = sem.doc_id),
 h AS (SELECT item_id, doc_id, p IS NOT NULL AS in_primary, x IS NOT NULL AS in_secondary, CASE WHEN p IS NOT NULL THEN 0.5 + 0.5 * p / greatest(1, max(p) OVER (PARTITION BY item_id)) ELSE 0.5 * x / greatest(1, max(x) OVER (PARTITION BY item_id)) END AS score FROM m)"""
 
 
 def _legs(v: Views) -> tuple[DataFrame, DataFrame]:
-    kw = r.top(_keyword(v, _few(v)).withColumn("score", s.rounded(F.col("score"), 6)), "item_id", "doc_id", 30)
-    # A stand-in for the semantic leg, as documents have no vectors: near by number.
-    near = v.documents.select("doc_id", F.pmod("doc_id", F.lit(97)).alias("m")).withColumn("item_id", F.explode(F.sequence(F.col("m") - 3, F.col("m") + 3)))
-    near = near.join(_few(v).select("item_id"), "item_id", "left_semi")
-    return kw, near.select("item_id", "doc_id", s.rounded(1 / (1 + F.abs(F.col("m") - F.col("item_id"))), 3).alias("score"))
+    kw = r.top(_keyword(v, v.benchmark).withColumn("score", s.rounded(F.col("score"), 6)), "item_id", "doc_id", 30)
+    asked = v.benchmark.select("item_id").join(v.embeddings.select(F.col("vec_id").alias("item_id"), "embedding"), "item_id")
+    vectors = v.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding").join(v.documents.select("doc_id"), "doc_id", "left_semi")
+    near = r.nearest(vectors, asked, "doc_id", "item_id", 30)
+    return kw, near.select("item_id", "doc_id", s.cosine_of_l2(F.col("distance")).alias("score"))
 
 
-@query(_bm25(FEW) + MERGED + " SELECT item_id, doc_id, floor(score * 1e4 + 0.5) / 1e4 AS score, in_primary, in_secondary FROM h")
+@query(_bm25() + MERGED + " SELECT item_id, doc_id, floor(score * 1e4 + 0.5) / 1e4 AS score, in_primary, in_secondary FROM h")
 def r4_hybrid_bands(v: Views) -> DataFrame:
     return r.hybrid(*_legs(v), "item_id", "doc_id").withColumn("score", s.rounded(F.col("score")))
 
@@ -104,7 +97,7 @@ FINAL = """, w AS (SELECT h.*, lang, source, TIMESTAMP '2024-01-31 00:00:00' - t
 y AS (SELECT *, floor(score * greatest(0.25, pow(2, -((doc_id % 400)) / 180)) * (CASE WHEN status = 'superseded' THEN 0.7 ELSE 1 END) * (1 + 0.13 * (lang = 'en')::INT + 0.02 * (source = 'src0')::INT) * 1e4 + 0.5) / 1e4 AS final, count(*) OVER (PARTITION BY item_id) AS total FROM w)"""
 
 
-@query(_bm25(FEW) + MERGED + FINAL + " SELECT item_id, doc_id, final, total, row_number() OVER (PARTITION BY item_id ORDER BY final DESC, doc_id) AS rank FROM y QUALIFY rank <= 10")
+@query(_bm25() + MERGED + FINAL + " SELECT item_id, doc_id, final, total, row_number() OVER (PARTITION BY item_id ORDER BY final DESC, doc_id) AS rank FROM y QUALIFY rank <= 10")
 def r9_finalise(v: Views) -> DataFrame:
     meta = v.documents.select("doc_id", F.expr(f"timestampadd(DAY, -CAST(doc_id % 400 AS INT), TIMESTAMP '{NOW}')").alias("started_at"), F.when(F.col("doc_id") % 5 == 0, "superseded").otherwise("closed").alias("status"),
                               (1 + s.DECISION_WEIGHT * (F.col("lang") == "en").cast("int") + s.ENTITY_WEIGHT * (F.col("source") == "src0").cast("int")).alias("tiebreak"))
@@ -112,12 +105,17 @@ def r9_finalise(v: Views) -> DataFrame:
     return r.finalise(hits, NOW, "item_id", "doc_id", 10).select("item_id", "doc_id", "final", "total", "rank")
 
 
-@query(f"""WITH q AS (SELECT item_id, list_distinct({TOK.format('text')}) AS q FROM benchmark WHERE item_id = 0), p AS (SELECT doc_id, q, {TOK.format('label')} AS a, {TOK.format('summary')} AS b, {TOK.format('body')} AS c FROM papers, q)
-SELECT doc_id, array_to_string(list_filter([CASE WHEN list_has_any(a, q) THEN 'label' END, CASE WHEN list_has_any(b, q) THEN 'summary' END, CASE WHEN list_has_any(c, q) THEN 'body' END], lambda x: x IS NOT NULL), ',') AS fields FROM p""")
+SHARED = "WITH q AS (SELECT item_id, list_distinct(" + TOK.format("text") + ") AS q FROM benchmark), "
+
+
+@query(SHARED + f"""p AS (SELECT item_id, doc_id, q, {TOK.format('label')} AS a, {TOK.format('summary')} AS b, {TOK.format('body')} AS c FROM papers, q),
+f AS (SELECT item_id, doc_id, array_to_string(list_filter([CASE WHEN list_has_any(a, q) THEN 'label' END, CASE WHEN list_has_any(b, q) THEN 'summary' END, CASE WHEN list_has_any(c, q) THEN 'body' END], lambda x: x IS NOT NULL), ',') AS fields FROM p)
+SELECT * FROM f WHERE fields <> ''""")
 def r5_match_fields(v: Views) -> DataFrame:
-    asked = F.broadcast(v.benchmark.filter("item_id = 0").select(token_set(F.col("text")).alias("q")))  # one row
-    fields = r.match_fields({c: F.col(c) for c in ("label", "summary", "body")}, F.col("q"))
-    return v.papers.crossJoin(asked).select("doc_id", F.array_join(fields, ",").alias("fields"))
+    """For each hit of each query, the fields that it was found in."""
+    shared = r.shared_terms(v.papers, v.benchmark, "doc_id", "item_id", "text", ["label", "summary", "body"])
+    fields = shared.groupBy("item_id", "doc_id").agg(F.bool_or(F.col("field") == "label").alias("a"), F.bool_or(F.col("field") == "summary").alias("b"), F.bool_or(F.col("field") == "body").alias("c"))
+    return fields.select("item_id", "doc_id", F.concat_ws(",", F.when(F.col("a"), "label"), F.when(F.col("b"), "summary"), F.when(F.col("c"), "body")).alias("fields"))
 
 
 @query("SELECT id, floor(greatest(0.25, CASE WHEN started_at >= $then THEN 1 ELSE pow(2, -(epoch_us($then) - epoch_us(started_at)) / 86400000000.0 / 180) END) * 1e4 + 0.5) / 1e4 AS decay FROM sessions")
@@ -125,11 +123,14 @@ def r6_recency(v: Views) -> DataFrame:
     return v.sessions.select("id", s.rounded(s.recency(F.col("started_at"), NOW_SESSIONS)).alias("decay"))
 
 
-@query(f"""WITH q AS (SELECT list_distinct({TOK.format('text')}) AS q FROM benchmark WHERE item_id = 1), p AS (SELECT doc_id, q, {TOK.format('label')} AS a, {TOK.format('summary')} AS b FROM papers, q)
-SELECT doc_id, floor((1 + 0.13 * len(list_intersect(q, list_distinct(a))) / len(q) + 0.02 * len(list_intersect(q, list_distinct(b))) / len(q)) * 1e4 + 0.5) / 1e4 AS factor FROM p""")
+@query(SHARED + f"""p AS (SELECT item_id, doc_id, q, {TOK.format('label')} AS a, {TOK.format('summary')} AS b FROM papers, q)
+SELECT item_id, doc_id, floor((1 + 0.13 * len(list_intersect(q, list_distinct(a))) / len(q) + 0.02 * len(list_intersect(q, list_distinct(b))) / len(q)) * 1e4 + 0.5) / 1e4 AS factor FROM p WHERE list_has_any(q, a) OR list_has_any(q, b)""")
 def r7_tiebreak(v: Views) -> DataFrame:
-    asked = F.broadcast(v.benchmark.filter("item_id = 1").select(token_set(F.col("text")).alias("q")))  # one row
-    return v.papers.crossJoin(asked).select("doc_id", s.rounded(s.tiebreak(F.col("q"), tokens(F.col("label")), tokens(F.col("summary")))).alias("factor"))
+    """The factor of each query's documents that share a term; that of any other is 1."""
+    shared = r.shared_terms(v.papers, v.benchmark, "doc_id", "item_id", "text", ["label", "summary"])
+    counts = shared.groupBy("item_id", "doc_id").agg(F.count_if(F.col("field") == "label").alias("a"), F.count_if(F.col("field") == "summary").alias("b"))
+    asked = v.benchmark.select("item_id", F.size(token_set(F.col("text"))).alias("n"))
+    return counts.join(r.small(asked), "item_id").select("item_id", "doc_id", s.rounded(1 + s.DECISION_WEIGHT * F.col("a") / F.col("n") + s.ENTITY_WEIGHT * F.col("b") / F.col("n")).alias("factor"))
 
 
 @query("SELECT id, CASE WHEN status = 'superseded' THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END AS factor FROM sessions WHERE status NOT IN ('replaced')")
@@ -157,11 +158,10 @@ def r12_fact_keyword(v: Views) -> DataFrame:
 
 @query(KNN + ", t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d WHERE label <> 3) SELECT query_id, vec_id, rank FROM t WHERE rank <= 8")
 def r13_fact_semantic(v: Views) -> DataFrame:
-    near = r.nearest(v.embeddings.filter("label <> 3"), _asked(v), "vec_id", "query_id", 9).filter("vec_id <> query_id")
-    return r.top(near.withColumn("score", -F.col("distance")).drop("rank"), "query_id", "vec_id", 8).select("query_id", "vec_id", "rank")
+    return r.nearest(v.embeddings.filter("label <> 3"), _asked(v), "vec_id", "query_id", 8, others=True).select("query_id", "vec_id", "rank")
 
 
-@query(_bm25(FEW) + MERGED.replace("p IS NOT NULL AS in_primary, x IS NOT NULL AS in_secondary, CASE WHEN p IS NOT NULL THEN 0.5 + 0.5 * p / greatest(1, max(p) OVER (PARTITION BY item_id)) ELSE 0.5 * x / greatest(1, max(x) OVER (PARTITION BY item_id)) END", "CASE WHEN x IS NOT NULL THEN 0.5 + 0.5 * x / greatest(1, max(x) OVER (PARTITION BY item_id)) ELSE 0.5 * p / greatest(1, max(p) OVER (PARTITION BY item_id)) END") + " SELECT item_id, doc_id, floor(score * 1e4 + 0.5) / 1e4 AS score FROM h")
+@query(_bm25() + MERGED.replace("p IS NOT NULL AS in_primary, x IS NOT NULL AS in_secondary, CASE WHEN p IS NOT NULL THEN 0.5 + 0.5 * p / greatest(1, max(p) OVER (PARTITION BY item_id)) ELSE 0.5 * x / greatest(1, max(x) OVER (PARTITION BY item_id)) END", "CASE WHEN x IS NOT NULL THEN 0.5 + 0.5 * x / greatest(1, max(x) OVER (PARTITION BY item_id)) ELSE 0.5 * p / greatest(1, max(p) OVER (PARTITION BY item_id)) END") + " SELECT item_id, doc_id, floor(score * 1e4 + 0.5) / 1e4 AS score FROM h")
 def r14_fact_hybrid(v: Views) -> DataFrame:
     """Facts band the semantic leg first."""
     kw, near = _legs(v)
@@ -187,17 +187,21 @@ def r17_related_facts(v: Views) -> DataFrame:
     return f.related(v.versions, entities).select("id", "subject", "predicate", "value", "sessions")
 
 
-@query(KNN + ", t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d) SELECT query_id, vec_id FROM t WHERE rank <= 2 AND distance <= 1.0")
+@query("""WITH q AS (SELECT a.vec_id AS query_id, list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::DOUBLE + x[2]::DOUBLE) / 2) AS e FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 100 = 0),
+d AS (SELECT query_id, vec_id, list_distance(embedding::DOUBLE[], e) AS distance FROM embeddings, q) SELECT query_id, vec_id FROM d WHERE distance <= 1.0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), vec_id) <= 2""")
 def r18_related_exemplars(v: Views) -> DataFrame:
-    return _others(v, 2).filter("vec_id <> query_id and distance <= 1.0").select("query_id", "vec_id")
+    """Queries lie between two vectors, as the single ones are far apart."""
+    following = v.embeddings.select((F.col("vec_id") - 1).alias("query_id"), F.col("embedding").alias("b"))
+    middle = F.zip_with("embedding", "b", lambda x, y: (x.cast("double") + y.cast("double")) / 2)
+    asked = _asked(v).join(following, "query_id").select("query_id", middle.alias("embedding"))
+    return r.nearest(v.embeddings, asked, "vec_id", "query_id", 2, digits=9).filter("distance <= 1.0").select("query_id", "vec_id")
 
 
-@query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 5), c AS (SELECT vec_id, label >= 8 AS negative, floor((list_distance(embedding::DOUBLE[], e::DOUBLE[]) + CASE WHEN vec_id % 7 = 0 THEN 0.05 ELSE 0 END + CASE WHEN label >= 8 THEN 0.1 ELSE 0 END) * 1e4 + 0.5) / 1e4 AS cost FROM embeddings, q WHERE vec_id <> 5)
-SELECT vec_id, negative, cost, row_number() OVER (ORDER BY cost, vec_id) AS rank FROM c QUALIFY rank <= 10""")
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), c AS (SELECT query_id, vec_id, label >= 8 AS negative, floor((list_distance(embedding::DOUBLE[], e::DOUBLE[]) + CASE WHEN vec_id % 7 = 0 THEN 0.05 ELSE 0 END + CASE WHEN label >= 8 THEN 0.1 ELSE 0 END) * 1e4 + 0.5) / 1e4 AS cost FROM embeddings, q WHERE vec_id <> query_id)
+SELECT query_id, vec_id, negative, cost, row_number() OVER (PARTITION BY query_id ORDER BY cost, vec_id) AS rank FROM c QUALIFY rank <= 10""")
 def r19_code_search(v: Views) -> DataFrame:
-    rows = v.embeddings.filter("vec_id <> 5").withColumn("negative", F.col("label") >= 8).withColumn("survived", F.when(F.col("vec_id") % 7 == 0, 0).otherwise(1))
-    asked = v.embeddings.filter("vec_id = 5").select(F.col("vec_id").alias("query_id"), "embedding")
-    return r.code_search(rows, asked, "query_id", "vec_id", 10).select("vec_id", "negative", "cost", "rank")
+    rows = v.embeddings.withColumn("negative", F.col("label") >= 8).withColumn("survived", F.when(F.col("vec_id") % 7 == 0, 0).otherwise(1))
+    return r.code_search(rows, _asked(v), "query_id", "vec_id", 10).select("query_id", "vec_id", "negative", "cost", "rank")
 
 
 @query("""WITH c AS (SELECT id, count(*) AS n FROM cited GROUP BY 1) SELECT s.id, floor((CASE WHEN x > 0 THEN x + 0.15 * ln(1 + coalesce(n, 0)) ELSE x END) * 1e4 + 0.5) / 1e4 AS score FROM (SELECT id, (seq % 4) / 4.0::DOUBLE AS x FROM sessions) s LEFT JOIN c USING (id)""")

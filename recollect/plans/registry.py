@@ -31,6 +31,8 @@ PROXIES = {
   FROM {lineitem} GROUP BY l_orderkey, l_linenumber, l_partkey""",
     "versions": """SELECT *, row_number() OVER (PARTITION BY subject, predicate ORDER BY created_at DESC, id DESC) AS version,
   lag(id) OVER (PARTITION BY subject, predicate ORDER BY created_at DESC, id DESC) AS superseded_by FROM {facts}""",
+    "decided": """SELECT l_orderkey AS id, l_partkey, l_suppkey, CAST(l_shipdate AS TIMESTAMP) AS decided_at FROM {lineitem}
+  UNION ALL SELECT l_orderkey + 1, l_partkey, l_suppkey, CAST(l_shipdate AS TIMESTAMP) + INTERVAL '30' DAY FROM {lineitem} WHERE l_orderkey % 100 = 0""",
     "signals": """SELECT event_id, ts, 'r' || CAST(user_id % 20 AS STRING) AS repo, 'm' || CAST(event_id % 3 AS STRING) AS model, CASE WHEN event_id % 4 = 0 THEN 'gate' WHEN event_id % 4 = 1 THEN 'eval' WHEN event_id % 4 = 2 THEN 'review' ELSE 'test' END AS kind,
   CASE WHEN event_id % 10 = 3 THEN NULL ELSE event_type END AS step, CASE WHEN event_type = 'error' THEN 'fail' WHEN event_type = 'click' THEN 'fix' WHEN event_type = 'signup' THEN 'exhausted' ELSE 'pass' END AS outcome,
   's' || CAST(event_id * 4 AS STRING) AS session_id, 'u' || CAST(user_id AS STRING) AS producer FROM {events}""",

@@ -117,15 +117,18 @@ def j8_same_set_latest(v: Views) -> DataFrame:
     return sets.predecessors(_with_sets(v), "id", "members", "started_at", "seq", as_of=False)
 
 
-@query("""WITH s AS (SELECT l_suppkey AS id, min(l_shipdate) AS started_at, list_distinct(list(l_returnflag || CAST(l_partkey % 30 AS VARCHAR))) AS decisions FROM lineitem WHERE l_orderkey % 20 = 3 GROUP BY 1),
-m AS (SELECT DISTINCT l_suppkey AS id, l_partkey % 30 AS member FROM lineitem WHERE l_orderkey % 20 = 3), p AS (SELECT DISTINCT a.id AS a, b.id AS b FROM m a JOIN m b USING (member) WHERE a.id < b.id)
-SELECT a, b, floor(j * 1e4 + 0.5) / 1e4 AS similarity FROM (SELECT a, b, len(list_intersect(x.decisions, y.decisions)) / len(list_distinct(x.decisions || y.decisions)) AS j FROM p JOIN s x ON x.id = a JOIN s y ON y.id = b WHERE (a + b) % 7 <> 0 AND abs(epoch(x.started_at) - epoch(y.started_at)) > 7 * 86400) WHERE j >= 0.3""")
+@query("""WITH s AS (SELECT id, min(decided_at) AS started_at, list_distinct(list(l_partkey)) AS decisions, list_distinct(list(l_suppkey % 10)) AS members FROM decided GROUP BY 1),
+x AS (SELECT DISTINCT id, l_partkey AS t FROM decided), p AS (SELECT DISTINCT a.id AS a, b.id AS b FROM x a JOIN x b USING (t) WHERE a.id < b.id),
+e AS (SELECT substr(from_session, 2)::BIGINT AS u, substr(to_session, 2)::BIGINT AS v FROM edges), l AS (SELECT least(u, v) AS a, greatest(u, v) AS b FROM e),
+j AS (SELECT a, b, len(list_intersect(y.decisions, z.decisions)) / len(list_distinct(y.decisions || z.decisions)) AS j FROM p JOIN s y ON y.id = a JOIN s z ON z.id = b WHERE list_has_any(y.members, z.members) AND abs(epoch(y.started_at) - epoch(z.started_at)) > 7 * 86400)
+SELECT a, b, floor(j * 1e4 + 0.5) / 1e4 AS similarity FROM j ANTI JOIN l USING (a, b) WHERE j >= 0.5""")
 def j9_rederivation(v: Views) -> DataFrame:
-    """Suppliers stand in for sessions; a fixed slice of orders plays their decisions."""
-    part = v.lineitem.filter("l_orderkey % 20 = 3")
-    sessions = part.groupBy(F.col("l_suppkey").alias("id")).agg(F.min("l_shipdate").alias("started_at"), F.collect_set(F.concat("l_returnflag", (F.col("l_partkey") % 30).cast("string"))).alias("decisions"))
-    members = part.select(F.col("l_suppkey").alias("id"), (F.col("l_partkey") % 30).alias("member"))
-    return sets.rederived(sessions, members, (F.col("a") + F.col("b")) % 7 == 0, similarity=0.3).withColumn("similarity", rounded(F.col("similarity")))
+    """Orders play sessions, their parts decisions; every hundredth order's are decided once more by the next one."""
+    sessions = v.decided.groupBy("id").agg(F.min("decided_at").alias("started_at"), F.collect_set("l_partkey").alias("decisions"))
+    number = lambda c: F.substring(c, 2, 30).cast("long")
+    links = v.edges.select(number("from_session").alias("a"), number("to_session").alias("b"))
+    members = v.decided.select("id", (F.col("l_suppkey") % 10).alias("member"))
+    return sets.rederived(sessions, members, links, similarity=0.5).withColumn("similarity", rounded(F.col("similarity")))
 
 
 STREAMS = """WITH s AS (SELECT 'w' || CAST(o_custkey % 40 AS VARCHAR) AS id, list_distinct(list('e' || CAST(o_custkey % 7 AS VARCHAR))) AS entities, list_distinct(list('s' || CAST(floor(o_totalprice)::BIGINT % 50 AS VARCHAR))) AS sessions FROM orders GROUP BY 1),

@@ -9,42 +9,62 @@ from ..functions import rules
 from ..functions.hashes import fnv_12
 from ..functions.injected import strip_blocks
 from ..functions.text import chunks, folded, label_key, repo_base, short_id
+from ..operators.recall import holding
+from ..operators.telemetry import citations, misses
 from ..sources import transcripts as t
 from .registry import Views, query
 
 
-@query(r"""WITH p AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(text, '<(ide_selection|system-reminder|command-name)[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS p FROM conversations)
-SELECT conv_id, turn, CASE WHEN NOT regexp_matches(p, '[A-Za-z0-9]{2,}') OR regexp_matches(p, '(?i)^(yes|yep|yeah|sure|ok|okay|k|thanks|thank you|ty|done|nice|cool|great|perfect|continue|next|go|go ahead|do it|yes please|sounds good|good|got it|right|correct)\W*$') THEN 'skip'
- WHEN regexp_matches(p, '(?i)^(write|draft|create|compose|generate|brainstorm|design|outline|sketch|invent|rename|come up with)\b') THEN 'generative' ELSE 'evaluate' END AS class FROM p""")
-def f9_prompt_class(v: Views) -> DataFrame:
-    return v.conversations.select("conv_id", "turn", rules.prompt_class(F.col("text")).alias("class"))
+#: Prompts that the conversations don't have; they are turns of conversation -1.
+PROMPTS = [
+    "what depends on the parser", "when did we change the port", "look at Ada and the API", "two weeks ago we met", "", "fix it before I leave", "Which tool uses Kafka?", "ok", "please write a note",
+    "open the door on monday", "the I'd rather", "see README now", "why does the build fail on Linux machines", "<system-reminder>no query here at all</system-reminder>", "<system-reminders> unrelated words here",
+    "Hey, could you please draft a plan", "<command-name>x</command-name> write me a poem", "<ide_selection>nothing closes this", "please, ok", "let's invent something", "  <output-file>some\nlines</output-file>", "3 days ago", "what uses Kafka",
+]
+ASKED = "p0 AS (SELECT conv_id, turn::BIGINT AS turn, text AS q FROM conversations UNION ALL SELECT -1, i, q FROM (VALUES " + ", ".join(f"({i}, '" + p.replace("'", "''") + "')" for i, p in enumerate(PROMPTS)) + ") AS t(i, q))"
 
 
-PROMPTS = ["what depends on the parser", "when did we change the port", "look at Ada and the API", "two weeks ago we met", "", "fix it before I leave", "Which tool uses Kafka?", "ok", "please write a note", "open the door on monday", "the I'd rather", "see README now", "why does the build fail on Linux machines"]
-VALUES = "(VALUES " + ", ".join(f"({i}, '" + p.replace("'", "''") + "')" for i, p in enumerate(PROMPTS)) + ") AS p(i, q)"
+def _prompts(v: Views) -> DataFrame:
+    made = v.spark.createDataFrame(list(enumerate(PROMPTS)), "turn long, q string").select(F.lit(-1).cast("long").alias("conv_id"), "turn", "q")
+    return v.conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("text").alias("q")).union(made)
 
 
-def _prompts(v: Views) -> DataFrame:
-    return v.spark.createDataFrame(list(enumerate(PROMPTS)), "i int, q string")
+def _prompt_sql() -> str:
+    text, rest = "q", "p"
+    for tag in rules.TAGS:
+        text = f"regexp_replace({text}, '(?is)<{tag}\\b[^>]*>.*?(</{tag}>|$)', ' ', 'g')"
+    for _ in range(3):
+        rest = f"regexp_replace({rest}, '(?i)^(" + rules.FILLER.replace("'", "''") + ")\\b[\\s,]*', '')"
+    return f"""WITH {ASKED}, p1 AS (SELECT conv_id, turn, trim(regexp_replace({text}, '\\s+', ' ', 'g')) AS p FROM p0), p2 AS (SELECT *, trim({rest}) AS rest FROM p1)
+SELECT conv_id, turn, CASE WHEN NOT regexp_matches(p, '[A-Za-z0-9]{{2,}}') OR regexp_matches(p, '(?i)^({rules.ACKNOWLEDGED})\\W*$') OR NOT regexp_matches(rest, '[A-Za-z0-9]{{2,}}') THEN 'skip'
+ WHEN regexp_matches(rest, '(?i)^({rules.GENERATIVE})\\b') THEN 'generative' ELSE 'evaluate' END AS class FROM p2"""
 
 
-TEMPORAL = r"regexp_matches(q, '(?i)\b(\d+\s+(day|week|month|year)s?\s+ago|(last|past|next)\s+(week|month|year)|when\s+did|ago|(yesterday|today|tomorrow))\b') OR regexp_matches(q, '\b(before|after)\s+I\b')"
+@query(_prompt_sql())
+def f9_prompt_class(v: Views) -> DataFrame:
+    return _prompts(v).select("conv_id", "turn", rules.prompt_class(F.col("q")).alias("class"))
+
 
+TEMPORAL = r"(regexp_matches(q, '(?i)\b(" + "|".join(rules.TEMPORAL) + r")\b') OR regexp_matches(q, '\b(before|after)\s+I\b'))"
 
-@query(rf"SELECT i, CASE WHEN trim(q) = '' THEN 'other' WHEN regexp_matches(q, '(?i)\b(depends\s+on|related\s+to|connected\s+(to|with)|what\s+uses|downstream\s+of)\b') THEN 'relational' WHEN {TEMPORAL} THEN 'temporal' ELSE 'lookup' END AS intent FROM {VALUES}")
+
+@query(rf"WITH {ASKED} SELECT conv_id, turn, CASE WHEN trim(q) = '' THEN 'other' WHEN regexp_matches(q, '(?i)\b(" + "|".join(rules.RELATIONAL) + rf")\b') THEN 'relational' WHEN {TEMPORAL} THEN 'temporal' ELSE 'lookup' END AS intent FROM p0")
 def f10_query_intent(v: Views) -> DataFrame:
-    return _prompts(v).select("i", rules.query_intent(F.col("q")).alias("intent"))
+    return _prompts(v).select("conv_id", "turn", rules.query_intent(F.col("q")).alias("intent"))
+
 
+NAMED = "len(list_filter(list_filter(regexp_split_to_array(q, '[\\s,.;:!?()\"''`]+'), lambda x: x <> '')[2:], lambda x: length(x) >= 2 AND lower(x) NOT IN (" + ", ".join("'" + w.replace("'", "''") + "'" for w in rules.NOT_NAMES) + ") AND (regexp_matches(x, '^[A-Z]{2,}$') OR regexp_matches(x, '[A-Z]') AND regexp_matches(x, '[a-z]')))) > 0"
 
-@query(rf"SELECT i, {TEMPORAL} AS temporal, i IN (2, 6, 11, 12) AS named FROM {VALUES}")
+
+@query(f"WITH {ASKED} SELECT conv_id, turn, {TEMPORAL} AS temporal, {NAMED} AS named FROM p0")
 def f11_query_shape(v: Views) -> DataFrame:
-    return _prompts(v).select("i", rules.has_temporal(F.col("q")).alias("temporal"), rules.has_name(F.col("q")).alias("named"))
+    return _prompts(v).select("conv_id", "turn", rules.has_temporal(F.col("q")).alias("temporal"), rules.has_name(F.col("q")).alias("named"))
 
 
-@query("SELECT i, q FROM (VALUES (0, 'depends parser'), (1, 'change port'), (2, 'look Ada API'), (3, 'two weeks ago met'), (4, NULL), (5, 'fix leave'), (6, 'tool uses Kafka'), (7, NULL), (8, 'write note'), (9, 'open door monday'), (10, NULL), (11, 'see README'), (12, 'build fail Linux machines')) AS p(i, q)")
+@query(f"""WITH {ASKED}, w AS (SELECT *, list_filter(list_transform(regexp_split_to_array(trim(q), '\\s+'), lambda x: regexp_replace(x, '^[^A-Za-z0-9_-]+|[^A-Za-z0-9_-]+$', '', 'g')), lambda x: length(x) >= 3 AND lower(x) NOT IN ({", ".join(f"'{w}'" for w in rules.STOP)})) AS w FROM p0)
+SELECT conv_id, turn, CASE WHEN len(w) >= 2 AND NOT regexp_matches(q, '^\\s*<({"|".join(rules.HARNESS)})\\b') THEN array_to_string(w, ' ') END AS q FROM w""")
 def f12_recall_query(v: Views) -> DataFrame:
-    found = _prompts(v).select("i", rules.recall_query(F.col("q")).alias("q"))
-    return found.withColumn("q", F.when(F.col("i") == 10, F.lit(None)).otherwise(F.col("q")))
+    return _prompts(v).select("conv_id", "turn", rules.recall_query(F.col("q")).alias("q"))
 
 
 @query("SELECT conv_id, turn, len(list_filter(regexp_extract_all(lower(text), '[a-z0-9]{2,}'), lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in rules.NO_TOPIC) + "))) AS n FROM conversations")
@@ -58,11 +78,11 @@ def f15_summary(v: Views) -> DataFrame:
     return v.documents.select("doc_id", rules.short_summary(F.col("text")).alias("summary"))
 
 
-@query("SELECT conv_id, turn, 'intro' || chr(10) || chr(10) || text AS text FROM conversations WHERE NOT contains(text, chr(10)) AND trim(text) = text")
+@query(r"""WITH t AS (SELECT conv_id, turn, 'intro' || repeat(chr(10), 5) || text AS t FROM conversations)
+SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(t, '\n([ \t]*\n){2,}', chr(10) || chr(10), 'g'), '^([ \t]*\n)+', ''), '(\n[ \t]*)+$', '') AS text FROM t""")
 def f16_strip_injected(v: Views) -> DataFrame:
-    rows = v.conversations.filter(~F.contains("text", F.lit("\n")) & (F.trim("text") == F.col("text")))
     made = F.concat(F.lit("intro\n\n## Known\n- a\nTools: x, y\n\n\n\n"), "text")
-    return rows.select("conv_id", "turn", strip_blocks(made, ["## Known"]).alias("text"))
+    return v.conversations.select("conv_id", "turn", strip_blocks(made, ["## Known"]).alias("text"))
 
 
 @query("SELECT id, CASE WHEN status IN ('superseded', 'replaced') THEN status WHEN seq % 2000 < 15 THEN 'active' WHEN seq % 2000 < 1440 THEN 'idle' ELSE 'closed' END AS live FROM sessions")
@@ -121,7 +141,7 @@ def f25_signal_ids(v: Views) -> DataFrame:
     return v.signals.select("event_id", F.concat(F.lit("sig_"), short_id(F.col("session_id"), F.col("producer"), F.col("kind"), F.col("step"), F.col("outcome"))).alias("id"))
 
 
-@query()
+@query("""SELECT conv_id, turn, substr(printf('%016x', list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(string_split(text, ''), lambda c: unicode(c)::UHUGEINT)), lambda h, c: (xor(h, c) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT), 1, 12) AS hash FROM conversations""")
 def f25_fnv_ids(v: Views) -> DataFrame:
     return v.conversations.select("conv_id", "turn", fnv_12(F.col("text")).alias("hash"))
 
@@ -139,11 +159,14 @@ def f27_exemplars(v: Views) -> DataFrame:
     return v.documents.select("doc_id", F.sha2(F.regexp_replace(F.trim("text"), r"[ \t\n\r]+", " "), 256).alias("code_hash"), n.between(2, 200).alias("fit"))
 
 
-@query("SELECT conv_id, 'src/b.py' AS file, '@@ -5 +5 @@' AS header, 2 AS n, text || chr(10) || 'again' AS added, 'py' AS lang FROM conversations WHERE turn = 0 AND trim(text) <> '' AND NOT contains(text, chr(10))")
+@query(r"""WITH l AS (SELECT conv_id, turn, text, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS n FROM conversations)
+SELECT conv_id || '.' || turn AS diff, CASE WHEN n >= 2 THEN 'src/b.py' ELSE 'src/a.ts' END AS file, CASE WHEN n >= 2 THEN '@@ -5 +5 @@ def' ELSE '@@ -1 +1 @@' END AS header, greatest(n, 1) AS n, CASE WHEN n >= 2 THEN text ELSE 'one' END AS added, CASE WHEN n >= 2 THEN 'py' ELSE 'ts' END AS lang FROM l""")
 def f28_diff_hunks(v: Views) -> DataFrame:
-    rows = v.conversations.filter("turn = 0 and trim(text) <> ''").filter(~F.contains("text", F.lit("\n")))
-    diff = F.concat(F.lit("+++ b/src/a.ts\n@@ -1 +1 @@\n+one\n-two\n+++ b/src/b.py\n@@ -5 +5 @@\n+"), "text", F.lit("\n+again\n context"))
-    return t.hunks(rows.select("conv_id", diff.alias("diff")), "conv_id", "diff").select("conv_id", "file", "header", F.col("n").cast("int").alias("n"), "added", t.language_of(F.col("file")).alias("lang"))
+    """Each turn's lines are one file's added lines; those of a single line lose to the first hunk, which comes first."""
+    added = F.concat(F.lit("+"), F.replace(F.col("text"), F.lit("\n"), F.lit("\n+")))
+    diff = F.concat(F.lit("+++ b/src/a.ts\n@@ -1 +1 @@\n+one\n-two\n+++ b/src/b.py\n@@ -5 +5 @@ def\n"), added, F.lit("\n context"))
+    rows = v.conversations.select(F.concat_ws(".", "conv_id", "turn").alias("id"), diff.alias("diff"))
+    return t.hunks(rows, "id", "diff").select(F.col("id").alias("diff"), "file", "header", F.col("n").cast("int").alias("n"), "added", t.language_of(F.col("file")).alias("lang"))
 
 
 @query("""WITH r AS (SELECT user_id, event_type, event_id FROM events), m AS (SELECT user_id, event_type, count(*) AS n, max(event_id) AS l FROM r GROUP BY 1, 2)
@@ -164,21 +187,51 @@ def f31_fact_texts(v: Views) -> DataFrame:
     return v.facts.select("id", F.concat_ws(" ", "subject", "predicate", "value").alias("text"))
 
 
-@query("SELECT b.item_id, d.doc_id, CASE WHEN d.doc_id % 2 = 0 THEN 'tool_use' ELSE 'prose' END AS kind FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
+# Conversations play answers: of each, the users' turns are tool calls and the others prose; surfaced are its first five
+# words of six letters or more, a word of three, and one that nobody says. Calls by the first turn ask for an id outright.
+CITING = """w AS (SELECT conv_id, turn, role, text, string_split(text, ' ') AS w FROM conversations),
+s AS (SELECT DISTINCT conv_id, unnest(list_filter(w, lambda x: length(x) >= 6)[1:5] || ['the', 'nobody-says-it']) AS id FROM w WHERE turn = 0),
+h AS (SELECT s.conv_id, s.id, min(CASE WHEN role = 'user' THEN 0 ELSE 1 END) AS kind FROM s JOIN w ON w.conv_id = s.conv_id AND contains(w.text, s.id) WHERE length(s.id) >= 6 GROUP BY 1, 2)"""
+
+
+def _citing(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
+    words = F.split("text", " ")
+    ids = F.concat(F.slice(F.filter(words, lambda x: F.length(x) >= 6), 1, 5), F.array(F.lit("the"), F.lit("nobody-says-it")))
+    surfaced = v.conversations.filter("turn = 0").select("conv_id", F.explode(ids).alias("id"))
+    calls = v.conversations.filter("role = 'user'").select("conv_id", F.lit("mcp__memory__recall").alias("name"), F.col("text").alias("input"))
+    prose = v.conversations.filter("role <> 'user'").select("conv_id", "text")
+    return surfaced, calls, prose
+
+
+@query("WITH " + CITING + " SELECT conv_id, id, CASE WHEN kind = 0 THEN 'tool_use' ELSE 'prose' END AS kind FROM h")
 def f32_citations(v: Views) -> DataFrame:
-    """Which documents hold which passages; the passages' side is small after a check, so the scan isn't shuffled."""
-    from ..operators.recall import small
+    """Which surfaced ids an answer cites, by a tool call or else in prose."""
+    surfaced, calls, prose = _citing(v)
+    return citations(surfaced, calls, prose, "conv_id")
+
 
-    passages = small(v.benchmark.select("item_id", F.col("text").alias("passage")))
-    hits = v.documents.join(passages, F.contains("text", "passage"))
-    return hits.select("item_id", "doc_id", F.when(F.col("doc_id") % 2 == 0, "tool_use").otherwise("prose").alias("kind"))
+@query("SELECT conv_id, id, CASE WHEN min(turn) % 2 = 0 THEN 'get_session' ELSE 'cite_session' END AS kind FROM (SELECT conv_id, turn, string_split(text, ' ')[1] AS id FROM conversations) c WHERE length(id) >= 6 AND NOT EXISTS (SELECT 1 FROM (" + "WITH " + CITING + " SELECT * FROM s) s WHERE s.conv_id = c.conv_id AND s.id = c.id) GROUP BY 1, 2")
+def f32_misses(v: Views) -> DataFrame:
+    """Ids that a call asks for although they weren't surfaced."""
+    surfaced, _, _ = _citing(v)
+    name = F.concat(F.lit("mcp__memory__"), F.when(F.col("turn") % 2 == 0, "get_session").otherwise("cite_session"))
+    calls = v.conversations.select("conv_id", "turn", name.alias("name"), F.to_json(F.struct(F.get(F.split("text", " "), F.lit(0)).alias("id"))).alias("input"))
+    return misses(surfaced, calls, "conv_id", "turn")
 
 
-@query("SELECT * FROM (VALUES (1, 1), (2, 1), (3, 50), (4, 100)) AS t(i, clamped)")
+@query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
+def f32_passages(v: Views) -> DataFrame:
+    """Which documents hold which passages."""
+    return holding(v.documents, v.benchmark, "doc_id", "item_id")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN x IS NULL OR isnan(x) OR x < 1 THEN 1 WHEN x > 100 THEN 100 ELSE floor(x)::INT END AS clamped FROM (SELECT *, CASE WHEN l_linenumber = 1 THEN NULL WHEN l_linenumber = 2 THEN 'NaN'::DOUBLE ELSE (l_quantity - 3) * l_linenumber END AS x FROM lineitem)")
 def f33_limits(v: Views) -> DataFrame:
-    from ..operators.access import clamp_limit
+    from ..operators.access import clamped
 
-    return v.spark.createDataFrame([(1, clamp_limit(float("nan"))), (2, clamp_limit(-4)), (3, clamp_limit(50)), (4, clamp_limit(1e9))], "i int, clamped int")
+    n = F.col("l_linenumber")
+    x = F.when(n == 1, F.lit(None)).when(n == 2, F.lit(float("nan"))).otherwise((F.col("l_quantity") - 3) * n)
+    return v.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", clamped(x.cast("double")).alias("clamped"))
 
 
 BODY = "SELECT 'conv_' || conv_id || '_z' AS session, count(*) AS n_turns, md5(string_agg({}, chr(10) || chr(10) ORDER BY turn)) AS digest FROM conversations WHERE trim(text) <> '' GROUP BY 1"
@@ -245,14 +298,27 @@ def s13_keyed_rows(v: Views) -> DataFrame:
     return _digested(t.sessions(t.keyed_rows(rows), t.plain))
 
 
-@query("SELECT conv_id || '_1' AS session, count(*) AS n_turns, count(*) FILTER (role = 'user') AS users FROM conversations WHERE trim(text) <> '' AND NOT contains(text, chr(10)) AND NOT starts_with(text, '#') AND NOT starts_with(text, '>') GROUP BY 1")
+#: A user's turn is one line, so its line breaks are made spaces; other turns keep all lines.
+LOG = r"""l AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN '#### ' || regexp_replace(text, '\s+', ' ', 'g') ELSE text END AS t FROM conversations),
+b AS (SELECT conv_id, turn // 4 AS part, string_agg(t, chr(10) ORDER BY turn) AS b FROM l GROUP BY 1, 2), c AS (SELECT conv_id, part, string_split(chr(10) || b, chr(10) || '#### ')[2:] AS c FROM b),
+d AS (SELECT conv_id, part, unnest(c) AS d, generate_subscripts(c, 1) AS k FROM c), e AS (SELECT conv_id, part, k, trim(string_split(d, chr(10))[1], ' ' || chr(9) || chr(10) || chr(13)) AS u, trim(array_to_string(string_split(d, chr(10))[2:], chr(10)), ' ' || chr(9) || chr(10) || chr(13)) AS a FROM d),
+f AS (SELECT conv_id, part, k, u, trim(array_to_string(list_transform(string_split(a, chr(10)), lambda x: CASE WHEN starts_with(x, '> ') THEN '[tool_action: ' || substr(trim(substr(x, 3)), 1, 200) || ']' ELSE x END), chr(10)), ' ' || chr(9) || chr(10) || chr(13)) AS a FROM e),
+g AS (SELECT conv_id, part, 2 * k AS k, 'user' AS role, u AS t FROM f WHERE u <> '' UNION ALL SELECT conv_id, part, 2 * k + 1, 'assistant', a FROM f WHERE a <> '')"""
+
+
+@query("WITH " + LOG + """ SELECT conv_id, 'ai_20240102_0' || part || '0405' AS session, count(*) AS n_turns, count(*) FILTER (role = 'user') AS users, md5(string_agg(role || ': ' || t, chr(10) ORDER BY k)) AS digest,
+min(part)::INT AS starts_hour, coalesce((SELECT min(b2.part) FROM b b2 WHERE b2.conv_id = g.conv_id AND b2.part > g.part), g.part)::INT AS ends_hour FROM g GROUP BY conv_id, part""")
 def s14_markdown_log(v: Views) -> DataFrame:
-    file = F.concat(F.lit("/x/"), F.col("conv_id").cast("string")).alias("file")
-    ok = v.conversations.filter("trim(text) <> ''").filter(~F.contains("text", F.lit("\n")) & ~F.col("text").startswith("#") & ~F.col("text").startswith(">"))
-    rows = ok.select(file, F.col("turn").alias("pos"), F.concat(F.when(F.col("role") == "user", "#### ").otherwise(""), "text").alias("line"))
-    heads = ok.select(file).distinct().select("file", F.lit(-1).cast("long").alias("pos"), F.lit("# tool chat started at 2024-01-02 03:04:05").alias("line"))
+    """Four turns are a session that starts an hour after the one before."""
+    file, part = F.concat(F.lit("/x/"), F.col("conv_id").cast("string")), F.floor(F.col("turn") / 4)
+    said = F.when(F.col("role") == "user", F.concat(F.lit("#### "), F.regexp_replace("text", r"\s+", " "))).otherwise(F.col("text"))
+    rows = v.conversations.select(file.alias("file"), "turn", F.posexplode(F.split(said, "\n")).alias("k", "line")).select("file", ((F.col("turn") + 1) * 1_000_000 + F.col("k")).alias("pos"), "line")
+    heads = v.conversations.groupBy(file.alias("file"), part.alias("part")).agg(((F.min("turn") + 1) * 1_000_000 - 1).alias("pos"))
+    heads = heads.select("file", "pos", F.concat(F.lit("# tool chat started at 2024-01-02 0"), F.col("part").cast("string"), F.lit(":04:05")).alias("line"))
     turns = t.markdown_log(rows.union(heads))
-    return turns.groupBy("session").agg(F.count(F.lit(1)).alias("n_turns"), F.count_if(F.col("role") == "user").alias("users"))
+    digest = F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.concat("role", F.lit(": "), "text").alias("t")))), lambda x: x["t"]), "\n"))
+    out = turns.groupBy("file", "session").agg(F.count(F.lit(1)).alias("n_turns"), F.count_if(F.col("role") == "user").alias("users"), digest.alias("digest"), F.hour(F.min("ts")).alias("starts_hour"), F.hour(F.max("ends_at")).alias("ends_hour"))
+    return out.select(F.substring("file", 4, 20).cast("long").alias("conv_id"), "session", "n_turns", "users", "digest", "starts_hour", "ends_hour")
 
 
 @query(BODY.format("CASE WHEN role = 'user' THEN 'User' ELSE 'Assistant' END || ': ' || text"))

@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from ..functions.rules import safe_session_id
 from ..functions.text import short_id
 
+#: Fixed value: characters of a tool's input or output that are shown.
 PREVIEW = 240
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, pos, line) of text files; a transcript is one file, so its lines keep their order."""
+def lines(spark: SparkSession, path: str, blank: bool = False) -> DataFrame:
+    """(file, pos, line) of text files, with `blank` also the blank ones; a transcript is one file, so its lines keep their order."""
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", "\n")).alias("pos", "line")).filter(F.trim("line") != "")
+    return whole.select("file", F.posexplode(F.split("value", "\n")).alias("pos", "line")).filter(F.lit(blank) | (F.trim("line") != ""))
 
 
 def bracketed(role: Column, text: Column) -> Column:
@@ -44,6 +45,7 @@ def sessions(turns: DataFrame, render: Callable[[Column, Column], Column] = brac
     )
 
 
+#: Tags whose content isn't part of a turn.
 ENVELOPES = r"(?s)<(system-reminder|command-name|command-message|command-args|local-command-stdout)[^>]*>.*?</\1>"
 
 
@@ -115,20 +117,27 @@ def keyed_rows(rows: DataFrame) -> DataFrame:
 
 
 def markdown_log(rows: DataFrame) -> DataFrame:
-    """Lines of a chat log: a heading starts a session, `#### ` is the user, `> ` a tool, the rest the assistant.
+    """Lines of a chat log, blank ones included: a heading starts a session, `#### ` is a user's turn of one line, and what
+    follows up to the next is the assistant's, where lines with `> ` are tool actions. What comes before a user is dropped.
 
     A session ends where the next one starts, the last one at its own start.
     """
     w = Window.partitionBy("file").orderBy("pos")
     head = F.regexp_extract("line", r"^# .* chat started at (\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)", 1)
-    r = rows.withColumn("start", F.when(head != "", F.try_to_timestamp(head)))
-    r = r.withColumn("n", F.count("start").over(w)).filter("n > 0")
-    starts = r.filter("start is not null").select("file", "n", "start", F.lead("start").over(w).alias("next"))
-    r = r.filter("start is null").drop("start").join(starts, ["file", "n"])
-    role = F.when(F.col("line").startswith("#### "), "user").when(F.col("line").startswith("> "), "tool").otherwise("assistant")
-    text = F.when(role == "user", F.substring("line", 6, 1_000_000)).when(role == "tool", F.substring("line", 3, 200)).otherwise(F.col("line"))
-    name = F.concat_ws("_", F.element_at(F.split("file", "/"), -1), "n")
-    return r.select(name.alias("session"), "pos", role.alias("role"), text.alias("text"), F.coalesce("start").alias("ts"), F.coalesce("next", "start").alias("ends_at"))
+    r = rows.withColumn("raw", F.when(head != "", head))
+    r = r.withColumn("n", F.count("raw").over(w)).filter("n > 0")
+    starts = r.filter("raw is not null").select("file", "n", "raw", F.lead("raw").over(w).alias("next"))
+    said = r.filter("raw is null").withColumn("chunk", F.count(F.when(F.col("line").startswith("#### "), 1)).over(Window.partitionBy("file", "n").orderBy("pos"))).filter("chunk > 0")
+    user = F.col("line").startswith("#### ")
+    trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+\z", "")
+    action = F.concat(F.lit("[tool_action: "), F.substring(F.trim(F.expr("substring(line, 3)")), 1, 200), F.lit("]"))
+    shown = F.when(F.col("line").startswith("> "), action).otherwise(F.col("line"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n")
+    turns = said.select("file", "n", "chunk", "pos", F.when(user, "user").otherwise("assistant").alias("role"), F.when(user, F.expr("substring(line, 6)")).otherwise(shown).alias("text"))
+    turns = turns.groupBy("file", "n", "chunk", "role").agg(F.min("pos").alias("pos"), trimmed(joined).alias("text")).filter("text <> ''")
+    compact = F.concat(F.lit("ai_"), F.replace(F.regexp_replace("raw", "[-:]", ""), F.lit(" "), F.lit("_")))
+    time = lambda c: F.try_to_timestamp(F.col(c))
+    return turns.join(starts, ["file", "n"]).select("file", compact.alias("session"), "pos", "role", "text", time("raw").alias("ts"), F.coalesce(time("next"), time("raw")).alias("ends_at"))
 
 
 def generic_jsonl(rows: DataFrame, fields: dict[str, str], default_role: str = "assistant") -> DataFrame:
@@ -173,7 +182,7 @@ def hunks(diffs: DataFrame, key: str, column: str) -> DataFrame:
     return per.withColumn("r", F.row_number().over(best)).filter("r = 1").select(key, "file", "header", "n", "added")
 
 
-#: Extension -> language.
+#: Extension -> language.
 LANGUAGES = {"ts": "ts", "tsx": "ts", "js": "js", "jsx": "js", "mjs": "js", "py": "py", "go": "go", "rb": "rb", "rs": "rs", "java": "java", "c": "c", "cpp": "cpp", "cs": "cs", "swift": "swift", "kt": "kt", "sh": "sh", "bash": "sh", "zsh": "sh"}
 
 

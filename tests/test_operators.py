@@ -155,7 +155,7 @@ def test_chunks_overlap(spark):
 
 
 def test_fnv(spark):
-    rows = spark.createDataFrame([("",), ("a",), (None,)], "t string").select(fnv_12("t").alias("h")).collect()
+    rows = spark.createDataFrame([("",), ("a",), (None,)], "t string").select(fnv_12(F.col("t")).alias("h")).collect()
     assert [r["h"] for r in rows] == ["cbf29ce48422", "af63dc4c8601", None]
 
 
@@ -210,22 +210,82 @@ def test_nearest_rank_against_sorting(spark):
         assert got == {p: sorted(xs)[p * (len(xs) - 1) // 100] for p in (0, 50, 95, 100) if xs}
 
 
-def test_rederived_pairs_leave_out_linked_ones_at_any_size(spark, tmp_path):
-    """More than 1000 suppliers, some numbered beyond 20,000."""
+def test_rederived_pairs_leave_out_linked_ones(spark):
+    """More than 1000 sessions, some numbered beyond 20,000, against all pairs."""
+    import random
     from datetime import datetime, timedelta
 
-    from recollect import catalog
-
-    ids = [*range(1, 8), *range(30_000, 30_008)]
-    rows = [(20 * k + 3, i, 1 + k, "A" if k else flag, datetime(1998, 1, 1) + timedelta(days=10 * n)) for n, (i, flag) in enumerate(zip(ids, "AR" * 8)) for k in range(3)]
-    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_partkey long, l_returnflag string, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
-    spark.range(1, 1202).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
-    own = {i: {f"{f}{p}" for _, j, p, f, _ in rows if j == i} for i in ids}
-    want = [(a, b) for a in ids for b in ids if a < b and (a + b) % 7 and len(own[a] & own[b]) / len(own[a] | own[b]) >= 0.3]
-    assert values(catalog.QUERIES["j9_rederivation"](spark, str(tmp_path)), "a", "b") == want
-    sessions = spark.createDataFrame([(1, datetime(2020, 1, 1), ["x"]), (2, datetime(2021, 1, 1), ["x"]), (3, datetime(2022, 1, 1), ["x"])], "id long, started_at timestamp, decisions array<string>")
-    members = spark.createDataFrame([(1, "m"), (2, "m"), (3, "m")], "id long, member string")
-    assert values(sets.rederived(sessions, members, spark.createDataFrame([(3, 1)], "a long, b long")), "a", "b") == [(1, 2), (2, 3)]
+    r = random.Random(8)
+    ids = [*range(900), *range(30_000, 30_300)]
+    made = {i: (datetime(2020, 1, 1) + timedelta(days=r.randint(0, 60)), frozenset(r.sample(range(300), r.randint(1, 4))), r.randint(0, 3)) for i in ids}
+    sessions = spark.createDataFrame([(i, t, [str(x) for x in d]) for i, (t, d, _) in made.items()], "id long, started_at timestamp, decisions array<string>")
+    members = spark.createDataFrame([(i, m) for i, (_, _, m) in made.items()], "id long, member int")
+    similar = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if 2 * len(made[a][1] & made[b][1]) >= len(made[a][1] | made[b][1])]
+    links = [(b, a) for a, b in similar if (a + b) % 3 == 0]
+    want = [(a, b) for a, b in similar if (a + b) % 3 and made[a][2] == made[b][2] and abs((made[a][0] - made[b][0]).days) > 7]
+    assert len(want) > 50
+    assert values(sets.rederived(sessions, members, spark.createDataFrame(links, "a long, b long")), "a", "b") == want
+
+
+def test_equal_vectors_rank_without_gaps(spark):
+    """A query's own row takes no rank, wherever it would stand among its copies."""
+    rows = spark.createDataFrame([(50, [1.0, 0.0]), (100, [1.0, 0.0]), (150, [1.0, 0.0]), (7, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    asked = rows.filter("vec_id = 100").withColumnRenamed("vec_id", "query_id")
+    assert values(recall.nearest(rows, asked, "vec_id", "query_id", 3, others=True), "rank", "vec_id") == [(1, 50), (2, 150), (3, 7)]
+
+
+def test_cycles_of_any_length(spark):
+    """A ring of 24, two rings with a bridge whose node is on none, a ring below a smaller number, and a loop."""
+    ring = [(k, (k + 1) % 24) for k in range(24)]
+    rest = [(200, 201), (201, 200), (201, 202), (202, 203), (203, 204), (204, 203), (300, 301), (301, 302), (302, 301), (302, 303), (400, 400), (204, 205)]
+    df = spark.createDataFrame(ring + rest, "a long, b long")
+    want = [(k,) for k in [*range(24), 200, 201, 203, 204, 301, 302]]
+    assert values(graph.on_cycles(df, "a", "b"), "node") == want
+    one = spark.createDataFrame([*ring, (200, 201), (201, 202), (202, 200), (203, 202), (204, 204), (205, None)], "a long, b long")
+    assert values(graph.pointer_cycles(one, "a", "b"), "node") == [(k,) for k in [*range(24), 200, 201, 202]]
+
+
+def test_fnv_against_python(spark):
+    texts = ["", "a", "héllo", "\U0001f600 x", "中文" * 50, "z" * 700]
+
+    def fnv(t):
+        h = 0xCBF29CE484222325
+        b = t.encode("utf-16-le")
+        for k in range(0, len(b), 2):
+            h = ((h ^ int.from_bytes(b[k : k + 2], "little")) * 0x100000001B3) & (1 << 64) - 1
+        return f"{h:016x}"[:12]
+
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fnv_12(F.col("t")).alias("h")).collect()
+    assert {r["t"]: r["h"] for r in rows} == {t: fnv(t) for t in texts}
+
+
+def test_passages_are_found_wherever_they_stand(spark, monkeypatch):
+    docs = [(1, "abc defghij kl mno pq"), (2, "xabc defghij kl mnoz"), (3, "abc  defghij kl mno"), (4, "q"), (5, None), (6, "one two"), (7, "")]
+    asked = [(1, "abc defghij kl mno"), (2, "c defghij k"), (3, "q"), (4, "one two"), (5, "  "), (6, None), (7, "j kl m")]
+    want = sorted((p, d) for p, t in asked for d, x in docs if t is not None and x is not None and t in x)
+    for small in (recall.SMALL, 0):
+        monkeypatch.setattr(recall, "SMALL", small)
+        got = recall.holding(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "item_id long, text string"), "doc_id", "item_id")
+        assert values(got, "item_id", "doc_id") == want
+
+
+def test_predecessors_of_a_frequent_set(spark):
+    rows = [(k, ["a", "b"] if k % 5 else ["b"], k * 7 % 1000) for k in range(1000)]
+    df = spark.createDataFrame(rows, "id long, m array<string>, at long")
+    want, last = {}, {}
+    for k, m, _ in sorted(rows, key=lambda r: (r[2], r[0])):
+        if tuple(m) in last:
+            want[k] = last[tuple(m)]
+        last[tuple(m)] = k
+    assert dict(values(sets.predecessors(df, "id", "m", "at", "id"), "id", "predecessor")) == want
+
+
+def test_percentiles_between_rows(spark):
+    import statistics
+
+    xs = [float(x * x % 97) for x in range(60)]
+    got = dict(values(telemetry.percentiles(spark.createDataFrame([(x,) for x in xs], "x double"), "x", [25, 50, 75, 100]), "percent", "value"))
+    assert [got[p] for p in (25, 50, 75)] == pytest.approx(statistics.quantiles(xs, n=4, method="inclusive")) and got[100] == max(xs)
 
 
 @pytest.mark.parametrize("threshold", ["10485760", "-1"])
