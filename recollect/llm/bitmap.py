@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: 32 MB; beyond some 16 million ids more rows pass the filter, none fewer.
+#: 32 MB; beyond some 4 million ids more rows pass the filter, none fewer.
 MOST_BITS = 1 << 28
 
 
@@ -19,10 +19,10 @@ def place(column: str, bits: int) -> Column:
 
 
 def id_bitmap(ids: DataFrame, column: str, most: int = MOST_BITS) -> tuple[np.ndarray, int]:
-    """The bitmap and its number of bits: 16 an id, and at most `most`. It is built in parts of 4 KB."""
+    """The bitmap and its number of bits: 64 an id, and at most `most`. It is built in parts of 4 KB."""
     bits = 1 << 15
     n = ids.count()
-    while bits < min(16 * n, most):
+    while bits < min(64 * n, most):
         bits *= 2
     at = place(column, bits) + 1
     parts = ids.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))

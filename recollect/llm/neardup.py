@@ -157,13 +157,13 @@ def hidden_links(buckets: DataFrame, comp: DataFrame, sets: DataFrame, p: NearDu
     other = few.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
     pairs = few.join(other, "key").filter("id < b and component != cb").filter(_fits("n", "nb", p)).select(F.col("id").alias("a"), "b").distinct()
     found = confirmed(pairs, sets, p)
-    # Every member is in a block of members, and those outside the largest component also in a block of askers.
+    # Every member is in a block of members, which goes to the blocks of askers: those outside the largest component.
     many = rows.filter(F.col("m") > p.small).withColumn("blocks", F.greatest(F.ceil(F.col("m") / p.block), F.ceil(F.col("total") / p.block_shingles)).cast("int"))
-    many = many.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    asking = many.filter("component != main").select("key", "id", "component", F.col("mine").alias("i"), F.col("other").alias("j"), F.lit(True).alias("asked"))
-    asked = many.select("key", "id", "component", F.col("other").alias("i"), F.col("mine").alias("j"), F.lit(False).alias("asked"))
-    # Blocks that nobody asks from aren't sent anywhere.
-    asked = asked.join(asking.select("key", "i").distinct(), ["key", "i"], "left_semi")
+    many = many.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    outside = many.filter("component != main")
+    asking = outside.select("key", "id", "component", F.col("mine").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("asked"))
+    askers = outside.groupBy("key").agg(F.collect_set("mine").alias("askers"))
+    asked = many.join(askers, "key").select("key", "id", "component", F.explode("askers").alias("i"), F.col("mine").alias("j"), F.lit(False).alias("asked"))
     both = asking.unionByName(asked).join(sets, "id")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
