@@ -6,9 +6,11 @@ vectors. Each vector goes to its nearest list, and if it lies at a boundary, to
 most `closure` times as far. Centroids are searched by a graph of their neighbours, in memory, walked from fixed entry
 nodes as far as distances stay within the ratio that is asked for.
 
-Search: a query takes the lists whose centroid is within a ratio of its nearest one's distance. The ratio is the least
-of a ladder at which sampled queries find `recall` of their sampled neighbours. Lists are packed into shards of bounded
-size (a longer list is cut by a hash of its vectors), queries into blocks; each task returns a query's best of a shard.
+Search: a query walks the graph and takes the lists whose centroid is within a ratio of its nearest one's distance. The
+ratio is the least of a ladder at which sampled queries find `recall` of their sampled neighbours by that walk; it ends
+with all lists. Lists are packed into shards of bounded size (a longer list is cut by a hash of its vectors). A query goes
+to the shards of its lists only, and a shard's vectors once for each block of queries that ask it; each task returns a
+query's best of a shard.
 
 Equal vectors are one class with its smallest ids, as only those can be among the nearest. Every vector is indexed.
 Cases: vectors that are null, empty, zero or hold null or non-finite components, those of another length than most, and
@@ -25,17 +27,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import written
-from .vectors import in_order, plain_zero, sampled, stack, usable
+from .tables import dropped, written
+from .vectors import in_order, kind_of, plain_zero, sampled, stack, usable
 
 
 @dataclass(frozen=True)
 class PostingParams:
     k: int = 20
-    #: Bound of the sample that the index is fitted on, vectors for each list, and the most lists.
+    #: Bound of the sample that the index is fitted on; lists are `spread` times the root of the vectors, at least
+    #: `min_lists` and at most an eighth of the sample.
     sample: int = 20_000
-    per_list: int = 400
-    max_lists: int = 4096
+    spread: float = 0.5
+    min_lists: int = 8
     replicas: int = 4
     closure: float = 1.08
     recall: float = 0.95
@@ -118,7 +121,7 @@ def _query(x: np.ndarray) -> np.ndarray:
 def fit(x: np.ndarray, most: float, n_all: int, p: PostingParams) -> tuple[Centroids, float]:
     """Centroids and the search ratio, from sampled vectors."""
     points = _augment(x, most)
-    k = int(np.clip(n_all // p.per_list, 1, min(p.max_lists, max(1, len(x) // 8))))
+    k = int(max(1, min(max(p.min_lists, p.spread * np.sqrt(n_all)), len(x) // 8)))
     centroids = Centroids(balanced_means(points, k, p.seed), p.degree, p.entries, p.seed)
     asked = np.random.default_rng(p.seed).permutation(len(x))[:200]
     found = np.concatenate([assign(centroids, points[s : s + 1024], p) for s in range(0, len(points), 1024)])
@@ -126,15 +129,13 @@ def fit(x: np.ndarray, most: float, n_all: int, p: PostingParams) -> tuple[Centr
     lists[np.repeat(np.arange(len(points)), p.replicas)[found.ravel() >= 0], found.ravel()[found.ravel() >= 0]] = True
     score = x[asked] @ x.T
     score[np.arange(len(asked)), asked] = -np.inf
-    top = np.argsort(-score, axis=1)[:, : p.k]
-    dist = np.sqrt(_squares(_query(x[asked]), centroids.at))
-    relative = dist / np.maximum(1e-12, dist.min(1, keepdims=True))
-    for ratio in np.arange(1.0, 3.0, 0.02):
-        probed = relative <= ratio
-        hits = np.mean([(lists[t] & probe).any(1).mean() for t, probe in zip(top, probed, strict=True) if len(t)])
+    top = np.argsort(-score, axis=1)[:, : min(p.k, len(x) - 1)]
+    for ratio in (*np.arange(1.0, 2.0, 0.02), *np.arange(2.0, 4.0, 0.2)):
+        probed = np.isfinite(centroids.near(_query(x[asked]), ratio))
+        hits = np.mean([(lists[t] & probe).any(1).mean() if len(t) else 1.0 for t, probe in zip(top, probed, strict=True)])
         if hits >= p.recall:
             return centroids, float(ratio)
-    return centroids, 3.0
+    return centroids, 1e9
 
 
 def assign(centroids: Centroids, points: np.ndarray, p: PostingParams) -> np.ndarray:
@@ -163,8 +164,9 @@ def _best(q: np.ndarray, v: np.ndarray, reps: np.ndarray, k: int) -> list[tuple[
 def nearest(vectors: DataFrame, is_query, p: PostingParams = PostingParams(), key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row that `is_query` (a condition on vec_id) picks."""
     spark, k = vectors.sparkSession, p.k
-    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("embedding"))
-    rows = rows.filter(usable("embedding") & F.col("vec_id").isNotNull()).withColumn("embedding", plain_zero("embedding"))
+    kind = kind_of(vectors, vector)
+    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast(f"array<{kind}>").alias("embedding"))
+    rows = rows.filter(usable("embedding") & F.col("vec_id").isNotNull()).withColumn("embedding", plain_zero("embedding", kind))
     rows = written(rows.groupBy("vec_id", "embedding").agg(F.lit(1).alias("one")).drop("one"), "vectors")
     schema = "query_id long, rank int, vec_id long, score double"
     dims = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -183,7 +185,7 @@ def nearest(vectors: DataFrame, is_query, p: PostingParams = PostingParams(), ke
         return spark.createDataFrame([], schema)
     sample = np.array(sampled(classes.select("rep", "embedding"), "rep", p.sample).orderBy("rep").toPandas()["embedding"].tolist(), np.float64)
     centroids, ratio = fit(sample, stats["most"], stats["n"], p)
-    shared = spark.sparkContext.broadcast((centroids, ratio, stats["most"]))  # max_lists centroids
+    shared = spark.sparkContext.broadcast((centroids, ratio, stats["most"]))  # at most sample / 8 centroids
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         graph, _, most = shared.value
@@ -194,8 +196,8 @@ def nearest(vectors: DataFrame, is_query, p: PostingParams = PostingParams(), ke
                 row, slot = np.nonzero(found >= 0)
                 yield pd.DataFrame({"list": found[row, slot].astype(np.int32), "rep": part["rep"].to_numpy()[row], "embedding": part["embedding"].to_numpy()[row]})
 
-    lists = written(classes.select("rep", "embedding").mapInPandas(index, "list int, rep long, embedding array<float>"), "lists")
-    # Lists are packed into shards: at most max_lists sizes come to the driver.
+    lists = written(classes.select("rep", "embedding").mapInPandas(index, f"list int, rep long, embedding array<{kind}>"), "lists")
+    # Lists are packed into shards: at most sample / 8 sizes come to the driver.
     place, used, shard = {}, 0, 0
     for r in lists.groupBy("list").count().orderBy("list").collect():
         parts = -(-r["count"] // p.shard)
@@ -205,14 +207,11 @@ def nearest(vectors: DataFrame, is_query, p: PostingParams = PostingParams(), ke
                 shard, used = shard + 1, 0
             used += size
             place.setdefault(r["list"], []).append(shard)
-    blocks = -(-stats["q"] // p.query_block)
     where = spark.sparkContext.broadcast({c: np.array(s) for c, s in place.items()})
 
     def to_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            home = np.array([where.value[c][r * 2654435761 % (1 << 32) % len(where.value[c])] for c, r in zip(pdf["list"], pdf["rep"], strict=True)], np.int32)
-            for b in range(blocks):
-                yield pdf.assign(shard=home, block=np.int32(b))
+            yield pdf.assign(shard=np.array([where.value[c][r * 2654435761 % (1 << 32) % len(where.value[c])] for c, r in zip(pdf["list"], pdf["rep"], strict=True)], np.int32))
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         graph, within, _ = shared.value
@@ -226,8 +225,8 @@ def nearest(vectors: DataFrame, is_query, p: PostingParams = PostingParams(), ke
                     for c in np.flatnonzero(np.isfinite(d)):
                         for x in where.value.get(int(c), ()):
                             by.setdefault(int(x), []).append(int(c))
-                    out += [(x, rep * 2654435761 % (1 << 32) % blocks, rep, vec, sorted(set(c))) for x, c in by.items()]
-                yield pd.DataFrame(out, columns=["shard", "block", "rep", "embedding", "lists"])
+                    out += [(x, rep, vec, sorted(set(c))) for x, c in by.items()]
+                yield pd.DataFrame(out, columns=["shard", "rep", "embedding", "lists"])
 
     def search(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"query": np.zeros(0, np.int64), "rep": np.zeros(0, np.int64), "score": np.zeros(0)})
@@ -250,8 +249,11 @@ def nearest(vectors: DataFrame, is_query, p: PostingParams = PostingParams(), ke
             out.append(pd.DataFrame({"query": names[i], "rep": r[order], "score": x[at][order]}))
         return pd.concat(out) if out else none
 
-    v = lists.mapInPandas(to_shards, "list int, rep long, embedding array<float>, shard int, block int")
-    q = classes.filter("asked").select("rep", "embedding").mapInPandas(ask, "shard int, block int, rep long, embedding array<float>, lists array<int>")
+    q = written(classes.filter("asked").select("rep", "embedding").mapInPandas(ask, f"shard int, rep long, embedding array<{kind}>, lists array<int>"), "asked")
+    blocks = q.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / p.query_block).cast("int").alias("blocks"))
+    q = q.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("blocks")
+    v = lists.mapInPandas(to_shards, f"list int, rep long, embedding array<{kind}>, shard int").join(blocks, "shard")
+    v = v.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     hits = q.groupBy("shard", "block").cogroup(v.groupBy("shard", "block")).applyInPandas(search, "query long, rep long, score double")
     hits = hits.dropDuplicates(["query", "rep"])
     by_class = Window.partitionBy("query").orderBy(F.desc("score"), "rep")

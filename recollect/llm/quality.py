@@ -5,8 +5,9 @@ structure statistics (shares of letters, digits, symbols, capitals and spaces, w
 words) and its length as metadata. Scores are linear terms plus low-rank pairwise interactions, computed in time linear
 in the vector: 0.5 * sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2).
 
-Cases: null and empty texts have only structure features; without labelled rows of both classes every score is 1 or 0
-as the labels are (0 without any); repeated ids are scored row by row.
+Cases: null and empty texts have only structure features; very long texts are summed piece by piece; without labelled rows
+of both classes every score is 1 or 0 as the labels are (0 without any); repeated ids are scored row by row; a table
+without rows gives none; other columns than the id and the text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -50,52 +51,114 @@ def _vectors(data: np.ndarray, offs: np.ndarray, p: QualityParams) -> Iterator[t
         yield _vector(data[s:e], p)
 
 
-def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(values, return_counts=True)
-
-
-def _vector(d: np.ndarray, p: QualityParams) -> tuple[np.ndarray, np.ndarray]:
-    n = len(d)
-    space = (d == 32) | (d >= 9) & (d <= 13)
-    upper, lower = (d >= 65) & (d <= 90), (d >= 97) & (d <= 122)
-    high, digit = d >= 128, (d >= 48) & (d <= 57)
-    letter = upper | lower | high
-    symbol = ~(space | letter | digit)
-    low = np.where(upper, d + 32, d).astype(np.uint64)
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
-    starts, ends = edge[::2], edge[1::2]
-    if n:
+class _Sums:
+    """What a text's structure comes to, piece by piece; a word or line that goes on is carried to the next piece."""
+
+    def __init__(self, p: QualityParams):
+        self.p = p
+        self.counts: np.ndarray | None = None  # of a long text's words by bucket
+        self.kinds: list[np.ndarray] = []
+        #: letters, digits, symbols, capitals, spaces, doubled symbols, letters of words, words with symbols, words, lines, bytes
+        self.n = np.zeros(11, np.int64)
+        self.lines: list[np.ndarray] = []
+        self.word, self.length, self.symbols = np.uint64(0), 0, 0  # of the word that goes on
+        self.line, self.line_words, self.last = np.uint64(0), 0, 32
+
+    def add(self, d: np.ndarray, end: bool) -> None:
+        n = len(d)
+        space = (d == 32) | (d >= 9) & (d <= 13)
+        upper, lower = (d >= 65) & (d <= 90), (d >= 97) & (d <= 122)
+        high, digit = d >= 128, (d >= 48) & (d <= 57)
+        letter = upper | lower | high
+        symbol = ~(space | letter | digit)
+        low = np.where(upper, d + 32, d).astype(np.uint64)
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
+        starts, ends = edge[::2], edge[1::2]
+        doubled = int((symbol[1:] & symbol[:-1] & (d[1:] == d[:-1])).sum()) + int(n > 0 and bool(symbol[0]) and d[0] == self.last)
+        goes_on = n > 0 and not space[0] and self.length > 0
+        if self.length and not goes_on and n:  # the carried word ended with its piece
+            ended = np.array([self.word])
+            self._words(ended, np.array([self.length]), np.array([self.symbols]))
+            self.line, self.line_words = (ended * np.uint64(3) + np.uint64(1) + self.line)[0], self.line_words + 1
+            self.word, self.length, self.symbols = np.uint64(0), 0, 0
+        at = np.zeros(n, np.uint64)
+        at[starts] = starts
+        at = np.maximum.accumulate(at) if n else at
+        place = np.arange(n, dtype=np.uint64) - at
+        if goes_on:
+            place[: ends[0]] += np.uint64(self.length)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((low + np.uint64(1)) * tb.mix64(np.arange(n, dtype=np.uint64) - starts_of(n, starts)), out=sums[1:])
-        words = sums[ends] - sums[starts]
-    else:
-        words = np.zeros(0, np.uint64)
-    kinds, counts = _runs(tb.mix64(words) >> np.uint64(64 - p.bits))
-    values = np.sqrt(counts)
-    values /= max(1e-9, np.sqrt((values**2).sum()))
-    line_at = np.concatenate([[0], np.flatnonzero(d == 10) + 1, [n]])
-    in_line = np.searchsorted(starts, line_at)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(words * np.uint64(3) + np.uint64(1))]) if len(words) else np.zeros(1, np.uint64)
-    lines = (sums[in_line[1:]] - sums[in_line[:-1]])[np.diff(in_line) > 0]
-    sym = np.concatenate([[0], np.cumsum(symbol)])
-    doubled = symbol[1:] & symbol[:-1] & (d[1:] == d[:-1]) if n > 1 else np.zeros(0, bool)
-    one, w = max(1, n), max(1, len(words))
-    stats = [
-        letter.sum() / one, digit.sum() / one, symbol.sum() / one, upper.sum() / max(1, letter.sum()), space.sum() / one, (ends - starts).sum() / w,
-        (sym[ends] - sym[starts] >= 2).sum() / w, w / max(1, len(lines)), 1 - len(np.unique(lines)) / max(1, len(lines)), 1 - len(kinds) / w, len(words), n, doubled.sum() / one,
-    ]
-    lengths = np.array([x in ("word_length", "line_words", "words", "bytes") for x in STATS])
-    got = np.array(stats, float)
-    bins = np.where(lengths, np.searchsorted(LENGTHS, got), np.searchsorted(SHARES, got))
-    at = (1 << p.bits) + np.arange(len(STATS)) * BINS + bins
-    return np.concatenate([kinds.astype(np.int64), at]), np.concatenate([values, np.full(len(STATS), 0.5)])
-
-
-def starts_of(n: int, starts: np.ndarray) -> np.ndarray:
-    """For each byte, where the word begins that it lies in or that came before it."""
-    at = np.zeros(n, np.uint64)
-    at[starts] = starts
-    return np.maximum.accumulate(at)
+        np.cumsum((low + np.uint64(1)) * tb.mix64(place), out=sums[1:])
+        sym = np.concatenate([[0], np.cumsum(symbol)])
+        words, lens, syms = sums[ends] - sums[starts], ends - starts, sym[ends] - sym[starts]
+        if goes_on:
+            words[:1] += self.word
+            lens[0] += self.length
+            syms[0] += self.symbols
+            self.word, self.length, self.symbols = np.uint64(0), 0, 0
+        open_word = len(words) > 0 and not end and not space[-1]
+        done = len(words) - open_word
+        self._words(words[:done], lens[:done], syms[:done])
+        # Lines are told by their words; the first one may go on, and the last one is carried.
+        breaks = np.flatnonzero(d == 10)
+        in_line = np.concatenate([[0], np.searchsorted(starts, breaks), [len(words)]])
+        in_line = np.minimum(in_line, done)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words[:done] * np.uint64(3) + np.uint64(1))])
+        lines, size = sums[in_line[1:]] - sums[in_line[:-1]], np.diff(in_line)
+        lines[:1] += self.line
+        size[0] += self.line_words
+        self.line, self.line_words = lines[-1], size[-1]
+        if not end:
+            lines, size = lines[:-1], size[:-1]
+        lines = lines[size > 0]
+        self.lines.append(np.unique(lines))
+        if len(self.lines) > 64:
+            self.lines = [np.unique(np.concatenate(self.lines))]
+        if open_word:
+            self.word, self.length, self.symbols = words[-1], int(lens[-1]), int(syms[-1])
+        self.last = int(d[-1]) if n and symbol[-1] else 32
+        self.n += [letter.sum(), digit.sum(), symbol.sum(), upper.sum(), space.sum(), doubled, 0, 0, 0, len(lines), n]
+
+    def _words(self, words: np.ndarray, lens: np.ndarray, syms: np.ndarray) -> None:
+        self.kinds.append(tb.mix64(words) >> np.uint64(64 - self.p.bits))
+        if len(self.kinds) > 64:
+            if self.counts is None:
+                self.counts = np.zeros(1 << self.p.bits, np.int64)
+            for k in self.kinds:
+                self.counts += np.bincount(k.astype(np.int64), minlength=len(self.counts))
+            self.kinds = []
+        self.n[6:9] += [lens.sum(), (syms >= 2).sum(), len(words)]
+
+    def vector(self) -> tuple[np.ndarray, np.ndarray]:
+        p = self.p
+        kinds, counts = np.unique(np.concatenate(self.kinds or [np.zeros(0, np.uint64)]), return_counts=True)
+        if self.counts is not None:
+            np.add.at(self.counts, kinds.astype(np.int64), counts)
+            kinds = np.flatnonzero(self.counts)
+            counts = self.counts[kinds]
+        values = np.sqrt(counts)
+        values /= max(1e-9, np.sqrt((values**2).sum()))
+        letter, digit, symbol, upper, space, doubled, length, odd, words, lines, size = (int(x) for x in self.n)
+        one, w = max(1, size), max(1, words)
+        distinct = len(np.unique(np.concatenate(self.lines or [np.zeros(0, np.uint64)])))
+        stats = [
+            letter / one, digit / one, symbol / one, upper / max(1, letter), space / one, length / w,
+            odd / w, w / max(1, lines), 1 - distinct / max(1, lines), 1 - len(kinds) / w, words, size, doubled / one,
+        ]
+        got = np.array(stats, float)
+        bins = np.where(_LENGTHS, np.searchsorted(LENGTHS, got), np.searchsorted(SHARES, got))
+        at = (1 << p.bits) + np.arange(len(STATS)) * BINS + bins
+        return np.concatenate([kinds.astype(np.int64), at]), np.concatenate([values, np.full(len(STATS), 0.5)])
+
+
+_LENGTHS = np.array([x in ("word_length", "line_words", "words", "bytes") for x in STATS])
+
+
+def _vector(d: np.ndarray, p: QualityParams, size: int = tb.LONG) -> tuple[np.ndarray, np.ndarray]:
+    sums = _Sums(p)
+    for s, e in tb.cut_points(d, size) if len(d) else [(0, 0)]:
+        sums.add(d[s:e], e == len(d))
+    return sums.vector()
 
 
 def features(rows: DataFrame, p: QualityParams) -> DataFrame:

@@ -1,7 +1,8 @@
 """Array views over Arrow text columns, so that operators work on whole batches without a Python string for each row.
 
 A batch is cut into blocks of about `BLOCK` bytes, so that temporary arrays stay small whatever the batch; a document
-that is longer than a block makes a block of its own.
+that is longer than a block makes a block of its own. One longer than `LONG` bytes is worked on in pieces, from which
+sums and sets are carried, so that it needs no array of its own length.
 """
 
 from __future__ import annotations
@@ -12,12 +13,14 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK = 1 << 18
+LONG = 1 << 20
 
 _LOWER = np.arange(0x600, dtype=np.uint32)
 for _c in range(0x600):
     if len(chr(_c).lower()) == 1:
         _LOWER[_c] = ord(chr(_c).lower())
-_LETTER = np.array([chr(c).isalpha() for c in range(0x3000)])
+#: Unicode's letters (categories L*), of all code points.
+_LETTER = np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000)
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -56,8 +59,32 @@ def lowered(chars: np.ndarray) -> np.ndarray:
 
 
 def letters(chars: np.ndarray) -> np.ndarray:
-    """Which code points are letters; from U+3000 all but private use and surrogates count."""
-    return _LETTER[np.minimum(chars, 0x2FFF)] & (chars < 0x3000) | (chars >= 0x3040) & (chars < 0xD7B0) | (chars >= 0xF900) & (chars < 0xFB50)
+    """Which code points are letters."""
+    return _LETTER[chars]
+
+
+def is_long(data: np.ndarray, offs: np.ndarray) -> bool:
+    return len(offs) == 2 and len(data) > LONG
+
+
+def cut_points(data: np.ndarray, size: int = BLOCK) -> Iterator[tuple[int, int]]:
+    """(begin, end) of pieces of about `size` bytes that begin and end between characters."""
+    at = 0
+    while at < len(data):
+        end = min(at + size, len(data))
+        while end < len(data) and data[end] & 0xC0 == 0x80:
+            end += 1
+        yield at, end
+        at = end
+
+
+def pieces(data: np.ndarray, before: int, size: int = BLOCK) -> Iterator[tuple[np.ndarray, int]]:
+    """(code points, how many of them are of the piece before) of a long text's pieces; up to `before` are kept."""
+    kept = np.zeros(0, np.uint32)
+    for s, e in cut_points(data, size):
+        chars = np.concatenate([kept, code_points(data[s:e], np.array([0, e - s]))[0]])
+        yield chars, len(kept)
+        kept = chars[max(0, len(chars) - before) :]
 
 
 def doc_of(offs: np.ndarray) -> np.ndarray:

@@ -4,8 +4,10 @@ Texts are lower-cased and cut into n-grams of code points that are hashed to a t
 feature or not, however often. The log-count ratio of a bucket scales its feature, and a logistic regression is fitted on
 the scaled features; weight and ratio are folded into one table, so that scoring is one sum over a document's buckets.
 
-Cases: null and empty texts, and texts shorter than the shortest n-gram, score as a document without features; without
-labelled rows of both classes every score is the share of label 1 (0 if there are none); repeated ids are scored row by row.
+Cases: null and empty texts, and texts shorter than the shortest n-gram, score as a document without features; very long
+texts are read piece by piece into one set of features; without labelled rows of both classes every score is the share of
+label 1 (0 if there are none); repeated ids are scored row by row; a table without rows gives none; other columns than the
+id and the text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,6 +41,14 @@ class ToxicityParams:
 
 def _buckets(data: np.ndarray, offs: np.ndarray, p: ToxicityParams) -> Iterator[np.ndarray]:
     """The distinct buckets of each row of a block."""
+    if tb.is_long(data, offs):
+        seen = np.zeros(1 << p.bits, bool)
+        for chars, _ in tb.pieces(data, max(p.orders) - 1):
+            chars = tb.lowered(chars)
+            for n in p.orders:
+                seen[tb.gram_buckets(chars, n, p.bits, p.seed)] = True
+        yield np.flatnonzero(seen).astype(np.uint32)
+        return
     chars, starts = tb.code_points(data, offs)
     chars = tb.lowered(chars)
     grams = [(n, tb.gram_buckets(chars, n, p.bits, p.seed)) for n in p.orders]

@@ -146,12 +146,30 @@ def test_metric_join(spark):
     n = {i: sum(i in x for x in links) for i, _, _ in rows}
     label = least([i for i, _, _ in rows], links)
     assert len(links) > 50
-    for p in (metric_join.MetricJoinParams(), metric_join.MetricJoinParams(per_pivot=5, home_block=4, member_block=8)):
+    for p in (metric_join.MetricJoinParams(), metric_join.MetricJoinParams(per_pivot=5, home_block=4, member_block=8), metric_join.MetricJoinParams(min_pivots=2, max_pivots=2, home_block=3, member_block=5, rings=4)):
         got = metric_join.metric_links(df, p).collect()
         assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got} == {i: (n[i], label[i], label[i] == i) for i, _, _ in rows}
     assert metric_join.metric_links(df.limit(0)).count() == 0
 
 
+def test_metric_join_decides_alike_from_both_ends(spark):
+    """Vectors at the threshold, in doubles and of very different lengths: links are symmetric, and have several pivots."""
+    random = np.random.default_rng(19)
+    rows = []
+    for k in range(40):
+        a = random.normal(size=6)
+        b = random.normal(size=6)
+        b -= a * (a @ b) / (a @ a)
+        c = 0.98 * a / np.linalg.norm(a) + np.sqrt(1 - 0.98**2) * b / np.linalg.norm(b)
+        rows += [(2 * k, (a * 1e200).tolist(), 1), (2 * k + 1, (c * 1e-200).tolist(), 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in metric_join.metric_links(df, metric_join.MetricJoinParams(home_block=8, member_block=8)).collect()}
+    n = sum(r["n_links"] for r in got.values())
+    assert n % 2 == 0 and n == 2 * sum(not r["kept"] for r in got.values())
+    classes = df.withColumns({"rep": F.col("vec_id"), "dim": F.size("embedding")})
+    assert len(metric_join._pivots(classes, metric_join.MetricJoinParams())[6]) == 8
+
+
 @pytest.mark.parametrize("column", ["vec_id", "label", "embedding"])
 def test_metric_join_nulls(spark, column):
     df = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1)], "vec_id long, embedding array<float>, label int")

@@ -17,7 +17,7 @@ def test_nearest_recall_and_ties(spark):
     rows = [(i, list(map(float, v))) for i, v in enumerate(x)] + [(3001, None), (3020, [0.0] * 16), (3040, [1.0]), (3060, [float("nan")] * 16), (None, [1.0] * 16), (40, list(map(float, x[40])))]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"rep": F.lit(1), "list": F.lit(2)})
     got = {}
-    for r in posting_lists.nearest(df, F.col("vec_id") % 20 == 0, posting_lists.PostingParams(per_list=60, shard=500, query_block=40)).collect():
+    for r in posting_lists.nearest(df, F.col("vec_id") % 20 == 0, posting_lists.PostingParams(shard=500, query_block=40)).collect():
         got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
     assert set(got) == set(range(0, 3000, 20))
     exact = x.astype(np.float64)
@@ -36,6 +36,31 @@ def test_nearest_recall_and_ties(spark):
     assert [got[100][k][0] for k in range(1, 21)] == [99, *range(101, 120)] or got[100][1][1] > exact[100] @ exact[100]
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_the_query_s_own_parameters_reach_recall(spark, sf):
+    """Several lists, and recall as the contract asks, with nothing but the defaults."""
+    df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    ids, x = zip(*((r["vec_id"], r["embedding"]) for r in df.collect()), strict=True)
+    ids, x = np.array(ids), np.array(x, np.float64)
+    got = {}
+    for r in posting_lists.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    recall = []
+    for q in ids[ids % 20 == 0]:
+        s = x @ x[ids == q][0]
+        s[ids == q] = -np.inf
+        recall.append(len(set(ids[np.argsort(-s)[:20]]) & got[q]) / 20)
+    assert len(recall) == len(got) and np.mean(recall) >= 0.9
+    assert len(posting_lists.fit(x, (x * x).sum(1).max(), len(x), posting_lists.PostingParams())[0].at) >= 8
+
+
+def test_nearest_keeps_doubles(spark):
+    rows = [(0, [1.0, 1e-12]), (1, [1.0, 2e-12]), (2, [1.0, 3e-12])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = posting_lists.nearest(df, F.col("vec_id") == 0, posting_lists.PostingParams(k=2)).collect()
+    assert {r["vec_id"]: r["score"] for r in got} == {1: 1.0 + 2e-24, 2: 1.0 + 3e-24}
+
+
 def test_nearest_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.5, 0.5]), (3, [0.0, 1.0])], "vec_id long, embedding array<float>")
     got = posting_lists.nearest(df, F.col("vec_id") % 20 == 0).collect()
