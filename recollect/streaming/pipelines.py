@@ -1,25 +1,27 @@
-"""Structured Streaming pipelines: event-time windows with watermarks, deduplication, upserts, and alert state.
+"""Structured Streaming pipelines: event-time windows with watermarks, deduplication, upserts, keyed state.
 
-Sinks and checkpoints are folders in the cluster's shared folder. Each function takes a stream and gives a stream;
-`available` runs one over all that is there now and gives the sink's rows.
+Sinks and checkpoints are folders in the cluster's shared folder; a caller that names one gets a stream that goes on where
+the last run ended. Each function takes a stream and gives a stream; `available` runs one over all that is there now and
+gives the sink's rows. State that is keyed by path, conversation or source is a few values for each key.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.score import micros
+from ..operators import graph
 
 
 def shared_dir(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="recollect-")
-    return f"{found.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder in the shared one."""
+    return f"{graph.shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def opened(spark: SparkSession, path: str, per_trigger: int | None = None) -> DataFrame:
@@ -29,9 +31,12 @@ def opened(spark: SparkSession, path: str, per_trigger: int | None = None) -> Da
     return (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def available(stream: DataFrame) -> DataFrame:
-    """Runs an append-mode stream over all that is available, and reads its sink. The order of the columns stays."""
-    at = shared_dir(stream.sparkSession)
+def available(stream: DataFrame, at: str | None = None) -> DataFrame:
+    """Runs an append-mode stream over all that is available, and reads its sink. The order of the columns stays.
+
+    With a folder `at`, the next run goes on after the rows that this one has read.
+    """
+    at = at or shared_dir(stream.sparkSession)
     query = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/out")
@@ -58,41 +63,142 @@ def deduplicated(stream: DataFrame, keys: list[str], ts: str = "ts", delay: str
     return _timed(stream, ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def upserted(stream: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key after all that is available, by foreachBatch over two versions of a table.
+def upserted(stream: DataFrame, key: str, order: str, at: str | None = None, buckets: int = 64) -> DataFrame:
+    """The last row of each key after all that is available, by foreachBatch over a table that is cut by a hash of the key.
 
-    A batch that is run again writes the same version again, so that a lost driver does no harm.
+    A batch writes the buckets that it has rows for, and reads those alone; of a bucket the newest batch counts. A batch
+    that is run again writes the same folder again, so that a lost driver does no harm, and `at` names a table to go on with.
     """
     from ..operators.facts import latest
 
-    spark, at = stream.sparkSession, shared_dir(stream.sparkSession)
+    spark, at = stream.sparkSession, at or shared_dir(stream.sparkSession)
     schema = stream.schema
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        old = batch.sparkSession.read.schema(schema).parquet(f"{at}/v{epoch - 1}") if epoch else batch.limit(0)
-        latest(old.unionByName(batch), [key], F.desc(order), F.desc("event_id")).write.mode("overwrite").parquet(f"{at}/v{epoch}")
-        seen.append(epoch)
+        own = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        rows = own
+        if epoch:
+            old = _current(batch.sparkSession, at, schema, epoch)
+            rows = own.unionByName(old.join(F.broadcast(own.select("bucket").distinct()), "bucket", "left_semi").select(own.columns))  # `buckets` rows
+        latest(rows, [key], F.desc(order), F.desc("event_id")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/table/epoch={epoch}")
 
-    seen: list[int] = []
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(f"{at}/v{max(seen)}") if seen else spark.createDataFrame([], schema)
+    return _current(spark, at, schema, None).select(schema.names)
+
+
+def _current(spark: SparkSession, at: str, schema, before: int | None) -> DataFrame:
+    """Rows of the newest batch of each bucket, of those before a batch."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/table")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], schema).withColumns({"epoch": F.lit(0), "bucket": F.lit(0)})
+    rows = spark.read.schema(StructType([*schema.fields, StructField("epoch", IntegerType()), StructField("bucket", IntegerType())])).parquet(f"{at}/table")
+    rows = rows if before is None else rows.filter(F.col("epoch") < before)
+    newest = rows.select("bucket", "epoch").groupBy("bucket").agg(F.max("epoch").alias("epoch"))  # a row for each bucket
+    return rows.join(F.broadcast(newest), ["bucket", "epoch"], "left_semi")
+
 
+def _keyed(stream: DataFrame, keys: list[str], schema: str, state: str, step: Callable, order: list[str], timeout: str = "NoTimeout") -> DataFrame:
+    """Rows that `step(key, rows in order, state or None)` gives with the new state, for each key."""
 
-def alerts(stream: DataFrame, key: str, ok: str, threshold: int = 2) -> DataFrame:
-    """(key, event_id): fires at the `threshold`-th failure in a row, once for each row of failures; state is a counter for each key."""
+    def run(name: tuple, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
+        out, now, until = step(name, rows, tuple(held.get) if held.exists else None)
+        held.update(now)
+        if until is not None:
+            held.setTimeoutTimestamp(max(until, held.getCurrentWatermarkMs() + 1))
+        yield out
 
-    def step(name: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        run = state.get[0] if state.exists else 0
+    return stream.groupBy(*keys).applyInPandasWithState(run, schema, state, "append", timeout)
+
+
+def alerts(stream: DataFrame, key: str, ok: str, threshold: int = 2, again_us: int | None = None) -> DataFrame:
+    """(key, event_id): fires at the `threshold`-th failure in a row, and while failures go on, again with the first one
+    that is `again_us` after the last alert (never, if it isn't given). The stream has event_id, us and ok."""
+
+    def step(name: tuple, rows: pd.DataFrame, held):
+        run, last = held or (0, 0)
         out = []
-        rows = pd.concat(list(frames)).sort_values("event_id")
-        for event, fine in zip(rows["event_id"], rows[ok], strict=True):
+        for event, us, fine in zip(rows["event_id"], rows["us"], rows[ok], strict=True):
             run = 0 if fine else run + 1
-            if run == threshold:
+            if run == threshold or run > threshold and again_us is not None and us - last >= again_us:
                 out.append(event)
-        state.update((run,))
-        yield pd.DataFrame({key: [name[0]] * len(out), "event_id": out}).astype({"event_id": "int64"})
+                last = int(us)
+        return pd.DataFrame({key: [name[0]] * len(out), "event_id": out}).astype({"event_id": "int64"}), (run, last), None
+
+    return _keyed(stream, [key], f"{key} long, event_id long", "run int, last long", step, ["event_id"])
 
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} long, event_id long", "run int", "append", "NoTimeout")
+
+def changed_files(stream: DataFrame, idle_us: int = 15 * 60_000_000) -> DataFrame:
+    """(path, size, listed_us) of files to parse whole: of another size than when they were parsed last, and quiet for a
+    while when they were listed. The stream is of listings (path, size, modified_us, listed_us)."""
+
+    def step(name: tuple, rows: pd.DataFrame, held):
+        size = held[0] if held else -1
+        out = []
+        for now, modified, listed in zip(rows["size"], rows["modified_us"], rows["listed_us"], strict=True):
+            if now != size and listed - modified >= idle_us:
+                out.append((name[0], now, listed))
+                size = int(now)
+        return pd.DataFrame(out, columns=["path", "size", "listed_us"]).astype({"size": "int64", "listed_us": "int64", "path": "str"}), (size,), None
+
+    return _keyed(stream, ["path"], "path string, size long, listed_us long", "size long", step, ["listed_us"])
+
+
+def retried(stream: DataFrame, most: int = 3, min_confidence: float = 0.0) -> DataFrame:
+    """(path, nth, failures, verdict) of attempts (path, nth, size, failed, confidence): `done`, `skipped` for a result of low
+    confidence, `retry`, and `dead` from the `most`-th failure in a row on. A path whose size changed starts anew."""
+
+    def step(name: tuple, rows: pd.DataFrame, held):
+        size, failures = held or (-1, 0)
+        out = []
+        for nth, now, failed, sure in zip(rows["nth"], rows["size"], rows["failed"], rows["confidence"], strict=True):
+            failures = (failures if now == size else 0) + 1 if failed else 0
+            size = int(now)
+            verdict = ("dead" if failures >= most else "retry") if failed else "skipped" if sure < min_confidence else "done"
+            out.append((name[0], nth, failures, verdict))
+        return pd.DataFrame(out, columns=["path", "nth", "failures", "verdict"]), (size, failures), None
+
+    return _keyed(stream, ["path"], "path string, nth long, failures int, verdict string", "size long, failures int", step, ["nth"])
+
+
+def surfaced_first(stream: DataFrame, conversation: str = "conversation_id", dormant_us: int = 24 * 3_600_000_000, ts: str = "ts") -> DataFrame:
+    """(conversation, id, us): ids that a conversation hasn't been shown yet. A conversation that is quiet for longer than
+    `dormant_us` is forgotten: by the order of its rows at once, and by the watermark for what stays quiet."""
+    timed = _timed(stream, ts, "10 minutes").select(conversation, "id", ts, micros(F.col(ts)).alias("us"))
+
+    def step(name: tuple, rows: pd.DataFrame, held):
+        ids, last = (set(held[0]), held[1]) if held else (set(), None)
+        out = []
+        for i, us in zip(rows["id"], rows["us"], strict=True):
+            if last is not None and us - last > dormant_us:
+                ids = set()
+            last = int(us)
+            if i not in ids:
+                ids.add(i)
+                out.append((name[0], i, last))
+        frame = pd.DataFrame(out, columns=[conversation, "id", "us"]).astype({"us": "int64"})
+        return frame, (sorted(ids), last), (last + dormant_us) // 1000
+
+    return _keyed(timed, [conversation], f"{conversation} string, id string, us long", "ids array<string>, last long", step, ["us", "id"], "EventTimeTimeout")
+
+
+def drained(stream: DataFrame, sinks: dict[str, Callable[[DataFrame], DataFrame]], at: str | None = None) -> dict[str, DataFrame]:
+    """Each sink's rows after all that is available. Sinks are written one after the other, the first ones before, and
+    whatever becomes of, the later ones; a batch that is run again writes the same folders."""
+    spark, at = stream.sparkSession, at or shared_dir(stream.sparkSession)
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.persist()
+        for name, made in sinks.items():
+            made(batch).write.mode("overwrite").parquet(f"{at}/{name}/epoch={epoch}")
+        batch.unpersist()
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    empty = spark.createDataFrame([], stream.schema)
+    return {name: spark.read.schema(made(empty).schema).option("recursiveFileLookup", True).parquet(f"{at}/{name}") for name, made in sinks.items()}
 
 
 def alerts_batch(rows: DataFrame, key: str, ok: str, order: str, threshold: int = 2) -> DataFrame:
@@ -104,21 +210,3 @@ def alerts_batch(rows: DataFrame, key: str, ok: str, order: str, threshold: int
     bad = rows.withColumn("island", island).filter(~F.col(ok))
     place = F.row_number().over(Window.partitionBy(key, "island").orderBy(order))
     return bad.withColumn("r", place).filter(F.col("r") == threshold).select(key, order)
-
-
-def failures(state: DataFrame, attempts: DataFrame, most: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(retry, dead): paths to try again and those given up; a path whose size changed starts anew.
-
-    `state` has (path, size, failures); `attempts` (path, size, failed).
-    """
-    rows = attempts.join(state.select("path", F.col("size").alias("old"), "failures"), "path", "left")
-    before = F.when(F.col("old") == F.col("size"), F.coalesce("failures", F.lit(0))).otherwise(0)
-    rows = rows.select("path", "size", F.when(F.col("failed"), before + 1).otherwise(0).alias("failures"))
-    return rows.filter(F.col("failures").between(1, most - 1)), rows.filter(F.col("failures") >= most)
-
-
-def changed(files: DataFrame, state: DataFrame, now_us: int, idle_minutes: int = 15) -> DataFrame:
-    """Files to parse: of another size than last time, and quiet for a while."""
-    rows = files.join(state.select("path", F.col("size").alias("old")), "path", "left")
-    quiet = (F.lit(now_us) - F.col("modified_us")) >= idle_minutes * 60_000_000
-    return rows.filter((F.col("old").isNull() | (F.col("old") != F.col("size"))) & quiet).select("path", "size")

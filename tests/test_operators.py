@@ -303,3 +303,22 @@ def test_nearest_answers_any_number_of_queries(spark, threshold):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     order = ((asked[:, None] - near[None]) ** 2).sum(2).argsort(1)
     assert got == [(q, r + 1, int(order[q, r])) for q in range(len(asked)) for r in range(2)]
+
+
+def test_streams_go_on_where_they_ended(spark, tmp_path):
+    """Two runs over a folder that grows: state and tables are those of one run over all."""
+    from recollect.streaming import pipelines as p
+
+    rows = [(i, f"k{i % 3}", f"2024-01-0{1 + i // 8} 0{i % 8}:00:00", i % 4 != 0) for i in range(16)]
+    frame = lambda part: spark.createDataFrame(part, "event_id long, k string, at string, ok boolean").select("event_id", "k", F.to_timestamp("at").alias("ts"), "ok")
+    seen = []
+    for part in (rows[:9], rows[9:]):
+        frame(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/t")
+        stream = p.opened(spark, f"{tmp_path}/in/t")
+        table = p.upserted(stream, "k", "ts", at=f"{tmp_path}/up", buckets=4)
+        first = p.available(p.surfaced_first(stream.select(F.col("k").alias("conversation_id"), F.lit("s").alias("id"), "ts"), dormant_us=20 * 3_600_000_000), at=f"{tmp_path}/memo")
+        fired = p.available(p.alerts(stream.select(F.lit(1).cast("long").alias("one"), "event_id", F.unix_micros("ts").alias("us"), (F.col("event_id") % 5 == 0).alias("ok")), "one", "ok", again_us=7_200_000_000), at=f"{tmp_path}/fired")
+        seen.append((values(table, "k", "event_id"), values(first, "conversation_id", "us"), values(fired, "event_id")))
+    assert seen[0][0] == [("k0", 6), ("k1", 7), ("k2", 8)] and seen[1][0] == [("k0", 15), ("k1", 13), ("k2", 14)]
+    assert len(seen[0][1]) == 3 and len(seen[1][1]) == 3  # a day isn't long enough for any of them to be forgotten
+    assert seen[1][2] == [(2,), (4,), (7,), (8,), (12,), (14,)]
