@@ -3,8 +3,9 @@
 Vectors are points on the unit sphere, where cosine >= t is distance <= r = sqrt(2 - 2 t). Pivots partition them: a
 vector's home is its nearest pivot's cell. A vector y within r of some x at home in cell p can't lie farther than r behind
 the plane between p and its own pivot q, as |x - y| <= r: (d(y,p)^2 - d(y,q)^2) / (2 d(p,q)) <= r. Where that holds, y is
-replicated to cell p, and all links of x are found in its home cell. Cells join independently; in a cell, blocks are
-sorted by distance to the pivot, and pairs of blocks whose ranges lie more than r apart are skipped (triangle inequality).
+replicated to cell p, if p comes before its own: a link across cells is found in the first of the two, and counts for both
+ends there. Cells join independently; in a cell, blocks are sorted by distance to the pivot, and pairs of blocks whose
+ranges lie more than r apart are skipped (triangle inequality).
 
 Equal vectors are one beforehand. A cell with many vectors at home is cut into rings by their distance to the pivot, and a
 member only goes to the rings that lie within r of its own distance (triangle inequality again). Rings and members are
@@ -87,6 +88,7 @@ def _cells(classes: DataFrame, p: MetricJoinParams, kind: str) -> DataFrame:
                     home = dist.argmin(1)
                     apart = np.sqrt(np.maximum(1e-12, 2 - 2 * at @ at.T))[home]
                     keep = (dist**2 - dist.min(1, keepdims=True) ** 2) / (2 * apart) <= r
+                    keep &= np.arange(len(at)) < home[:, None]
                     keep[np.arange(len(x)), home] = True
                 row, cell = np.nonzero(keep)
                 out = part.iloc[row].reset_index(drop=True)
@@ -112,7 +114,7 @@ def _placed(cells: DataFrame, p: MetricJoinParams) -> DataFrame:
     hashed = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     nm = members.groupBy(*key, "ring").agg(F.ceil(F.count(F.lit(1)) / p.member_block).alias("nm"))
     blocks = homes.groupBy(*key, "ring").agg(F.ceil(F.count(F.lit(1)) / p.home_block).alias("nh")).join(nm, [*key, "ring"])
-    names = [*key, "ring", "i", "j", "rep", "copies", "embedding", "dist"]
+    names = [*key, "ring", "i", "j", "rep", "copies", "embedding", "dist", "home"]
     left = homes.join(blocks, [*key, "ring"]).withColumn("i", hashed("nh")).withColumn("j", spread("nm")).select(*names, F.lit(True).alias("as_home"))
     right = members.join(blocks, [*key, "ring"]).withColumn("j", hashed("nm")).withColumn("i", spread("nh")).select(*names, F.lit(False).alias("as_home"))
     return left.union(right)
@@ -131,7 +133,8 @@ def _compare(pdf: pd.DataFrame, cosine: float) -> pd.DataFrame:
     ix, iy, r = own["rep"].to_numpy(), other["rep"].to_numpy(), np.sqrt(2 - 2 * cosine) + SLACK
     names, col = np.unique(np.concatenate([ix, iy]), return_inverse=True)
     cx, cy = col[: len(ix)], col[len(ix) :]
-    count, star = np.zeros(len(ix), np.int64), np.arange(len(names))
+    foreign, mine = ~other["home"].to_numpy(), own["copies"].to_numpy()
+    count, star = np.zeros(len(names), np.int64), np.arange(len(names))
     for s in range(0, len(ix), 256):
         lo, hi = np.searchsorted(dy, [dx[s] - r, dx[min(s + 255, len(ix) - 1)] + r])
         c = x[s : s + 256] @ y[lo:hi].T
@@ -139,13 +142,15 @@ def _compare(pdf: pd.DataFrame, cosine: float) -> pd.DataFrame:
         a, b = np.nonzero(np.abs(c - cosine) < 1e-9)
         near[a, b] = exact_cosine(sx[s + a], sy[lo + b]) >= cosine
         near &= ix[s : s + 256, None] != iy[None, lo:hi]
-        count[s : s + 256] = near @ weight[lo:hi]
+        count[cx[s : s + 256]] += near @ weight[lo:hi]
+        far = np.flatnonzero(foreign[lo:hi])
+        count[cy[lo + far]] += near[:, far].T @ mine[s : s + 256]
         a, b = np.nonzero(near)
         star = _merge(star, cx[s + a], cy[lo + b])
     moved = np.flatnonzero(star != np.arange(len(names)))
     some = np.flatnonzero(count)
     return pd.DataFrame({
-        "a": np.concatenate([ix[some], names[star[moved]]]),
+        "a": np.concatenate([names[some], names[star[moved]]]),
         "b": pd.array(np.concatenate([np.zeros(len(some), np.int64), names[moved]]), "Int64"),
         "n": np.concatenate([count[some], np.zeros(len(moved), np.int64)]),
     }) if len(some) + len(moved) else none

@@ -4,17 +4,23 @@ Documents fall into cells of source, language and topic. The cells' token weight
 three in turn, round by round, and a document is kept with its cell's calibrated probability: the raked weight over the
 cell's own tokens, times a factor that brings the expected tokens to `keep` of all, clipped at 1 and solved again for the
 rest. Whether a document is kept depends on a hash of its id only. Column expressions only: the texts are summed to cells
-before the shuffle, and all rounds work on the cells, whose number doesn't grow with the documents.
+before the shuffle, and all rounds work on the cells, of which there are at most as many as values of the three together.
 
-Targets are by default each value's share of tokens to the power `temper`, scaled to 1; or a table (value, share).
+Rounds end when every marginal is met within `tolerance`. Where no weights meet them all (a cell that has no document can't
+get any), they end after `rounds`, with a warning that says how far off the worst one is, or with an error if `strict`.
+
+Targets are by default each value's share of tokens to the power `temper`, scaled to 1; or a table (value, share). Topics
+are a column of your own, or by default a coarse one from marks in the text.
 
 Cases: a null source or language is a value of its own (''), and so is a null text's topic (`none`); a document without
 a word has weight 0, and its cell's probability if the cell has tokens, else 0; a null id hashes as the empty text;
-repeated rows are kept or dropped alike; columns of the names that are added are replaced; an empty table gives no rows; values without a target share are not kept.
+repeated rows are kept or dropped alike; very long texts are counted where they are read;
+columns of the names that are added are replaced; an empty table gives no rows; values without a target share are not kept.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,9 +36,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 class MixParams:
     temper: float = 0.7
     keep: float = 0.5
-    rounds: int = 10
+    rounds: int = 60
+    #: Largest miss of a marginal, as a share of all tokens.
+    tolerance: float = 1e-10
+    strict: bool = False
     clips: int = 4
-    #: Rounds between two tables, to keep plans short.
+    #: Rounds between two tables, to keep plans short and to see whether marginals are met.
     cut: int = 5
 
 
@@ -55,28 +64,36 @@ def featured(docs: DataFrame, topic: Column | None = None) -> DataFrame:
 def probabilities(rows: DataFrame, p: MixParams = MixParams(), targets: dict[str, DataFrame] | None = None) -> DataFrame:
     """(source, language, topic, tokens, weight, p) of each cell of rows from `featured`."""
     cells = rows.groupBy(*DIMENSIONS).agg(F.sum("m_tokens").alias("t")).filter("t > 0")
-    every = Window.partitionBy(F.lit(1))  # over the cells, not the documents
-    cells = cells.withColumn("all", F.sum("t").over(every).cast("double")).withColumn("w", F.col("t") / F.col("all"))
+    cells = written(cells, "cells")
+    total = float(cells.agg(F.sum("t")).first()[0] or 0)
+    cells = cells.withColumn("all", F.lit(total)).withColumn("w", F.col("t") / F.lit(total or 1.0))
     for d in DIMENSIONS:
-        own = Window.partitionBy(d)
         if targets and d in targets:
-            cells = cells.join(targets[d].select(F.col("value").alias(d), F.col("share").cast("double").alias(f"g_{d}")), d)
+            shares = targets[d].select(F.col("value").alias(d), F.col("share").cast("double").alias(f"g_{d}"))
         else:
-            share = F.pow(F.sum("t").over(own) / F.col("all"), F.lit(p.temper))
-            cells = cells.withColumn(f"q_{d}", share).withColumn(f"n_{d}", F.count(F.lit(1)).over(own))
-            cells = cells.withColumn(f"g_{d}", F.col(f"q_{d}") / F.sum(F.col(f"q_{d}") / F.col(f"n_{d}")).over(every)).drop(f"q_{d}", f"n_{d}")
-    cells = written(cells, "cells")
-    for k in range(1, p.rounds + 1):
-        for d in DIMENSIONS:
-            cells = cells.withColumn("w", F.col("w") * F.col(f"g_{d}") / F.sum("w").over(Window.partitionBy(d)))
-        if k % p.cut == 0 and k < p.rounds:
-            cells = written(cells, "cells")
-    cells = cells.withColumn("r", F.col("w") * F.col("all") / F.col("t")).withColumn("c", F.lit(p.keep))
+            powers = cells.groupBy(d).agg(F.pow(F.sum("t") / F.lit(total or 1.0), F.lit(p.temper)).alias("q"))
+            scale = powers.agg(F.sum("q")).first()[0] or 1.0
+            shares = powers.select(d, (F.col("q") / F.lit(scale)).alias(f"g_{d}"))
+        cells = cells.join(shares, d)
+    cells, k, miss = written(cells, "cells"), 0, 1.0
+    while k < p.rounds and miss > p.tolerance:
+        for _ in range(p.cut):
+            for d in DIMENSIONS:
+                cells = cells.withColumn("w", F.col("w") * F.col(f"g_{d}") / F.sum("w").over(Window.partitionBy(d)))
+        cells, k = written(cells, "cells"), k + p.cut
+        off = [cells.groupBy(d).agg(F.abs(F.sum("w") - F.first(f"g_{d}")).alias("off")).agg(F.max("off")).first()[0] or 0.0 for d in DIMENSIONS]
+        miss = max(off)
+    if miss > p.tolerance:
+        said = f"marginals are missed by up to {miss:.3g} after {k} rounds"
+        if p.strict:
+            raise ValueError(said)
+        warnings.warn(said, stacklevel=2)
+    cells, c = cells.withColumn("r", F.col("w") * F.col("all") / F.col("t")), p.keep
     for _ in range(p.clips):
-        full = F.col("c") * F.col("r") >= 1
-        cells = cells.withColumn("a", F.sum(F.when(full, F.col("t")).otherwise(0)).over(every)).withColumn("b", F.sum(F.when(full, 0.0).otherwise(F.col("w"))).over(every))
-        cells = cells.withColumn("c", F.when(F.col("b") > 0, F.greatest(F.lit(0.0), (p.keep * F.col("all") - F.col("a")) / F.col("all") / F.col("b"))).otherwise(F.col("c")))
-    cells = cells.withColumn("p", F.round(F.least(F.lit(1.0), F.col("c") * F.col("r")), 6))
+        full = F.lit(c) * F.col("r") >= 1
+        at, rest = cells.agg(F.sum(F.when(full, F.col("t")).otherwise(0)), F.sum(F.when(full, 0.0).otherwise(F.col("w")))).first()
+        c = max(0.0, (p.keep * total - float(at)) / total / rest) if rest else c
+    cells = cells.withColumn("p", F.round(F.least(F.lit(1.0), F.lit(c) * F.col("r")), 6))
     return written(cells.select(*DIMENSIONS, "t", "w", "p"), "cells")
 
 
@@ -106,19 +123,20 @@ def oracle(p: MixParams = MixParams()) -> str:
     for d in DIMENSIONS:
         parts.append(f"q_{d} AS (SELECT {d}, pow(sum(t) / any_value(n), {p.temper}::DOUBLE) AS q FROM c0, tot GROUP BY {d})")
         parts.append(f"g_{d} AS (SELECT {d}, q / (SELECT sum(q) FROM q_{d}) AS g FROM q_{d})")
-    parts.append("w0 AS (SELECT c0.*, t / n AS w FROM c0, tot)")
-    k = 0
-    for _ in range(p.rounds):
-        for d in DIMENSIONS:
-            parts.append(f"w{k + 1} AS MATERIALIZED (SELECT m_source, m_lang, m_topic, t, w * g / s AS w FROM w{k} JOIN g_{d} USING ({d}) JOIN (SELECT {d}, sum(w) AS s FROM w{k} GROUP BY {d}) USING ({d}))")
-            k += 1
-    parts.append(f"k0 AS (SELECT w{k}.*, w * n / t AS r, n FROM w{k}, tot)")
+    cells = ", ".join(f"g_{d}.g AS g_{d}" for d in DIMENSIONS)
+    joins = " ".join(f"JOIN g_{d} USING ({d})" for d in DIMENSIONS)
+    names = "m_source, m_lang, m_topic, t, " + ", ".join(f"g_{d}" for d in DIMENSIONS)
+    inner = f"SELECT k + 1 AS k, {names}, w * g_m_source / sum(w) OVER (PARTITION BY m_source) AS w FROM r WHERE k < {p.rounds}"
+    for d in DIMENSIONS[1:]:
+        inner = f"SELECT k, {names}, w * g_{d} / sum(w) OVER (PARTITION BY {d}) AS w FROM ({inner})"
+    parts.append(f"r AS (SELECT 0 AS k, m_source, m_lang, m_topic, t, {cells}, t / n AS w FROM c0 {joins}, tot UNION ALL {inner})")
+    parts.append(f"k0 AS (SELECT r.*, w * n / t AS r, n FROM r, tot WHERE k = {p.rounds})")
     parts.append(f"s0 AS (SELECT {p.keep}::DOUBLE AS c)")
     for i in range(p.clips):
         parts.append(f"""s{i + 1} AS (SELECT CASE WHEN sum(CASE WHEN c * r >= 1 THEN 0 ELSE w END) > 0 THEN greatest(0.0, ({p.keep}::DOUBLE * any_value(n)
   - sum(CASE WHEN c * r >= 1 THEN t ELSE 0 END)) / any_value(n) / sum(CASE WHEN c * r >= 1 THEN 0 ELSE w END)) ELSE any_value(c) END AS c FROM k0, s{i})""")
     parts.append(f"cells AS (SELECT m_source, m_lang, m_topic, floor(least(1.0, c * r) * 1e6 + 0.5) / 1e6 AS p FROM k0, s{p.clips})")
-    return "WITH " + ",\n".join(parts) + """
+    return "WITH RECURSIVE " + ",\n".join(parts) + """
 SELECT doc_id, m_source, m_lang, m_topic, m_tokens, coalesce(p, 0) AS m_p,
   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::UBIGINT / 4294967296.0::DOUBLE < coalesce(p, 0) AS m_kept
 FROM f LEFT JOIN cells USING (m_source, m_lang, m_topic)

@@ -12,10 +12,12 @@ one, and only the text before the first and after the last such place has to be
 Matrices are combined associatively for each document (a scan over small sparse matrices; a text of 2 GB, the most that
 Spark holds, gives 32,768 of them), and each chunk is then traced on its own between the states that the scan found.
 
-Space marks in a row merge last, from the left, to pieces of up to 16; a cut never falls between two of them. A
+Space marks in a row merge last, from the left, to pieces of up to 16; a cut never falls between two of them. A run of marks
+longer than a chunk is parted where such pieces end, and the parts are texts of their own, whose ids follow each other. A
 character without a piece becomes its UTF-8 bytes.
 
-Cases: null texts give null ids, empty texts no ids; repeated rows each get theirs. Decoding gives the text with the
+Cases: null texts give null ids, empty texts no ids; repeated rows each get theirs; a table without rows gives none; columns
+that carry names of the result are replaced, others pass through. Decoding gives the text with the
 space mark U+2581 as a space, as the vocabulary can't tell them apart.
 """
 
@@ -429,6 +431,18 @@ def cuts(marked: str, chunk: int) -> list[int]:
     return out
 
 
+def parts(marked: str, chunk: int, run: int) -> list[tuple[int, int]]:
+    """(begin, end) of a text's parts: one, unless a run of marks is longer than a chunk. `run` is the longest piece of marks."""
+    step, out, begin = max(1, chunk // run) * run, [], 0
+    for m in _RUN.finditer(marked):
+        at = m.start() + step
+        while at + 2 * run <= m.end():
+            out.append((begin, at))
+            begin, at = at, at + step
+    return [*out, (begin, len(marked))]
+
+
+_RUN = re.compile(f"{MARK}{MARK}+")
 _held: list[tuple[list, Encoder]] = []
 
 
@@ -473,19 +487,25 @@ def encode(docs: DataFrame, p: PieceParams = PieceParams(), keep: list[str] | No
     is_long = F.length("_piece_text") >= p.chunk
     few = rows.filter(~F.coalesce(is_long, F.lit(False))).mapInArrow(short, schema + "ids array<int>, decoded_ok boolean")
 
+    context = max(len(piece) for piece, _, kind in shared.value if kind == 1)
+    run = max((len(piece) for piece, _, kind in shared.value if kind == 1 and set(piece) == {MARK}), default=1)
+
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, t in zip(pdf["_piece_name"], pdf["_piece_text"], strict=True):
-                marked = MARK + t.replace(" ", MARK)
-                at = [*cuts(marked, p.chunk), len(marked)]
-                for c, (s, e) in enumerate(zip(at[:-1], at[1:], strict=True)):
-                    yield pd.DataFrame({"_piece_name": [name], "c": [c], "before": [marked[max(0, s - 16) : s]], "part": [marked[s:e]], "after": [marked[e : e + 16]]})
+                marked, c = MARK + t.replace(" ", MARK), 0
+                for g, (begin, end) in enumerate(parts(marked, p.chunk, run)):
+                    part = marked[begin:end]
+                    at = [*cuts(part, p.chunk), len(part)]
+                    for s, e in zip(at[:-1], at[1:], strict=True):
+                        yield pd.DataFrame({"_piece_name": [name], "g": [g], "c": [c], "before": [part[max(0, s - context) : s]], "part": [part[s:e]], "after": [part[e : e + context]]})
+                        c += 1
 
     def matrix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = _encoder(shared, p.memory)
         for pdf in batches:
             got = [enc.transfer(x, y, z) for x, y, z in zip(pdf["before"], pdf["part"], pdf["after"], strict=True)]
-            yield pd.DataFrame({"_piece_name": pdf["_piece_name"], "c": pdf["c"], "m": [[(*x, *y) for x, y in g] for g in got]})
+            yield pd.DataFrame({"_piece_name": pdf["_piece_name"], "g": pdf["g"], "c": pdf["c"], "m": [[(*x, *y) for x, y in g] for g in got]})
 
     def combine(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("c")
@@ -500,11 +520,11 @@ def encode(docs: DataFrame, p: PieceParams = PieceParams(), keep: list[str] | No
 
     name = F.sha2("_piece_text", 256).alias("_piece_name")
     long_rows = rows.filter(is_long)
-    chunks = long_rows.select(name, "_piece_text").dropDuplicates(["_piece_name"]).mapInPandas(split, "_piece_name string, c int, before string, part string, after string")
+    chunks = long_rows.select(name, "_piece_text").dropDuplicates(["_piece_name"]).mapInPandas(split, "_piece_name string, g int, c int, before string, part string, after string")
     # Written once, as matrices and traces both read them, and dealt out by chunk and not by document.
     chunks = written(chunks.repartition("_piece_name", "c"), "chunks")
-    matrices = chunks.mapInPandas(matrix, "_piece_name string, c int, m array<struct<s:string,k:int,t:string,j:int>>")
-    ends = matrices.groupBy("_piece_name").applyInPandas(combine, "_piece_name string, c int, s string, k int, t string, j int")
+    matrices = chunks.mapInPandas(matrix, "_piece_name string, g int, c int, m array<struct<s:string,k:int,t:string,j:int>>")
+    ends = matrices.groupBy("_piece_name", "g").applyInPandas(combine, "_piece_name string, c int, s string, k int, t string, j int")
     traced = chunks.join(ends, ["_piece_name", "c"]).mapInPandas(back, "_piece_name string, c int, part_ids array<int>")
     ids = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("c", "part_ids"))), lambda x: x["part_ids"]))
     whole = traced.groupBy("_piece_name").agg(ids.alias("ids"))

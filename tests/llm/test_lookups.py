@@ -1,5 +1,8 @@
 """Nearest neighbours, url filters, licences, mixing and pieces."""
 
+import os
+
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -115,6 +118,63 @@ def test_licenses(spark):
     assert license_scan.scan(df, license_scan.known(spark).limit(0)).filter("license_id is null").count() == len(rows)
 
 
+def test_licenses_among_many_documents(spark):
+    """Planted whole licences, with titles, notices and other spellings, among all documents; the same in SQL."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    planted, want = [], {}
+    for k, (name, text) in enumerate(license_scan.TEXTS):
+        title = next((t for t in license_scan.TITLES.get(name, ()) if text.startswith(t)), "")
+        body = text.removeprefix(title).strip()
+        shapes = [text, f"{title}\n\nCopyright (c) 20{k % 30:02} Some Body\nAll rights reserved.\n\n{body}\n", text.upper().replace(", ", ",\n"), f"  ** {text} **\n"]
+        for j, shape in enumerate(shapes):
+            planted.append((100_000 + 10 * k + j, shape))
+            want[100_000 + 10 * k + j] = name
+        planted.append((100_000 + 10 * k + 9, text + " and one word more"))
+    every = docs.union(spark.createDataFrame(planted, docs.schema))
+    got = {r["doc_id"]: (r["canonical_chars"], r["digest"], r["license_id"]) for r in license_scan.scan(every, license_scan.known(spark)).collect()}
+    assert {i: x[2] for i, x in got.items() if x[2] is not None} == want
+    documents = every.toPandas()  # noqa: F841  DuckDB reads it by name
+    con = duckdb.connect()
+    sql = con.execute(license_scan.ORACLE)
+    names = [d[0] for d in sql.description]
+    assert {r[names.index("doc_id")]: tuple(r[names.index(c)] for c in ("canonical_chars", "digest", "license_id")) for r in sql.fetchall()} == got
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="this machine has no licence texts")
+def test_whole_texts_have_the_known_digests(spark):
+    texts = license_scan.read_texts(spark, "/usr/share/common-licenses").filter("license_id in ('Apache-2.0', 'CC0-1.0', 'GPL-2', 'GPL-3', 'LGPL-2.1', 'LGPL-3', 'MPL-2.0')")
+    got = license_scan.scan(texts.select(F.col("license_id").alias("doc_id"), "text"), license_scan.known(spark)).collect()
+    assert {r["doc_id"]: r["license_id"] for r in got} == {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+    more = license_scan.known(spark, spark.createDataFrame([("mine", "All mine."), ("none", " !! ")], "license_id string, text string"))
+    got = license_scan.scan(spark.createDataFrame([(1, "ALL  mine"), (2, "!")], "doc_id long, text string"), more).collect()
+    assert {r["doc_id"]: r["license_id"] for r in got} == {1: "mine", 2: None}
+
+
+def test_mixing_meets_all_three_marginals(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    share = lambda x: spark.createDataFrame(list(x.items()), "value string, share double")
+    rows = mixing.featured(docs).groupBy("m_topic").agg(F.sum("m_tokens").alias("t")).collect()
+    topics = {r["m_topic"]: r["t"] for r in rows}
+    want = {"m_lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}, "m_topic": {k: v**0.9 / sum(x**0.9 for x in topics.values()) for k, v in topics.items()}}
+    cells = mixing.probabilities(mixing.featured(docs), mixing.MixParams(strict=True), {d: share(x) for d, x in want.items()}).toPandas()
+    for d, target in want.items():
+        got = cells.groupby(d)["w"].sum()
+        assert all(abs(got[k] - v) < 1e-9 for k, v in target.items())
+    tokens = mixing.featured(docs).groupBy("m_source").agg(F.sum("m_tokens").alias("t")).toPandas().set_index("m_source")["t"]
+    power = (tokens / tokens.sum()) ** mixing.MixParams().temper
+    assert np.abs(cells.groupby("m_source")["w"].sum() - power / power.sum()).max() < 1e-9
+
+
+def test_mixing_says_when_marginals_can_t_be_met(spark):
+    docs = spark.createDataFrame([(1, "a b c", "en", "x"), (2, "d e", "de", "y")], "doc_id long, text string, lang string, source string")
+    share = lambda **x: spark.createDataFrame(list(x.items()), "value string, share double")
+    targets = {"m_lang": share(en=0.5, de=0.5), "m_source": share(x=0.9, y=0.1)}
+    with pytest.raises(ValueError, match="missed by up to 0.4"):
+        mixing.probabilities(mixing.featured(docs), mixing.MixParams(strict=True, rounds=10), targets)
+    with pytest.warns(UserWarning, match="missed"):
+        assert mixing.probabilities(mixing.featured(docs), mixing.MixParams(rounds=10), targets).count() == 2
+
+
 def test_mixing_rakes_to_targets(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     share = lambda **x: spark.createDataFrame(list(x.items()), "value string, share double")
@@ -165,6 +225,48 @@ def test_pieces_equal_the_library(spark, library, chunk):
     assert pieces.encode(df.limit(0), p).count() == 0
 
 
+def by_matrices(enc, text, chunk):
+    """All of a text by transfer matrices, scan and traces, whatever its length."""
+    marked, out = pieces.MARK + text.replace(" ", pieces.MARK), []
+    for begin, end in pieces.parts(marked, chunk, enc.run):
+        part = marked[begin:end]
+        at = [*pieces.cuts(part, chunk), len(part)]
+        around = [(part[max(0, s - enc.longest) : s], part[s:e], part[e : e + enc.longest]) for s, e in zip(at[:-1], at[1:], strict=True)]
+        ends = pieces.scan([enc.transfer(*x) for x in around])
+        out += [i for (_, mid, right), (x, y) in zip(around, ends, strict=True) for i in enc.traced(mid, right, x, y)]
+    return out
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 3, 5, 8, 13, 34, 200])
+def test_matrices_of_any_chunk_equal_the_library(spark, library, chunk):
+    enc = pieces.Encoder(pieces.load_vocabulary(pieces.DEFAULT_MODEL), 100_000)
+    texts = [t for t in TEXTS if t.strip()] + [r["text"][:1200] for r in spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id % 60 = 7").collect()]
+    for t in texts:
+        t = t if len(t) < 1300 else t[:1300]
+        assert by_matrices(enc, t, chunk) == library.encode(t), (chunk, t[:80])
+
+
+def test_long_runs_of_spaces(spark, library):
+    texts = ["a" + " " * 5000 + "b", " " * 3001, "x y" + " " * 4096, " " * 2047 + "word  and" + " " * 700 + "more"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pieces.encode(df, pieces.PieceParams(chunk=100)).collect():
+        assert r["ids"] == library.encode(texts[r["doc_id"]]) and r["decoded_ok"]
+    assert len(pieces.parts(pieces.MARK + " ".join(texts).replace(" ", pieces.MARK), 100, 16)) > 50
+
+
+def test_a_vocabulary_with_long_pieces():
+    """Chunks see as many characters around them as the vocabulary's longest piece has."""
+    whole = "abcdefghijklmnopqrstuvwxy"
+    grown = [whole[:k] for k in range(2, len(whole) + 1)]
+    vocabulary = [("<unk>", 0.0, 3), *((p, -float(k), 1) for k, p in enumerate(grown)), *((c, -1000.0, 1) for c in whole + pieces.MARK)]
+    enc = pieces.Encoder(vocabulary, 1000)
+    for text in (whole, whole * 3 + whole[:9], f"{whole} {whole[:20]} {whole}"):
+        marked = pieces.MARK + text.replace(" ", pieces.MARK)
+        want = [p for u in pieces._UNIT.findall(marked) for p in enc.merged(u)]
+        for chunk in (3, 7, 30):
+            assert [enc.pieces[i] for i in by_matrices(enc, text, chunk)] == want
+
+
 def test_scan_is_associative():
     enc = pieces.Encoder(pieces.load_vocabulary(pieces.DEFAULT_MODEL), 1000)
     text = pieces.MARK + "internationalisation of the unbelievable " .replace(" ", pieces.MARK) * 4
