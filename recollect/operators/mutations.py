@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import label_key, short_id
+from .graph import survivors
+
 
 def upsert(old: DataFrame, new: DataFrame, key: str, keep: list[str] = (), fill: list[str] = ()) -> DataFrame:
     """New rows over old ones: columns in `keep` never change, those in `fill` change only to values, others are overwritten."""
@@ -39,7 +42,7 @@ def prune_snapshots(snapshots: DataFrame, day: str, retention_days: int, today:
     return snapshots.filter(F.datediff(F.lit(today).cast("date"), F.col(day).cast("date")) >= retention_days)
 
 
-#: Kinds of actions -> (type of subject, payload field, whether an empty value takes the setting back).
+#: Kinds of actions -> (type of subject, payload field, whether an empty value takes the setting back).
 ACTIONS = {
     "dismiss": ("alert", None, False), "retire_entity": ("entity", None, False), "label_entity": ("entity", "new_type", False), "rename_entity": ("entity", "to", True),
     "resolve_open": ("open_question", None, False), "promote_open": ("open_question", "resolution", False), "dismiss_decision": ("decision", None, False),
@@ -86,6 +89,49 @@ def projected(entities: DataFrame, laid: DataFrame, key: str = "entity") -> Data
     return rows.select(key, "n", state.alias("state"))
 
 
+def with_decisions(items: DataFrame, laid: DataFrame) -> DataFrame:
+    """(session_id, id, kind, text): a session's open questions and decisions under the overlay.
+
+    `items` has (session_id, id, kind, text) with kind `open` or `decision`. Resolved questions go, promoted ones become
+    decisions with their resolution, dismissed decisions go, and revised ones have their new text.
+    """
+    of = lambda kind, subject, name: laid.filter((F.col("kind") == kind) & (F.col("subject_type") == subject)).select(F.col("subject_id").alias("id"), F.col("value").alias(name))
+    rows = items
+    for kind, subject, name in (("resolve_open", "open_question", "_resolved"), ("promote_open", "open_question", "_promoted"), ("dismiss_decision", "decision", "_dismissed"), ("revise_decision", "decision", "_revised")):
+        rows = rows.join(of(kind, subject, name), "id", "left")
+    asked, decided = F.col("kind") == "open", F.col("kind") == "decision"
+    gone = asked & F.col("_resolved").isNotNull() & F.col("_promoted").isNull() | decided & F.col("_dismissed").isNotNull()
+    text = F.when(asked, F.coalesce("_promoted", "text")).otherwise(F.coalesce("_revised", "text"))
+    return rows.filter(~gone).select("session_id", "id", F.when(asked & F.col("_promoted").isNotNull(), "decision").otherwise(F.col("kind")).alias("kind"), text.alias("text"))
+
+
+def superseded_sessions(sessions: DataFrame, edges: DataFrame, facts: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sessions, edges, facts) after the marks (predecessor, successor) whose verdict is `ok`.
+
+    A predecessor has one successor: of several marks the last one by id counts, and earlier edges of that kind go. Its
+    status becomes `superseded`. Its facts are superseded by a fact of the successor with the same subject and predicate.
+    """
+    good = marks.filter("verdict = 'ok'").groupBy(F.col("predecessor").alias("id")).agg(F.max("successor").alias("successor"))
+    now = sessions.join(good.select("id", F.lit(True).alias("_hit")), "id", "left").withColumn("status", F.when(F.col("_hit"), "superseded").otherwise(F.col("status"))).drop("_hit")
+    other = edges.join(good.select(F.col("id").alias("to_session"), F.lit("supersedes").alias("kind")), ["to_session", "kind"], "left_anti").select("from_session", "to_session", "kind")
+    links = other.union(good.select("successor", "id", F.lit("supersedes")))
+    heirs = facts.groupBy(F.col("session_id").alias("successor"), "subject", "predicate").agg(F.max("id").alias("heir"))
+    owned = facts.join(good.withColumnRenamed("id", "session_id"), "session_id", "left").join(heirs, ["successor", "subject", "predicate"], "left")
+    return now, links, owned.select("id", F.coalesce("superseded_by", "heir").alias("superseded_by"))
+
+
+def fact_versions(facts: DataFrame, writes: DataFrame) -> DataFrame:
+    """(id, superseded_by, retired, embedded) after writes (id, action, by) in the order of `pos`, of which the last of each
+    action counts: `supersede` (a null `by` makes it current again), `retire` (by `1` or `0`). A retired fact loses its
+    embedding, as does a superseded one."""
+    last = lambda action, name: writes.filter(F.col("action") == action).groupBy("id").agg(F.max_by(F.struct("by"), "pos").alias(name))
+    rows = facts.join(last("supersede", "_s"), "id", "left").join(last("retire", "_r"), "id", "left")
+    by = F.when(F.col("_s").isNotNull(), F.col("_s.by")).otherwise(F.col("superseded_by"))
+    retired = F.when(F.col("_r").isNotNull(), F.col("_r.by").cast("int")).otherwise(F.col("retired"))
+    out = rows.select("id", by.alias("superseded_by"), retired.alias("retired"))
+    return out.withColumn("embedded", F.col("superseded_by").isNull() & (F.col("retired") == 0))
+
+
 def ingested_facts(old: DataFrame, new: DataFrame) -> DataFrame:
     """(id, superseded_by) after the facts of some sessions were replaced by a batch: the batch's last fact of a subject
     and predicate supersedes every other current one. `new` has `pos`, the order of arrival."""
@@ -95,13 +141,52 @@ def ingested_facts(old: DataFrame, new: DataFrame) -> DataFrame:
     return rows.select("id", F.coalesce("superseded_by", F.when(F.col("winner") != F.col("id"), F.col("winner"))).alias("superseded_by"))
 
 
+def merge_errors(merges: DataFrame, entities: DataFrame) -> DataFrame:
+    """(source, target, error): merges that can't be done: of an entity with itself, or with a missing or retired one."""
+    known = lambda side: entities.select(F.col("entity").alias(side), F.col("retired").alias(f"_{side}"))
+    rows = merges.join(known("source"), "source", "left").join(known("target"), "target", "left")
+    error = F.when(F.col("source") == F.col("target"), "self").when(F.col("_source").isNull() | F.col("_target").isNull(), "missing").when(F.col("_source") | F.col("_target"), "retired")
+    return rows.select("source", "target", error.alias("error"))
+
+
 def merged_entities(links: DataFrame, merges: DataFrame, sessions: DataFrame) -> DataFrame:
-    """(entity, n, first_us, last_us) after merges (source, target): links move, doubles go, spans widen."""
-    moved = links.join(merges.select(F.col("source").alias("entity"), "target"), "entity", "left").select("session_id", F.coalesce("target", "entity").alias("entity")).distinct()
+    """(entity, n, first_us, last_us) after merges (source, target): links move to where chains of merges end, doubles go,
+    spans widen."""
+    ends = survivors(merges.select(F.col("source").alias("entity"), "target"), "entity", "target").withColumnRenamed("survivor", "target")
+    moved = links.join(ends, "entity", "left").select("session_id", F.coalesce("target", "entity").alias("entity")).distinct()
     rows = moved.join(sessions.select(F.col("id").alias("session_id"), F.unix_micros(F.col("started_at").cast("timestamp")).alias("us")), "session_id")
     return rows.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
 
 
+def repointed(variants: DataFrame, merges: DataFrame) -> DataFrame:
+    """(name, canonical, retired): variants point to where their canonical entity went, merged entities themselves to it."""
+    ends = survivors(merges.select(F.col("source").alias("entity"), "target"), "entity", "target")
+    rows = variants.join(ends.select(F.col("entity").alias("canonical"), F.col("survivor").alias("_to")), "canonical", "left").select("name", F.coalesce("_to", "canonical").alias("canonical"))
+    own = ends.select(F.col("entity").alias("name"), F.col("survivor").alias("canonical"), F.lit(True).alias("retired"))
+    stay = rows.join(own.select("name"), "name", "left_anti").withColumn("retired", F.lit(False))
+    return stay.unionByName(own)
+
+
+def merged_streams(streams: DataFrame, counts: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(streams, counts) after merges (source, target): sources are retired and point to their survivor; the counts of an
+    entity are added. `counts` has (id, entity, n)."""
+    ends = survivors(merges.select(F.col("source").alias("id"), "target"), "id", "target")
+    now = streams.join(ends, "id", "left").select(*[c for c in streams.columns if c not in ("retired", "merged_into")], F.col("survivor").isNotNull().alias("retired"), F.col("survivor").alias("merged_into"))
+    sums = counts.join(ends, "id", "left").groupBy(F.coalesce("survivor", "id").alias("id"), "entity").agg(F.sum("n").alias("n"))
+    return now, sums
+
+
+def bound(asked: DataFrame, streams: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(name, id, how): the stream of each name: by its normalised label, else by an alias, else a new one, whose id comes
+    from the name. Of several streams with one label the first by id."""
+    key = lambda c: label_key(F.col(c))
+    labels = streams.groupBy(key("label").alias("k")).agg(F.min("id").alias("_direct"))
+    other = aliases.groupBy(key("alias").alias("k")).agg(F.min("id").alias("_alias"))
+    rows = asked.select("name", key("name").alias("k")).distinct().join(labels, "k", "left").join(other, "k", "left")
+    how = F.when(F.col("_direct").isNotNull(), "label").when(F.col("_alias").isNotNull(), "alias").otherwise("created")
+    return rows.select("name", F.coalesce("_direct", "_alias", F.concat(F.lit("ws_"), short_id(F.col("k")))).alias("id"), how.alias("how"))
+
+
 def verdicts(exemplars: DataFrame, labels: DataFrame) -> DataFrame:
     """Exemplars with their label; a human's label is never replaced by a model's."""
     best = Window.partitionBy("id").orderBy(F.desc(F.col("source") == "human"), F.desc("ts"), "survived")
@@ -115,6 +200,34 @@ def derived_scopes(parts: DataFrame, group: str, scope: str) -> DataFrame:
     return n.select(group, F.when((F.col("kinds") == 1) & (F.col("none") == 0), F.col("one")).alias("scope"))
 
 
+def cascaded_scopes(sessions: DataFrame, children: DataFrame, scope: str = "scope") -> DataFrame:
+    """(id, scope, filled): children (id, session_id, scope) without a scope take their session's."""
+    rows = children.join(sessions.select(F.col("id").alias("session_id"), F.col(scope).alias("_own")), "session_id", "left")
+    return rows.select("id", F.coalesce(scope, "_own").alias(scope), (F.col(scope).isNull() & F.col("_own").isNotNull()).alias("filled"))
+
+
+def stamped(rows: DataFrame, found: DataFrame, columns: list[str], parents: DataFrame) -> DataFrame:
+    """(id, columns, persona, parent, outcome) after a backfill: columns that are empty are filled with what was found,
+    others never change; persona and parent come from ids `agent-<persona>@<parent>`. The outcome is `unknown-parent`,
+    `stamped` (something was filled), `already` (all was there) or `no-op` (nothing was found)."""
+    pattern = "^agent-([^@]+)@(.+)$"
+    part = lambda k: F.nullif(F.regexp_extract("id", pattern, k), F.lit(""))
+    both = rows.join(found.select("id", *(F.col(c).alias(f"_{c}") for c in columns)), "id", "left").withColumn("persona", part(1)).withColumn("parent", part(2))
+    both = both.join(parents.select(F.col("id").alias("parent"), F.lit(True).alias("_known")), "parent", "left")
+    fills, missing = F.lit(False), F.lit(False)
+    for c in columns:
+        fills = fills | F.col(c).isNull() & F.col(f"_{c}").isNotNull()
+        missing = missing | F.col(c).isNull()
+    outcome = F.when(F.col("parent").isNotNull() & F.col("_known").isNull(), "unknown-parent").when(fills, "stamped").when(~missing, "already").otherwise("no-op")
+    return both.select("id", *(F.coalesce(c, f"_{c}").alias(c) for c in columns), "persona", "parent", outcome.alias("outcome"))
+
+
+def pruned_exemplars(exemplars: DataFrame, most: int) -> DataFrame:
+    """(id) of exemplars to delete: of each repository beyond the `most` newest ones, those that a human labelled never."""
+    w = Window.partitionBy("repo").orderBy(F.desc("ts"), F.desc("id"))
+    return exemplars.withColumn("_r", F.row_number().over(w)).filter((F.col("_r") > most) & ~F.coalesce(F.col("source") == "human", F.lit(False))).select("id")
+
+
 def pending(rows: DataFrame, done: DataFrame, key: str, after: object = None) -> DataFrame:
     """What a resumable job has left, in the order of its key."""
     left = rows.join(done.select(key), key, "left_anti")

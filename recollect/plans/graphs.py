@@ -43,6 +43,34 @@ def g1_mark_superseded(v: Views) -> DataFrame:
     return graph.marked_superseded(v.edges, _wanted(v), v.sessions)
 
 
+APPLIED = MARK + """ r AS (SELECT DISTINCT predecessor AS start, e.to_session AS node, 1 AS d FROM w JOIN edges e ON e.from_session = predecessor WHERE e.kind IN ('supersedes', 'replaces')
+UNION SELECT start, e.to_session, d + 1 FROM r JOIN edges e ON e.from_session = r.node WHERE e.kind IN ('supersedes', 'replaces') AND d < 100),
+ok AS (SELECT predecessor AS id, max(successor) AS successor FROM w WHERE predecessor <> successor AND predecessor IN (SELECT id FROM sessions) AND successor IN (SELECT id FROM sessions) AND NOT EXISTS (SELECT 1 FROM r WHERE start = predecessor AND node = successor) GROUP BY 1)"""
+
+
+def _applied(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
+    from ..operators.mutations import superseded_sessions
+
+    marks = graph.marked_superseded(v.edges, _wanted(v), v.sessions)
+    return superseded_sessions(v.sessions, v.edges, v.versions, marks)
+
+
+@query(APPLIED + " SELECT s.id, CASE WHEN ok.id IS NOT NULL THEN 'superseded' ELSE status END AS status FROM sessions s LEFT JOIN ok ON ok.id = s.id")
+def g1_statuses(v: Views) -> DataFrame:
+    return _applied(v)[0].select("id", "status")
+
+
+@query(APPLIED + " SELECT from_session, to_session, kind FROM edges WHERE NOT (kind = 'supersedes' AND to_session IN (SELECT id FROM ok)) UNION ALL SELECT successor, id, 'supersedes' FROM ok")
+def g1_edges(v: Views) -> DataFrame:
+    return _applied(v)[1]
+
+
+@query(APPLIED + ", h AS (SELECT session_id, subject, predicate, max(id) AS heir FROM versions GROUP BY 1, 2, 3) SELECT f.id, coalesce(f.superseded_by, heir) AS superseded_by FROM versions f LEFT JOIN ok ON ok.id = f.session_id LEFT JOIN h ON h.session_id = ok.successor AND h.subject = f.subject AND h.predicate = f.predicate")
+def g1_facts(v: Views) -> DataFrame:
+    """The facts of superseded sessions give way to their successor's."""
+    return _applied(v)[2]
+
+
 @query("SELECT id, before AS prior, CASE WHEN seq % 7 = 0 THEN 'replaces' ELSE 'continues' END AS kind, CASE WHEN seq % 7 = 0 THEN 'replaced' END AS new_status FROM ordered WHERE before IS NOT NULL AND before <> id")
 def g2_ingest_edges(v: Views) -> DataFrame:
     rows = v.ordered.filter("before is not null and before <> id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,20 @@ def k3_insert_ignore(v: Views) -> DataFrame:
     return out.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("producer") == "again").alias("fresh"))
 
 
+@query("SELECT conversation_id AS c, count(*) AS n FROM queries_log WHERE conversation_id <> 'c1' GROUP BY 1")
+def k4_appended_log(v: Views) -> DataFrame:
+    """Two appends to a log of JSON lines; rows of unknown conversations never get there."""
+    from ..operators.graph import shared_dir
+    from ..sources.logs import append_log
+
+    path = f"{shared_dir(v.spark)}/log-{uuid.uuid4().hex}"
+    rows = v.queries_log.select(F.when(F.col("conversation_id") == "c1", "unknown").otherwise(F.col("conversation_id")).alias("conversation_id"), "event_id")
+    for part in (0, 1):
+        append_log(rows.filter(F.col("event_id") % 2 == part), path, "conversation_id")
+    log = v.spark.read.schema("conversation_id string, event_id long").json(path)
+    return log.groupBy(F.col("conversation_id").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day FROM events WHERE date_diff('day', ts::DATE, DATE '2024-01-31') >= 14")
 def k5_snapshot_rotation(v: Views) -> DataFrame:
     days = v.events.select(F.date_format("ts", "yyyy-MM-dd").alias("day")).distinct()
@@ -84,9 +100,30 @@ def m3_fact_ingest(v: Views) -> DataFrame:
     return m.ingested_facts(v.versions, new)
 
 
-@query("SELECT id, CASE WHEN version = 2 THEN NULL ELSE superseded_by END AS superseded_by, CASE WHEN confidence < 0.4 THEN 1 ELSE retired END AS retired FROM versions")
+ITEMS = "SELECT id, session_id, CASE WHEN kind = 'attribute' THEN 'open' ELSE kind END AS kind, value AS text FROM facts WHERE kind <> 'open'"
+
+
+@query("""WITH i AS (""" + ITEMS + """), n AS (SELECT *, CAST(regexp_extract(id, '[0-9]+$', 0) AS BIGINT) % 8 AS m FROM i)
+SELECT session_id, id, CASE WHEN kind = 'open' AND m IN (1, 2) THEN 'decision' ELSE kind END AS kind, CASE WHEN kind = 'open' AND m IN (1, 2) THEN 'r' || text WHEN kind = 'decision' AND m = 4 THEN 'now' ELSE text END AS text
+FROM n WHERE NOT (kind = 'open' AND m = 0) AND NOT (kind = 'decision' AND m = 3)""")
+def m2_decisions(v: Views) -> DataFrame:
+    """Questions and decisions of sessions, of which actions resolved (0, 2), promoted (1, 2), dismissed (3) and revised (4) some."""
+    items = v.facts.filter("kind <> 'open'").select("id", "session_id", F.when(F.col("kind") == "attribute", "open").otherwise(F.col("kind")).alias("kind"), F.col("value").alias("text"))
+    n = F.regexp_extract("id", "[0-9]+$", 0).cast("long") % 8
+    json = lambda k, c: F.to_json(F.struct(c.alias(k)))
+    act = lambda kind, subject, which, payload: items.filter(n.isin(*which)).select(F.xxhash64("id").alias("n"), F.lit(kind).alias("kind"), F.lit(subject).alias("subject_type"), F.col("id").alias("subject_id"), payload.alias("payload"), F.lit(None).cast("int").alias("reverted_by"))
+    none = F.lit(None).cast("string")
+    actions = act("resolve_open", "open_question", (0, 2), none).union(act("promote_open", "open_question", (1, 2), json("resolution", F.concat(F.lit("r"), "text")))).union(act("dismiss_decision", "decision", (3,), none)).union(act("revise_decision", "decision", (4,), json("to", F.lit(" now "))))
+    return m.with_decisions(items, m.overlay(actions.withColumnRenamed("n", "id"), NOW))
+
+
+@query("""WITH w AS (SELECT id, CASE WHEN version = 2 THEN 1 END AS s, CASE WHEN confidence < 0.4 THEN 1 WHEN version = 3 THEN 0 END AS r FROM versions),
+o AS (SELECT id, CASE WHEN s IS NOT NULL THEN NULL ELSE superseded_by END AS superseded_by, coalesce(r, retired)::INT AS retired FROM versions JOIN w USING (id)) SELECT *, superseded_by IS NULL AND retired = 0 AS embedded FROM o""")
 def m4_fact_versions(v: Views) -> DataFrame:
-    return v.versions.select("id", F.when(F.col("version") != 2, F.col("superseded_by")).alias("superseded_by"), F.when(F.col("confidence") < 0.4, 1).otherwise(F.col("retired")).alias("retired"))
+    """Second versions are made current again, after an earlier write that superseded them; doubtful ones are retired."""
+    write = lambda where, action, by, pos: v.versions.filter(where).select("id", F.lit(action).alias("action"), F.lit(by).cast("string").alias("by"), F.lit(pos).alias("pos"))
+    writes = write("version = 2", "supersede", "x", 1).union(write("version = 2", "supersede", None, 2)).union(write("version = 3", "retire", "0", 1)).union(write("confidence < 0.4", "retire", "1", 2))
+    return m.fact_versions(v.versions.select("id", "superseded_by", "retired"), writes)
 
 
 @query("""WITH k AS (SELECT DISTINCT x.session_id, CASE WHEN CAST(substr(entity, 2) AS INT) % 10 = 7 THEN 'e' || CAST(CAST(substr(entity, 2) AS INT) - 7 AS VARCHAR) ELSE entity END AS entity FROM session_entities x)
@@ -96,10 +133,56 @@ def m5_entity_merge(v: Views) -> DataFrame:
     return m.merged_entities(v.session_entities, merges, v.sessions)
 
 
-@query("SELECT coalesce(w.merged_into, w.id) AS id, count(*) AS n FROM sessions s JOIN workstreams w ON w.id = s.workstream_id WHERE w.segment <> 'BUILDING' GROUP BY 1")
+NAMES = "SELECT 'e' || CAST(l_partkey % 400 AS VARCHAR) AS canonical, 'v' || CAST(l_partkey AS VARCHAR) AS name FROM lineitem GROUP BY 1, 2"
+
+
+@query("WITH n AS (" + NAMES + """), m AS (SELECT 'e' || i AS source, 'e' || (i - 7) AS target FROM range(7, 400, 10) t(i) UNION ALL SELECT 'e' || i, 'e' || (i + 5) FROM range(0, 390, 20) t(i)),
+e AS (SELECT a.source, coalesce(b.target, a.target) AS target FROM m a LEFT JOIN m b ON b.source = a.target)
+SELECT name, coalesce(e.target, canonical) AS canonical, false AS retired FROM n LEFT JOIN e ON e.source = canonical UNION ALL SELECT source, target, true FROM e""")
+def m5_repointed_variants(v: Views) -> DataFrame:
+    """Chains of merges: 7 into 0, 0 into 5."""
+    merges = v.spark.createDataFrame([(f"e{i}", f"e{i - 7}") for i in range(7, 400, 10)] + [(f"e{i}", f"e{i + 5}") for i in range(0, 390, 20)], "source string, target string")
+    variants = v.lineitem.select(F.concat(F.lit("e"), (F.col("l_partkey") % 400).cast("string")).alias("canonical"), F.concat(F.lit("v"), F.col("l_partkey").cast("string")).alias("name")).distinct()
+    return m.repointed(variants, merges)
+
+
+@query("""WITH k AS (SELECT DISTINCT entity, CAST(substr(entity, 2) AS INT) % 7 = 3 AS retired FROM session_entities), p AS (SELECT entity AS source, 'e' || CAST((CAST(substr(entity, 2) AS INT) * 3) % 450 AS VARCHAR) AS target, retired FROM k)
+SELECT source, target, CASE WHEN source = target THEN 'self' WHEN b.entity IS NULL THEN 'missing' WHEN p.retired OR b.retired THEN 'retired' END AS error FROM p LEFT JOIN k b ON b.entity = p.target""")
+def m5_merge_errors(v: Views) -> DataFrame:
+    n = F.substring("entity", 2, 10).cast("int")
+    known = v.session_entities.select("entity").distinct().withColumn("retired", n % 7 == 3)
+    return m.merge_errors(known.select(F.col("entity").alias("source"), F.concat(F.lit("e"), (n * 3 % 450).cast("string")).alias("target")), known)
+
+
+STREAM_COUNTS = "SELECT workstream_id AS id, status AS entity, count(*) AS n FROM sessions GROUP BY 1, 2"
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT id, merged_into AS to_id FROM workstreams WHERE merged_into <> id UNION SELECT r.id, w.merged_into FROM r JOIN workstreams w ON w.id = r.to_id WHERE w.merged_into <> w.id),
+f AS (SELECT r.id, to_id FROM r LEFT JOIN workstreams w ON w.id = r.to_id WHERE coalesce(w.merged_into, w.id) = w.id), c AS ({STREAM_COUNTS}) SELECT coalesce(f.to_id, c.id) AS id, entity, sum(n)::BIGINT AS n FROM c LEFT JOIN f ON f.id = c.id GROUP BY 1, 2""")
 def m6_workstream_merge(v: Views) -> DataFrame:
-    rows = v.sessions.join(v.workstreams.filter("segment <> 'BUILDING'").select(F.col("id").alias("workstream_id"), "merged_into"), "workstream_id")
-    return rows.groupBy(F.coalesce("merged_into", "workstream_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    """Counts of a merged stream are added to its survivor's."""
+    counts = v.sessions.groupBy(F.col("workstream_id").alias("id"), F.col("status").alias("entity")).agg(F.count(F.lit(1)).alias("n"))
+    merges = v.workstreams.filter("merged_into <> id").select(F.col("id").alias("source"), F.col("merged_into").alias("target"))
+    return m.merged_streams(v.workstreams.select("id", "label"), counts, merges)[1]
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT id, merged_into AS to_id FROM workstreams WHERE merged_into <> id UNION SELECT r.id, w.merged_into FROM r JOIN workstreams w ON w.id = r.to_id WHERE w.merged_into <> w.id),
+f AS (SELECT r.id, to_id FROM r LEFT JOIN workstreams w ON w.id = r.to_id WHERE coalesce(w.merged_into, w.id) = w.id) SELECT s.id, label, to_id IS NOT NULL AS retired, to_id AS merged_into FROM workstreams s LEFT JOIN f ON f.id = s.id""")
+def m6_retired_streams(v: Views) -> DataFrame:
+    merges = v.workstreams.filter("merged_into <> id").select(F.col("id").alias("source"), F.col("merged_into").alias("target"))
+    return m.merged_streams(v.workstreams.select("id", "label"), v.spark.createDataFrame([], "id string, entity string, n long"), merges)[0]
+
+
+@query(r"""WITH q AS (SELECT DISTINCT CASE WHEN o_custkey % 3 = 0 THEN '  CUSTOMER#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') || ' ' WHEN o_custkey % 3 = 1 THEN 'Alias  ' || o_custkey ELSE 'new ' || o_custkey % 50 END AS name FROM orders),
+k AS (SELECT name, lower(regexp_replace(trim(name), '\s+', ' ', 'g')) AS k FROM q), l AS (SELECT lower(regexp_replace(trim(label), '\s+', ' ', 'g')) AS k, min(id) AS id FROM workstreams GROUP BY 1),
+a AS (SELECT 'alias ' || substr(id, 2) AS k, id FROM workstreams WHERE CAST(substr(id, 2) AS INT) % 2 = 0)
+SELECT name, coalesce(l.id, a.id, 'ws_' || substr(sha256(k), 1, 16)) AS id, CASE WHEN l.id IS NOT NULL THEN 'label' WHEN a.id IS NOT NULL THEN 'alias' ELSE 'created' END AS how FROM k LEFT JOIN l USING (k) LEFT JOIN a USING (k)""")
+def m6_bound_streams(v: Views) -> DataFrame:
+    k = F.col("o_custkey")
+    text = k.cast("string")
+    name = F.when(k % 3 == 0, F.concat(F.lit("  CUSTOMER#"), F.lpad(text, 9, "0"), F.lit(" "))).when(k % 3 == 1, F.concat(F.lit("Alias  "), text)).otherwise(F.concat(F.lit("new "), (k % 50).cast("string")))
+    aliases = v.workstreams.withColumn("n", F.substring("id", 2, 20)).filter("cast(n as int) % 2 = 0").select(F.concat(F.lit("ALIAS "), "n").alias("alias"), "id")
+    return m.bound(v.orders.select(name.alias("name")).distinct(), v.workstreams.select("id", "label"), aliases)
 
 
 @query("""WITH l AS (SELECT user_id AS id, event_type = 'error' AS survived, CASE WHEN event_id % 40 = 0 THEN 'human' ELSE 'model' END AS source, ts FROM events)
@@ -109,6 +192,12 @@ def m7_exemplar_verdicts(v: Views) -> DataFrame:
     return m.verdicts(labels.select("id").distinct(), labels).select("id", "survived", "source")
 
 
+@query("""WITH x AS (SELECT event_id AS id, user_id % 20 AS repo, ts, event_id % 40 = 0 AS human FROM events) SELECT id FROM x QUALIFY row_number() OVER (PARTITION BY repo ORDER BY ts DESC, id DESC) > 30 AND NOT human""")
+def m7_pruned_exemplars(v: Views) -> DataFrame:
+    rows = v.events.select(F.col("event_id").alias("id"), (F.col("user_id") % 20).alias("repo"), "ts", F.when(F.col("event_id") % 40 == 0, "human").alias("source"))
+    return m.pruned_exemplars(rows, 30)
+
+
 @query("SELECT count(*) AS kept FROM signals WHERE ts >= $now - INTERVAL 20 DAY")
 def m8_signal_retention(v: Views) -> DataFrame:
     from ..operators.telemetry import since
@@ -121,15 +210,28 @@ def m9_scope_backfill(v: Views) -> DataFrame:
     return m.derived_scopes(v.sessions, "workstream_id", "scope")
 
 
+@query("SELECT f.id, CASE WHEN length(value) % 2 = 0 THEN 'own' ELSE s.scope END AS scope, length(value) % 2 <> 0 AND s.scope IS NOT NULL AS filled FROM facts f LEFT JOIN sessions s ON s.id = f.session_id")
+def m9_cascaded_scopes(v: Views) -> DataFrame:
+    children = v.facts.select("id", "session_id", F.when(F.length("value") % 2 == 0, "own").alias("scope"))
+    return m.cascaded_scopes(v.sessions, children)
+
+
 @query("SELECT id FROM sessions WHERE seq > 500 AND id NOT IN (SELECT session_id FROM facts) ORDER BY seq LIMIT 40")
 def m11_fact_backfill(v: Views) -> DataFrame:
     done = v.facts.select(F.substring("session_id", 2, 20).cast("long").alias("seq")).distinct()
     return m.pending(v.sessions.select("id", "seq"), done, "seq", after=500).orderBy("seq").limit(40).select("id")
 
 
-@query("SELECT id, coalesce(runtime, 'from ' || status) AS runtime, runtime IS NOT NULL AS stamped FROM sessions")
+@query("""WITH r AS (SELECT CASE WHEN seq % 4 = 0 THEN 'agent-' || workstream_id || '@s' || CAST(seq + 1 AS VARCHAR) ELSE id END AS id, seq, runtime AS model, CASE WHEN seq % 9 <> 0 THEN size END AS tokens, status FROM sessions), o AS (SELECT *, regexp_extract(id, '^agent-([^@]+)@(.+)$', 1) AS a, regexp_extract(id, '^agent-([^@]+)@(.+)$', 2) AS b FROM r),
+f AS (SELECT o.*, seq % 5 < 3 AS found, b <> '' AND b NOT IN (SELECT id FROM sessions) AS lost FROM o)
+SELECT id, CASE WHEN found THEN coalesce(model, 'from ' || status) ELSE model END AS model, CASE WHEN found THEN coalesce(tokens, 7.0) ELSE tokens END AS tokens, nullif(a, '') AS persona, nullif(b, '') AS parent,
+CASE WHEN lost THEN 'unknown-parent' WHEN found AND (model IS NULL OR tokens IS NULL) THEN 'stamped' WHEN model IS NOT NULL AND tokens IS NOT NULL THEN 'already' ELSE 'no-op' END AS outcome FROM f""")
 def m13_derivables_backfill(v: Views) -> DataFrame:
-    return v.sessions.select("id", F.coalesce("runtime", F.concat(F.lit("from "), "status")).alias("runtime"), F.col("runtime").isNotNull().alias("stamped"))
+    k = F.col("seq")
+    name = F.when(k % 4 == 0, F.concat(F.lit("agent-"), "workstream_id", F.lit("@s"), (k + 1).cast("string"))).otherwise(F.col("id"))
+    rows = v.sessions.select(name.alias("id"), "seq", F.col("runtime").alias("model"), F.when(k % 9 != 0, F.col("size")).alias("tokens"), "status")
+    found = rows.filter(k % 5 < 3).select("id", F.concat(F.lit("from "), "status").alias("model"), F.lit(7.0).alias("tokens"))
+    return m.stamped(rows.drop("seq", "status"), found, ["model", "tokens"], v.sessions.select("id"))
 
 
 @query("SELECT count(*) AS n, min(seq) AS next FROM sessions WHERE seq NOT IN (SELECT seq FROM sessions WHERE epoch_us(started_at) % 3 = 0 OR status = 'closed')")
