@@ -25,11 +25,13 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 MIN_LANGUAGE_SHARE, SHORT = 0.4, 200
 #: A document goes if it is at least this likely to be toxic.
 MAX_TOXIC = 0.3
+#: Workers serve one stage after the other and keep what they hold, so that batches and remembered words are fewer here.
+BATCH, PIECES = 4 << 20, pieces.PieceParams(memory=60_000)
 
 
 def _shielded(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Runs `work` with columns that aren't documents' own under other names, so that none can clash."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, BATCH)
     other = {c: f"extra_{i}_" for i, c in enumerate(docs.columns) if c not in COLUMNS}
     done = work(docs.withColumnsRenamed(other))
     return done.withColumnsRenamed({b: a for a, b in other.items()})
@@ -79,8 +81,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces."""
-    small_batches(spark)
-    return pieces.encode(docs.select("doc_id", "text", "lang", "source")).withColumn("n_pieces", F.size("ids"))
+    small_batches(spark, BATCH)
+    return pieces.encode(docs.select("doc_id", "text", "lang", "source"), PIECES).withColumn("n_pieces", F.size("ids"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
