@@ -94,6 +94,12 @@ def as_millis(value: Column) -> Column:
     return F.when(value.isNull() | (value == 0), F.lit(None)).when(value > 1e10, value.cast("long")).otherwise((value * 1000).cast("long"))
 
 
+def timestamp_text(text: Column, number: Column) -> Column:
+    """A time as it was written, or a number as ISO text in UTC; empty for neither."""
+    iso = F.date_format(F.timestamp_millis(as_millis(number)), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return F.when(text != "", text).otherwise(F.coalesce(F.when(text.isNull(), iso), F.lit("")))
+
+
 def duration_minutes(start: Column, end: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(0), F.floor((F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 60_000_000)), F.lit(0))
 

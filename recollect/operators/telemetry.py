@@ -171,6 +171,14 @@ def boosted(ranked: DataFrame, citations: DataFrame, alpha: float = 0.15) -> Dat
     return rows.withColumn("boosted", F.when(F.col("score") > 0, F.col("score") + alpha * F.log1p(others.cast("double"))).otherwise(F.col("score"))).drop("total", "own")
 
 
+def reranked(boosted: DataFrame, gold: DataFrame, conversation: str = "conversation_id", key: str = "id") -> DataFrame:
+    """(conversations, mrr_before, mrr_after, improved, hurt): the first gold row's rank by score and by boosted score."""
+    rank = lambda c: F.row_number().over(Window.partitionBy(conversation).orderBy(F.desc(c), key))
+    rows = boosted.withColumn("_x", rank("score")).withColumn("_y", rank("boosted")).join(gold.select(conversation, key).distinct(), [conversation, key], "left_semi")
+    best = rows.groupBy(conversation).agg(F.min("_x").alias("x"), F.min("_y").alias("y"))
+    return best.agg(F.count(F.lit(1)).alias("conversations"), rounded(F.avg(1 / F.col("x"))).alias("mrr_before"), rounded(F.avg(1 / F.col("y"))).alias("mrr_after"), F.count_if(F.col("y") < F.col("x")).alias("improved"), F.count_if(F.col("y") > F.col("x")).alias("hurt"))
+
+
 def precision_recall(truth: DataFrame, found: DataFrame, case: str, item: str) -> DataFrame:
     """(case, precision, recall, f1) of found items against true ones, null where there is nothing to divide by."""
     both = truth.select(case, item, F.lit(1).alias("t")).distinct().join(found.select(case, item, F.lit(1).alias("f")).distinct(), [case, item], "full_outer")

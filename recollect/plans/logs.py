@@ -74,10 +74,12 @@ def a6_precision_by_source(v: Views) -> DataFrame:
     return t.precision_by_source(v.surfaced, v.cited)
 
 
-@query("SELECT DISTINCT event_type AS source FROM queries_log WHERE event_type NOT IN (SELECT event_type FROM queries_log WHERE n_results = 0)")
+@query("""WITH s AS (SELECT CASE WHEN event_type = 'click' THEN 'quiet' ELSE source END AS source, n_results FROM queries_log WHERE NOT (event_type = 'click' AND n_results = 0)) SELECT DISTINCT source FROM s WHERE source NOT IN (SELECT source FROM s WHERE n_results = 0)""")
 def a6_unmeasurable(v: Views) -> DataFrame:
-    log = v.queries_log
-    return log.select(F.col("event_type").alias("source")).distinct().join(log.filter("n_results = 0").select(F.col("event_type").alias("source")), "source", "left_anti")
+    """Sources that never log a query without results, so that their hit rate says nothing."""
+    name = F.when(F.col("event_type") == "click", "quiet").otherwise(F.col("source"))
+    log = v.queries_log.filter("not (event_type = 'click' and n_results = 0)").select(name.alias("source"), "n_results")
+    return log.select("source").distinct().join(log.filter("n_results = 0").select("source"), "source", "left_anti")
 
 
 MODES = """WITH m AS (SELECT repo, model, kind, coalesce(step, '') AS step, count(*) AS samples, count(*) FILTER (outcome IN ('fail', 'exhausted')) AS failures, epoch_us(max(ts)) AS last_seen
@@ -164,6 +166,16 @@ def a25_citation_boost(v: Views) -> DataFrame:
     return t.boosted(ranked, v.cited).select("conversation_id", "id", rounded(F.col("boosted"), 6).alias("boosted"))
 
 
+@query("""WITH r AS (SELECT conversation_id, id, count(*) / 10.0::DOUBLE AS score FROM surfaced GROUP BY 1, 2), t AS (SELECT id, count(*) AS total FROM cited GROUP BY 1), o AS (SELECT id, conversation_id, count(*) AS own FROM cited GROUP BY 1, 2),
+b AS (SELECT conversation_id, id, score, floor((score + 0.15::DOUBLE * ln(1 + coalesce(total, 0) - coalesce(own, 0))) * 1e6 + 0.5) / 1e6 AS boosted FROM r LEFT JOIN t USING (id) LEFT JOIN o USING (id, conversation_id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY score DESC, id) AS x, row_number() OVER (PARTITION BY conversation_id ORDER BY boosted DESC, id) AS y FROM b),
+g AS (SELECT conversation_id, min(x) AS x, min(y) AS y FROM k JOIN (SELECT DISTINCT conversation_id, id FROM cited) USING (conversation_id, id) GROUP BY 1)
+SELECT count(*) AS conversations, floor(avg(1.0::DOUBLE / x) * 1e4 + 0.5) / 1e4 AS mrr_before, floor(avg(1.0::DOUBLE / y) * 1e4 + 0.5) / 1e4 AS mrr_after, count(*) FILTER (y < x) AS improved, count(*) FILTER (y > x) AS hurt FROM g""")
+def a25_reranked(v: Views) -> DataFrame:
+    ranked = v.surfaced.groupBy("conversation_id", "id").agg((F.count(F.lit(1)) / 10.0).alias("score"))
+    return t.reranked(t.boosted(ranked, v.cited).withColumn("boosted", rounded(F.col("boosted"), 6)), v.cited)
+
+
 @query("""WITH s AS (SELECT value AS score, event_type = 'purchase' AS gold FROM events), f AS (SELECT unnest([10.0, 25.0, 50.0, 75.0])::DOUBLE AS floor),
 k AS (SELECT floor.floor AS floor, avg(CASE WHEN gold THEN (score >= floor.floor)::INT::DOUBLE END) AS a, avg(CASE WHEN NOT gold THEN (score < floor.floor)::INT::DOUBLE END) AS b FROM s, f AS floor GROUP BY 1),
 k2 AS (SELECT floor, floor(a * 1e4 + 0.5) / 1e4 AS gold_kept, floor(b * 1e4 + 0.5) / 1e4 AS noise_cut FROM k)

@@ -143,12 +143,12 @@ def j10_merge_suggestions(v: Views) -> DataFrame:
     return sets.merge_suggestions(rows.withColumn("label", F.concat(F.lit("stream "), "id")), 0.6).withColumn("score", rounded(F.col("score")))
 
 
-NAMES = "WITH e AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'Part-' WHEN p_partkey % 3 = 1 THEN 'part_' ELSE 'PART ' END || CAST(p_partkey % 200 AS VARCHAR) || CASE WHEN p_partkey % 5 = 0 THEN 's' WHEN p_partkey % 5 = 1 THEN '.py' ELSE '' END AS name, count(*) AS n FROM part GROUP BY 1), f AS (SELECT *, regexp_replace(lower(name), '[\\s\\-_.]+', '', 'g') AS fold FROM e)"
+NAMES = "WITH e AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'Part-' WHEN p_partkey % 3 = 1 THEN 'part_' ELSE 'PART ' END || CAST(p_partkey % 199 AS VARCHAR) || CASE WHEN p_partkey % 5 = 0 THEN 's' WHEN p_partkey % 5 = 1 THEN '.py' ELSE '' END AS name, count(*) AS n FROM part GROUP BY 1), f AS (SELECT *, regexp_replace(lower(name), '[\\s\\-_.]+', '', 'g') AS fold FROM e)"
 
 
 def _names(v: Views) -> DataFrame:
     k = F.col("p_partkey")
-    name = F.concat(F.when(k % 3 == 0, "Part-").when(k % 3 == 1, "part_").otherwise("PART "), (k % 200).cast("string"), F.when(k % 5 == 0, "s").when(k % 5 == 1, ".py").otherwise(""))
+    name = F.concat(F.when(k % 3 == 0, "Part-").when(k % 3 == 1, "part_").otherwise("PART "), (k % 199).cast("string"), F.when(k % 5 == 0, "s").when(k % 5 == 1, ".py").otherwise(""))
     return v.part.groupBy(name.alias("name")).agg(_n())
 
 
@@ -335,10 +335,17 @@ def a22_search_facets(v: Views) -> DataFrame:
     return v.documents.groupBy("lang", "source").agg(_n())
 
 
-@query("SELECT s.id, o.label AS name FROM (SELECT id, lower(trim(label)) AS k FROM workstreams) s JOIN (SELECT DISTINCT lower(trim(label)) AS k, label FROM workstreams WHERE id IN ('w1', 'w2')) o USING (k)")
+@query(r"""WITH q AS (SELECT DISTINCT CASE WHEN c_custkey % 2 = 0 THEN '  ' || c_name || ' ' WHEN c_custkey % 3 = 0 THEN 'alias ' || c_custkey ELSE 'nobody ' || c_custkey END AS name FROM customer),
+k AS (SELECT name, lower(regexp_replace(trim(name), '\s+', ' ', 'g')) AS k FROM q), l AS (SELECT lower(regexp_replace(trim(label), '\s+', ' ', 'g')) AS k, min(id) AS id FROM workstreams GROUP BY 1), a AS (SELECT 'alias ' || substr(id, 2) AS k, id FROM workstreams)
+SELECT name, coalesce(l.id, a.id) AS id, CASE WHEN l.id IS NOT NULL THEN 'label' ELSE 'alias' END AS how FROM k LEFT JOIN l USING (k) LEFT JOIN a USING (k) WHERE coalesce(l.id, a.id) IS NOT NULL""")
 def j16_name_match(v: Views) -> DataFrame:
-    known = v.workstreams.filter(F.col("id").isin("w1", "w2")).select(label_key(F.col("label")).alias("k"), F.col("label").alias("name")).distinct()
-    return v.workstreams.select("id", label_key(F.col("label")).alias("k")).join(known, "k").select("id", "name")
+    """Streams by label, else by alias."""
+    from ..operators.mutations import bound
+
+    k = F.col("c_custkey")
+    name = F.when(k % 2 == 0, F.concat(F.lit("  "), "c_name", F.lit(" "))).when(k % 3 == 0, F.concat(F.lit("alias "), k.cast("string"))).otherwise(F.concat(F.lit("nobody "), k.cast("string")))
+    aliases = v.workstreams.select(F.concat(F.lit("Alias  "), F.substring("id", 2, 20)).alias("alias"), "id")
+    return bound(v.customer.select(name.alias("name")), v.workstreams.select("id", "label"), aliases).filter("how <> 'created'")
 
 
 @query("SELECT id, total FROM (SELECT id, size AS total, row_number() OVER (ORDER BY size DESC, id) AS r FROM sessions) WHERE r BETWEEN 21 AND 40")

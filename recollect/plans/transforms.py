@@ -105,6 +105,15 @@ def f19_timestamps(v: Views) -> DataFrame:
     return v.sessions.select("seq", x.alias("x"), rules.as_millis(x).alias("ms"))
 
 
+@query("SELECT seq, CASE seq % 5 WHEN 0 THEN 'as ' || seq WHEN 1 THEN '' WHEN 2 THEN '' ELSE strftime(make_timestamp(CASE WHEN seq % 5 = 3 THEN seq * 1000000 ELSE (seq + 10000000001) * 1000 END), '%Y-%m-%dT%H:%M:%S.%gZ') END AS t FROM sessions WHERE seq > 0")
+def f19_timestamp_texts(v: Views) -> DataFrame:
+    """Texts pass through; numbers are seconds or milliseconds; 0 and nothing are empty."""
+    k = F.col("seq") % 5
+    text = F.when(k == 0, F.concat(F.lit("as "), F.col("seq").cast("string"))).when(k == 1, "")
+    number = F.when(k == 2, 0).when(k == 3, F.col("seq")).when(k == 4, F.col("seq") + 10_000_000_001)
+    return v.sessions.filter("seq > 0").select("seq", rules.timestamp_text(text, number).alias("t"))
+
+
 @query("SELECT id, CASE WHEN seq % 3 = 0 THEN 'a_' || id || '_x_y' WHEN seq % 3 = 1 THEN 'a_' || id ELSE id END AS raw, CASE WHEN seq % 3 = 0 THEN 'a_' || id || '_y' WHEN seq % 3 = 1 THEN 'a_' || id ELSE id END AS safe FROM sessions")
 def f20_safe_ids(v: Views) -> DataFrame:
     k = F.col("seq") % 3
