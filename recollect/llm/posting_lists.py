@@ -14,7 +14,8 @@ query's best of a shard.
 
 Equal vectors are one class with its smallest ids, as only those can be among the nearest. Every vector is indexed.
 Cases: vectors that are null, empty, zero or hold null or non-finite components, those of another length than most, and
-null ids take no part; repeated ids count as one; with fewer than k candidates a query returns all that it found.
+null ids take no part; repeated ids count as one; with fewer than k candidates a query returns all that it found; components
+keep the type that they have; columns of other names are left behind; an empty table, and one without a query, gives no rows.
 """
 
 from __future__ import annotations

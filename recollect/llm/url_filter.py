@@ -7,7 +7,8 @@ end. A rule fits its host and all subdomains if the path starts with the rule's
 together) wins, then the one with the longer host, then the first by name.
 
 Cases: a null url, and one without `://`, has an empty host and path, fits no rule, and gets the model's verdict on no
-n-grams; repeated rows each get a row; an empty table gives no rows; without both labels the model allows everything.
+n-grams; very long urls are cut into n-grams like any other; repeated rows each get a row; columns of other names are left
+behind; an empty table gives no rows; without both labels the model allows everything.
 """
 
 from __future__ import annotations
