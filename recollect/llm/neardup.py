@@ -6,7 +6,8 @@
    of n gives n - 1 pairs. Pairs whose sizes allow a link are confirmed on full shingle sets; links give components.
 3. A bucket that still spans several components may hide links between members that the centre isn't linked with. Small
    ones are compared as pairs (at most `small` a row). In larger ones, members outside the bucket's largest component are
-   compared with all members, in blocks, inside tasks, that return stars of links.
+   compared with all members, in blocks, inside tasks, that return stars of links; buckets of one component are joined first
+   where that is less work.
 4. Components over all links.
 
 Texts never go through a shuffle: members of buckets are told on the scan by a bitmap of their ids, of at most
@@ -157,20 +158,33 @@ def hidden_links(buckets: DataFrame, comp: DataFrame, sets: DataFrame, p: NearDu
     other = few.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
     pairs = few.join(other, "key").filter("id < b and component != cb").filter(_fits("n", "nb", p)).select(F.col("id").alias("a"), "b").distinct()
     found = confirmed(pairs, sets, p)
-    # Every member is in a block of members, which goes to the blocks of askers: those outside the largest component.
-    many = rows.filter(F.col("m") > p.small).withColumn("blocks", F.greatest(F.ceil(F.col("m") / p.block), F.ceil(F.col("total") / p.block_shingles)).cast("int"))
-    many = many.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    outside = many.filter("component != main")
-    asking = outside.select("key", "id", "component", F.col("mine").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("asked"))
-    askers = outside.groupBy("key").agg(F.collect_set("mine").alias("askers"))
-    asked = many.join(askers, "key").select("key", "id", "component", F.explode("askers").alias("i"), F.col("mine").alias("j"), F.lit(False).alias("asked"))
+    # Buckets with the same largest component are one group where that is less work, as the same members meet in many of
+    # them; a group compares its distinct askers, those outside that component, with all of its distinct members.
+    large = rows.filter(F.col("m") > p.small).select("key", "main", "id", "n", "component")
+    blocks = lambda count, size: F.greatest(F.ceil(count / p.block), F.ceil(size / p.block_shingles), F.lit(1)).cast("int")
+    out = F.col("component") != F.col("main")
+
+    def sizes(of: DataFrame, *by: str) -> DataFrame:
+        return of.groupBy(*by).agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"), F.count_if(out).alias("ck"), F.sum(F.when(out, F.col("n")).otherwise(0)).alias("sk"))
+
+    cost = F.col("c") * blocks(F.col("ck"), F.col("sk")) + F.col("ck") * blocks(F.col("c"), F.col("s"))
+    apart = sizes(large, "main", "key").groupBy("main").agg(F.sum(cost).alias("apart"))
+    joined = sizes(large.select("main", "id", "n", "component").distinct(), "main").select("main", cost.alias("joined"))
+    group = large.join(apart.join(joined, "main"), "main").select("main", F.when(F.col("joined") > F.col("apart"), F.col("key")).alias("part"), "id", "n", "component").distinct()
+    group = written(group.withColumn("part", F.coalesce("part", F.lit(0))).withColumn("whole", F.col("part") == 0), "groups")
+    by = ["main", "part", "whole"]
+    placed = group.join(sizes(group, *by), by).withColumn("bm", blocks(F.col("c"), F.col("s"))).withColumn("bk", blocks(F.col("ck"), F.col("sk")))
+    mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = placed.filter(out).select(*by, "id", "component", mine("bk").alias("i"), spread("bm").alias("j"), F.lit(True).alias("asked"))
+    asked = placed.select(*by, "id", "component", spread("bk").alias("i"), mine("bm").alias("j"), F.lit(False).alias("asked"))
     both = asking.unionByName(asked).join(sets, "id")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         return _blocks(pdf, p.percent)
 
-    links = written(found.union(both.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")), "links")
-    dropped(rows)
+    links = written(found.union(both.groupBy(*by, "i", "j").applyInPandas(compare, "a long, b long")), "links")
+    dropped(rows, group)
     return links
 
 
