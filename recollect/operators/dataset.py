@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.score import micros
+from ..functions.score import micros, rounded
 
 
 def coherence(n: Column, age: Column) -> Column:
@@ -18,6 +18,46 @@ def stale_alerts(entities: DataFrame, dismissed: DataFrame, key: str = "entity")
     return rows.select(key, "age", F.when(age > 60, "high").when(age > 45, "medium").otherwise("low").alias("severity"))
 
 
+def alert_id(entity: Column) -> Column:
+    return F.concat(F.lit("stale_"), F.regexp_replace(entity, "[^A-Za-z0-9]", "_"))
+
+
+def alert_summaries(entities: DataFrame, hidden: DataFrame, opens: DataFrame) -> DataFrame:
+    """(alert_id, entity, severity, age, summary), high before medium before low, oldest first within each.
+
+    `entities` has (entity, n, age, status), `hidden` the alert ids that are dismissed or snoozed, `opens` (entity, at, id, question).
+    An entity without sessions or age, or that is retired or snoozed itself, has no alert. The summary names the first of at most
+    two open questions.
+    """
+    age = F.col("age")
+    live = (F.col("n") > 0) & (age > 30) & ~F.coalesce("status", F.lit("")).isin("retired", "snoozed")
+    rows = entities.filter(live).withColumn("alert_id", alert_id(F.col("entity"))).join(hidden, "alert_id", "left_anti")
+    place = F.row_number().over(Window.partitionBy("entity").orderBy("at", "id"))
+    two = opens.withColumn("_r", place).filter("_r <= 2").groupBy("entity").agg(F.count(F.lit(1)).alias("_k"), F.min_by("question", "_r").alias("_first"))
+    label = F.when(F.col("_k") == 1, "question").otherwise("questions")
+    tail = F.concat(F.lit(" · "), F.col("_k").cast("string"), F.lit(" unresolved open "), label, F.lit(': "'), F.substring("_first", 1, 80), F.lit('"'))
+    summary = F.concat(F.lit("Last touch "), age.cast("string"), F.lit(" days ago"), F.coalesce(tail, F.lit("")))
+    severity = F.when(age > 60, "high").when(age > 45, "medium").otherwise("low")
+    found = rows.join(two, "entity", "left").select("alert_id", "entity", severity.alias("severity"), "age", summary.alias("summary"))
+    return found.orderBy(F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2), F.desc("age"), "entity")
+
+
+def scope_coverage(rows: DataFrame) -> DataFrame:
+    """(surface, scope, total, stamped, unstamped, fraction) of (surface, scope) rows.
+
+    A line a surface and scope that is set, one a surface with `*` for its scope, and one for all with `*` in both.
+    """
+    counts = rows.groupBy("surface", "scope").agg(F.count(F.lit(1)).alias("_n"))
+    stamped = F.sum(F.when(F.col("scope").isNotNull(), F.col("_n")).otherwise(0)).alias("stamped")
+    total = F.sum("_n").alias("total")
+    each = counts.filter("scope IS NOT NULL").groupBy("surface", "scope").agg(total, stamped)
+    whole = counts.groupBy("surface").agg(total, stamped).withColumn("scope", F.lit("*"))
+    overall = counts.agg(total, stamped).withColumns({"surface": F.lit("*"), "scope": F.lit("*")})
+    found = each.unionByName(whole).unionByName(overall.withColumns({"total": F.coalesce("total", F.lit(0)), "stamped": F.coalesce("stamped", F.lit(0))}))
+    share = F.when(F.col("total") == 0, 0.0).otherwise(F.col("stamped") / F.col("total"))
+    return found.withColumns({"unstamped": F.col("total") - F.col("stamped"), "fraction": rounded(share)})
+
+
 def runtimes(sessions: DataFrame, now: str) -> DataFrame:
     """(runtime, total, week, last_us, state) of each runtime."""
     name = F.coalesce(F.nullif(F.trim("runtime"), F.lit("")), F.lit("unknown"))
@@ -39,6 +79,21 @@ def stratified(rows: DataFrame, key: str, stratum: str, n: int) -> DataFrame:
     return picked.join(share.select(stratum, "_k"), stratum).filter("_r <= _k").select(key, stratum)
 
 
+def length_bucket(n: Column) -> Column:
+    return F.when(n < 3_000, "short").when(n < 10_000, "medium").otherwise("long")
+
+
+def gold_sample(rows: DataFrame, cited: DataFrame, key: str, stratum: str, n: int, max_share: float = 0.6) -> DataFrame:
+    """(key, chosen_by): at most `max_share` of n rows from those cited, the rest as a sample by strata of what is left."""
+    target = max(0, min(n, rows.limit(max(n, 0)).count()))
+    known = rows.join(cited.select(key).distinct(), key, "left_semi")
+    picked = known.orderBy(F.md5(F.col(key).cast("string")), key).limit(int(target * max_share)).select(key)
+    taken = picked.count()
+    rest = rows.join(picked, key, "left_anti")
+    fill = stratified(rest, key, stratum, target - taken).select(key, F.lit("stratum").alias("chosen_by"))
+    return picked.select(key, F.lit("citation").alias("chosen_by")).unionByName(fill)
+
+
 def eligibility(rows: DataFrame, known: DataFrame, key: str, text: str, shortest: int) -> DataFrame:
     """(key, reason): the first rule that excludes a row, else `eligible`."""
     digest = rows.select(key, F.md5(text).alias("_d"), F.length(text).alias("_n"))

@@ -162,6 +162,44 @@ def floor_calibration(scored: DataFrame, floors: list[float], min_kept: float =
     return rows.withColumn("recommended", (F.col("gold_kept") >= min_kept) & (F.row_number().over(fit) == 1))
 
 
+def relative_floors(hits: DataFrame, gold: DataFrame, floors: list[float], min_kept: float = 0.95) -> DataFrame:
+    """(floor, gold_kept, noise_cut, recommended) for floors relative to the median score of a hit's fire.
+
+    `hits` has (fire, conversation_id, id, score), `gold` (conversation_id, id); fires of conversations without gold are left out. Of an
+    even number of scores the upper middle one is the median; where it isn't above 0, relative scores are 0. The floor that cuts most
+    noise and keeps enough gold is recommended, the lowest on a tie. Equal scores of a fire are counted before any window.
+    """
+    known = hits.join(gold.select("conversation_id").distinct(), "conversation_id", "left_semi")
+    counts = known.groupBy("fire", "score").agg(F.count(F.lit(1)).alias("_n"))
+    fire = Window.partitionBy("fire")
+    upto = F.sum("_n").over(fire.orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = counts.withColumns({"_upto": upto, "_total": F.sum("_n").over(fire)})
+    medians = ranked.filter("_upto > floor(_total / 2)").groupBy("fire").agg(F.min("score").alias("_median"))
+    used = gold.select("conversation_id", "id", F.lit(True).alias("_gold")).distinct()
+    rows = known.join(medians, "fire").join(used, ["conversation_id", "id"], "left")
+    share = F.when(F.col("_median") > 0, F.col("score") / F.col("_median")).otherwise(0.0)
+    found = floor_calibration(rows.select(share.alias("score"), F.coalesce("_gold", F.lit(False)).alias("gold")), floors, min_kept)
+    fit = Window.partitionBy(F.col("gold_kept") >= min_kept).orderBy(F.desc("noise_cut"), "floor")
+    return found.withColumn("recommended", (F.col("gold_kept") >= min_kept) & (F.row_number().over(fit) == 1))
+
+
+def body_hits(returned: DataFrame, answers: DataFrame, k: int = 5, query: str = "query_id") -> DataFrame:
+    """(query, body_hit): whether one of the first k bodies holds the answer, both lower-cased, with a space for all that is
+    neither letter nor digit.
+
+    `returned` has (query, rank, body), `answers` (query, answer), one a query. An answer of one word and under four characters must
+    stand between word boundaries (of A-Z, a-z, 0-9 and _); an empty one is never held.
+    """
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
+    asked = answers.select(query, plain(F.coalesce("answer", F.lit(""))).alias("_answer"))
+    edge = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+    body, answer = plain(F.col("body")), F.col("_answer")
+    short = ~F.contains(answer, F.lit(" ")) & (F.length(answer) < 4)
+    held = F.when(short, F.regexp_like(body, F.concat(F.lit(edge), answer, F.lit(edge)))).otherwise(F.contains(body, answer))
+    first = returned.filter(F.col("rank") <= k).join(asked.filter("_answer <> ''"), query).groupBy(query).agg(F.max(held).alias("_held"))
+    return asked.join(first, query, "left").select(query, F.coalesce("_held", F.lit(False)).cast("int").alias("body_hit"))
+
+
 def boosted(ranked: DataFrame, citations: DataFrame, alpha: float = 0.15) -> DataFrame:
     """Adds alpha * ln(1 + citations by other conversations) to scores above 0; `ranked` has (conversation_id, id, score)."""
     total = citations.groupBy("id").agg(F.count(F.lit(1)).alias("total"))

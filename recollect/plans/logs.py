@@ -185,6 +185,32 @@ def a26_floor_calibration(v: Views) -> DataFrame:
     return t.floor_calibration(scored, [10.0, 25.0, 50.0, 75.0], min_kept=0.5)
 
 
+@query("""WITH h AS (SELECT user_id::VARCHAR || '/' || (event_id % 7)::VARCHAR AS fire, 'c' || user_id::VARCHAR AS conversation_id, 's' || (event_id % 300)::VARCHAR AS id, value AS score FROM events),
+g AS (SELECT DISTINCT conversation_id, id FROM cited), w AS (SELECT h.*, g.id IS NOT NULL AS gold, list_sort(list(score) OVER (PARTITION BY fire)) AS l FROM h LEFT JOIN g USING (conversation_id, id) WHERE conversation_id IN (SELECT conversation_id FROM g)),
+m AS (SELECT gold, CASE WHEN l[(len(l) // 2) + 1] > 0 THEN score / l[(len(l) // 2) + 1] ELSE 0 END AS rel FROM w),
+k AS (SELECT floor.floor AS floor, floor(avg(CASE WHEN gold THEN (rel >= floor.floor)::INT::DOUBLE END) * 1e4 + 0.5) / 1e4 AS gold_kept, floor(avg(CASE WHEN NOT gold THEN (rel < floor.floor)::INT::DOUBLE END) * 1e4 + 0.5) / 1e4 AS noise_cut
+FROM m, (SELECT unnest([0.3, 0.5, 0.7, 0.8, 0.9, 1.0])::DOUBLE AS floor) AS floor GROUP BY 1)
+SELECT *, gold_kept >= 0.5 AND row_number() OVER (PARTITION BY gold_kept >= 0.5 ORDER BY noise_cut DESC, floor) = 1 AS recommended FROM k""")
+def a26_relative_floors(v: Views) -> DataFrame:
+    text = lambda c: c.cast("string")
+    user, event = F.col("user_id"), F.col("event_id")
+    hits = v.events.select(
+        F.concat(text(user), F.lit("/"), text(event % 7)).alias("fire"), F.concat(F.lit("c"), text(user)).alias("conversation_id"), F.concat(F.lit("s"), text(event % 300)).alias("id"), F.col("value").alias("score")
+    )
+    return t.relative_floors(hits, v.cited, [0.3, 0.5, 0.7, 0.8, 0.9, 1.0], min_kept=0.5)
+
+
+@query("""WITH r AS (SELECT conversation_id, id, row_number() OVER (PARTITION BY conversation_id ORDER BY md5(id), id) AS rank FROM (SELECT DISTINCT conversation_id, id FROM surfaced)),
+b AS (SELECT conversation_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS body FROM r JOIN documents ON id = 's' || doc_id::VARCHAR WHERE rank <= 5),
+a AS (SELECT 'c' || u::VARCHAR AS query_id, trim(regexp_replace(lower(CASE WHEN u % 2 = 0 THEN (u % 100)::VARCHAR ELSE regexp_extract(text, '^[A-Za-z]+') END), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS answer FROM (SELECT DISTINCT user_id AS u FROM events) JOIN benchmark ON item_id = u % 40)
+SELECT query_id, (coalesce(bool_or(answer <> '' AND CASE WHEN length(answer) < 4 THEN regexp_matches(body, '\\b' || regexp_escape(answer) || '\\b') ELSE contains(body, answer) END), false))::INT AS body_hit FROM a LEFT JOIN b ON conversation_id = query_id GROUP BY 1""")
+def a23_body_hits(v: Views) -> DataFrame:
+    bodies = _ranked(v).join(v.documents.select(F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("doc_id"), F.col("text").alias("body")), "doc_id")
+    users = v.events.select(F.col("user_id").alias("u")).distinct().join(v.benchmark, F.col("item_id") == F.col("u") % 40)
+    answer = F.when(F.col("u") % 2 == 0, (F.col("u") % 100).cast("string")).otherwise(F.regexp_extract("text", "^[A-Za-z]+", 0))
+    return t.body_hits(bodies, users.select(F.concat(F.lit("c"), F.col("u").cast("string")).alias("query_id"), answer.alias("answer")))
+
+
 @query("""WITH a AS (SELECT DISTINCT conversation_id, id FROM cited), b AS (SELECT DISTINCT conversation_id, id FROM surfaced),
 p AS (SELECT coalesce(a.conversation_id, b.conversation_id) AS conversation_id, count(a.id) AS t, count(b.id) AS f, count(*) FILTER (a.id IS NOT NULL AND b.id IS NOT NULL) AS r FROM a FULL JOIN b ON a.conversation_id = b.conversation_id AND a.id = b.id GROUP BY 1),
 q AS (SELECT conversation_id, CASE WHEN f > 0 THEN r / f END AS p, CASE WHEN t > 0 THEN r / t END AS c FROM p)

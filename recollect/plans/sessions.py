@@ -298,6 +298,22 @@ def a12_stale_alerts(v: Views) -> DataFrame:
     return stale_alerts(_aged(v), dismissed)
 
 
+@query(COHERENCE + """, o AS (SELECT x.entity, started_at AS began, f.id, f.subject || ' ' || f.predicate || ' ' || f.value AS question FROM facts f JOIN session_entities x USING (session_id) JOIN sessions s ON s.id = session_id WHERE f.kind = 'open'),
+p AS (SELECT entity, count(*) AS k, min_by(question, r) AS first FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY began, id) AS r FROM o) WHERE r <= 2 GROUP BY 1)
+SELECT 'stale_' || entity AS alert_id, entity, age, CASE WHEN age > 60 THEN 'high' WHEN age > 45 THEN 'medium' ELSE 'low' END AS severity,
+'Last touch ' || age::VARCHAR || ' days ago' || CASE WHEN k IS NULL THEN '' ELSE ' · ' || k::VARCHAR || ' unresolved open ' || CASE WHEN k = 1 THEN 'question' ELSE 'questions' END || ': "' || substr(first, 1, 80) || '"' END AS summary
+FROM a LEFT JOIN p USING (entity) WHERE n > 0 AND age > 30 AND entity NOT IN ('e1', 'e2') AND entity NOT LIKE '%7'""")
+def a12_alert_summaries(v: Views) -> DataFrame:
+    from ..operators.dataset import alert_summaries
+
+    hidden = v.spark.createDataFrame([("stale_e1",), ("stale_e2",)], "alert_id string")
+    status = F.when(F.col("entity").endswith("7"), "snoozed").otherwise("active")
+    asked = v.facts.filter("kind = 'open'").select("session_id", "id", F.concat_ws(" ", "subject", "predicate", "value").alias("question"))
+    started = v.sessions.select(F.col("id").alias("session_id"), F.col("started_at").alias("at"))
+    opens = asked.join(started, "session_id").join(v.session_entities, "session_id")
+    return alert_summaries(_aged(v).withColumn("status", status), hidden, opens)
+
+
 @query("""SELECT coalesce(nullif(trim(runtime), ''), 'unknown') AS runtime, count(*) AS total, count(*) FILTER (started_at >= $then - INTERVAL 7 DAY) AS week, epoch_us(max(started_at)) AS last_us,
 CASE WHEN max(started_at) >= $then - INTERVAL 1 HOUR THEN 'active' WHEN max(started_at) >= $then - INTERVAL 24 HOUR THEN 'idle' ELSE 'dormant' END AS state FROM sessions GROUP BY 1""")
 def a13_runtimes(v: Views) -> DataFrame:
@@ -312,6 +328,25 @@ def a16_scope_coverage(v: Views) -> DataFrame:
     return rows.groupBy("surface").agg(F.count(F.lit(1)).alias("total"), F.count("scope").alias("stamped"), rounded(F.count("scope") / F.count(F.lit(1))).alias("fraction"))
 
 
+@query("""WITH r AS (SELECT 'sessions' AS surface, scope FROM sessions UNION ALL SELECT 'facts', s.scope FROM facts f JOIN sessions s ON s.id = f.session_id UNION ALL SELECT 'exemplars', source FROM documents
+UNION ALL SELECT 'signals', CASE WHEN step IS NOT NULL THEN repo END FROM signals UNION ALL SELECT 'workstreams', CASE WHEN merged_into IS NULL THEN 'global' END FROM workstreams),
+c AS (SELECT surface, scope, count(*) AS total, count(scope) AS stamped FROM r WHERE scope IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT surface, '*', count(*), count(scope) FROM r GROUP BY 1 UNION ALL SELECT '*', '*', count(*), count(scope) FROM r)
+SELECT *, total - stamped AS unstamped, floor(stamped / total * 1e4 + 0.5) / 1e4 AS fraction FROM c""")
+def a16_by_scope(v: Views) -> DataFrame:
+    from ..operators.dataset import scope_coverage
+
+    own = v.sessions.select(F.col("id").alias("session_id"), "scope")
+    surfaces = {
+        "sessions": own.select("scope"),
+        "facts": v.facts.join(own, "session_id").select("scope"),
+        "exemplars": v.documents.select(F.col("source").alias("scope")),
+        "signals": v.signals.select(F.when(F.col("step").isNotNull(), F.col("repo")).alias("scope")),
+        "workstreams": v.workstreams.select(F.when(F.col("merged_into").isNull(), "global").alias("scope")),
+    }
+    rows = [x.select(F.lit(name).alias("surface"), "scope") for name, x in surfaces.items()]
+    return scope_coverage(rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3]).unionByName(rows[4]))
+
+
 @query("SELECT entity, count(*) AS session_count FROM session_entities GROUP BY 1")
 def a19_session_counts(v: Views) -> DataFrame:
     return v.session_entities.groupBy("entity").agg(F.count(F.lit(1)).alias("session_count"))
@@ -376,6 +411,17 @@ def t6_stratified_sample(v: Views) -> DataFrame:
     return stratified(v.documents.select("doc_id", "lang"), "doc_id", "lang", 50)
 
 
+@query("""WITH p AS (SELECT doc_id, coalesce(lang, '') || ':' || CASE WHEN length(text) < 3000 THEN 'short' WHEN length(text) < 10000 THEN 'medium' ELSE 'long' END AS stratum FROM documents),
+c AS (SELECT doc_id FROM p WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT 30), o AS (SELECT * FROM p WHERE doc_id NOT IN (SELECT doc_id FROM c)),
+n AS (SELECT stratum, count(*) AS n FROM o GROUP BY 1), t AS (SELECT *, n * 20.0::DOUBLE / sum(n) OVER () AS x FROM n), a AS (SELECT *, floor(x) + (row_number() OVER (ORDER BY x - floor(x) DESC, stratum) <= 20 - sum(floor(x)) OVER ())::INT AS k FROM t)
+SELECT doc_id, 'citation' AS chosen_by FROM c UNION ALL SELECT doc_id, 'stratum' FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5(doc_id::VARCHAR), doc_id) AS r FROM o) JOIN a USING (stratum) WHERE r <= k""")
+def t6_gold_sample(v: Views) -> DataFrame:
+    from ..operators.dataset import gold_sample, length_bucket
+
+    stratum = F.concat(F.coalesce("lang", F.lit("")), F.lit(":"), length_bucket(F.length("text")))
+    return gold_sample(v.documents.select("doc_id", stratum.alias("stratum")), v.labels.filter("quality = 1"), "doc_id", "stratum", 50)
+
+
 @query("""WITH r AS (SELECT doc_id, CASE WHEN length(text) < 100 THEN 'short' WHEN row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) > 1 THEN 'duplicate' WHEN NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) THEN 'unresolved' ELSE 'eligible' END AS reason FROM documents d) SELECT reason, count(*) AS n FROM r GROUP BY 1""")
 def t7_eligibility(v: Views) -> DataFrame:
     from ..operators.dataset import eligibility

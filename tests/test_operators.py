@@ -11,7 +11,7 @@ from recollect.functions.hashes import fnv_12
 from recollect.functions.injected import strip_blocks
 from recollect.functions.rules import prompt_class
 from recollect.functions.text import chunks
-from recollect.operators import access, facts, graph, mutations, recall, sets, telemetry, timeline
+from recollect.operators import access, dataset, facts, graph, mutations, recall, sets, telemetry, timeline
 from recollect.sources import logs, transcripts
 
 
@@ -322,3 +322,37 @@ def test_streams_go_on_where_they_ended(spark, tmp_path):
     assert seen[0][0] == [("k0", 6), ("k1", 7), ("k2", 8)] and seen[1][0] == [("k0", 15), ("k1", 13), ("k2", 14)]
     assert len(seen[0][1]) == 3 and len(seen[1][1]) == 3  # a day isn't long enough for any of them to be forgotten
     assert seen[1][2] == [(2,), (4,), (7,), (8,), (12,), (14,)]
+
+
+def test_alerts_name_the_first_of_two_questions(spark):
+    entities = spark.createDataFrame([("a b", 3, 61, "active"), ("c", 1, 46, None), ("d", 1, 31, "snoozed"), ("e", 0, 90, "active"), ("f", 2, 30, "active"), ("g", 1, 70, "active")], "entity string, n long, age long, status string")
+    hidden = spark.createDataFrame([("stale_g",)], "alert_id string")
+    opens = spark.createDataFrame([("a b", 2, 1, "later"), ("a b", 1, 2, "x" * 90), ("a b", 3, 3, "third"), ("c", 1, 4, "why")], "entity string, at long, id long, question string")
+    rows = dataset.alert_summaries(entities, hidden, opens).collect()
+    assert [(r.alert_id, r.severity) for r in rows] == [("stale_a_b", "high"), ("stale_c", "medium")]
+    assert rows[0].summary == f'Last touch 61 days ago · 2 unresolved open questions: "{"x" * 80}"'
+    assert rows[1].summary == 'Last touch 46 days ago · 1 unresolved open question: "why"'
+
+
+def test_relative_floors_take_the_upper_median(spark):
+    hits = spark.createDataFrame([("f", "c", "a", 4.0), ("f", "c", "b", 2.0), ("f", "c", "b", 2.0), ("f", "c", "d", 4.0), ("z", "c", "a", 0.0), ("n", "other", "a", 9.0)], "fire string, conversation_id string, id string, score double")
+    gold = spark.createDataFrame([("c", "a"), ("c", "a")], "conversation_id string, id string")
+    rows = {r.floor: r for r in telemetry.relative_floors(hits, gold, [0.4, 0.6, 1.0], min_kept=0.5).collect()}
+    assert [(rows[x].gold_kept, rows[x].noise_cut, rows[x].recommended) for x in (0.4, 0.6, 1.0)] == [(0.5, 0.0, False), (0.5, 0.6667, True), (0.5, 0.6667, False)]
+
+
+def test_short_answers_need_word_boundaries(spark):
+    bodies = spark.createDataFrame([("p", 1, "It cost $3."), ("q", 1, "It cost 33."), ("r", 1, "a  Long,\nanswer"), ("s", 6, "yes"), ("t", 1, None)], "query_id string, rank int, body string")
+    answers = spark.createDataFrame([("p", "3"), ("q", "3"), ("r", "long answer!"), ("s", "yes"), ("t", "yes"), ("u", "?"), ("v", None)], "query_id string, answer string")
+    assert {r.query_id: r.body_hit for r in telemetry.body_hits(bodies, answers).collect()} == {"p": 1, "q": 0, "r": 1, "s": 0, "t": 0, "u": 0, "v": 0}
+
+
+def test_scope_coverage_and_gold_samples(spark):
+    rows = spark.createDataFrame([("a", "x"), ("a", None), ("b", None)], "surface string, scope string")
+    found = {(r.surface, r.scope): (r.total, r.stamped, r.unstamped, r.fraction) for r in dataset.scope_coverage(rows).collect()}
+    assert found == {("a", "x"): (1, 1, 0, 1.0), ("a", "*"): (2, 1, 1, 0.5), ("b", "*"): (1, 0, 1, 0.0), ("*", "*"): (3, 1, 2, 0.3333)}
+    pool = spark.range(20).selectExpr("id", "CAST(id % 2 AS STRING) AS kind")
+    picked = dataset.gold_sample(pool, spark.range(8), "id", "kind", 10).collect()
+    assert len({r.id for r in picked}) == 10 and sum(r.chosen_by == "citation" for r in picked) == 6
+    assert dataset.gold_sample(pool.limit(0), spark.range(8), "id", "kind", 10).count() == 0
+    assert dataset.gold_sample(pool, spark.range(8), "id", "kind", 50).count() == 20
