@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, license_scan, metric_join, mixing, neardup, pieces, posting_lists, quality, toxicity, url_filter
+from . import bpe, conversations, hard_negatives, language, license_scan, metric_join, mixing, neardup, pieces, posting_lists, quality, toxicity, url_filter
 from .supervised import crc_mod
 from .tables import small_batches
 
@@ -67,6 +67,31 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs).select("doc_id", "m_source", "m_lang", "m_topic", "m_tokens", "m_p", "m_kept")
 
 
-_EVERY = (op1_toxicity, op2_language, op3_url_filter, op4_posting_lists, op5_license_scan, op6_pieces, op7_quality, op8_minhash, op9_mixing, op10_metric_join)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    scaled = F.transform("embedding", lambda x: x.cast("double") * 256)
+    return hard_negatives.mine(rows.select("vec_id", label.alias("label"), scaled.alias("embedding")), F.col("vec_id") % 50 == 0)
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), decoded="decoded")
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = _read(spark, sf_dir, "conversations")
+    found = conversations.repair(conversations.damaged(given)).withColumnRenamed("conv_id", "of")
+    every = given.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("of")), "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    hashed = F.coalesce(conversations.digest("repaired"), F.sha2(F.lit(""), 256))
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), hashed.alias("repaired_sha256"))
+
+
+_EVERY = (
+    op1_toxicity, op2_language, op3_url_filter, op4_posting_lists, op5_license_scan, op6_pieces, op7_quality, op8_minhash, op9_mixing, op10_metric_join,
+    op11_hard_negatives, op12_bpe, op13_conversations,
+)
 QUERIES = {f.__name__: f for f in _EVERY}
-ORACLE_SQL: dict[str, str] = {"op5_license_scan": license_scan.ORACLE, "op9_mixing": mixing.oracle()}
+ORACLE_SQL: dict[str, str] = {"op5_license_scan": license_scan.ORACLE, "op9_mixing": mixing.oracle(), "op11_hard_negatives": hard_negatives.ORACLE, "op13_conversations": conversations.ORACLE}
