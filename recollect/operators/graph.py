@@ -2,42 +2,95 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import Steps, by_range, shared_dir, written
+
 
-def shared_dir(spark) -> str:
-    """The folder that all machines share: the cluster's spark.checkpoint.dir, or what the session was told. Only a session
-    on one machine that names none gets a temporary one."""
-    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
-        found = tempfile.mkdtemp(prefix="recollect-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+def _ranked(pointing: DataFrame, steps: Steps) -> tuple[DataFrame, int]:
+    """(n, p, hops, done) where pointers (n, p) lead, and how many lead nowhere: list ranking by pointer doubling.
 
+    A round composes what is open with what everything has reached, so that the ways done double and their lengths add up.
+    As long as something open ends at all, a round finishes some of it: when a round finishes nothing, the rest runs in circles.
+    """
+    at = steps.keep(pointing.select("n", "p", F.lit(1).cast("long").alias("hops"), F.lit(False).alias("done")), "at")
+    left, before = at.count(), -1
+    while left not in (0, before):
+        far = at.select(F.col("n").alias("p"), F.col("p").alias("pp"), F.col("hops").alias("more"), F.col("done").alias("end"))
+        new = at.filter("not done").join(far, "p", "left").select("n", F.coalesce("pp", "p").alias("p"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.coalesce("end", F.lit(True)).alias("done"))
+        at = steps.keep(new.union(at.filter("done")), "at")
+        before, left = left, at.filter("not done").count()
+    return at, left
+
+
+def _rings(pointing: DataFrame, steps: Steps) -> DataFrame:
+    """(node) on the circles of pointers (n, p) that never end: the images of all nodes under ever more steps shrink to them."""
+    at, before = pointing.select("n", "p"), pointing.count()
+    while True:
+        size = at.select("p").distinct().count()
+        if size == before:
+            return at.select(F.col("p").alias("node")).distinct()
+        before = size
+        at = steps.keep(at.join(at.select(F.col("n").alias("p"), F.col("p").alias("q")), "p").select("n", F.col("q").alias("p")), "image")
 
-def survivors(nodes: DataFrame, key: str, pointer: str, rounds: int = 40) -> DataFrame:
-    """(key, survivor): where merge pointers lead, by pointer jumping: each round doubles the length of the paths done.
 
-    A pointer to a missing node ends there; nodes whose pointers run into a circle keep the smallest of the nodes that
-    they have reached when the rounds end, so that a circle ends too.
+def resolved(nodes: DataFrame, key: str, pointer: str) -> DataFrame:
+    """(key, survivor, hops, circular): where pointers lead, and after how many hops.
+
+    A pointer to a missing node ends there, a node without a pointer or with one to itself is its own survivor. A way that runs
+    into a circle ends at the first node that it would meet twice: the one where it enters the circle, which for a node of the circle is
+    the node itself. As many rounds as the logarithm of the longest way.
     """
-    shared_dir(nodes.sparkSession)
-    at = nodes.select(F.col(key).alias("n"), F.coalesce(pointer, key).alias("p"))
-    for _ in range(rounds):
-        far = at.select(F.col("n").alias("p"), F.col("p").alias("pp"))
-        at = at.join(far, "p", "left").select("n", F.coalesce("pp", "p").alias("q"), (F.coalesce("pp", "p") != F.col("p")).alias("moved"))
-        at = at.checkpoint()
-        moved = at.filter("moved").limit(1).count()
-        at = at.select("n", F.col("q").alias("p"))
-        if not moved:
-            break
-    return at.select(F.col("n").alias(key), F.col("p").alias("survivor"))
+    steps, of = Steps(), nodes.select(F.col(key).alias("n"), F.col(pointer).alias("p"))
+    pointing = of.filter("p is not null and p <> n")
+    at, left = _ranked(pointing, steps)
+    ends = at.filter("done").select("n", "p", "hops", F.lit(False).alias("circular"))
+    inner = Steps()
+    if left:
+        stuck = inner.keep(pointing.join(at.filter("not done").select("n"), "n", "left_semi"), "stuck")
+        ring = inner.keep(_rings(stuck, inner), "ring")
+        enters = Steps()
+        tails, _ = _ranked(stuck.join(ring.withColumnRenamed("node", "n"), "n", "left_anti"), enters)
+        inner.now["tails"] = enters.now.pop("at")
+        ends = ends.union(tails.select("n", "p", "hops", F.lit(True))).union(ring.select("node", "node", F.lit(0).cast("long"), F.lit(True)))
+    alone = of.filter("p is null or p = n").select("n", F.col("n").alias("p"), F.lit(0).cast("long").alias("hops"), F.lit(False).alias("circular"))
+    out = written(ends.union(alone).select(F.col("n").alias(key), F.col("p").alias("survivor"), "hops", "circular"), "resolved")
+    steps.done()
+    inner.done()
+    return out
+
+
+def survivors(nodes: DataFrame, key: str, pointer: str) -> DataFrame:
+    """(key, survivor): where merge pointers lead; see `resolved`."""
+    return resolved(nodes, key, pointer).select(key, "survivor")
+
+
+def threads(sessions: DataFrame) -> DataFrame:
+    """(id, kind, head, hops, position) of sessions (id, status, started_at, replaced_by).
+
+    A session that isn't replaced is `live` and its own head. A replaced one is `earlier` than the live session that its replacements lead
+    to, with its place among the head's earlier ones by start, and `orphan` without a head where they lead to none: to a missing session,
+    to a replaced one without a replacement, or round in a circle. Places come from a scan over ranges, as one head may have most of all.
+    """
+    old = F.col("status") == "replaced"
+    ways = resolved(sessions.select("id", F.when(old, F.col("replaced_by")).alias("to")), "id", "to")
+    live = sessions.filter(~F.coalesce(old, F.lit(False))).select(F.col("id").alias("survivor"), F.lit(True).alias("alive"))
+    rows = sessions.select("id", "status", "started_at").join(ways, "id").join(live, "survivor", "left")
+    headed = F.col("alive") & ~F.col("circular")
+    kind = F.when(~F.coalesce(old, F.lit(False)), "live").when(headed, "earlier").otherwise("orphan")
+    rows = rows.select("id", "started_at", kind.alias("kind"), F.when(headed, F.col("survivor")).alias("head"), F.when(headed, F.col("hops")).alias("hops"))
+    placed = numbered(rows.filter("kind = 'earlier'"), "head", ["started_at", "id"]).select("id", "kind", "head", "hops", "position")
+    return placed.union(rows.filter("kind <> 'earlier'").select("id", "kind", "head", "hops", F.lit(None).cast("long")))
+
+
+def numbered(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """`rows` with `position`, from 1 in the order of each key; a key with most of the rows is numbered by many tasks."""
+    dealt = by_range(rows, key, *order)
+    inside = F.row_number().over(Window.partitionBy("part_", key).orderBy(*order))
+    before = Window.partitionBy(key).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(key, "part_").agg(F.count(F.lit(1)).alias("n_")).select(key, "part_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("n_"))
+    return dealt.withColumn("position", inside).join(counts, [key, "part_"]).withColumn("position", F.col("position") + F.col("n_")).drop("n_", "part_")
 
 
 def reachable(edges: DataFrame, starts: DataFrame, src: str, dst: str, depth: int = 100) -> DataFrame:
@@ -48,7 +101,7 @@ def reachable(edges: DataFrame, starts: DataFrame, src: str, dst: str, depth: in
     front = seen
     for hop in range(1, depth + 1):
         new = front.join(e, front["node"] == e["at"]).select("start", F.col("to").alias("node"), F.lit(hop).alias("hops")).distinct()
-        front = new.join(seen.select("start", "node"), ["start", "node"], "left_anti").checkpoint()
+        front = written(new.join(seen.select("start", "node"), ["start", "node"], "left_anti"), "front")
         if not front.limit(1).count():
             break
         seen = seen.union(front)
@@ -105,15 +158,10 @@ def _spread(values: DataFrame, e: DataFrame) -> DataFrame:
 
 
 def pointer_cycles(nodes: DataFrame, key: str, pointer: str) -> DataFrame:
-    """(node) on cycles of a graph where each node points to one other at most: after as many steps as there are nodes, by
-    doubling, every node that still stands somewhere stands on a cycle, and every node of a cycle has one standing on it."""
-    shared_dir(nodes.sparkSession)
-    at = nodes.filter(F.col(pointer).isNotNull() & (F.col(pointer) != F.col(key))).select(F.col(key).alias("n"), F.col(pointer).alias("p")).checkpoint()
-    steps, n = 1, at.count()
-    while steps < n:
-        at = at.join(at.select(F.col("n").alias("p"), F.col("p").alias("q")), "p").select("n", F.col("q").alias("p")).checkpoint()
-        steps *= 2
-    return at.select(F.col("p").alias("node")).distinct()
+    """(node) on cycles of a graph where each node points to one other at most: where ways that never end run round. A node that points to
+    itself is on none."""
+    ways = resolved(nodes, key, pointer)
+    return ways.filter((F.col("circular")) & (F.col("hops") == 0)).select(F.col(key).alias("node"))
 
 
 def marked_superseded(edges: DataFrame, wanted: DataFrame, sessions: DataFrame) -> DataFrame:

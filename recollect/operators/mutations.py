@@ -109,27 +109,46 @@ def superseded_sessions(sessions: DataFrame, edges: DataFrame, facts: DataFrame,
     """(sessions, edges, facts) after the marks (predecessor, successor) whose verdict is `ok`.
 
     A predecessor has one successor: of several marks the last one by id counts, and earlier edges of that kind go. Its
-    status becomes `superseded`. Its facts are superseded by a fact of the successor with the same subject and predicate.
+    status becomes `superseded`. Each of its facts is superseded by a current fact of the successor with the same subject and
+    predicate (of several the last one by id), whatever it was superseded by before, and loses its embedding; without such a fact nothing
+    changes. All marks see the facts as they were before.
     """
     good = marks.filter("verdict = 'ok'").groupBy(F.col("predecessor").alias("id")).agg(F.max("successor").alias("successor"))
     now = sessions.join(good.select("id", F.lit(True).alias("_hit")), "id", "left").withColumn("status", F.when(F.col("_hit"), "superseded").otherwise(F.col("status"))).drop("_hit")
     other = edges.join(good.select(F.col("id").alias("to_session"), F.lit("supersedes").alias("kind")), ["to_session", "kind"], "left_anti").select("from_session", "to_session", "kind")
     links = other.union(good.select("successor", "id", F.lit("supersedes")))
-    heirs = facts.groupBy(F.col("session_id").alias("successor"), "subject", "predicate").agg(F.max("id").alias("heir"))
+    heirs = facts.filter("superseded_by is null").groupBy(F.col("session_id").alias("successor"), "subject", "predicate").agg(F.max("id").alias("heir"))
     owned = facts.join(good.withColumnRenamed("id", "session_id"), "session_id", "left").join(heirs, ["successor", "subject", "predicate"], "left")
-    return now, links, owned.select("id", F.coalesce("superseded_by", "heir").alias("superseded_by"))
+    return now, links, owned.select("id", F.coalesce("heir", "superseded_by").alias("superseded_by"), F.col("heir").isNotNull().alias("cascaded"))
+
+
+def fact_writes(facts: DataFrame, writes: DataFrame) -> DataFrame:
+    """`writes` (id, action, by, pos) with `error`: a fact that supersedes itself (`self`), a fact that isn't there (`missing`), or whose
+    successor isn't (`missing target`); null for those that can be done."""
+    known = lambda side, name: facts.select(F.col("id").alias(side), F.lit(True).alias(name))
+    rows = writes.join(known("id", "_id"), "id", "left").join(known("by", "_by"), "by", "left")
+    links = (F.col("action") == "supersede") & F.col("by").isNotNull()
+    error = F.when(links & (F.col("id") == F.col("by")), "self").when(F.col("_id").isNull(), "missing").when(links & F.col("_by").isNull(), "missing target")
+    return rows.select("id", "action", "by", "pos", error.alias("error"))
 
 
 def fact_versions(facts: DataFrame, writes: DataFrame) -> DataFrame:
-    """(id, superseded_by, retired, embedded) after writes (id, action, by) in the order of `pos`, of which the last of each
-    action counts: `supersede` (a null `by` makes it current again), `retire` (by `1` or `0`). A retired fact loses its
-    embedding, as does a superseded one."""
-    last = lambda action, name: writes.filter(F.col("action") == action).groupBy("id").agg(F.max_by(F.struct("by"), "pos").alias(name))
-    rows = facts.join(last("supersede", "_s"), "id", "left").join(last("retire", "_r"), "id", "left")
+    """(id, superseded_by, retired, embedded) after writes (id, action, by) in the order of `pos`; those with an error do nothing.
+
+    `supersede` by a fact, or by null, which makes it current again; `retire` by `1` or `0`; `embed`. Of each action the last
+    write counts. A fact that is superseded or retired loses its embedding, and doesn't get it back by being current again, only by a later
+    `embed`. Facts that begin current and not retired begin with an embedding.
+    """
+    good = fact_writes(facts, writes).filter("error is null")
+    last = lambda where, name: F.max_by(F.struct("by"), F.when(where, F.col("pos"))).alias(name)
+    is_ = lambda action: F.col("action") == action
+    gone = is_("supersede") & F.col("by").isNotNull() | is_("retire") & (F.col("by") == "1")
+    embeds = F.max_by(is_("embed"), F.when(gone | is_("embed"), F.col("pos"))).alias("_e")
+    rows = facts.join(good.groupBy("id").agg(last(is_("supersede"), "_s"), last(is_("retire"), "_r"), embeds), "id", "left")
     by = F.when(F.col("_s").isNotNull(), F.col("_s.by")).otherwise(F.col("superseded_by"))
     retired = F.when(F.col("_r").isNotNull(), F.col("_r.by").cast("int")).otherwise(F.col("retired"))
-    out = rows.select("id", by.alias("superseded_by"), retired.alias("retired"))
-    return out.withColumn("embedded", F.col("superseded_by").isNull() & (F.col("retired") == 0))
+    before = F.col("superseded_by").isNull() & (F.col("retired") == 0)
+    return rows.select("id", by.alias("superseded_by"), retired.alias("retired"), F.coalesce("_e", before).alias("embedded"))
 
 
 def ingested_facts(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -222,10 +241,14 @@ def stamped(rows: DataFrame, found: DataFrame, columns: list[str], parents: Data
     return both.select("id", *(F.coalesce(c, f"_{c}").alias(c) for c in columns), "persona", "parent", outcome.alias("outcome"))
 
 
-def pruned_exemplars(exemplars: DataFrame, most: int) -> DataFrame:
-    """(id) of exemplars to delete: of each repository beyond the `most` newest ones, those that a human labelled never."""
-    w = Window.partitionBy("repo").orderBy(F.desc("ts"), F.desc("id"))
-    return exemplars.withColumn("_r", F.row_number().over(w)).filter((F.col("_r") > most) & ~F.coalesce(F.col("source") == "human", F.lit(False))).select("id")
+def pruned_exemplars(exemplars: DataFrame, scope: str | None = None, older_than: str | None = None) -> DataFrame:
+    """(id, reason) of exemplars to delete, with their vectors: those of an installation's scope whose code didn't survive (`reverted`), and
+    those of any scope from before a time (`old`). A reverted one is named as that."""
+    never = F.lit(False)
+    reverted = (F.col("scope") == scope) & (F.col("survived") == 0) if scope is not None else never
+    old = F.col("ts") < F.lit(older_than).cast(exemplars.schema["ts"].dataType) if older_than is not None else never
+    reason = F.when(reverted, "reverted").when(old, "old")
+    return exemplars.select("id", reason.alias("reason")).filter("reason is not null")
 
 
 def pending(rows: DataFrame, done: DataFrame, key: str, after: object = None) -> DataFrame:

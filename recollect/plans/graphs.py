@@ -18,6 +18,16 @@ def g4_survivors(v: Views) -> DataFrame:
     return graph.survivors(v.workstreams, "id", "merged_into")
 
 
+@query("""WITH RECURSIVE n AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 40 = 39 THEN c_custkey - 6 ELSE c_custkey + 1 END AS to_id FROM customer),
+w AS (SELECT id, id AS place, [id] AS seen, false AS stop FROM n UNION ALL SELECT w.id, n.to_id, list_append(seen, n.to_id), list_contains(seen, n.to_id) FROM w JOIN n ON n.id = w.place WHERE NOT stop AND n.to_id IS NOT NULL)
+SELECT id, arg_max(place, len(seen)) AS survivor, (max(len(seen)) - 1 - CASE WHEN bool_or(stop) THEN CASE WHEN arg_max(place, len(seen)) = id THEN max(len(seen)) - 1 ELSE max(len(seen)) - list_position(arg_max(seen, len(seen)), arg_max(place, len(seen))) END ELSE 0 END)::BIGINT AS hops, bool_or(stop) AS circular FROM w GROUP BY 1""")
+def g4_circles(v: Views) -> DataFrame:
+    """Ways of customers along their numbers, of which some end and some run into circles."""
+    k = F.col("c_custkey")
+    rows = v.customer.select(k.alias("id"), F.when(k % 7 == 0, None).when(k % 40 == 39, k - 6).otherwise(k + 1).alias("to_id"))
+    return graph.resolved(rows, "id", "to_id")
+
+
 @query(RESOLVE + " SELECT survivor, count(DISTINCT x.id) AS sessions, count(f.id) AS facts FROM s JOIN sessions x ON x.workstream_id = s.id LEFT JOIN facts f ON f.session_id = x.id GROUP BY 1")
 def g5_rollup(v: Views) -> DataFrame:
     to = graph.survivors(v.workstreams, "id", "merged_into").withColumnRenamed("id", "workstream_id")
@@ -52,7 +62,8 @@ def _applied(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
     from ..operators.mutations import superseded_sessions
 
     marks = graph.marked_superseded(v.edges, _wanted(v), v.sessions)
-    return superseded_sessions(v.sessions, v.edges, v.versions, marks)
+    kept = v.versions.withColumn("superseded_by", F.when(F.col("version") % 3 == 0, F.col("superseded_by")))
+    return superseded_sessions(v.sessions, v.edges, kept, marks)
 
 
 @query(APPLIED + " SELECT s.id, CASE WHEN ok.id IS NOT NULL THEN 'superseded' ELSE status END AS status FROM sessions s LEFT JOIN ok ON ok.id = s.id")
@@ -65,9 +76,11 @@ def g1_edges(v: Views) -> DataFrame:
     return _applied(v)[1]
 
 
-@query(APPLIED + ", h AS (SELECT session_id, subject, predicate, max(id) AS heir FROM versions GROUP BY 1, 2, 3) SELECT f.id, coalesce(f.superseded_by, heir) AS superseded_by FROM versions f LEFT JOIN ok ON ok.id = f.session_id LEFT JOIN h ON h.session_id = ok.successor AND h.subject = f.subject AND h.predicate = f.predicate")
+@query(APPLIED + """, k AS (SELECT id, session_id, subject, predicate, CASE WHEN version % 3 = 0 THEN superseded_by END AS superseded_by FROM versions),
+h AS (SELECT session_id, subject, predicate, max(id) AS heir FROM k WHERE superseded_by IS NULL GROUP BY 1, 2, 3)
+SELECT f.id, coalesce(heir, f.superseded_by) AS superseded_by, heir IS NOT NULL AS cascaded FROM k f LEFT JOIN ok ON ok.id = f.session_id LEFT JOIN h ON h.session_id = ok.successor AND h.subject = f.subject AND h.predicate = f.predicate""")
 def g1_facts(v: Views) -> DataFrame:
-    """The facts of superseded sessions give way to their successor's."""
+    """The facts of superseded sessions give way to current ones of their successor; two of three versions are current here."""
     return _applied(v)[2]
 
 
@@ -87,12 +100,18 @@ def g3_cycles(v: Views) -> DataFrame:
     return graph.on_cycles(e, "a", "b")
 
 
-@query("""WITH RECURSIVE p AS (SELECT from_session AS id, to_session AS old FROM edges WHERE kind = 'replaces'), r AS (SELECT id AS head, old, 1 AS d FROM p WHERE id NOT IN (SELECT old FROM p) UNION ALL SELECT head, p.old, d + 1 FROM r JOIN p ON p.id = r.old WHERE d < 100)
-SELECT head, count(*) AS n_replaced, max(d) AS depth FROM r GROUP BY 1""")
+@query("""WITH RECURSIVE p AS (SELECT to_session AS id, from_session AS newer FROM edges WHERE kind = 'replaces'),
+x AS (SELECT s.id, s.started_at, CASE WHEN p.id IS NOT NULL THEN 'replaced' ELSE s.status END AS status, CASE WHEN s.seq % 13 = 0 THEN 'gone' ELSE p.newer END AS newer FROM sessions s LEFT JOIN p ON p.id = s.id),
+r AS (SELECT id, newer AS head, 1 AS hops FROM x WHERE status = 'replaced' AND newer IS NOT NULL UNION ALL SELECT r.id, x.newer, hops + 1 FROM r JOIN x ON x.id = r.head WHERE x.status = 'replaced' AND x.newer IS NOT NULL),
+h AS (SELECT r.id, r.head, hops::BIGINT AS hops, x.started_at FROM r JOIN x y ON y.id = r.head AND y.status <> 'replaced' JOIN x ON x.id = r.id)
+SELECT id, 'earlier' AS kind, head, hops, row_number() OVER (PARTITION BY head ORDER BY started_at, id) AS position FROM h
+UNION ALL SELECT id, CASE WHEN status = 'replaced' THEN 'orphan' ELSE 'live' END, CASE WHEN status <> 'replaced' THEN id END, CASE WHEN status <> 'replaced' THEN 0 END, NULL FROM x WHERE id NOT IN (SELECT id FROM h)""")
 def g6_replace_chains(v: Views) -> DataFrame:
-    p = v.edges.filter("kind = 'replaces'").select("from_session", "to_session")
-    heads = p.select(F.col("from_session").alias("start")).distinct().join(p.select(F.col("to_session").alias("start")), "start", "left_anti")
-    return graph.reachable(p, heads, "from_session", "to_session").groupBy(F.col("start").alias("head")).agg(F.count(F.lit(1)).alias("n_replaced"), F.max("hops").cast("int").alias("depth"))
+    """Sessions by replace chains: live ones, earlier ones below their live head, and orphans; some replacements are missing."""
+    by = v.edges.filter("kind = 'replaces'").select(F.col("to_session").alias("id"), F.col("from_session").alias("by"))
+    rows = v.sessions.select("id", "seq", "status", "started_at").join(by, "id", "left")
+    status = F.when(F.col("by").isNotNull(), "replaced").otherwise(F.col("status"))
+    return graph.threads(rows.select("id", status.alias("status"), "started_at", F.when(F.col("seq") % 13 == 0, "gone").otherwise(F.col("by")).alias("replaced_by")))
 
 
 @query("SELECT page_id, regexp_extract(url, '([^/]+)/*$', 1) AS base FROM pages")

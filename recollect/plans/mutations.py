@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -117,13 +119,31 @@ def m2_decisions(v: Views) -> DataFrame:
     return m.with_decisions(items, m.overlay(actions.withColumnRenamed("n", "id"), NOW))
 
 
-@query("""WITH w AS (SELECT id, CASE WHEN version = 2 THEN 1 END AS s, CASE WHEN confidence < 0.4 THEN 1 WHEN version = 3 THEN 0 END AS r FROM versions),
-o AS (SELECT id, CASE WHEN s IS NOT NULL THEN NULL ELSE superseded_by END AS superseded_by, coalesce(r, retired)::INT AS retired FROM versions JOIN w USING (id)) SELECT *, superseded_by IS NULL AND retired = 0 AS embedded FROM o""")
+WRITES = """WITH w AS (SELECT id, 'supersede' AS action, superseded_by AS heir, 1 AS pos FROM versions WHERE version = 2 UNION ALL SELECT id, 'supersede', NULL, 2 FROM versions WHERE version = 2
+UNION ALL SELECT id, 'embed', NULL, 3 FROM versions WHERE version = 2 AND confidence > 0.6 UNION ALL SELECT id, 'supersede', CASE WHEN length(value) % 2 = 0 THEN id ELSE 'nobody' END, 4 FROM versions WHERE version = 1 AND confidence > 0.6
+UNION ALL SELECT id, 'retire', '0', 5 FROM versions WHERE version = 3 UNION ALL SELECT id || 'x', 'retire', '1', 6 FROM versions WHERE version = 4 UNION ALL SELECT id, 'retire', '1', 7 FROM versions WHERE confidence < 0.4),
+e AS (SELECT w.*, CASE WHEN action = 'supersede' AND w.id = heir THEN 'self' WHEN w.id NOT IN (SELECT id FROM versions) THEN 'missing' WHEN action = 'supersede' AND heir IS NOT NULL AND heir NOT IN (SELECT id FROM versions) THEN 'missing target' END AS error FROM w)"""
+
+
+def _writes(v: Views) -> DataFrame:
+    """Second versions are superseded once more, made current again, and the surer ones embedded anew; some writes can't be done; doubtful facts are retired."""
+    of = lambda where, action, by, pos, key="id": v.versions.filter(where).select(F.expr(key).alias("id"), F.lit(action).alias("action"), F.expr(by).cast("string").alias("by"), F.lit(pos).alias("pos"))
+    wrong = "case when length(value) % 2 = 0 then id else 'nobody' end"
+    parts = [of("version = 2", "supersede", "superseded_by", 1), of("version = 2", "supersede", "null", 2), of("version = 2 and confidence > 0.6", "embed", "null", 3), of("version = 1 and confidence > 0.6", "supersede", wrong, 4),
+             of("version = 3", "retire", "'0'", 5), of("version = 4", "retire", "'1'", 6, "id || 'x'"), of("confidence < 0.4", "retire", "'1'", 7)]
+    return functools.reduce(DataFrame.union, parts)
+
+
+@query(WRITES + """, g AS (SELECT id, max(pos) FILTER (action = 'supersede') AS s, max(pos) FILTER (action = 'retire') AS r, max(pos) FILTER (action = 'embed') AS e, max(pos) FILTER ((action = 'supersede' AND heir IS NOT NULL) OR (action = 'retire' AND heir = '1')) AS gone FROM e WHERE error IS NULL GROUP BY 1)
+SELECT v.id, CASE WHEN s IS NULL THEN superseded_by WHEN s = 1 THEN superseded_by END AS superseded_by, CASE r WHEN 5 THEN 0 WHEN 7 THEN 1 ELSE retired END AS retired,
+CASE WHEN e IS NULL AND gone IS NULL THEN superseded_by IS NULL AND retired = 0 ELSE coalesce(e, 0) > coalesce(gone, 0) END AS embedded FROM versions v LEFT JOIN g USING (id)""")
 def m4_fact_versions(v: Views) -> DataFrame:
-    """Second versions are made current again, after an earlier write that superseded them; doubtful ones are retired."""
-    write = lambda where, action, by, pos: v.versions.filter(where).select("id", F.lit(action).alias("action"), F.lit(by).cast("string").alias("by"), F.lit(pos).alias("pos"))
-    writes = write("version = 2", "supersede", "x", 1).union(write("version = 2", "supersede", None, 2)).union(write("version = 3", "retire", "0", 1)).union(write("confidence < 0.4", "retire", "1", 2))
-    return m.fact_versions(v.versions.select("id", "superseded_by", "retired"), writes)
+    return m.fact_versions(v.versions.select("id", "superseded_by", "retired"), _writes(v))
+
+
+@query(WRITES + " SELECT id, action, pos, error FROM e WHERE error IS NOT NULL")
+def m4_write_errors(v: Views) -> DataFrame:
+    return m.fact_writes(v.versions, _writes(v)).filter("error is not null").select("id", "action", "pos", "error")
 
 
 @query("""WITH k AS (SELECT DISTINCT x.session_id, CASE WHEN CAST(substr(entity, 2) AS INT) % 10 = 7 THEN 'e' || CAST(CAST(substr(entity, 2) AS INT) - 7 AS VARCHAR) ELSE entity END AS entity FROM session_entities x)
@@ -192,10 +212,12 @@ def m7_exemplar_verdicts(v: Views) -> DataFrame:
     return m.verdicts(labels.select("id").distinct(), labels).select("id", "survived", "source")
 
 
-@query("""WITH x AS (SELECT event_id AS id, user_id % 20 AS repo, ts, event_id % 40 = 0 AS human FROM events) SELECT id FROM x QUALIFY row_number() OVER (PARTITION BY repo ORDER BY ts DESC, id DESC) > 30 AND NOT human""")
+@query("""WITH x AS (SELECT event_id AS id, user_id % 3 = 1 AS mine, ts, CASE WHEN event_type = 'error' THEN 0 WHEN event_type = 'click' THEN NULL ELSE 1 END AS survived FROM events)
+SELECT id, CASE WHEN mine AND survived = 0 THEN 'reverted' ELSE 'old' END AS reason FROM x WHERE (mine AND survived = 0) OR ts < $now - INTERVAL 20 DAY""")
 def m7_pruned_exemplars(v: Views) -> DataFrame:
-    rows = v.events.select(F.col("event_id").alias("id"), (F.col("user_id") % 20).alias("repo"), "ts", F.when(F.col("event_id") % 40 == 0, "human").alias("source"))
-    return m.pruned_exemplars(rows, 30)
+    survived = F.when(F.col("event_type") == "error", 0).when(F.col("event_type") != "click", 1)
+    rows = v.events.select(F.col("event_id").alias("id"), F.concat(F.lit("i"), (F.col("user_id") % 3).cast("string")).alias("scope"), "ts", survived.alias("survived"))
+    return m.pruned_exemplars(rows, "i1", "2024-01-11 00:00:00")
 
 
 @query("SELECT count(*) AS kept FROM signals WHERE ts >= $now - INTERVAL 20 DAY")

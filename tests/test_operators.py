@@ -84,10 +84,70 @@ def test_diamond_is_no_cycle(spark):
     assert values(graph.on_cycles(ring, "x", "y"), "node") == [("a",), ("b",), ("c",)]
 
 
-def test_survivors_end_on_circles(spark):
-    rows = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", None), ("x", "y"), ("y", "x"), ("m", "gone")], "id string, into string")
-    got = dict(values(graph.survivors(rows, "id", "into", rounds=6), "id", "survivor"))
-    assert got["a"] == got["b"] == got["c"] == "c" and got["m"] == "gone" and got["x"] in "xy"
+def walked(pointers):
+    """Each node's survivor, hops and whether it runs in a circle, step by step."""
+    out = {}
+    for n in pointers:
+        seen, at = [], n
+        while at not in seen and pointers.get(at) is not None and pointers[at] != at:
+            seen.append(at)
+            at = pointers[at]
+        out[n] = (at, seen.index(at) if at in seen else len(seen), at in seen)
+    return out
+
+
+def test_pointers_lead_where_a_walk_ends(spark):
+    """Ends, missing nodes, a loop, circles of two and three with tails of their own: q->a gives a, whatever its circle holds."""
+    import random
+
+    r = random.Random(2)
+    made = {"a": "b", "b": "a", "q": "a", "qq": "q", "x": "y", "y": "z", "z": "x", "t": "y", "m": "gone", "s": "s", "e": None, "f": "e"}
+    made |= {f"n{i}": r.choice([None, *(f"n{r.randrange(60)}" for _ in range(9))]) for i in range(60)}
+    made |= {f"c{i}": f"c{i + 1}" for i in range(70)}
+    got = graph.resolved(spark.createDataFrame(list(made.items()), "id string, into string"), "id", "into").collect()
+    assert {x["id"]: (x["survivor"], x["hops"], x["circular"]) for x in got} == walked(made)
+    assert graph.resolved(spark.createDataFrame([], "id string, into string"), "id", "into").count() == 0
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """A chain of 10,000: the rounds are the logarithm of its length, and no session is cut off."""
+    rounds, keep = [], graph.Steps.keep
+    monkeypatch.setattr(graph.Steps, "keep", lambda self, df, name="step": rounds.append(name) or keep(self, df, name))
+    n = 10_000
+    rows = spark.range(n).selectExpr("cast(id as string) as id", f"case when id < {n - 1} then 'replaced' else 'active' end as status", "timestamp_seconds(id) as started_at", "cast(id + 1 as string) as replaced_by")
+    lost = spark.createDataFrame([("o", "replaced", None), ("p", "replaced", "o"), ("u", "replaced", "w"), ("w", "replaced", "u"), ("g", "replaced", "none")], "id string, status string, replaced_by string")
+    got = graph.threads(rows.unionByName(lost.withColumn("started_at", F.lit(None).cast("timestamp")).select(rows.columns)))
+    by = {x["id"]: x for x in got.collect()}
+    assert len(by) == n + 5 and len(rounds) < 25
+    assert all(by[str(i)]["head"] == str(n - 1) and by[str(i)]["hops"] == n - 1 - i and by[str(i)]["position"] == i + 1 for i in range(n - 1))
+    assert by[str(n - 1)]["kind"] == "live" and {by[x]["kind"] for x in "opuwg"} == {"orphan"}
+
+
+def test_cascade_takes_current_facts_only(spark):
+    """Of the successor's facts only a current one counts; it replaces what superseded the predecessor's fact before."""
+    sessions = spark.createDataFrame([("p", "active"), ("s", "active")], "id string, status string")
+    edges = spark.createDataFrame([("old", "p", "supersedes")], "from_session string, to_session string, kind string")
+    marks = spark.createDataFrame([("p", "s", "ok")], "predecessor string, successor string, verdict string")
+    rows = [("p1", "p", "x", "is", "z9"), ("p2", "p", "y", "is", None), ("p3", "p", "w", "is", "z8"), ("s1", "s", "x", "is", None), ("s2", "s", "x", "is", "s1"), ("s3", "s", "y", "is", "s9")]
+    facts_ = spark.createDataFrame(rows, "id string, session_id string, subject string, predicate string, superseded_by string")
+    now, links, owned = mutations.superseded_sessions(sessions, edges, facts_, marks)
+    assert values(links, "from_session", "to_session") == [("s", "p")] and values(now, "id", "status") == [("p", "superseded"), ("s", "active")]
+    assert values(owned.na.fill("-"), "id", "superseded_by", "cascaded") == [("p1", "s1", True), ("p2", "-", False), ("p3", "z8", False), ("s1", "-", False), ("s2", "s1", False), ("s3", "s9", False)]
+
+
+def test_embeddings_stay_lost(spark):
+    facts_ = spark.createDataFrame([(k, None, 0) for k in "abcdef"] + [("z", "a", 0)], "id string, superseded_by string, retired int")
+    writes = [("a", "supersede", "b", 1), ("a", "supersede", None, 2), ("b", "supersede", "c", 3), ("b", "embed", None, 4), ("c", "supersede", "c", 5), ("c", "supersede", "zz", 6), ("d", "retire", "1", 7), ("d", "retire", "0", 8), ("q", "retire", "1", 9), ("e", "embed", None, 1), ("e", "retire", "1", 2), ("z", "supersede", None, 1)]
+    w = spark.createDataFrame(writes, "id string, action string, by string, pos int")
+    got = {r["id"]: (r["superseded_by"], r["retired"], r["embedded"]) for r in mutations.fact_versions(facts_, w).collect()}
+    assert got == {"a": (None, 0, False), "b": ("c", 0, True), "c": (None, 0, True), "d": (None, 0, False), "e": (None, 1, False), "f": (None, 0, True), "z": (None, 0, False)}
+    assert values(mutations.fact_writes(facts_, w).filter("error is not null"), "pos", "error") == [(5, "self"), (6, "missing target"), (9, "missing")]
+
+
+def test_pruning_of_exemplars(spark):
+    rows = spark.createDataFrame([(1, "a", 0, 50), (2, "b", 0, 50), (3, "a", 1, 5), (4, "a", None, 50), (5, "a", 0, 5), (6, None, 0, None)], "id int, scope string, survived int, ts int")
+    assert values(mutations.pruned_exemplars(rows, "a", "10"), "id", "reason") == [(1, "reverted"), (3, "old"), (5, "reverted")]
+    assert values(mutations.pruned_exemplars(rows, older_than="10"), "id") == [(3,), (5,)] and mutations.pruned_exemplars(rows).count() == 0
 
 
 def test_marking_verdicts(spark):
