@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +13,37 @@ TOKEN = "[A-Za-z0-9][A-Za-z0-9_.-]*"
 LEFT, RIGHT = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 
 
+#: What a full-text index takes for a token: letters and digits of any script, with marks on them.
+INDEXED = r"[\p{L}\p{N}\p{Co}][\p{L}\p{N}\p{Co}\p{Mn}]*"
+
+
+@functools.cache
+def _plain_letters() -> tuple[str, str]:
+    """Letters with marks and, in the same places, what they are without; then the marks alone, which go."""
+    pairs = []
+    for c in map(chr, range(0x80, 0x3000)):
+        base = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+        if len(base) == 1 and base != c:
+            pairs.append((c, base))
+    marks = "".join(chr(c) for c in range(0x300, 0x370))
+    return "".join(a for a, _ in pairs) + marks, "".join(b for _, b in pairs)
+
+
+def index_folded(text: Column) -> Column:
+    """Lower case without diacritics, as an index stores it."""
+    return F.translate(F.lower(text), *_plain_letters())
+
+
+def index_tokens(text: Column) -> Column:
+    """A text's index tokens in order."""
+    return F.regexp_extract_all(index_folded(F.coalesce(text, F.lit(""))), F.lit(f"({INDEXED})"), 1)
+
+
+def phrases(query: Column) -> Column:
+    """What a query asks for: each of its tokens as the phrase of index tokens that it consists of, joined by spaces."""
+    return F.transform(tokens(query), lambda t: F.array_join(F.regexp_extract_all(t, F.lit("([a-z0-9]+)"), 1), " "))
+
+
 def tokens(text: Column, lower: bool = True) -> Column:
     """ASCII tokens in order, with repeats, lower-cased unless that is done later."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({TOKEN})"), 1)

@@ -10,68 +10,85 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import score as s
-from ..functions.text import token_set, tokens
-from .graph import shared_dir
+from ..functions.text import index_tokens, phrases, token_set, tokens
+from . import blocks
+from .tables import written
 
 #: Fixed values of the keyword ranking.
 K1, B, MIN_IDF = 1.2, 0.75, 1e-6
 WEIGHTS = {"label": 10.0, "summary": 4.0, "body": 1.0}
-#: Rows up to which the queries' side counts as small enough to copy to all executors.
-SMALL = 200_000
-#: Query vectors that a task of exact search holds at once.
-QUERY_BLOCK = 5000
+#: Rows, and bytes of their texts, up to which the queries' side counts as small enough to copy to all executors.
+SMALL, SMALL_BYTES = 200_000, 64 << 20
+#: What lies between the places of two fields' tokens.
+FAR = 1 << 40
 
 
-def small(df: DataFrame, limit: int = SMALL) -> DataFrame:
-    """`df` with a broadcast hint, if it has at most `limit` rows; otherwise Spark shuffles both sides."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def small(df: DataFrame, limit: int = SMALL, size: int = SMALL_BYTES) -> DataFrame:
+    """`df` with a broadcast hint, if it has at most `limit` rows and its texts `size` bytes; otherwise Spark shuffles both sides."""
+    return F.broadcast(df) if is_small(df, limit, size) else df
 
 
-def field_tokens(docs: DataFrame, key: str, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """(key, term, w): a row for each token of each field, and one without a term whose w is the number of all tokens."""
-    parts = [tokens(F.col(c), lower=False) for c in weights]
-    each = docs.select(key, *(p.alias(f"_{i}") for i, p in enumerate(parts)))
-    ends = [sum((F.size(f"_{k}") for k in range(i + 1)), F.lit(0)) for i in range(len(parts))]
-    every = F.concat(F.array(F.lit("")), *(F.col(f"_{i}") for i in range(len(parts))))
+def is_small(df: DataFrame, limit: int | None = None, size: int = SMALL_BYTES) -> bool:
+    limit = SMALL if limit is None else limit
+    texts = [F.octet_length(F.col(c)) for c, t in df.dtypes if t == "string"]
+    n, total = df.limit(limit + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(sum(map(lambda x: F.coalesce(x, F.lit(0)), texts), F.lit(8).cast("long"))), F.lit(0))).first()
+    return n <= limit and total <= size
+
+
+def query_phrases(queries: DataFrame, query: str, text: str) -> DataFrame:
+    """(query, phrase, times): a query's tokens as phrases of index tokens; a repeated one counts as often as it is there."""
+    return queries.select(query, F.explode(phrases(F.col(text))).alias("phrase")).groupBy(query, "phrase").agg(F.count(F.lit(1)).alias("times"))
+
+
+def positions(docs: DataFrame, key: str, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """(key, term, at, w): a row for each index token of each field with its place and the field's weight, and one without a term whose w is
+    the number of all tokens. Places of different fields lie apart, so that no phrase runs from one to the next."""
+    each = docs.select(key, *(index_tokens(F.col(c)).alias(f"_{i}") for i, c in enumerate(weights)))
+    sizes = [F.size(f"_{i}") for i in range(len(weights))]
+    ends = [sum(sizes[: i + 1], F.lit(0)) for i in range(len(weights))]
+    every = F.concat(F.array(F.lit("")), *(F.col(f"_{i}") for i in range(len(weights))))
     rows = each.select(key, *(e.alias(f"_e{i}") for i, e in enumerate(ends)), F.posexplode(every).alias("_pos", "term"))
-    weight = F.when(F.col("_pos") == 0, F.col(f"_e{len(parts) - 1}").cast("double"))
+    at, weight = F.when(F.col("_pos") == 0, F.lit(-FAR)), F.when(F.col("_pos") == 0, F.col(f"_e{len(weights) - 1}").cast("double"))
     for i, w in enumerate(weights.values()):
-        weight = weight.when(F.col("_pos") <= F.col(f"_e{i}"), F.lit(float(w)))
-    return rows.select(key, F.lower("term").alias("term"), weight.alias("w"))
+        inside = F.col("_pos") <= F.col(f"_e{i}")
+        at, weight = at.when(inside, F.col("_pos") + i * FAR), weight.when(inside, F.lit(float(w)))
+    return rows.select(key, "term", at.cast("long").alias("at"), weight.alias("w"))
 
 
 def postings(docs: DataFrame, wanted: DataFrame, key: str, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """(key, term, f): the weighted counts of the `wanted` terms, and for the empty term the length of the document.
+    """(key, n, f): the weighted counts of the `wanted` phrases (phrase, n), and for n = -1 the length of the document.
 
-    One pass over the texts; tokens that nobody asks for end in the scan's own stage.
+    One pass over the texts: tokens that nobody asks for end in the scan's own stage. A phrase of several tokens is matched by
+    intersecting their places, each moved back by its place in the phrase; a place that all of them reach is an occurrence.
     """
-    wanted = wanted.select("term").union(wanted.sparkSession.createDataFrame([("",)], "term string")).distinct()
-    rows = field_tokens(docs, key, weights).join(small(wanted), "term", "left_semi")
-    return rows.groupBy(key, "term").agg(F.sum("w").alias("f"))
+    parts = F.split("phrase", " ")
+    of = wanted.select("n", F.size(parts).alias("m"), F.posexplode(parts).alias("off", "term"))
+    length = wanted.sparkSession.createDataFrame([(-1, 1, 0, "")], "n long, m int, off int, term string")
+    rows = positions(docs, key, weights).join(small(of.unionByName(length)), "term").select(key, "n", "m", (F.col("at") - F.col("off")).alias("at"), "w", "off")
+    whole = rows.filter("m > 1").groupBy(key, "n", "m", "at").agg(F.count(F.lit(1)).alias("there"), F.max(F.when(F.col("off") == 0, F.col("w"))).alias("w")).filter("there = m")
+    return rows.filter("m = 1").select(key, "n", "w").union(whole.select(key, "n", "w")).groupBy(key, "n").agg(F.sum("w").alias("f"))
 
 
-def query_terms(queries: DataFrame, query: str, text: str) -> DataFrame:
-    """(query, term, times): a repeated word counts as often as it is there."""
-    return queries.select(query, F.explode(tokens(F.col(text))).alias("term")).groupBy(query, "term").agg(F.count(F.lit(1)).alias("times"))
+def keyword_scores(docs: DataFrame, queries: DataFrame, key: str, query: str, text: str, weights: dict[str, float] = WEIGHTS, k: int | None = None, digits: int | None = None) -> DataFrame:
+    """(query, key, score) of all documents that share a phrase with a query, or of the k best of each query, ties, after rounding
+    to `digits`, to the smaller key.
 
-
-def keyword_scores(docs: DataFrame, queries: DataFrame, key: str, query: str, text: str, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """(query, key, score) of all documents that share a term with a query.
-
-    Postings are written once and lie by document, so that scores are summed where they are.
+    A query's tokens are phrases of index tokens (`foo-bar.ts` is foo, bar and ts in a row, in one field); each phrase has its own
+    document frequency. Postings are written once; a document's own row then has all that its scores need.
     """
-    shared_dir(docs.sparkSession)
-    terms = query_terms(queries, query, text)
-    every = postings(docs, terms, key, weights).repartition(key).checkpoint()
-    size = every.filter("term = ''").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("f").alias("avg_len"))
-    post = every.filter("term <> ''")
-    spread = post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(size))  # one row of two numbers
-    rough = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = spread.select("term", F.when(rough <= 0, F.lit(MIN_IDF)).otherwise(rough).alias("idf"), "avg_len")
-    long = every.filter("term = ''").select(key, F.col("f").alias("length"))
-    part = F.col("times") * F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.col("avg_len")))
-    hits = post.join(long, key).join(small(terms.join(idf, "term")), "term")
-    return hits.groupBy(query, key).agg(F.sum(part).alias("score"))
+    asked = query_phrases(queries, query, text)
+    wanted = written(asked.select("phrase").distinct().withColumn("n", F.monotonically_increasing_id()), "phrases")
+    every = postings(docs, wanted, key, weights)
+    held = F.filter(F.sort_array(F.collect_list(F.struct("n", "f"))), lambda x: x["n"] >= 0)
+    by_doc = written(every.groupBy(key).agg(held.alias("held"), F.max(F.when(F.col("n") < 0, F.col("f"))).alias("length")), "postings")
+    n_docs, avg_len = by_doc.agg(F.count(F.lit(1)), F.coalesce(F.avg("length"), F.lit(1.0))).first()
+    spread = by_doc.select(F.explode("held.n").alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("df"))
+    rough = F.log((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = spread.select("n", F.when(rough <= 0, F.lit(MIN_IDF)).otherwise(rough).alias("idf"))
+    weighed = asked.join(wanted, "phrase").join(idf, "n").groupBy(F.col(query).alias("query")).agg(F.sort_array(F.collect_list(F.struct("n", (F.col("times") * F.col("idf")).alias("w")))).alias("all"))
+    held_docs = by_doc.filter("size(held) > 0").select(F.col(key).alias("doc"), F.col("held.n").alias("phrases"), F.col("held.f").alias("f"), "length", F.lit(float(avg_len)).alias("avg_len"))
+    found = blocks.scored(held_docs, weighed.select("query", F.col("all.n").alias("phrases"), F.col("all.w").alias("weights")), k, digits, K1, B)
+    return found.select(F.col("query").alias(query), F.col("doc").alias(key), "score")
 
 
 def top(scored: DataFrame, query: str, key: str, k: int, score: str = "score") -> DataFrame:
@@ -84,20 +101,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, query: str, k: int
     """(query, key or group, distance, rank): exact, filters first, the least distance of each group. `others`: a query
     whose own row is among the vectors (the same key) isn't its own neighbour. `digits`: distances that are equal when they
     are rounded are ties.
-
-    Few queries are copied to all executors; more are dealt to blocks, and each task pairs a block with a part of the
-    vectors.
     """
-    asked, n = queries.select(query, F.col(vector).alias("_q")), queries.count()
-    asked = F.broadcast(asked) if n <= QUERY_BLOCK else asked.repartition(-(-n // QUERY_BLOCK))
-    pairs = vectors.crossJoin(asked)
-    each = (pairs.filter(F.col(key) != F.col(query)) if others else pairs).select(query, F.col(group or key).alias(group or key), s.l2(F.col(vector), F.col("_q")).alias("distance"))
-    if digits is not None:
-        each = each.withColumn("distance", s.rounded(F.col("distance"), digits))
-    if group:
-        each = each.groupBy(query, group).agg(F.min("distance").alias("distance"))
-    order = Window.partitionBy(query).orderBy("distance", group or key)
-    return each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return blocks.nearest(vectors, queries, key, query, k, vector, group, others, digits)
 
 
 def hybrid(primary: DataFrame, secondary: DataFrame, query: str, key: str) -> DataFrame:
@@ -146,12 +151,9 @@ def select_hits(hits: DataFrame, surfaced: DataFrame, query: str, key: str, thre
 
 def code_search(exemplars: DataFrame, queries: DataFrame, query: str, key: str, k: int) -> DataFrame:
     """Nearest other exemplars with penalties: 0.05 for code that didn't survive, 0.1 for negative outcomes."""
-    asked, n = queries.select(query, F.col("embedding").alias("_q")), queries.count()
-    asked = F.broadcast(asked) if n <= QUERY_BLOCK else asked.repartition(-(-n // QUERY_BLOCK))
-    each = exemplars.crossJoin(asked).filter(F.col(key) != F.col(query))
-    cost = s.l2(F.col("embedding"), F.col("_q")) + F.when(F.col("survived") == 0, 0.05).otherwise(0.0) + F.when(F.col("negative"), 0.1).otherwise(0.0)
-    order = Window.partitionBy(query).orderBy("cost", key)
-    return each.select(query, key, "negative", s.rounded(cost).alias("cost")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    penalty = F.when(F.col("survived") == 0, 0.05).otherwise(0.0) + F.when(F.col("negative"), 0.1).otherwise(0.0)
+    found = blocks.nearest(exemplars, queries, key, query, k, "embedding", others=True, digits=4, penalty=penalty)
+    return found.join(exemplars.select(key, "negative"), key).select(query, key, "negative", F.col("distance").alias("cost"), "rank")
 
 
 def shared_terms(docs: DataFrame, queries: DataFrame, key: str, query: str, text: str, fields: list[str]) -> DataFrame:
@@ -178,7 +180,7 @@ def holding(docs: DataFrame, passages: DataFrame, key: str, passage: str, text:
     asked = passages.select(passage, F.col(text).alias("_p")).filter("_p is not null").withColumn("_w", longest)
     anchored, bare = asked.filter("_w <> ''"), asked.filter("_w = ''")
     each = docs.select(key, text, F.explode(F.array_distinct(F.split(text, " "))).alias("_w"))
-    if anchored.limit(SMALL + 1).count() <= SMALL:  # one stage: a text is compared where it was read
+    if is_small(anchored):  # one stage: a text is compared where it was read
         found = each.join(F.broadcast(anchored), "_w").filter(F.contains(text, "_p"))
     else:  # candidates first, so that a text isn't sent once for each of its words
         pairs = each.select(key, "_w").join(anchored.select(passage, "_w"), "_w").select(key, passage)

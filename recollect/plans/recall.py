@@ -14,25 +14,39 @@ from .registry import NOW, NOW_SESSIONS, Views, query
 TOK = "list_transform(regexp_extract_all({}, '[A-Za-z0-9][A-Za-z0-9_.-]*'), lambda x: lower(x))"
 
 
-def _bm25() -> str:
-    return f"""WITH q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({TOK.format('text')}) AS term FROM benchmark) GROUP BY 1, 2),
-d AS (SELECT doc_id, {TOK.format('label')} AS a, {TOK.format('summary')} AS b, {TOK.format('body')} AS c FROM papers),
-n AS (SELECT count(*) AS n, avg(len(a) + len(b) + len(c)) AS avgdl FROM d),
-x AS (SELECT doc_id, len(a) + len(b) + len(c) AS dl, unnest(a) AS term, 10.0::DOUBLE AS w FROM d UNION ALL SELECT doc_id, len(a) + len(b) + len(c), unnest(b), 4.0 FROM d UNION ALL SELECT doc_id, len(a) + len(b) + len(c), unnest(c), 1.0 FROM d),
-p AS (SELECT doc_id, dl, term, sum(w) AS f FROM x WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+def _bm25(text: str = "text") -> str:
+    """Postings with places in SQL; `text` is the queries' text."""
+    index = "regexp_extract_all(strip_accents(lower({})), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+')"
+    each = " UNION ALL ".join(f"SELECT doc_id, dl, {i} AS part, unnest({c}) AS term, generate_subscripts({c}, 1) AS place, {w}::DOUBLE AS w FROM d" for i, (c, w) in enumerate((("a", 10.0), ("b", 4.0), ("c", 1.0))))
+    return f"""WITH q AS (SELECT item_id, array_to_string(regexp_extract_all(word, '[a-z0-9]+'), ' ') AS term, count(*) AS times FROM (SELECT item_id, unnest({TOK.format(text)}) AS word FROM benchmark) GROUP BY 1, 2),
+d AS (SELECT doc_id, {index.format('label')} AS a, {index.format('summary')} AS b, {index.format('body')} AS c, len(a) + len(b) + len(c) AS dl FROM papers),
+n AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM d),
+pt AS (SELECT term AS phrase, len(string_split(term, ' ')) AS m, unnest(string_split(term, ' ')) AS term, generate_subscripts(string_split(term, ' '), 1) AS off FROM (SELECT DISTINCT term FROM q)),
+x AS (SELECT * FROM ({each}) WHERE term IN (SELECT term FROM pt)),
+o AS (SELECT doc_id, dl, phrase, w FROM x JOIN pt USING (term) GROUP BY doc_id, dl, part, phrase, m, w, place - off HAVING count(*) = m),
+p AS (SELECT doc_id, dl, phrase AS term, sum(w) AS f FROM o GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
 i AS (SELECT term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END::DOUBLE AS idf, avgdl FROM df, n),
 k AS (SELECT item_id, doc_id, sum(times * idf * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score FROM p JOIN q USING (term) JOIN i USING (term) GROUP BY 1, 2)"""
 
 
-def _keyword(v: Views, queries: DataFrame) -> DataFrame:
-    return r.keyword_scores(v.papers, queries, "doc_id", "item_id", "text")
+def _keyword(v: Views, queries: DataFrame, k: int) -> DataFrame:
+    """The k best documents of each passage, by scores of six digits."""
+    found = r.keyword_scores(v.papers, queries, "doc_id", "item_id", "text", k=k, digits=6)
+    return r.top(found.withColumn("order", s.rounded(F.col("score"), 6)), "item_id", "doc_id", k, "order")
 
 
 @query(_bm25() + """, t AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY floor(score * 1e6 + 0.5) / 1e6 DESC, doc_id) AS rank FROM k)
 SELECT item_id, doc_id, floor(score * 1e4 + 0.5) / 1e4 AS score, rank FROM t WHERE rank <= 10""")
 def r1_keyword_recall(v: Views) -> DataFrame:
-    found = _keyword(v, v.benchmark).withColumn("order", s.rounded(F.col("score"), 6))
-    return r.top(found, "item_id", "doc_id", 10, "order").select("item_id", "doc_id", s.rounded(F.col("score")).alias("score"), "rank")
+    return _keyword(v, v.benchmark, 10).select("item_id", "doc_id", s.rounded(F.col("score")).alias("score"), "rank")
+
+
+@query(_bm25("regexp_replace(text, ' ([A-Za-z0-9]+) ', '-\\1 ', 'g')") + """, t AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY floor(score * 1e6 + 0.5) / 1e6 DESC, doc_id) AS rank FROM k)
+SELECT item_id, doc_id, floor(score * 1e4 + 0.5) / 1e4 AS score, rank FROM t WHERE rank <= 10""")
+def r1_phrases(v: Views) -> DataFrame:
+    """Passages whose words hang together by twos: each pair is a phrase, which a text has to hold side by side."""
+    asked = v.benchmark.withColumn("text", F.regexp_replace("text", " ([A-Za-z0-9]+) ", "-$1 "))
+    return _keyword(v, asked, 10).select("item_id", "doc_id", s.rounded(F.col("score")).alias("score"), "rank")
 
 
 @query(_bm25() + """, t AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY floor(score * 1e6 + 0.5) / 1e6 DESC, doc_id) AS rank FROM k), gold AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
@@ -43,7 +57,7 @@ def r1_keyword_quality(v: Views) -> DataFrame:
     """Recall at 1, 3 and 5 of the documents that hold a benchmark passage."""
     from ..operators.telemetry import retrieval_metrics
 
-    ranked = r.top(_keyword(v, v.benchmark).withColumn("score", s.rounded(F.col("score"), 6)), "item_id", "doc_id", 5)
+    ranked = _keyword(v, v.benchmark, 5)
     gold = r.holding(v.documents, v.benchmark, "doc_id", "item_id")
     return retrieval_metrics(ranked, gold, 5, "item_id", "doc_id")
 
@@ -81,7 +95,7 @@ h AS (SELECT item_id, doc_id, p IS NOT NULL AS in_primary, x IS NOT NULL AS in_s
 
 
 def _legs(v: Views) -> tuple[DataFrame, DataFrame]:
-    kw = r.top(_keyword(v, v.benchmark).withColumn("score", s.rounded(F.col("score"), 6)), "item_id", "doc_id", 30)
+    kw = _keyword(v, v.benchmark, 30).select("item_id", "doc_id", F.col("order").alias("score"), "rank")
     asked = v.benchmark.select("item_id").join(v.embeddings.select(F.col("vec_id").alias("item_id"), "embedding"), "item_id")
     vectors = v.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding").join(v.documents.select("doc_id"), "doc_id", "left_semi")
     near = r.nearest(vectors, asked, "doc_id", "item_id", 30)

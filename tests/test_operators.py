@@ -65,6 +65,87 @@ def test_bm25_by_hand(spark):
     assert got == {1: pytest.approx(want(10, 3)), 2: pytest.approx(want(1, 3))}
 
 
+def test_phrases_by_hand(spark):
+    """A token that an index splits is a phrase: side by side, in one field, with a document frequency of its own; places overlap."""
+    rows = [(1, "see foo-bar.ts", "", "x"), (2, "", "", "foo x bar ts"), (3, "foo", "bar ts", ""), (4, "", "FOO_bar", "ts foo bar TS."), (5, "", "", "a a a b"), (6, "", "Caf\u00e9 ol\u00e9", "cafe\u0301"), (7, None, None, None)]
+    docs = spark.createDataFrame(rows, "id long, label string, summary string, body string")
+    score = lambda text, **more: dict(values(recall.keyword_scores(docs, spark.createDataFrame([("q", text)], "q string, t string"), "id", "q", "t", **more), "id", "score"))
+    avg = (5 + 4 + 3 + 6 + 4 + 3 + 0) / 7
+    part = lambda df, f, n: math.log((7 - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / avg))
+    assert score("foo-bar.ts") == {1: pytest.approx(part(2, 10, 5)), 4: pytest.approx(part(2, 1, 6))}
+    assert score("Foo.BAR") == {1: pytest.approx(part(2, 10, 5)), 4: pytest.approx(part(2, 5, 6))}
+    assert score("a-a") == {5: pytest.approx(part(1, 2, 4))}
+    assert score("cafe") == {6: pytest.approx(part(1, 5, 3))} and score("caf") == {} and score("... \u00e9") == {}
+    assert len(score("foo bar ts", k=2)) == 2 and len(score("foo bar ts")) == 4
+    assert score("ts. ts")[1] == pytest.approx(2 * score("ts")[1])
+
+
+def test_phrases_against_every_place(spark):
+    """Random texts and queries, in one pass and in blocks, against a plain loop over all places."""
+    import random
+    import re
+    from collections import Counter
+
+    from recollect.operators import blocks
+
+    r = random.Random(3)
+    words = lambda n: "".join(r.choice("abc") + r.choice([" ", "-", ".", " "]) for _ in range(r.randrange(n)))
+    docs = [(i, words(5), words(9), words(30)) for i in range(80)]
+    asked = [(f"q{i}", words(6)) for i in range(12)]
+    index = lambda t: re.findall("[a-z0-9]+", t.lower())
+    lens = {d[0]: sum(len(index(t)) for t in d[1:]) for d in docs}
+    avg, want = sum(lens.values()) / len(docs), {}
+    for q, text in asked:
+        for phrase, times in Counter(" ".join(index(t)) for t in re.findall("[A-Za-z0-9][A-Za-z0-9_.-]*", text)).items():
+            p = phrase.split()
+            f = {d[0]: sum(w * sum(t[k : k + len(p)] == p for k in range(len(t))) for t, w in zip(map(index, d[1:]), (10, 4, 1))) for d in docs}
+            df = sum(x > 0 for x in f.values())
+            idf = max(math.log((len(docs) - df + 0.5) / (df + 0.5)), 1e-6)
+            for d, x in f.items():
+                if x:
+                    want[q, d] = want.get((q, d), 0) + times * idf * x * 2.2 / (x + 1.2 * (0.25 + 0.75 * lens[d] / avg))
+    frame = spark.createDataFrame(docs, "id long, label string, summary string, body string"), spark.createDataFrame(asked, "q string, t string")
+    few = blocks.FEW
+    try:
+        for blocks.FEW in (few, 0):
+            got = {(x["q"], x["id"]): x["score"] for x in recall.keyword_scores(*frame, "id", "q", "t").collect()}
+            assert got == pytest.approx(want)
+            top = recall.keyword_scores(*frame, "id", "q", "t", k=3, digits=6).collect()
+            best = {q: sorted(((-round(x, 6), d) for (p, d), x in want.items() if p == q))[:3] for q, _ in asked}
+            assert {(x["q"], x["id"]) for x in top} >= {(q, d) for q, rows in best.items() for _, d in rows}
+    finally:
+        blocks.FEW = few
+
+
+def test_nearest_by_groups_and_penalties(spark):
+    """Both ways of meeting, ties, own rows, groups over several tasks, penalties, rounding, lengths that differ and nulls."""
+    import numpy as np
+
+    from recollect.operators import blocks
+
+    r = np.random.default_rng(9)
+    x = np.round(r.normal(size=(300, 4)), 1)
+    x[100:180] = x[99]
+    rows = [(i, [float(c) for c in v], f"g{i % 7}", i % 3 == 0, i % 5 % 2) for i, v in enumerate(x)] + [(900, None, "g1", True, 0), (901, [1.0], "g9", False, 1)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>, g string, negative boolean, survived int").repartition(5)
+    asked = df.filter("id % 30 = 9 or id >= 900").select(F.col("id").alias("q"), "embedding")
+    dist = {(q, i): math.sqrt(sum((a - b) ** 2 for a, b in zip(x[q], x[i]))) for q in range(9, 300, 30) for i in range(300)}
+    few = blocks.FEW
+    try:
+        for blocks.FEW in (few, 0):
+            got = values(recall.nearest(df, asked, "id", "q", 6, others=True), "q", "rank", "id")
+            assert [g for g in got if g[0] < 900] == [(q, k + 1, i) for q in range(9, 300, 30) for k, (_, i) in enumerate(sorted((dist[q, i], i) for i in range(300) if i != q)[:6])]
+            assert [g for g in got if g[0] >= 900] == []
+            least = {q: sorted((min(dist[q, i] for i in range(j, 300, 7)), f"g{j}") for j in range(7))[:4] for q in range(9, 300, 30)}
+            got = values(recall.nearest(df, asked, "id", "q", 4, group="g"), "q", "rank", "g")
+            assert [g for g in got if g[0] < 900] == [(q, k + 1, g) for q, gs in least.items() for k, (_, g) in enumerate(gs)]
+            cost = lambda q, i: math.floor((dist[q, i] + 0.05 * (i % 5 % 2 == 0) + 0.1 * (i % 3 == 0)) * 1e4 + 0.5) / 1e4
+            got = values(recall.code_search(df, asked, "q", "id", 5), "q", "rank", "id", "cost")
+            assert [g for g in got if g[0] < 900] == [(q, k + 1, i, c) for q in range(9, 300, 30) for k, (c, i) in enumerate(sorted((cost(q, i), i) for i in range(300) if i != q)[:5])]
+    finally:
+        blocks.FEW = few
+
+
 def test_select_hits_budget(spark):
     hits = spark.createDataFrame([("c", f"i{k}", float(k)) for k in range(10)], "c string, id string, score double")
     used = spark.createDataFrame([("c", f"u{k}") for k in range(8)] + [("c", "i9")], "c string, id string")
