@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as x
 from ..functions.score import jaccard
-from .graph import shared_dir
+from .recall import small
+from .tables import Steps, by_range, written
 
 
 def set_key(array: Column) -> Column:
@@ -21,35 +22,55 @@ def predecessors(sessions: DataFrame, key: str, members: str, started: str, tie:
     Rows are sorted over all tasks by set and time, so that a frequent set is cut too; the first row of a task takes the
     last one of the task before.
     """
-    rows = sessions.select(key, set_key(F.col(members)).alias("k"), started, tie)
+    rows = sessions.select(F.col(key).alias("key_"), set_key(F.col(members)).alias("k"), F.col(started).alias("at_"), F.col(tie).alias("tie_"))
+    key_, started, tie, key = key, "at_", "tie_", "key_"
     if as_of:
-        shared_dir(sessions.sparkSession)
-        dealt = rows.repartitionByRange("k", started, tie).withColumn("part", F.spark_partition_id()).checkpoint()
+        dealt = by_range(rows, "k", started, tie).withColumnRenamed("part_", "part")
         inside = dealt.withColumn("predecessor", F.lag(key).over(Window.partitionBy("part", "k").orderBy(started, tie)))
         last = dealt.groupBy("k", "part").agg(F.max_by(key, F.struct(started, tie)).alias("last"))  # a row for each task and set
         last = last.select("k", "part", F.lag("last").over(Window.partitionBy("k").orderBy("part")).alias("before"))
-        return inside.join(last, ["k", "part"]).select(key, F.coalesce("predecessor", "before").alias("predecessor")).filter("predecessor is not null")
+        return inside.join(last, ["k", "part"]).select(F.col(key).alias(key_), F.coalesce("predecessor", "before").alias("predecessor")).filter("predecessor is not null")
     last = Window.partitionBy("k").orderBy(F.desc(started), F.desc(tie))
     newest = rows.withColumn("r", F.row_number().over(last)).filter("r <= 2").groupBy("k").agg(F.max(F.when(F.col("r") == 1, F.col(key))).alias("one"), F.max(F.when(F.col("r") == 2, F.col(key))).alias("two"))
-    return rows.join(newest, "k").select(key, F.when(F.col("one") != F.col(key), F.col("one")).otherwise(F.col("two")).alias("predecessor")).filter("predecessor is not null")
+    return rows.join(newest, "k").select(F.col(key).alias(key_), F.when(F.col("one") != F.col(key), F.col("one")).otherwise(F.col("two")).alias("predecessor")).filter("predecessor is not null")
+
+
+#: Sets that are indexed under one item and size in one task; more are split.
+SPLIT = 2000
 
 
 def similar_sets(sets: DataFrame, key: str, items: str, similarity: float) -> DataFrame:
     """(a, b, similarity) with a < b of keys whose sets are similar enough, exactly.
 
-    Prefix filter: with items in a global order from the rarest on, sets of n items at similarity t share one of their
-    first n - ceil(t n) + 1 items. Only those are joined, so that frequent items make no pairs.
+    Equal sets are one beforehand. Items have a global order from the rarest on. Of two sets at similarity t the smaller one, of n items, shares
+    one of its first n - ceil(2t / (1 + t) n) + 1 items with the first n - ceil(t n) + 1 of the larger: an index of the one is probed by the other,
+    under the item and the smaller one's size. Where the shared item stands says how many more there can be after it (positional filter), so
+    that most pairs end there. An item that very many sets are indexed under is split into blocks, each of which all its probes visit.
     """
-    rows = sets.select(key, F.array_distinct(items).alias("s")).filter(F.size("s") > 0)
-    each = rows.select(key, F.size("s").alias("n"), F.explode("s").alias("item"))
+    rows = sets.select(F.col(key).alias("key"), F.array_sort(F.array_distinct(items)).alias("s")).filter(F.size("s") > 0)
+    member = written(rows.groupBy("s").agg(F.min("key").alias("rep"), F.collect_list("key").alias("keys")), "sets")
+    each = member.select("rep", F.size("s").alias("n"), F.explode("s").alias("item"))
     often = each.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
-    order = Window.partitionBy(key).orderBy("df", "item")
-    first = each.join(often, "item").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= F.col("n") - F.ceil(similarity * F.col("n")) + 1)
-    a, b = first.select(F.col(key).alias("a"), "item", F.col("n").alias("na")), first.select(F.col(key).alias("b"), "item", F.col("n").alias("nb"))
-    pairs = a.join(b, "item").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb"))).select("a", "b").distinct()
-    s = lambda n: rows.select(F.col(key).alias(n), F.col("s").alias(f"s{n}"))
-    both = pairs.join(s("a"), "a").join(s("b"), "b")
-    return both.select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("similarity")).filter(F.col("similarity") >= similarity)
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "item"))
+    prefix = lambda share: F.col("n") - F.ceil(F.round(F.lit(share) * F.col("n"), 9)) + 1
+    first = written(each.join(often, "item").withColumn("at", place).filter(F.col("at") <= prefix(similarity)).select("rep", "n", "item", "at"), "prefixes")
+    index = first.filter(F.col("at") <= prefix(2 * similarity / (1 + similarity))).select(F.col("rep").alias("y"), F.col("n").alias("ny"), "item", F.col("at").alias("aty"))
+    sizes = F.explode(F.sequence(F.ceil(F.round(F.lit(similarity) * F.col("n"), 9)).cast("int"), F.col("n")))
+    probe = first.select(F.col("rep").alias("x"), F.col("n").alias("nx"), "item", F.col("at").alias("atx"), sizes.alias("ny"))
+    many = index.groupBy("item", "ny").agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("blocks")).filter("blocks > 1")
+    many = small(many)  # one row at most for every SPLIT index rows
+    blocks = F.coalesce("blocks", F.lit(1))
+    index = index.join(many, ["item", "ny"], "left").withColumn("block", F.pmod(F.xxhash64("y"), blocks)).drop("blocks")
+    probe = probe.join(many, ["item", "ny"], "left").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long")))).drop("blocks")
+    reach = 1 + F.least(F.col("nx") - F.col("atx"), F.col("ny") - F.col("aty"))
+    enough = F.ceil(F.round(F.lit(similarity / (1 + similarity)) * (F.col("nx") + F.col("ny")), 9))
+    other = (F.col("ny") < F.col("nx")) | (F.col("ny") == F.col("nx")) & (F.col("y") < F.col("x"))
+    pairs = probe.join(index, ["item", "ny", "block"]).filter(other & (reach >= enough)).select("x", "y").distinct()
+    s = lambda n: member.select(F.col("rep").alias(n), F.col("s").alias(f"s{n}"), F.col("keys").alias(f"k{n}"))
+    both = pairs.join(s("x"), "x").join(s("y"), "y").withColumn("similarity", jaccard(F.col("sx"), F.col("sy"))).filter(F.col("similarity") >= similarity)
+    apart = both.select(F.explode("kx").alias("p"), "ky", "similarity").select("p", F.explode("ky").alias("q"), "similarity")
+    equal = member.filter(F.size("keys") > 1).select(F.explode("keys").alias("p"), "keys").select("p", F.explode("keys").alias("q"), F.lit(1.0).alias("similarity")).filter("p < q")
+    return apart.union(equal).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "similarity")
 
 
 def rederived(sessions: DataFrame, members: DataFrame, links: DataFrame, gap_days: int = 7, similarity: float = 0.5) -> DataFrame:
@@ -88,9 +109,38 @@ def merge_suggestions(streams: DataFrame, min_score: float) -> DataFrame:
 
 def same_fold(entities: DataFrame, name: str, count: str) -> DataFrame:
     """(source, target): names that fold to the same key; the target has the largest count, then is first by name."""
-    w = Window.partitionBy("fold").orderBy(F.desc(count), name)
-    rows = entities.withColumn("fold", x.folded(F.col(name))).withColumn("target", F.first(name).over(w))
-    return rows.filter(F.col("target") != F.col(name)).select(F.col(name).alias("source"), "target")
+    rows = entities.select(F.col(name).alias("source"), F.col(count).alias("n"), x.folded(F.col(name)).alias("fold"))
+    best = rows.groupBy("fold").agg(F.min_by("source", F.struct(-F.col("n"), "source")).alias("target"))
+    return rows.join(best, "fold").filter("source <> target").select("source", "target")
+
+
+def suggested(entities: DataFrame, name: str, count: str, order: str) -> DataFrame:
+    """(source, target, class, round): merges as a greedy pass suggests them, each name a source once at most.
+
+    First names of one fold go to the fold's target (`safe`). Then likely pairs of what is left are taken in the order of the list, by their first
+    and then their second name in `order`: a pair counts if neither name has been a source before, and its source is one from then on.
+    The pass in rounds: a pair that is the first one left of both its names can be decided at once, as nothing before it touches either, and
+    takes all other pairs of its source with it. Suggestions applied by class and round never merge into a name that is gone.
+    """
+    steps = Steps()
+    safe = written(same_fold(entities, name, count), "safe")
+    rest = entities.join(safe.select(F.col("source").alias(name)), name, "left_anti")
+    at = lambda side: rest.select(F.col(name).alias(side), F.struct(F.col(order).alias("o"), F.col(name).alias("n")).alias(f"at_{side}"))
+    pairs = likely_pairs(rest, name, count).join(at("source"), "source").join(at("target"), "target")
+    left = steps.keep(pairs.select("source", "target", F.struct(F.least("at_source", "at_target").alias("a"), F.greatest("at_source", "at_target").alias("b")).alias("turn")), "left")
+    found, taken = safe.select("source", "target", F.lit("safe").alias("class"), F.lit(0).alias("round")), []
+    while left.limit(1).count():
+        first = left.select("turn", F.explode(F.array("source", "target")).alias("n")).groupBy("n").agg(F.min("turn").alias("turn"))
+        of = lambda side, first=first: first.select(F.col("n").alias(side), "turn")
+        ready = written(left.join(of("source"), ["source", "turn"]).join(of("target"), ["target", "turn"]).select("source", "target"), "ready")
+        taken.append(ready.select("source", "target", F.lit("likely"), F.lit(len(taken) + 1)))
+        for side in ("source", "target"):
+            left = left.join(ready.select(F.col("source").alias(side)), side, "left_anti")
+        left = steps.keep(left.select("source", "target", "turn"), "left")
+    for t in taken:
+        found = found.union(t)
+    steps.done()
+    return found
 
 
 def likely_pairs(entities: DataFrame, name: str, count: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.score import micros
+from .tables import by_range, written
 
 
 def spans(events: DataFrame, key: str, ts: str = "ts", gap_minutes: float = 5.0) -> DataFrame:
@@ -17,25 +18,30 @@ def spans(events: DataFrame, key: str, ts: str = "ts", gap_minutes: float = 5.0)
     return rows.groupBy(key, "span").agg(F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.count(F.lit(1)).alias("n"))
 
 
-def merged(intervals: DataFrame, key: str | None = None) -> DataFrame:
-    """The union of overlapping or touching intervals (start_us, end_us), of each key or of all.
+def islands(intervals: DataFrame, keys: list[str]) -> DataFrame:
+    """`intervals` (keys, start_us, end_us, ...) with `island`, the number of the union's part that each is in, from 0 for each key.
 
-    Without a key the rows are first merged within blocks of a day by start, so that what meets in one place is the
-    number of days' islands and not of intervals.
+    A scan over ranges: rows are dealt in the order of keys, start and end; each task needs no more of the ones before than the largest end and
+    the number of islands of each key, which are a row a task and key. So a key with most of the rows, or none at all, is no task of its own.
     """
-    if key is None:
-        day = F.floor(F.col("start_us") / 86_400_000_000).alias("day")
-        daily = _union(intervals.select(day, "start_us", "end_us"), ["day"])
-        return _union(daily.select(F.lit(1).alias("one"), "start_us", "end_us"), ["one"]).drop("one")
-    return _union(intervals, [key])
-
-
-def _union(rows: DataFrame, keys: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy("start_us", "end_us")
-    before = F.max("end_us").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("new", F.coalesce((F.col("start_us") > before).cast("int"), F.lit(0)))
-    rows = rows.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(*keys, "island").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us")).drop("island")
+    rows = by_range(intervals, *keys, "start_us", "end_us")
+    inside = Window.partitionBy("part_", *keys).orderBy("start_us", "end_us")
+    earlier = Window.partitionBy(*keys, F.lit(1)).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy("part_", *keys).agg(F.max("end_us").alias("e_")).withColumn("e_", F.max("e_").over(earlier))
+    place = [F.col(c) for c in ("part_", *keys)]
+    joined = lambda left, right: left.join(right.select(*(c.alias(f"r{i}_") for i, c in enumerate(place)), right.columns[-1]), [c.eqNullSafe(F.col(f"r{i}_")) for i, c in enumerate(place)]).drop(*(f"r{i}_" for i in range(len(place))))
+    before = F.greatest(F.max("end_us").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("e_"))
+    marked = written(joined(rows, ends).withColumn("new_", F.coalesce((F.col("start_us") > before).cast("long"), F.lit(0))).drop("e_"), "islands")
+    counts = marked.groupBy("part_", *keys).agg(F.sum("new_").alias("n_")).withColumn("n_", F.coalesce(F.sum("n_").over(earlier), F.lit(0)))
+    out = joined(marked, counts).withColumn("island", F.col("n_") + F.sum("new_").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    return out.drop("part_", "new_", "n_")
+
+
+def merged(intervals: DataFrame, key: str | None = None) -> DataFrame:
+    """(key, start_us, end_us, minutes): the union of overlapping or touching intervals, of each key or of all."""
+    keys = [key] if key else []
+    found = islands(intervals.select(*keys, "start_us", "end_us"), keys).groupBy(*keys, "island").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"))
+    return found.select(*keys, "start_us", "end_us", ((F.col("end_us") - F.col("start_us")) / 60e6).alias("minutes"))
 
 
 def attributed(span_rows: DataFrame, events: DataFrame, key: str, topic: str, ts: str = "ts") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.score import jaccard, micros, rounded
 from ..functions.text import normalised, token_set, tokens
+from ..operators import digest
 from ..operators import telemetry as t
 from .registry import NOW, NOW_SESSIONS, Views, query
 
@@ -113,6 +114,15 @@ def a17_digest_day(v: Views) -> DataFrame:
     return day.agg(F.count(F.lit(1)).alias("real_queries"), F.count_if(F.expr("n_results > 0")).alias("answered"), F.countDistinct("conversation_id").alias("conversations"))
 
 
+@query("""WITH p AS (SELECT *, coalesce(lower(trim(query)) IN ('pgvector', 'hono', 'x', '') OR regexp_matches(lower(trim(query)), 'probe|beacon|smoke|path test|recall test|cutover-test'), false) AS p FROM queries_log WHERE ts BETWEEN $now - INTERVAL 7 DAY AND $now),
+d AS (SELECT * FROM p WHERE ts >= $now - INTERVAL 1 DAY AND NOT p)
+SELECT 'source' AS part, source AS name, count(*) AS n FROM d GROUP BY 2 UNION ALL (SELECT 'query', query, count(*) FROM d WHERE query <> '' GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 5)
+UNION ALL SELECT 'week', unnest(['total', 'real', 'surfaced']), unnest([count(*), count(*) FILTER (NOT p), count(*) FILTER (n_results > 0)]) FROM p""")
+def a17_digest(v: Views) -> DataFrame:
+    """The morning digest: sources and top queries of a day, traffic of a week; the limit of five is the report's."""
+    return digest.daily(v.queries_log, NOW, t.is_probe(F.col("query")))
+
+
 @query("""SELECT count(*) FILTER (NOT p) AS real, count(*) AS total FROM (SELECT coalesce(lower(trim(query)) IN ('pgvector', 'hono', 'x', '') OR
 regexp_matches(lower(trim(query)), 'probe|beacon|smoke|path test|recall test|cutover-test'), false) AS p FROM queries_log WHERE ts >= $now - INTERVAL 7 DAY)""")
 def f7_probe_share(v: Views) -> DataFrame:

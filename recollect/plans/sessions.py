@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.score import micros, rounded
 from ..functions.text import label_key
 from ..operators import facts as f
-from ..operators import sets, timeline
+from ..operators import digest, sets, timeline
+from ..operators.tables import written
 from .registry import NOW, NOW_SESSIONS, Views, query
 
 US = 86_400_000_000
@@ -164,6 +165,17 @@ def j11_likely_pairs(v: Views) -> DataFrame:
     return sets.likely_pairs(_names(v), "name", "n")
 
 
+@query(NAMES.replace("WITH e", "WITH RECURSIVE e") + """, sf AS (SELECT name AS source, target FROM (SELECT *, first_value(name) OVER (PARTITION BY fold ORDER BY n DESC, name) AS target FROM f) WHERE name <> target),
+b AS (SELECT *, CASE WHEN length(fold) > 2 THEN regexp_replace(fold, '(ts|js|py|rs|go)$', '') ELSE fold END AS base FROM f WHERE name NOT IN (SELECT source FROM sf)),
+p AS (SELECT x.name AS na, x.n AS ca, y.name AS nb, y.n AS cb FROM b x JOIN b y ON x.fold || 's' = y.fold UNION SELECT x.name, x.n, y.name, y.n FROM b x JOIN b y ON x.base = y.base AND x.name < y.name AND x.fold <> y.fold),
+o AS (SELECT row_number() OVER (ORDER BY least(na, nb), greatest(na, nb)) AS k, CASE WHEN ca > cb OR (ca = cb AND na <= nb) THEN nb ELSE na END AS source, CASE WHEN ca > cb OR (ca = cb AND na <= nb) THEN na ELSE nb END AS target FROM p),
+r AS (SELECT 0::BIGINT AS k, []::VARCHAR[] AS gone UNION ALL SELECT r.k + 1, CASE WHEN list_contains(gone, source) OR list_contains(gone, target) THEN gone ELSE list_append(gone, source) END FROM r JOIN o ON o.k = r.k + 1)
+SELECT source, target, 'safe' AS class FROM sf UNION ALL SELECT source, target, 'likely' FROM o JOIN (SELECT k, len(gone) > lag(len(gone)) OVER (ORDER BY k) AS took FROM r) USING (k) WHERE took""")
+def j11_suggestions(v: Views) -> DataFrame:
+    """The greedy pass over the list by name: no name is a source twice, or takes part after it was one."""
+    return sets.suggested(_names(v), "name", "n", "name").select("source", "target", "class")
+
+
 @query("SELECT session_id, count(DISTINCT entity) AS overlap FROM session_entities WHERE entity IN (SELECT entity FROM session_entities WHERE session_id IN ('s1', 's2')) GROUP BY 1 ORDER BY overlap DESC, session_id LIMIT 20")
 def j12_overlap_candidates(v: Views) -> DataFrame:
     wanted = v.session_entities.filter(F.col("session_id").isin("s1", "s2"))
@@ -192,7 +204,7 @@ def w4_active_spans(v: Views) -> DataFrame:
 UNION = SPANS + """, o AS (SELECT start_us, end_us, max(end_us) OVER (ORDER BY start_us, end_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM p), i AS (SELECT *, sum(coalesce((start_us > b)::INT, 0)) OVER (ORDER BY start_us, end_us ROWS UNBOUNDED PRECEDING) AS island FROM o)"""
 
 
-@query(UNION + " SELECT min(start_us) AS start_us, max(end_us) AS end_us FROM i GROUP BY island")
+@query(UNION + " SELECT min(start_us) AS start_us, max(end_us) AS end_us, (max(end_us) - min(start_us)) / 60e6::DOUBLE AS minutes FROM i GROUP BY island")
 def w5_interval_union(v: Views) -> DataFrame:
     return timeline.merged(_spans(v))
 
@@ -224,6 +236,50 @@ def w8_work_digest(v: Views) -> DataFrame:
     return timeline.focus(timeline.runs(_attributed(v), "user_id", "event_type"), "user_id", "event_type")
 
 
+# Days of New York in spring, so that one of them has 23 hours. Users play sessions, which come back day after day.
+DAYS = """WITH e AS (SELECT 'u' || user_id AS session, epoch_us(ts + INTERVAL 60 DAY) AS us, event_id, event_type FROM events), z AS (SELECT *, (timezone('America/New_York', make_timestamptz(us)))::DATE AS day FROM e),
+act AS (SELECT * FROM z WHERE substr(session, 2)::INT % 10 <> 0),
+g AS (SELECT *, coalesce((us - lag(us) OVER (PARTITION BY session, day ORDER BY us) > 7200000000)::INT, 0) AS new FROM act), s AS (SELECT *, sum(new) OVER (PARTITION BY session, day ORDER BY us ROWS UNBOUNDED PRECEDING) AS span FROM g),
+sp AS (SELECT day, session, span, min(us) AS a, max(us) AS b, count(*) AS n FROM s GROUP BY ALL),
+o AS (SELECT *, coalesce((a > max(b) OVER (PARTITION BY day ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::INT, 0) AS fresh FROM sp), i AS (SELECT *, sum(fresh) OVER (PARTITION BY day ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM o),
+starts AS (SELECT session, min(us) AS started, max(us) AS ended FROM z GROUP BY 1),
+c AS (SELECT day, island, session, sum(n) AS n, min(a) AS a, max(b) AS b FROM i GROUP BY 1, 2, 3),
+seg AS (SELECT day, island, min(a) AS a, max(b) AS b, arg_min(substr(session, 2)::INT % 4, (-n, started, session)) AS topic FROM c JOIN starts USING (session) GROUP BY 1, 2)"""
+
+
+def _days(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Sessions, of which every tenth has no transcript, and the day spans of the others."""
+    rows = v.events.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session"), F.expr("ts + INTERVAL 60 DAY").cast("timestamp").alias("ts"), "user_id", "event_type", "event_id")
+    some = lambda kind: F.collect_set(F.when(F.col("event_type") == kind, F.concat(F.lit("x"), (F.col("event_id") % 40).cast("string"))))
+    sessions = rows.groupBy("session", (F.col("user_id") % 4).alias("topic")).agg(F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"), some("purchase").alias("decisions"), some("error").alias("open"))
+    return sessions, written(digest.day_spans(rows.filter("user_id % 10 <> 0"), "America/New_York", 120), "spans")
+
+
+@query(DAYS + """, t AS (SELECT day, topic, sum(b - a) AS us FROM seg GROUP BY 1, 2), u AS (SELECT *, sum(us) OVER (PARTITION BY day) AS total FROM t)
+SELECT day, topic, floor(us / 60e6::DOUBLE * 10 + 0.5) / 10 AS active_minutes, CASE WHEN total = 0 THEN 0 ELSE floor(us / total * 100 + 0.5) / 100 END::DOUBLE AS share FROM u""")
+def w8_by_topic(v: Views) -> DataFrame:
+    sessions, spans = _days(v)
+    return digest.by_topic(digest.segments(spans, sessions))
+
+
+@query(DAYS + """, f AS (SELECT *, coalesce((lag(topic) OVER (PARTITION BY day ORDER BY island) <> topic)::INT, 0) AS ch FROM seg), r AS (SELECT *, sum(ch) OVER (PARTITION BY day ORDER BY island ROWS UNBOUNDED PRECEDING) AS block FROM f),
+k AS (SELECT day, block, topic, sum(b - a) AS us FROM r GROUP BY 1, 2, 3)
+SELECT day, floor(sum(us) / 60e6::DOUBLE * 10 + 0.5) / 10 AS active_minutes, count(*) - 1 AS context_switches, floor(max(us) / 60e6::DOUBLE * 10 + 0.5) / 10 AS longest_block_min,
+CASE WHEN sum(us) = 0 THEN 0 ELSE floor(coalesce(sum(us) FILTER (us >= 25 * 60000000), 0) / sum(us) * 100 + 0.5) / 100 END::DOUBLE AS deep_work_ratio, count(DISTINCT topic) AS projects FROM k GROUP BY 1""")
+def w8_focus(v: Views) -> DataFrame:
+    sessions, spans = _days(v)
+    return digest.focus(digest.segments(spans, sessions))
+
+
+@query(DAYS + """, d AS (SELECT session, unnest(generate_series((timezone('America/New_York', make_timestamptz(started)))::DATE::TIMESTAMP, (timezone('America/New_York', make_timestamptz(ended)))::DATE::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day FROM starts),
+m AS (SELECT DISTINCT day, session, true AS there FROM sp), x AS (SELECT DISTINCT day, event_type, event_id % 40 AS x FROM d JOIN e USING (session) WHERE event_type IN ('purchase', 'error')),
+y AS (SELECT day, count(*) FILTER (event_type = 'purchase') AS decisions, count(*) FILTER (event_type = 'error') AS open_loops FROM x GROUP BY 1)
+SELECT day, count(*) AS sessions, count(there) AS measured, count(*) - count(there) AS skipped, coalesce(any_value(decisions), 0) AS decisions, coalesce(any_value(open_loops), 0) AS open_loops FROM d LEFT JOIN m USING (day, session) LEFT JOIN y USING (day) GROUP BY 1""")
+def w8_coverage(v: Views) -> DataFrame:
+    sessions, spans = _days(v)
+    return digest.coverage(sessions, spans, "America/New_York")
+
+
 @query("SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next_turn, length(text) AS n FROM conversations")
 def w10_next_start(v: Views) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")

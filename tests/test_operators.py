@@ -11,10 +11,19 @@ from recollect.functions.hashes import fnv_12
 from recollect.functions.injected import strip_blocks
 from recollect.functions.rules import prompt_class
 from recollect.functions.text import chunks
-from recollect.operators import access, dataset, facts, graph, mutations, recall, sets, telemetry, timeline
+from recollect.operators import access, dataset, digest, facts, graph, mutations, recall, sets, telemetry, timeline
 from recollect.sources import logs, transcripts
 
 
+@pytest.fixture
+def ranges(spark):
+    """Small tables in several ranges, as large ones are."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.unset(name)
+
+
 def values(df, *columns):
     return sorted(tuple(r[c] for c in columns) for r in df.collect())
 
@@ -190,7 +199,7 @@ def test_pointers_lead_where_a_walk_ends(spark):
     assert graph.resolved(spark.createDataFrame([], "id string, into string"), "id", "into").count() == 0
 
 
-def test_long_chains_take_few_rounds(spark, monkeypatch):
+def test_long_chains_take_few_rounds(spark, ranges, monkeypatch):
     """A chain of 10,000: the rounds are the logarithm of its length, and no session is cut off."""
     rounds, keep = [], graph.Steps.keep
     monkeypatch.setattr(graph.Steps, "keep", lambda self, df, name="step": rounds.append(name) or keep(self, df, name))
@@ -341,6 +350,96 @@ def test_similar_sets_against_brute_force(spark):
         assert {(x["a"], x["b"]) for x in sets.similar_sets(rows, "id", "s", least).collect()} == want
 
 
+def test_similar_sets_with_an_item_in_most(spark, monkeypatch):
+    """One item is in two thirds of all sets, many sets are equal, and an index of it is split: no pair is lost, and few are looked at."""
+    import random
+    from itertools import combinations
+
+    r = random.Random(7)
+    made = {k: frozenset([*(["hot"] if k % 3 else []), *(f"i{r.randrange(40)}" for _ in range(r.randint(0, 3)))]) for k in range(240)}
+    rows = spark.createDataFrame([(k, list(v)) for k, v in made.items()], "id int, s array<string>")
+    monkeypatch.setattr(sets, "SPLIT", 10)
+    for least in (0.34, 0.5, 0.75):
+        want = {(a, b): len(made[a] & made[b]) / len(made[a] | made[b]) for a, b in combinations(made, 2) if made[a] | made[b] and len(made[a] & made[b]) / len(made[a] | made[b]) >= least}
+        got = [((x["a"], x["b"]), x["similarity"]) for x in sets.similar_sets(rows, "id", "s", least).collect()]
+        assert len(got) == len(want) and dict(got) == pytest.approx(want)
+    # Sets of the hot item and one of their own: nobody asks the hot item's index at all.
+    monkeypatch.setattr(sets, "SPLIT", 2000)
+    wide = spark.range(4000).selectExpr("id", "array('hot', concat('x', id)) as s")
+    assert sets.similar_sets(wide, "id", "s", 0.5).count() == 0
+
+
+def greedy(names):
+    """Suggestions by one pass over the list, pair by pair."""
+    fold = lambda n: "".join(c for c in n.lower() if c not in " -_.\t")
+    groups, out, gone = {}, [], set()
+    for n, c in names:
+        groups.setdefault(fold(n), []).append((-c, n))
+    for g in groups.values():
+        first, *rest = sorted(g)
+        out += [(n, first[1], "safe") for _, n in rest]
+        gone |= {n for _, n in rest}
+    base = lambda f: next((f[: -len(x)] for x in ("ts", "js", "py", "rs", "go") if f.endswith(x) and len(f) > len(x)), f)
+    left = [(n, c, fold(n)) for n, c in names if n not in gone]
+    for i, (a, ca, fa) in enumerate(left):
+        for b, cb, fb in left[i + 1 :]:
+            if a not in gone and b not in gone and (fb == fa + "s" or fa == fb + "s" or base(fa) == base(fb) and (fa != base(fa) or fb != base(fb))):
+                source, target = (b, a) if (-ca, a) <= (-cb, b) else (a, b)
+                out.append((source, target, "likely"))
+                gone.add(source)
+    return sorted(out)
+
+
+def test_suggestions_are_those_of_one_pass(spark):
+    import random
+
+    r = random.Random(11)
+    names = {"".join(r.choice(["ab", "c", "d"]) for _ in range(r.randint(1, 4))) + r.choice(["", "", "s", "ss", ".py", "-ts", "ts", " go", "js", "pys", ".s"]) for _ in range(3000)}
+    listed = [(n, r.randint(1, 4)) for n in sorted(names, key=lambda n: (len(n), n[::-1]))][:1000]
+    df = spark.createDataFrame([(n, c, i) for i, (n, c) in enumerate(listed)], "name string, n int, at int")
+    got = sets.suggested(df, "name", "n", "at")
+    found = values(got, "source", "target", "class")
+    assert len(listed) > 400 and found == greedy(listed) and len({f[0] for f in found}) == len(found)
+
+
+def test_unions_over_many_ranges(spark, ranges):
+    """Without a key, and with keys of which one has most rows and one is null, against a loop; no task holds more than its range."""
+    import random
+
+    r = random.Random(12)
+    made = [(r.choice([None, "a", "b", "b", "b", "b"]), s, s + r.choice([0, 3, 20, 900])) for s in (r.randrange(40_000) for _ in range(1500))]
+    df = spark.createDataFrame(made, "k string, start_us long, end_us long")
+
+    def union(rows):
+        out = []
+        for s, e in sorted(rows):
+            if out and s <= out[-1][1]:
+                out[-1][1] = max(out[-1][1], e)
+            else:
+                out.append([s, e])
+        return [tuple(x) for x in out]
+
+    assert values(timeline.merged(df), "start_us", "end_us") == union((s, e) for _, s, e in made)
+    got = sorted((str(x["k"]), x["start_us"], x["end_us"]) for x in timeline.merged(df, "k").collect())
+    assert got == sorted((str(k), *i) for k in (None, "a", "b") for i in union((s, e) for kk, s, e in made if kk == k))
+    assert spark.read.parquet(timeline.by_range(df, "start_us", "end_us")._written_at).groupBy("part_").count().agg({"count": "max"}).first()[0] < 800
+
+
+def test_a_day_of_23_hours(spark):
+    """New York, 10 March 2024: 5:00 to 4:00 UTC the next day. Activity is cut at midnight, ties go to the session that began first."""
+    t = lambda text: f"2024-03-{text}:00"
+    said = [("a", t("10 04:50")), ("a", t("10 04:58")), ("a", t("10 05:02")), ("a", t("10 05:10")), ("a", t("10 06:55")), ("a", t("10 07:03")), ("b", t("10 07:00")), ("b", t("10 07:10")), ("b", t("11 03:59")), ("b", t("11 04:01"))]
+    act = spark.createDataFrame(said, "session string, at string").select("session", F.to_timestamp("at").alias("ts"))
+    spans = digest.day_spans(act, "America/New_York", 10)
+    assert [(str(x[0]), *x[1:]) for x in values(spans, "day", "session", "n")] == [("2024-03-09", "a", 2), ("2024-03-10", "a", 2), ("2024-03-10", "a", 2), ("2024-03-10", "b", 1), ("2024-03-10", "b", 2), ("2024-03-11", "b", 1)]
+    of = spark.createDataFrame([("a", "x", t("09 12:00"), t("10 08:00"), ["d1", "d2"], []), ("b", "y", t("09 13:00"), t("11 05:00"), ["d2"], ["o"]), ("c", "z", t("10 12:00"), None, [], [])], "session string, topic string, s string, e string, decisions array<string>, open array<string>")
+    of = of.withColumns({"started_at": F.to_timestamp("s"), "ended_at": F.to_timestamp("e")})
+    seg = digest.segments(spans, of)
+    assert [(str(d), topic, m, share) for d, topic, m, share in values(digest.by_topic(seg), "day", "topic", "active_minutes", "share")] == [("2024-03-09", "x", 8.0, 1.0), ("2024-03-10", "x", 23.0, 1.0), ("2024-03-10", "y", 0.0, 0.0), ("2024-03-11", "y", 0.0, 0.0)]
+    assert [(str(d), *x) for d, *x in values(digest.focus(seg, 15), "day", "context_switches", "longest_block_min", "deep_work_ratio", "projects")][1] == ("2024-03-10", 1, 23.0, 1.0, 2)
+    assert [(str(d), *x) for d, *x in values(digest.coverage(of, spans, "America/New_York"), "day", "sessions", "measured", "skipped", "decisions", "open_loops")] == [("2024-03-09", 2, 1, 1, 2, 1), ("2024-03-10", 3, 2, 1, 2, 1), ("2024-03-11", 1, 1, 0, 1, 1)]
+
+
 def test_nearest_rank_against_sorting(spark):
     import random
 
@@ -410,7 +509,7 @@ def test_passages_are_found_wherever_they_stand(spark, monkeypatch):
         assert values(got, "item_id", "doc_id") == want
 
 
-def test_predecessors_of_a_frequent_set(spark):
+def test_predecessors_of_a_frequent_set(spark, ranges):
     rows = [(k, ["a", "b"] if k % 5 else ["b"], k * 7 % 1000) for k in range(1000)]
     df = spark.createDataFrame(rows, "id long, m array<string>, at long")
     want, last = {}, {}
