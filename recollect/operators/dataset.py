@@ -101,3 +101,21 @@ def eligibility(rows: DataFrame, known: DataFrame, key: str, text: str, shortest
     each = digest.join(first, "_d").join(known.select(F.col(key), F.lit(True).alias("_known")).distinct(), key, "left")
     reason = F.when(F.col("_n") < shortest, "short").when(F.col(key) != F.col("_first"), "duplicate").when(F.col("_known").isNull(), "unresolved").otherwise("eligible")
     return each.select(key, reason.alias("reason"))
+
+
+#: Fixed value: a line of a block that is at least so long, and stands in a prompt, has come from it.
+LEAKED = 20
+
+
+def eligible(rows: DataFrame, blocks: DataFrame, key: str, text: str, order: str, shortest: int = 15) -> DataFrame:
+    """(key, reason): the first rule that excludes a prompt, else `eligible`: too short (`short`), the text of an earlier prompt by `order` that
+    wasn't (`duplicate`), no reconstructed block (`unresolved`), or a line of its own block in it (`leakage`). `blocks` has (key, block); a null
+    block isn't resolved. A prompt only meets its own block, so that a line is looked for where both lie.
+    """
+    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+\z", "")
+    given = rows.select(key, order, F.coalesce(text, F.lit("")).alias("_t"), F.md5(trimmed).alias("_d"), (F.length(trimmed) < shortest).alias("_short"))
+    first = given.filter("not _short").groupBy("_d").agg(F.min(F.struct(F.col(order).alias("o"), F.col(key).alias("k"))).alias("_first"))
+    each = given.join(first, "_d", "left").join(blocks.select(key, F.col("block").alias("_b")).filter("_b is not null"), key, "left")
+    long = F.filter(F.transform(F.split("_b", "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+\z", "")), lambda x: F.length(x) >= LEAKED)
+    reason = F.when(F.col("_short"), "short").when(F.col("_first.k") != F.col(key), "duplicate").when(F.col("_b").isNull(), "unresolved").when(F.exists(long, lambda x: F.contains(F.col("_t"), x)), "leakage")
+    return each.select(key, F.coalesce(reason, F.lit("eligible")).alias("reason"))

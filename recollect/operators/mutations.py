@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import label_key, short_id
-from .graph import survivors
+from .graph import numbered, survivors
+from .tables import dropped, written
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, keep: list[str] = (), fill: list[str] = ()) -> DataFrame:
@@ -255,3 +260,25 @@ def pending(rows: DataFrame, done: DataFrame, key: str, after: object = None) ->
     """What a resumable job has left, in the order of its key."""
     left = rows.join(done.select(key), key, "left_anti")
     return left.filter(F.col(key) > F.lit(after)) if after is not None else left
+
+
+def resumed(rows: DataFrame, key: str, lane: dict[str, str], work: Callable[[DataFrame], DataFrame], at: str, size: int = 1_000_000) -> DataFrame:
+    """What `work` gives for all rows, kept in the folder `at`: a job that is killed goes on where it was.
+
+    Rows are worked on in the order of their key, `size` at a time; what a part gives is written before the next one begins, and has the keys of
+    all rows that it is done with. The keys that are written are the set of what is done, so that the two can't differ. A lane (a provider
+    and a model, say) has a set of its own: another one starts anew.
+    """
+    spark = rows.sparkSession
+    path = f"{at}/lane={hashlib.sha256(json.dumps(lane, sort_keys=True).encode()).hexdigest()[:16]}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    left = pending(rows, spark.read.parquet(path), key) if there else rows
+    parts = numbered(left.withColumn("one_", F.lit(1)), "one_", [key]).withColumn("at_", F.floor((F.col("position") - 1) / size)).drop("one_", "position")
+    parts = written(parts, "pending")
+    for part in range((parts.agg(F.max("at_")).first()[0] if parts.limit(1).count() else -1) + 1):
+        work(parts.filter(F.col("at_") == part).drop("at_")).write.mode("append").parquet(path)
+    dropped(parts)
+    if not there and not spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        work(rows.limit(0)).write.parquet(path)
+    return spark.read.parquet(path)

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 import functools
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.score import micros
 from ..operators import mutations as m
+from ..operators.tables import shared_dir
 from .registry import NOW, Views, query
 
 
@@ -262,3 +262,13 @@ def m14_resumable(v: Views) -> DataFrame:
     return m.pending(v.sessions, done, "seq").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("next"))
 
 
+
+
+@query("""SELECT lane, provider, count(*) AS n, min(seq) AS first, max(seq) AS last FROM (SELECT seq, unnest(['one', 'two']) AS lane, unnest([CASE WHEN seq % 3 = 0 THEN 'first' ELSE 'second' END, 'second']) AS provider FROM sessions) GROUP BY 1, 2""")
+def m14_lanes(v: Views) -> DataFrame:
+    """A job over a third of the sessions, and then over all in two lanes: one goes on with what is done, the other starts anew."""
+    at = f"{shared_dir(v.spark)}/lanes-{uuid.uuid4().hex}"
+    work = lambda name: lambda part: part.select("seq", F.lit(name).alias("provider"))
+    m.resumed(v.sessions.filter("seq % 3 = 0"), "seq", {"model": "one"}, work("first"), at, 4000)
+    rows = [m.resumed(v.sessions, "seq", {"model": name}, work("second"), at, 40_000).withColumn("lane", F.lit(name)) for name in ("one", "two")]
+    return rows[0].union(rows[1]).groupBy("lane", "provider").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last"))

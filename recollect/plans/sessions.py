@@ -485,6 +485,21 @@ def t7_eligibility(v: Views) -> DataFrame:
     return eligibility(v.documents, v.labels, "doc_id", "text", 100).groupBy("reason").agg(_n())
 
 
+@query(r"""WITH p AS (SELECT doc_id, text, regexp_replace(text, '^\s+|\s+$', '', 'g') AS x, CASE WHEN doc_id % 4 = 3 THEN NULL WHEN doc_id % 5 = 0 THEN 'short line' || chr(10) || '  ' || substr(text, 40, 60) || ' ' ELSE 'another line of some length ' || doc_id || chr(10) || substr(text, 1, 12) END AS block FROM documents),
+l AS (SELECT *, list_filter(list_transform(string_split(block, chr(10)), lambda y: regexp_replace(y, '^\s+|\s+$', '', 'g')), lambda y: length(y) >= 20) AS ls FROM p),
+r AS (SELECT doc_id, CASE WHEN length(x) < 100 THEN 'short' WHEN doc_id <> min(doc_id) FILTER (length(x) >= 100) OVER (PARTITION BY md5(x)) THEN 'duplicate' WHEN block IS NULL THEN 'unresolved' WHEN len(list_filter(ls, lambda y: contains(text, y))) > 0 THEN 'leakage' ELSE 'eligible' END AS reason FROM l)
+SELECT reason, count(*) AS n, min(doc_id) AS first FROM r GROUP BY 1""")
+def t7_leakage(v: Views) -> DataFrame:
+    """Exclusions in order: some prompts hold a long line of their own block, some only a short one."""
+    from ..operators.dataset import eligible
+
+    k = F.col("doc_id")
+    leaked = F.concat(F.lit("short line\n  "), F.substring("text", 40, 60), F.lit(" "))
+    block = F.when(k % 4 != 3, F.when(k % 5 == 0, leaked).otherwise(F.concat(F.lit("another line of some length "), k.cast("string"), F.lit("\n"), F.substring("text", 1, 12))))
+    found = eligible(v.documents, v.documents.select("doc_id", block.alias("block")), "doc_id", "text", "doc_id", 100)
+    return found.groupBy("reason").agg(_n(), F.min("doc_id").alias("first"))
+
+
 @query("SELECT DISTINCT name FROM (SELECT n_name AS name FROM nation UNION SELECT r_name FROM region)")
 def u1_union(v: Views) -> DataFrame:
     return v.nation.select(F.col("n_name").alias("name")).union(v.region.select(F.col("r_name").alias("name"))).distinct()

@@ -10,6 +10,7 @@ from ..functions.hashes import fnv_12
 from ..functions.injected import strip_blocks
 from ..functions.text import chunks, folded, label_key, repo_base, short_id
 from ..operators.recall import holding
+from ..operators.tables import shared_dir
 from ..operators.telemetry import citations, misses
 from ..sources import transcripts as t
 from .registry import Views, query
@@ -268,6 +269,40 @@ def s8_block_jsonl(v: Views) -> DataFrame:
     return _digested(t.sessions(t.block_jsonl(rows)))
 
 
+@query("""WITH c AS (SELECT *, conv_id % 4 = 1 AS sub FROM conversations), h AS (SELECT conv_id, any_value(sub) AS sub FROM c GROUP BY 1)
+SELECT CASE WHEN sub THEN 'sub_a' || c.conv_id ELSE 'conv_' || c.conv_id || '_z' END AS session, CASE WHEN sub THEN 'conv_' || (c.conv_id - 1) || '_z' END AS parent,
+CASE WHEN sub THEN 'conv_' || (c.conv_id - 1) || '_z' ELSE 'conv_' || c.conv_id || '_z' END AS root, CASE WHEN sub THEN CASE WHEN c.conv_id % 3 = 0 THEN 'anon' ELSE 'scout' END END AS persona,
+count(*) AS n_turns, md5(string_agg('[' || role || '] ' || CASE WHEN role = 'user' THEN trim(text) ELSE text || chr(10) || '[tool_use: grep]' || chr(10) || '[tool_result: ' || substr(text, 1, 240) || CASE WHEN length(text) > 240 THEN '…' ELSE '' END || ']' END, chr(10) || chr(10) ORDER BY turn)) AS digest
+FROM c WHERE role IN ('user', 'assistant') AND trim(text) <> '' GROUP BY c.conv_id, sub""")
+def s8_subagents(v: Views) -> DataFrame:
+    """Every fourth conversation is a sub-agent's file in the folder of the one before."""
+    k, text = F.col("conv_id"), F.lit("text").alias("type")
+    sub, name = k % 4 == 1, lambda n: F.concat(F.lit("conv_"), n.cast("string"), F.lit("_z"))
+    none = F.lit(None).cast("string")
+    block = lambda kind, t=none, name=none, content=none: F.struct(F.lit(kind).alias("type"), t.alias("text"), name.alias("name"), content.alias("content"))
+    tools = F.to_json(F.array(block("text", F.col("text")), block("tool_use", name=F.lit("grep")), block("tool_result", content=F.col("text"))))
+    content = F.when(F.col("role") == "user", F.to_json(F.array(F.struct(text, F.col("text").alias("text"))))).otherwise(tools)
+    line = F.to_json(F.struct(F.col("role").alias("type"), name(F.when(sub, k - 1).otherwise(k)).alias("sessionId"), F.when(sub, F.concat(F.lit("a"), k.cast("string"))).alias("agentId"), F.when(k % 3 != 0, "scout").alias("slug"), F.struct(content.alias("content")).alias("message")))
+    file = F.when(sub, F.concat(F.lit("/x/"), (k - 1).cast("string"), F.lit("/subagents/"), k.cast("string"), F.lit(".jsonl"))).otherwise(F.concat(F.lit("/x/"), k.cast("string"), F.lit(".jsonl")))
+    found = t.agent_sessions(v.conversations.filter("trim(text) <> ''").select(file.alias("file"), F.col("turn").alias("pos"), line.alias("line")))
+    return found.select("session", "parent", "root", "persona", "n_turns", F.md5("body").alias("digest"))
+
+
+@query("SELECT 'conversations/' || (conv_id % 3) AS file, count(*) AS n, count(DISTINCT conv_id) AS sessions, sum(octet_length(encode(text)))::BIGINT AS bytes FROM conversations GROUP BY 1")
+def s7_split_lines(v: Views) -> DataFrame:
+    """Conversations as three files of lines, read in splits: each line once, and offsets that are those of the bytes before."""
+    import uuid
+
+    at = f"{shared_dir(v.spark)}/lines-{uuid.uuid4().hex}"
+    rows = v.conversations.select((F.col("conv_id") % 3).alias("p"), F.to_json(F.struct("conv_id", "turn", "text")).alias("value"))
+    rows.repartition("p").write.partitionBy("p").text(at)
+    found = t.lines(v.spark, at, exact=True).withColumn("j", F.from_json("line", "conv_id long, turn long, text string"))
+    w = Window.partitionBy("file").orderBy("pos")
+    found = found.withColumn("after", F.coalesce(F.lag(F.col("pos") + F.octet_length("line") + 1).over(w), F.lit(0))).filter("pos = after")
+    name = F.concat(F.lit("conversations/"), F.regexp_extract("file", "p=([0-9]+)", 1))
+    return found.groupBy(name.alias("file")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("j.conv_id").alias("sessions"), F.sum(F.octet_length("j.text")).cast("long").alias("bytes"))
+
+
 @query("SELECT 'conv_' || conv_id || '_z' AS session, count(*) AS n_turns, md5(string_agg('[' || role || '] ' || text, chr(10) || chr(10) ORDER BY turn)) AS digest FROM conversations WHERE trim(text) <> '' AND role IN ('user', 'assistant') AND conv_id IN (SELECT conv_id FROM conversations WHERE turn = 0) GROUP BY 1")
 def s9_event_jsonl(v: Views) -> DataFrame:
     kind = F.when(F.col("role") == "user", "user_message").when(F.col("role") == "assistant", "agent_message").otherwise("other")

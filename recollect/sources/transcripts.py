@@ -6,8 +6,11 @@ rows; sessions are one aggregation by session id, with the turns in order.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,10 +21,40 @@ from ..functions.text import short_id
 PREVIEW = 240
 
 
-def lines(spark: SparkSession, path: str, blank: bool = False) -> DataFrame:
-    """(file, pos, line) of text files, with `blank` also the blank ones; a transcript is one file, so its lines keep their order."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", "\n")).alias("pos", "line")).filter(F.lit(blank) | (F.trim("line") != ""))
+def lines(spark: SparkSession, path: str, blank: bool = False, exact: bool = False) -> DataFrame:
+    """(file, pos, line) of text files in the order of `pos`, with `blank` also the blank lines.
+
+    A file is read in splits, so that many tasks share a large one. Spark gives a line to the split that it begins in, and a split's lines in order:
+    `pos` is the split's start plus the bytes of its lines before, which grows from line to line and from split to split. With `exact` it is
+    the line's own byte offset; that takes one pass more, as each split then has to know the bytes of all lines before it.
+    """
+    rows = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("line"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, done = None, 0
+        for b in batches:
+            if not len(b):
+                continue
+            n = pc.add(pc.fill_null(pc.binary_length(b.column("line")), 0), 1).to_numpy(zero_copy_only=False).astype(np.int64)
+            file, start = b.column("file").to_numpy(zero_copy_only=False), b.column("start").to_numpy()
+            new = np.ones(len(b), bool)
+            new[1:] = (start[1:] != start[:-1]) | (file[1:] != file[:-1])
+            before = np.cumsum(n) - n
+            heads = np.flatnonzero(new)
+            base = np.repeat(before[heads], np.diff(np.append(heads, len(b))))
+            inside = before - base
+            if last == (file[0], start[0]):
+                inside[: heads[1] if len(heads) > 1 else len(b)] += done
+            last, done = (file[-1], start[-1]), int(inside[-1] + n[-1])
+            yield pa.RecordBatch.from_arrays([b.column("file"), b.column("start"), pa.array(inside), b.column("line")], ["file", "start", "inside", "line"])
+
+    found = rows.mapInArrow(run, "file string, start long, inside long, line string")
+    if exact:
+        sizes = found.groupBy("file", "start").agg(F.max(F.col("inside") + F.octet_length("line") + 1).alias("size"))  # a row for each split
+        before = F.sum("size").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+        found = found.join(sizes.select("file", "start", F.coalesce(before, F.lit(0)).alias("before")), ["file", "start"]).withColumn("start", F.col("before"))
+    line = F.regexp_replace("line", "\r$", "")
+    return found.select("file", (F.col("start") + F.col("inside")).alias("pos"), line.alias("line")).filter(F.lit(blank) | (F.trim(line) != ""))
 
 
 def bracketed(role: Column, text: Column) -> Column:
@@ -60,6 +93,38 @@ def block_jsonl(rows: DataFrame) -> DataFrame:
     return j.select(F.col("j.sessionId").alias("session"), "pos", F.col("j.message.role").alias("role"), F.trim(F.regexp_replace(text, ENVELOPES, "")).alias("text"), F.try_to_timestamp("j.timestamp").alias("ts"))
 
 
+def agent_sessions(rows: DataFrame) -> DataFrame:
+    """(session, parent, root, persona, n_turns, label, body): sessions of block lines (file, pos, line), those of sub-agents included.
+
+    A file in a folder `subagents` whose lines name an agent is that agent's session: its parent is the session that its lines name, its persona
+    their slug (`anon` without one), its label says so. Any other file is the session that its first line names, or that its own name does.
+    Roots are where parents lead; a parent without a file is a root of its own. Turns are user's and assistant's lines with text.
+    """
+    from ..operators.graph import resolved
+
+    block = "array<struct<type:string,text:string,name:string,content:string>>"
+    schema = "type string, sessionId string, agentId string, slug string, message struct<content:string>"
+    j = rows.withColumn("j", F.from_json("line", schema)).select("file", "pos", "j.*")
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.col("pos"))).alias(c)
+    head = j.groupBy("file").agg(first("sessionId"), first("agentId"), first("slug"))
+    sub = F.col("file").rlike("/subagents/[^/]*$") & F.col("agentId").isNotNull()
+    stem = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.jsonl$", "")
+    head = head.select("file", F.when(sub, F.concat(F.lit("sub_"), "agentId")).otherwise(F.coalesce("sessionId", stem)).alias("session"), F.when(sub, F.col("sessionId")).alias("parent"), F.when(sub, F.coalesce("slug", F.lit("anon"))).alias("persona"))
+    preview = lambda t: F.concat(F.lit("[tool_result: "), F.substring(t, 1, PREVIEW), F.when(F.length(t) > PREVIEW, "…").otherwise(""), F.lit("]"))
+    listed = lambda c: F.coalesce(F.array_join(F.transform(F.from_json(c, "array<struct<text:string>>"), lambda x: F.coalesce(x["text"], F.lit(""))), "\n"), c)
+    said = lambda b: F.when(b["content"].startswith("["), listed(b["content"])).otherwise(b["content"])
+    shown = F.transform(F.from_json("message.content", block), lambda b: F.when(b["type"] == "text", b["text"]).when(b["type"] == "tool_use", F.concat(F.lit("[tool_use: "), F.coalesce(b["name"], F.lit("tool")), F.lit("]"))).when((b["type"] == "tool_result") & (said(b) != ""), preview(said(b))).when(b["type"] == "image", "[image]"))
+    text = F.when(F.col("message.content").startswith("["), F.array_join(F.filter(shown, lambda x: x != ""), "\n")).otherwise(F.col("message.content"))
+    text = F.when(F.col("type") == "user", F.trim(F.regexp_replace(text, ENVELOPES, ""))).otherwise(text)
+    turns = j.filter(F.col("type").isin("user", "assistant")).select("file", "pos", F.col("type").alias("role"), text.alias("text"), F.lit(None).cast("timestamp").alias("ts"))
+    told = sessions(turns.withColumnRenamed("file", "session")).withColumnRenamed("session", "file")
+    found = head.join(told.select("file", "n_turns", "label", "body"), "file")
+    roots = resolved(head.groupBy("session").agg(F.max("parent").alias("parent")), "session", "parent").select("session", F.col("survivor").alias("root"))
+    label = F.coalesce(F.nullif(F.trim(F.get(F.split("label", "\n"), F.lit(0))), F.lit("")), F.lit("Untitled session"))
+    label = F.when(F.col("persona").isNull(), label).otherwise(F.concat(F.lit("[subagent "), "persona", F.lit("] "), label))
+    return found.join(roots, "session").select("session", "parent", "root", "persona", "n_turns", label.alias("label"), "body")
+
+
 def event_jsonl(rows: DataFrame) -> DataFrame:
     """Lines with a type and a payload: user and final agent messages, tool calls and outputs as previews; the first
     session_meta of a file names its session."""

@@ -325,6 +325,85 @@ def test_transcript_files(spark, tmp_path):
     assert got["body"] == "User: hi\n\nAssistant: yo" and got["label"] == "hi"
 
 
+def test_lines_of_a_file_in_splits(spark, tmp_path):
+    """A file in many splits: every line once, its byte offset, and an order that needs no offsets."""
+    import random
+
+    r = random.Random(4)
+    made = ["".join(r.choice("ab\u00e9 \u4e2d") for _ in range(r.choice([0, 1, 5, 40, 900]))) + r.choice(["", "\r"]) for _ in range(3000)]
+    (tmp_path / "one.jsonl").write_bytes("\n".join(made).encode())
+    (tmp_path / "two.jsonl").write_bytes(b"x\n\ny\n")
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "20000")
+    try:
+        exact = transcripts.lines(spark, str(tmp_path), blank=True, exact=True)
+        assert spark.read.text(str(tmp_path / "one.jsonl")).rdd.getNumPartitions() > 10
+        got = sorted((x["pos"], x["line"]) for x in exact.collect() if x["file"].endswith("one.jsonl"))
+        at, want = 0, []
+        for m in made:
+            want.append((at, m.removesuffix("\r")))
+            at += len(m.encode()) + 1
+        assert got == want
+        rough = transcripts.lines(spark, str(tmp_path))
+        rows = sorted((x["pos"], x["line"]) for x in rough.collect() if x["file"].endswith("one.jsonl"))
+        assert [x for _, x in rows] == [x for _, x in want if x.strip(" ")] and len({p for p, _ in rows}) == len(rows)
+        assert values(exact.filter("file like '%two.jsonl'"), "pos", "line") == [(0, "x"), (2, ""), (3, "y")]
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_agents_have_sessions_of_their_own(spark):
+    line = lambda **x: json.dumps(x)
+    said = lambda kind, text, **x: line(type=kind, message={"role": kind, "content": text}, **x)
+    rows = [
+        ("/p/main.jsonl", [line(type="mode"), said("user", "<system-reminder>x</system-reminder>Plan\nit", sessionId="m"), said("assistant", [{"type": "text", "text": "ok"}, {"type": "tool_use", "name": "grep", "input": {}}, {"type": "image"}], sessionId="m")]),
+        ("/p/m/subagents/a.jsonl", [said("user", "look", sessionId="m", agentId="a1", slug="scout", isSidechain=True), said("assistant", [{"type": "tool_result", "content": "r" * 300}], agentId="a1")]),
+        ("/p/m/subagents/b.jsonl", ["{broken", said("assistant", [{"type": "tool_result", "content": [{"text": "one"}, {"text": "two"}]}], sessionId="gone", agentId="b2")]),
+        ("/p/plain.jsonl", [said("user", "hi", agentId="zz")]), ("/p/empty.jsonl", [said("user", " "), line(type="user")]),
+    ]
+    df = spark.createDataFrame([(f, i, x) for f, xs in rows for i, x in enumerate(xs)], "file string, pos long, line string")
+    got = {r["session"]: r for r in transcripts.agent_sessions(df).collect()}
+    assert set(got) == {"m", "sub_a1", "sub_b2", "plain"}
+    assert (got["m"]["label"], got["m"]["body"]) == ("Plan", "[user] Plan\nit\n\n[assistant] ok\n[tool_use: grep]\n[image]")
+    assert got["sub_a1"]["label"] == "[subagent scout] look" and got["sub_a1"]["body"].endswith("[tool_result: " + "r" * 240 + "…]")
+    assert [(got[k]["parent"], got[k]["root"], got[k]["persona"]) for k in ("m", "sub_a1", "sub_b2", "plain")] == [(None, "m", None), ("m", "m", "scout"), ("gone", "gone", "anon"), (None, "plain", None)]
+    assert got["sub_b2"]["body"] == "[assistant] [tool_result: one\ntwo]"
+
+
+def test_exclusions_come_in_order(spark):
+    long = "this line is long enough to count"
+    rows = [(1, "  short "), (2, long + " x"), (3, " " + long + " x "), (4, "no block for this prompt"), (5, f"before {long} after"), (6, "only a short line is in here"), (7, None), (8, "a" * 14 + " "), (9, long + " y")]
+    blocks_ = [(k, f"a short line\n  {long}  \n") for k in (1, 2, 3, 5, 8)] + [(6, "a short line\nsomething else that is long"), (4, None), (9, "")]
+    found = dataset.eligible(spark.createDataFrame(rows, "id int, t string"), spark.createDataFrame(blocks_, "id int, block string"), "id", "t", "id")
+    assert dict(values(found, "id", "reason")) == {1: "short", 2: "leakage", 3: "duplicate", 4: "unresolved", 5: "leakage", 6: "eligible", 7: "short", 8: "short", 9: "eligible"}
+
+
+def test_a_killed_job_goes_on(spark, tmp_path):
+    rows = spark.range(100).withColumnRenamed("id", "k")
+    parts = []
+
+    def work(fails):
+        def run(part):
+            parts.append(part.count())
+            if len(parts) == fails:
+                raise RuntimeError("killed")
+            return part.withColumn("run", F.lit(fails))
+
+        return run
+
+    lane = {"provider": "p", "model": "m"}
+    with pytest.raises(RuntimeError):
+        mutations.resumed(rows, "k", lane, work(3), str(tmp_path), 25)
+    assert parts == [25, 25, 25]
+    got = mutations.resumed(rows, "k", lane, work(0), str(tmp_path), 25)
+    assert parts == [25] * 5 and values(got.groupBy("run").agg(F.min("k").alias("a"), F.count("k").alias("n")), "run", "a", "n") == [(0, 50, 50), (3, 0, 50)]
+    mutations.resumed(rows, "k", lane, work(0), str(tmp_path), 25)
+    assert len(parts) == 5
+    assert mutations.resumed(rows, "k", lane | {"model": "other"}, work(0), str(tmp_path), 40).count() == 100 and parts[5:] == [40, 40, 20]
+    assert mutations.resumed(rows.limit(0), "k", {"model": "none"}, lambda part: part, str(tmp_path)).count() == 0
+
+
 def test_precision_of_distinct_ids(spark):
     shown = spark.createDataFrame([("c", "a"), ("c", "a"), ("c", "b"), ("d", "x")], "conversation_id string, id string")
     used = spark.createDataFrame([("c", "a"), ("c", "zz")], "conversation_id string, id string")
