@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.score import micros
@@ -31,14 +32,16 @@ def opened(spark: SparkSession, path: str, per_trigger: int | None = None) -> Da
     return (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def available(stream: DataFrame, at: str | None = None) -> DataFrame:
+def available(stream: DataFrame, at: str | None = None, progress: list | None = None) -> DataFrame:
     """Runs an append-mode stream over all that is available, and reads its sink. The order of the columns stays.
 
-    With a folder `at`, the next run goes on after the rows that this one has read.
+    With a folder `at`, the next run goes on after the rows that this one has read. `progress` gets what Spark reports of each batch.
     """
     at = at or shared_dir(stream.sparkSession)
     query = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
+    if progress is not None:
+        progress += query.recentProgress
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/out")
 
 
@@ -114,9 +117,55 @@ def _keyed(stream: DataFrame, keys: list[str], schema: str, state: str, step: Ca
     return stream.groupBy(*keys).applyInPandasWithState(run, schema, state, "append", timeout)
 
 
-def alerts(stream: DataFrame, key: str, ok: str, threshold: int = 2, again_us: int | None = None) -> DataFrame:
+#: The state store that timers need.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Forgetting(StatefulProcessor):
+    """A few values for each key, which are dropped when the key has been quiet for `forget_us` by the watermark."""
+
+    def __init__(self, step: Callable, state: str, order: list[str], us: str, forget_us: int):
+        self.step, self.state, self.order, self.us, self.forget_us = step, state, order, us, forget_us
+
+    def init(self, handle) -> None:
+        self.handle, self.held, self.last = handle, handle.getValueState("held", self.state), handle.getValueState("last", "us long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        held, last = (tuple(self.held.get()), self.last.get()[0]) if self.held.exists() else (None, None)
+        if last is not None and int(frame[self.us].iloc[0]) - last > self.forget_us:
+            held = None  # its timer is due, but hasn't come yet
+        out, now, _ = self.step(key, frame, held)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        last = max(last or 0, int(frame[self.us].max()))
+        self.held.update(now)
+        self.last.update((last,))
+        self.handle.registerTimer(max((last + self.forget_us) // 1000, timerValues.getCurrentWatermarkInMs() + 1))
+        yield out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.held.clear()
+        self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def _forgetting(stream: DataFrame, keys: list[str], schema: str, state: str, step: Callable, order: list[str], us: str, forget_us: int | None, delay: str = "10 minutes") -> DataFrame:
+    """As `_keyed`; with `forget_us`, a key whose rows are so much older, by their microseconds `us`, than the watermark has no state any more."""
+    if forget_us is None:
+        return _keyed(stream, keys, schema, state, step, order)
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    timed = stream.withColumn("at_", F.timestamp_micros(us)).withWatermark("at_", delay)
+    return timed.groupBy(*keys).transformWithStateInPandas(_Forgetting(step, state, order, us, forget_us), schema, "append", "EventTime")
+
+
+def alerts(stream: DataFrame, key: str, ok: str, threshold: int = 2, again_us: int | None = None, forget_us: int | None = None) -> DataFrame:
     """(key, event_id): fires at the `threshold`-th failure in a row, and while failures go on, again with the first one
-    that is `again_us` after the last alert (never, if it isn't given). The stream has event_id, us and ok."""
+    that is `again_us` after the last alert (never, if it isn't given). The stream has event_id, us and ok. A key that is quiet for longer than
+    `forget_us` starts anew, and takes no room until then."""
 
     def step(name: tuple, rows: pd.DataFrame, held):
         run, last = held or (0, 0)
@@ -128,12 +177,13 @@ def alerts(stream: DataFrame, key: str, ok: str, threshold: int = 2, again_us: i
                 last = int(us)
         return pd.DataFrame({key: [name[0]] * len(out), "event_id": out}).astype({"event_id": "int64"}), (run, last), None
 
-    return _keyed(stream, [key], f"{key} long, event_id long", "run int, last long", step, ["event_id"])
+    return _forgetting(stream, [key], f"{key} long, event_id long", "run int, last long", step, ["event_id"], "us", forget_us)
 
 
-def changed_files(stream: DataFrame, idle_us: int = 15 * 60_000_000) -> DataFrame:
+def changed_files(stream: DataFrame, idle_us: int = 15 * 60_000_000, forget_us: int | None = None) -> DataFrame:
     """(path, size, listed_us) of files to parse whole: of another size than when they were parsed last, and quiet for a
-    while when they were listed. The stream is of listings (path, size, modified_us, listed_us)."""
+    while when they were listed. The stream is of listings (path, size, modified_us, listed_us). A path that hasn't been listed for
+    `forget_us` is forgotten; should it come back, it is parsed again."""
 
     def step(name: tuple, rows: pd.DataFrame, held):
         size = held[0] if held else -1
@@ -144,12 +194,13 @@ def changed_files(stream: DataFrame, idle_us: int = 15 * 60_000_000) -> DataFram
                 size = int(now)
         return pd.DataFrame(out, columns=["path", "size", "listed_us"]).astype({"size": "int64", "listed_us": "int64", "path": "str"}), (size,), None
 
-    return _keyed(stream, ["path"], "path string, size long, listed_us long", "size long", step, ["listed_us"])
+    return _forgetting(stream, ["path"], "path string, size long, listed_us long", "size long", step, ["listed_us"], "listed_us", forget_us)
 
 
-def retried(stream: DataFrame, most: int = 3, min_confidence: float = 0.0) -> DataFrame:
+def retried(stream: DataFrame, most: int = 3, min_confidence: float = 0.0, forget_us: int | None = None) -> DataFrame:
     """(path, nth, failures, verdict) of attempts (path, nth, size, failed, confidence): `done`, `skipped` for a result of low
-    confidence, `retry`, and `dead` from the `most`-th failure in a row on. A path whose size changed starts anew."""
+    confidence, `retry`, and `dead` from the `most`-th failure in a row on. A path whose size changed starts anew, as does one without an attempt
+    for `forget_us`, for which attempts need `us`."""
 
     def step(name: tuple, rows: pd.DataFrame, held):
         size, failures = held or (-1, 0)
@@ -161,7 +212,7 @@ def retried(stream: DataFrame, most: int = 3, min_confidence: float = 0.0) -> Da
             out.append((name[0], nth, failures, verdict))
         return pd.DataFrame(out, columns=["path", "nth", "failures", "verdict"]), (size, failures), None
 
-    return _keyed(stream, ["path"], "path string, nth long, failures int, verdict string", "size long, failures int", step, ["nth"])
+    return _forgetting(stream, ["path"], "path string, nth long, failures int, verdict string", "size long, failures int", step, ["nth"], "us", forget_us)
 
 
 def surfaced_first(stream: DataFrame, conversation: str = "conversation_id", dormant_us: int = 24 * 3_600_000_000, ts: str = "ts") -> DataFrame:

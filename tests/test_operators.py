@@ -643,6 +643,27 @@ def test_streams_go_on_where_they_ended(spark, tmp_path):
     assert seen[1][2] == [(2,), (4,), (7,), (8,), (12,), (14,)]
 
 
+def test_keys_that_are_quiet_take_no_room(spark, tmp_path):
+    """Three runs over listings that go on: state is kept from run to run, and that of paths which are no longer listed goes."""
+    from recollect.streaming import pipelines as p
+
+    hour, state, progress = 3_600_000_000, [], []
+    runs = [[(f"p{i}", 5, 0, hour) for i in range(40)], [("p0", 5, 0, 3 * hour), ("p1", 6, 0, 3 * hour)], [("p0", 5, 0, 30 * hour), ("q", 1, 0, 30 * hour)], [("q", 1, 0, 31 * hour)], [("p0", 5, 0, 31 * hour), ("p7", 5, 0, 31 * hour), ("q", 2, 0, 32 * hour)]]
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    try:
+        for part in runs:
+            spark.createDataFrame(part, "path string, size long, modified_us long, listed_us long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/t")
+            stream = p.opened(spark, f"{tmp_path}/in/t")
+            got = p.available(p.changed_files(stream, forget_us=10 * hour), at=f"{tmp_path}/out", progress=progress)
+            state.append(progress[-1]["stateOperators"][0]["numRowsTotal"])
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    late = [r for r in values(got, "listed_us", "path", "size") if r[0] > hour]
+    # p1 has grown; p0 was quiet for 27 hours and is parsed again, as is p7, which nobody remembers.
+    assert late == [(3 * hour, "p1", 6), (30 * hour, "p0", 5), (30 * hour, "q", 1), (31 * hour, "p7", 5), (32 * hour, "q", 2)]
+    assert state[0] >= 40 and state[-1] < 20
+
+
 def test_alerts_name_the_first_of_two_questions(spark):
     entities = spark.createDataFrame([("a b", 3, 61, "active"), ("c", 1, 46, None), ("d", 1, 31, "snoozed"), ("e", 0, 90, "active"), ("f", 2, 30, "active"), ("g", 1, 70, "active")], "entity string, n long, age long, status string")
     hidden = spark.createDataFrame([("stale_g",)], "alert_id string")
