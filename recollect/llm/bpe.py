@@ -4,14 +4,15 @@ A merge that crosses the place between two symbols makes a token that holds the
 side by side inside no token of the vocabulary, no merge ever crosses: the place is a certain cut, the fragments on either
 side are encoded independently, and their ids concatenated are the ids of the whole. A symbol is a byte, or a word's last
 byte with the mark of the word's end; the mark stands inside no token, so that every word's end is a certain cut as well.
-Fragments recur far more often than words, and a worker remembers the ids of both, up to a bound.
+A worker remembers the ids of words, up to a bound.
 
 What precedes the merges is the vocabulary's own: special tokens are found in the raw text, what lies between them is
 normalised (NFC, white space, lower case by code point) and split into words by the vocabulary's pattern. Decoding joins the
 ids' tokens by one space, as a vocabulary without a decoder does.
 
 Every text is encoded where it is read, nothing is shuffled. A text of any length goes through in slices that end before
-white space, which is a cut for every one of the steps above; a fragment is merged in time n log n.
+white space, which is a cut for every one of the steps above. Fragments of all words that a worker doesn't know are merged together,
+a round at a time, as they don't depend on each other; a very long fragment is merged by itself in time n log n.
 
 Cases: null texts are taken as empty, and empty texts have no ids and decode to the empty text; repeated rows each get
 theirs; an empty table gives no rows; columns that carry names of the result are replaced, others pass through whatever
@@ -23,8 +24,10 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -36,16 +39,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 WORD_END = "</w>"
+NEVER = 1 << 60
+#: Symbols of a fragment that is merged by itself.
+LONG = 200
 
 
 @dataclass(frozen=True)
 class BpeParams:
     #: The vocabulary file, read on the driver; executors get its tokens and merges.
     vocabulary: str = DEFAULT_VOCABULARY
-    #: Code points of a slice of a long text.
+    #: Code points of a slice of a long text, and of what is merged together.
     slice: int = 1 << 20
-    #: Words, and fragments, that a worker remembers, and their longest.
-    memory: int = 200_000
+    #: Words that a worker remembers, and their longest.
+    memory: int = 300_000
     longest: int = 48
 
 
@@ -81,7 +87,7 @@ class Encoder:
         place = {c: b for b, c in enumerate(letters)}
         ids = {t: i for i, t in enumerate(vocabulary["tokens"]) if t is not None and t not in vocabulary["special"]}
         #: Symbol b is byte b, symbol 256 + b is byte b at a word's end.
-        self.ids = [ids[c] for c in letters] + [ids[c + WORD_END] for c in letters]
+        self.ids = np.array([ids[c] for c in letters] + [ids[c + WORD_END] for c in letters], np.int64)
         self.inside = np.zeros((512, 512), bool)
         for token in ids:
             ends = token.endswith(WORD_END) and token != WORD_END
@@ -89,42 +95,92 @@ class Encoder:
             codes[-1] += 256 * ends
             self.inside[codes[:-1], codes[1:]] = True
         self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(vocabulary["merges"])}
+        self.size = len(vocabulary["tokens"])
+        pairs = sorted((a * self.size + b, rank, new) for (a, b), (rank, new) in self.merges.items())
+        self.keys, self.ranks, self.made = (np.array(x, np.int64) for x in zip(*pairs))
         self.special, self.p = vocabulary["special"], p
         self.marks = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)")
         self.find = regex.compile(vocabulary["pattern"]).findall
-        self.fragments = _Memory(p, self.merged)
-        self.words = _Memory(p, self.word)
+        #: The same on text of ASCII letters only, where it is faster.
+        self.find_ascii = re.compile(vocabulary["pattern"].replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"), re.ASCII).findall
+        self.words: dict[str, bytes] = {}
         self.texts = pa.array(vocabulary["tokens"], pa.large_string())
 
-    def word(self, word: str) -> tuple:
-        """The ids of a word: of the fragments between its certain cuts, one after the other."""
-        codes = np.frombuffer(word.encode(), np.uint8).astype(np.int64)
-        codes[-1] += 256
-        cuts = np.flatnonzero(~self.inside[codes[:-1], codes[1:]]) + 1
-        codes, edges = codes.tolist(), [0, *cuts.tolist(), len(codes)]
-        return tuple(chain.from_iterable(self.fragments[tuple(codes[a:b])] for a, b in zip(edges, edges[1:])))
-
-    def merged(self, codes: tuple) -> tuple:
-        """The ids of a fragment: the pair of least rank is merged, the leftmost first, until none is left."""
-        ids = [self.ids[c] for c in codes]
+    def paired(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ranks and new ids of pairs; a rank of NEVER for those that don't merge."""
+        key = left * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], NEVER), self.made[at]
+
+    def encoded(self, words: list[str]) -> list[bytes]:
+        """The ids of each word as 32-bit numbers. All fragments between certain cuts are merged at once, each at its own pair of least rank."""
+        data = [w.encode() for w in words]
+        lens = np.array([len(d) for d in data])
+        ends = np.cumsum(lens)
+        codes = np.frombuffer(b"".join(data), np.uint8).astype(np.int64)
+        codes[ends - 1] += 256
+        begins = np.ones(len(codes), bool)
+        begins[1:] = ~self.inside[codes[:-1], codes[1:]]
+        fragment, ids, place = np.cumsum(begins) - 1, self.ids[codes], np.arange(len(codes))
+        edge = np.append(begins[1:], True)
+        rank, new = self.paired(ids, np.append(ids[1:], 0))
+        rank[edge] = NEVER
+        done = []
+        long = np.bincount(fragment)[fragment] > LONG
+        if long.any():
+            for f in np.unique(fragment[long]):
+                at = np.flatnonzero(fragment == f)
+                left = self.alone(ids[at].tolist())
+                done.append((at[[i for i, x in enumerate(left) if x is not None]], np.array([x for x in left if x is not None])))
+        live = ~long
+        ids, rank, new, fragment, place = (x[live] for x in (ids, rank, new, fragment, place))
+        while len(ids):
+            starts = np.flatnonzero(np.append(True, fragment[1:] != fragment[:-1]))
+            least = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(ids))))
+            over = least == NEVER
+            if over.any():
+                done.append((place[over], ids[over]))
+                ids, rank, new, fragment, place, least = (x[~over] for x in (ids, rank, new, fragment, place, least))
+            hit = np.flatnonzero(rank == least)
+            if len(hit):  # of places that overlap every second one, from the left
+                head = np.append(True, np.diff(hit) != 1)
+                run = np.arange(len(hit)) - np.maximum.accumulate(np.where(head, np.arange(len(hit)), 0))
+                hit = hit[run % 2 == 0]
+                ids[hit] = new[hit]
+                stay = np.ones(len(ids), bool)
+                stay[hit + 1] = False
+                now = hit - np.arange(len(hit))
+                ids, rank, new, fragment, place = (x[stay] for x in (ids, rank, new, fragment, place))
+                again = np.stack([now - 1, now], 1).ravel()  # in order, as places are
+                again = again[np.append(again[1:] != again[:-1], True) & (again >= 0)]
+                inner = np.append(fragment[1:] == fragment[:-1], False)[again]
+                rank[again[~inner]] = NEVER
+                again = again[inner]
+                rank[again], new[again] = self.paired(ids[again], ids[again + 1])
+        at = np.concatenate([d[0] for d in done])
+        order = np.argsort(at)
+        found = np.concatenate([d[1] for d in done])[order].astype(np.int32).tobytes()
+        cut = (4 * np.searchsorted(at[order], np.append(0, ends))).tolist()
+        return [found[a:b] for a, b in zip(cut, cut[1:])]
+
+    def alone(self, ids: list[int]) -> list[int | None]:
+        """A long fragment, by a heap of its pairs: its ids where each of them begins, and nothing elsewhere."""
         n, merges = len(ids), self.merges
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(*merges[pair], i, pair) for i, pair in enumerate(zip(ids, ids[1:])) if pair in merges]
-        heap = [(rank, i, new, pair) for rank, new, i, pair in heap]
+        heap = [(merges[pair][0], i, pair) for i, pair in enumerate(zip(ids, ids[1:])) if pair in merges]
         heapq.heapify(heap)
         while heap:
-            _, i, new, pair = heapq.heappop(heap)
+            _, i, pair = heapq.heappop(heap)
             j = after[i]
             if j >= n or (ids[i], ids[j]) != pair:  # one of the two has been merged since
                 continue
-            ids[i], ids[j], after[i] = new, None, after[j]
+            ids[i], ids[j], after[i] = merges[pair][1], None, after[j]
             if after[j] < n:
                 before[after[j]] = i
             for left, right in ((before[i], i), (i, after[i])):
                 if left >= 0 and right < n and (pair := (ids[left], ids[right])) in merges:
-                    rank, made = merges[pair]
-                    heapq.heappush(heap, (rank, left, made, pair))
-        return tuple(i for i in ids if i is not None)
+                    heapq.heappush(heap, (merges[pair][0], left, pair))
+        return ids
 
     def segments(self, text: str) -> Iterator[str | int]:
         """Slices of normal text, and the ids of special tokens between them."""
@@ -145,15 +201,37 @@ class Encoder:
             at = cut
         yield text[at:end]
 
-    def encode(self, text: str | None) -> np.ndarray:
-        parts = []
-        for part in self.segments(text or ""):
-            if isinstance(part, int):
-                parts.append(np.array([part], np.int32))
-            elif part:
-                words = self.find(lowered(part))
-                parts.append(np.fromiter(chain.from_iterable(map(self.words.__getitem__, words)), np.int32))
-        return np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
+        """The ids of each text. Slices are collected until they are enough for the words of all that isn't known to be merged together."""
+        parts: list[list[bytes]] = []
+        held, size = [], 0
+        for text in texts:
+            parts.append([])
+            for part in self.segments(text or ""):
+                if isinstance(part, int):
+                    parts[-1].append(array("i", [part]).tobytes())
+                elif part:
+                    low = lowered(part)
+                    held.append((parts[-1], len(parts[-1]), (self.find_ascii if low.isascii() else self.find)(low)))
+                    parts[-1].append(b"")
+                    size += len(part)
+                    if size >= self.p.slice:
+                        self.fill(held)
+                        held, size = [], 0
+        self.fill(held)
+        return [np.frombuffer(b"".join(p), np.int32) for p in parts]
+
+    def fill(self, held: list) -> None:
+        """Ids for slices, given as their words."""
+        if len(self.words) > self.p.memory:
+            self.words.clear()
+        unknown = [*set().union(*(words for *_, words in held)).difference(self.words)]
+        self.words.update(zip(unknown, self.encoded(unknown)) if unknown else ())
+        for part, at, words in held:
+            part[at] = b"".join(map(self.words.__getitem__, words))
+        for word in unknown:
+            if len(word) > self.p.longest:
+                del self.words[word]
 
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """Each row's tokens, joined by a space."""
@@ -169,22 +247,6 @@ class Encoder:
         return pc.if_else(ids.is_valid(), joined, None)
 
 
-class _Memory(dict):
-    """Answers of a function, forgotten all at once when there are too many; long questions aren't remembered."""
-
-    def __init__(self, p: BpeParams, make):
-        super().__init__()
-        self.p, self.make = p, make
-
-    def __missing__(self, key):
-        found = self.make(key)
-        if len(key) <= self.p.longest:
-            if len(self) >= self.p.memory:
-                self.clear()
-            self[key] = found
-        return found
-
-
 def lowered(text: str) -> str:
     """NFC and lower case by code point; a sigma at a word's end is like any other. White space stays, as words never hold any."""
     if text.isascii():
@@ -235,7 +297,7 @@ def encode(docs: DataFrame, p: BpeParams = BpeParams(), text: str = "text", ids:
 
     def work(texts: pa.Array) -> list[pa.Array]:
         encoder = _encoder(shared, p)
-        rows = [encoder.encode(t.as_py()) for t in texts]
+        rows = encoder.encode(t.as_py() for t in texts)
         offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
         flat = pa.array(np.concatenate([np.zeros(0, np.int32), *rows]))
         found = pa.ListArray.from_arrays(pa.array(offsets), flat)

@@ -109,8 +109,8 @@ def test_bpe_cuts_are_certain(library):
 
     e = bpe.Encoder(bpe.load_vocabulary(bpe.DEFAULT_VOCABULARY), bpe.BpeParams())
     assert 0 < e.inside.mean() < 0.1
-    e.word("éxüqzj")
-    assert len(e.fragments) > 1
+    words = ["éxüqzj", "the", "zzqq" * 80, "a", "aaaa" * 60, "aaaaa"]
+    assert [np.frombuffer(x, np.int32).tolist() for x in e.encoded(words)] == [library.encode(w, add_special_tokens=False).ids for w in words]
     assert e.decode(pa.array([[320, -1, 99_999_999, None], None, []], pa.list_(pa.int32()))).to_pylist() == ["a</w>", None, ""]
 
 
