@@ -4,8 +4,8 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 stage's docs. All but the last return the columns of documents. Models are learned from what the stage gets.
 
 Cases: null texts have no language and go in the first stage, as do texts without a letter; rows with a null or repeated
-id are documents of their own, of which near-duplicates go like any other's; an empty table stays empty; extra columns
-pass through whatever their names.
+id are documents of their own, of which near-duplicates go like any other's; ties go to the smaller id; very long texts are
+read in pieces; an empty table stays empty; extra columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from recollect.llm import language, mixing, neardup, pieces, toxicity
 from recollect.llm.bitmap import without
 from recollect.llm.supervised import crc_mod
-from recollect.llm.tables import small_batches, written
+from recollect.llm.tables import dropped, small_batches, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document of at least so many characters goes if no language has this share of it; shorter ones can't be told.
@@ -94,6 +94,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
+        if before is not None:  # nothing reads it once its successor is there
+            dropped(before)
+        before = docs
     return docs

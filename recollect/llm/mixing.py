@@ -2,9 +2,10 @@
 
 Documents fall into cells of source, language and topic. The cells' token weights are raked to target marginals of the
 three in turn, round by round, and a document is kept with its cell's calibrated probability: the raked weight over the
-cell's own tokens, times a factor that brings the expected tokens to `keep` of all, clipped at 1 and solved again for the
-rest. Whether a document is kept depends on a hash of its id only. Column expressions only: the texts are summed to cells
-before the shuffle, and all rounds work on the cells, of which there are at most as many as values of the three together.
+cell's own tokens, times a factor that brings the expected tokens to `keep` of all, clipped at 1. The factor is solved exactly: cells are
+sorted by their ratio of weight to tokens, and those before some place are kept whole; if all cells with weight don't hold enough tokens, they are all
+kept, with a warning. Whether a document is kept depends on a hash of its id only. Column expressions only: the texts are
+summed to cells before the shuffle, and all rounds work on the cells, up to `together` of them in one task without a shuffle.
 
 Rounds end when every marginal is met within `tolerance`. Where no weights meet them all (a cell that has no document can't
 get any), they end after `rounds`, with a warning that says how far off the worst one is, or with an error if `strict`.
@@ -12,7 +13,7 @@ get any), they end after `rounds`, with a warning that says how far off the wors
 Targets are by default each value's share of tokens to the power `temper`, scaled to 1; or a table (value, share). Topics
 are a column of your own, or by default a coarse one from marks in the text.
 
-Cases: a null source or language is a value of its own (''), and so is a null text's topic (`none`); a document without
+Cases: a null source, language or topic of your own is a value of its own (''), and so is a null text's topic (`none`); a document without
 a word has weight 0, and its cell's probability if the cell has tokens, else 0; a null id hashes as the empty text;
 repeated rows are kept or dropped alike; very long texts are counted where they are read;
 columns of the names that are added are replaced; an empty table gives no rows; values without a target share are not kept.
@@ -26,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import dropped, written
 
 DIMENSIONS = ("m_source", "m_lang", "m_topic")
 WORD = r"[^\x20\x09-\x0D]+"
@@ -40,7 +41,8 @@ class MixParams:
     #: Largest miss of a marginal, as a share of all tokens.
     tolerance: float = 1e-10
     strict: bool = False
-    clips: int = 4
+    #: Cells that one task rakes; more are shuffled by each dimension in turn.
+    together: int = 500_000
     #: Rounds between two tables, to keep plans short and to see whether marginals are met.
     cut: int = 5
 
@@ -56,45 +58,61 @@ def topic_of(text: Column) -> Column:
 def featured(docs: DataFrame, topic: Column | None = None) -> DataFrame:
     text = F.col("text")
     return docs.withColumns({
-        "m_source": F.coalesce("source", F.lit("")), "m_lang": F.coalesce("lang", F.lit("")), "m_topic": topic_of(text) if topic is None else topic,
+        "m_source": F.coalesce("source", F.lit("")), "m_lang": F.coalesce("lang", F.lit("")), "m_topic": topic_of(text) if topic is None else F.coalesce(topic.cast("string"), F.lit("")),
         "m_tokens": F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"),
     })
 
 
 def probabilities(rows: DataFrame, p: MixParams = MixParams(), targets: dict[str, DataFrame] | None = None) -> DataFrame:
     """(source, language, topic, tokens, weight, p) of each cell of rows from `featured`."""
-    cells = rows.groupBy(*DIMENSIONS).agg(F.sum("m_tokens").alias("t")).filter("t > 0")
-    cells = written(cells, "cells")
-    total = float(cells.agg(F.sum("t")).first()[0] or 0)
-    cells = cells.withColumn("all", F.lit(total)).withColumn("w", F.col("t") / F.lit(total or 1.0))
+    first = written(rows.groupBy(*DIMENSIONS).agg(F.sum("m_tokens").alias("t")).filter("t > 0"), "cells")
+    n, total = first.agg(F.count(F.lit(1)), F.coalesce(F.sum("t"), F.lit(0)).cast("double")).first()
+    held = (lambda df: df.coalesce(1)) if n <= p.together else (lambda df: df)  # in one task windows need no shuffle
+    cells = held(first).withColumn("all", F.lit(total)).withColumn("w", F.col("t") / F.lit(total or 1.0))
     for d in DIMENSIONS:
         if targets and d in targets:
             shares = targets[d].select(F.col("value").alias(d), F.col("share").cast("double").alias(f"g_{d}"))
         else:
-            powers = cells.groupBy(d).agg(F.pow(F.sum("t") / F.lit(total or 1.0), F.lit(p.temper)).alias("q"))
+            powers = first.groupBy(d).agg(F.pow(F.sum("t") / F.lit(total or 1.0), F.lit(p.temper)).alias("q"))
             scale = powers.agg(F.sum("q")).first()[0] or 1.0
             shares = powers.select(d, (F.col("q") / F.lit(scale)).alias(f"g_{d}"))
         cells = cells.join(shares, d)
     cells, k, miss = written(cells, "cells"), 0, 1.0
+    dropped(first)
     while k < p.rounds and miss > p.tolerance:
+        before, now = cells, held(cells)
         for _ in range(p.cut):
             for d in DIMENSIONS:
-                cells = cells.withColumn("w", F.col("w") * F.col(f"g_{d}") / F.sum("w").over(Window.partitionBy(d)))
-        cells, k = written(cells, "cells"), k + p.cut
-        off = [cells.groupBy(d).agg(F.abs(F.sum("w") - F.first(f"g_{d}")).alias("off")).agg(F.max("off")).first()[0] or 0.0 for d in DIMENSIONS]
-        miss = max(off)
+                now = now.withColumn("w", F.col("w") * F.col(f"g_{d}") / F.sum("w").over(Window.partitionBy(d)))
+        cells, k = written(now, "cells"), k + p.cut
+        dropped(before)
+        off = [F.abs(F.sum("w").over(Window.partitionBy(d)) - F.col(f"g_{d}")).alias(f"o_{d}") for d in DIMENSIONS]
+        miss = max(held(cells).select(*off).agg(*(F.coalesce(F.max(f"o_{d}"), F.lit(0.0)) for d in DIMENSIONS)).first())
     if miss > p.tolerance:
         said = f"marginals are missed by up to {miss:.3g} after {k} rounds"
         if p.strict:
             raise ValueError(said)
         warnings.warn(said, stacklevel=2)
-    cells, c = cells.withColumn("r", F.col("w") * F.col("all") / F.col("t")), p.keep
-    for _ in range(p.clips):
-        full = F.lit(c) * F.col("r") >= 1
-        at, rest = cells.agg(F.sum(F.when(full, F.col("t")).otherwise(0)), F.sum(F.when(full, 0.0).otherwise(F.col("w")))).first()
-        c = max(0.0, (p.keep * total - float(at)) / total / rest) if rest else c
-    cells = cells.withColumn("p", F.round(F.least(F.lit(1.0), F.lit(c) * F.col("r")), 6))
-    return written(cells.select(*DIMENSIONS, "t", "w", "p"), "cells")
+    c = _factor(cells.filter("w > 0").withColumn("r", F.col("w") * F.col("all") / F.col("t")), p.keep * total)
+    chance_of = F.when(F.col("w") > 0, F.least(F.lit(1.0), F.lit(c) * F.col("w") * F.col("all") / F.col("t"))).otherwise(0.0)
+    out = written(cells.select(*DIMENSIONS, "t", "w", chance_of.alias("p")), "cells")
+    dropped(cells)
+    return out
+
+
+def _factor(cells: DataFrame, wanted: float) -> float:
+    """The c for which the sum of min(1, c r) t is `wanted`: with cells in descending order of r, the first place where those before it, kept whole,
+    and the rest at c give so many tokens and c r is at most 1 for the rest."""
+    order = Window.orderBy(F.desc("r"), *DIMENSIONS)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    rest = Window.orderBy(F.asc("r"), *(F.desc(d) for d in DIMENSIONS)).rowsBetween(Window.unboundedPreceding, 0)
+    rows = cells.select("r", ((F.lit(wanted) - F.coalesce(F.sum("t").over(before), F.lit(0))) / F.sum(F.col("r") * F.col("t")).over(rest)).alias("c"), *DIMENSIONS)
+    found = rows.filter(F.col("c") * F.col("r") <= 1).agg(F.min_by("c", F.struct(-F.col("r"), *DIMENSIONS))).first()[0]
+    if found is None:
+        if cells.limit(1).count():
+            warnings.warn("all documents of cells with a weight are kept, and don't hold as many tokens as are wanted", stacklevel=3)
+        return float("inf")
+    return max(0.0, float(found))
 
 
 def chance(key: str) -> Column:
@@ -131,13 +149,12 @@ def oracle(p: MixParams = MixParams()) -> str:
         inner = f"SELECT k, {names}, w * g_{d} / sum(w) OVER (PARTITION BY {d}) AS w FROM ({inner})"
     parts.append(f"r AS (SELECT 0 AS k, m_source, m_lang, m_topic, t, {cells}, t / n AS w FROM c0 {joins}, tot UNION ALL {inner})")
     parts.append(f"k0 AS (SELECT r.*, w * n / t AS r, n FROM r, tot WHERE k = {p.rounds})")
-    parts.append(f"s0 AS (SELECT {p.keep}::DOUBLE AS c)")
-    for i in range(p.clips):
-        parts.append(f"""s{i + 1} AS (SELECT CASE WHEN sum(CASE WHEN c * r >= 1 THEN 0 ELSE w END) > 0 THEN greatest(0.0, ({p.keep}::DOUBLE * any_value(n)
-  - sum(CASE WHEN c * r >= 1 THEN t ELSE 0 END)) / any_value(n) / sum(CASE WHEN c * r >= 1 THEN 0 ELSE w END)) ELSE any_value(c) END AS c FROM k0, s{i})""")
-    parts.append(f"cells AS (SELECT m_source, m_lang, m_topic, floor(least(1.0, c * r) * 1e6 + 0.5) / 1e6 AS p FROM k0, s{p.clips})")
+    parts.append(f"""c0s AS (SELECT r, m_source, m_lang, m_topic, ({p.keep}::DOUBLE * n - coalesce(sum(t) OVER (ORDER BY r DESC, m_source, m_lang, m_topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(r * t) OVER (ORDER BY r, m_source DESC, m_lang DESC, m_topic DESC ROWS UNBOUNDED PRECEDING) AS c FROM k0)""")
+    parts.append("s AS (SELECT coalesce(arg_min(c, (-r, m_source, m_lang, m_topic)), 1e300) AS c FROM c0s WHERE c * r <= 1)")
+    parts.append("cells AS (SELECT m_source, m_lang, m_topic, least(1.0, c * r) AS p FROM k0, s)")
     return "WITH RECURSIVE " + ",\n".join(parts) + """
-SELECT doc_id, m_source, m_lang, m_topic, m_tokens, coalesce(p, 0) AS m_p,
+SELECT doc_id, m_source, m_lang, m_topic, m_tokens, floor(coalesce(p, 0) * 1e6 + 0.5) / 1e6 AS m_p,
   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::UBIGINT / 4294967296.0::DOUBLE < coalesce(p, 0) AS m_kept
 FROM f LEFT JOIN cells USING (m_source, m_lang, m_topic)
 """

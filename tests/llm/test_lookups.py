@@ -195,6 +195,25 @@ def test_mixing_odd_rows(spark):
     assert mixing.mixed(df.limit(0)).count() == 0
 
 
+def test_mixing_keeps_rows_without_a_topic(spark):
+    """A null topic is a topic: both halves are kept alike."""
+    df = spark.range(4000).selectExpr("id as doc_id", "'a b c d' as text", "'en' as lang", "'s' as source", "case when id % 2 = 0 then 't' end as topic")
+    kept = {r["topic"]: r["n"] for r in mixing.mixed(df, topic=F.col("topic")).filter("m_kept").groupBy("topic").agg(F.count("doc_id").alias("n")).collect()}
+    assert set(kept) == {None, "t"} and all(900 < n < 1100 for n in kept.values())
+
+
+@pytest.mark.parametrize("keep", [0.001, 0.3, 0.62, 0.97, 1.0])
+def test_mixing_clips_exactly(spark, keep):
+    """Some cells are kept whole, and the tokens that are expected are those that are wanted."""
+    cells = spark.createDataFrame([(f"s{i}", "en", "t", 100 + i * i, 0.5**i, 10_000.0) for i in range(12)] + [("z", "en", "t", 50, 0.0, 10_000.0)], "m_source string, m_lang string, m_topic string, t long, w double, all double")
+    rows = [(r["t"], r["w"] * r["all"] / r["t"]) for r in cells.collect() if r["w"] > 0]
+    wanted = keep * sum(t for t, _ in rows)
+    c = mixing._factor(cells.filter("w > 0").withColumn("r", F.col("w") * F.col("all") / F.col("t")), wanted)
+    assert sum(t * min(1.0, c * r) for t, r in rows) == pytest.approx(wanted, rel=1e-12)
+    with pytest.warns(UserWarning, match="as many tokens"):
+        assert mixing._factor(cells.withColumn("r", F.lit(1.0)), 1e9) == float("inf")
+
+
 TEXTS = ["", " ", "  ", "a", "Hello world", " two  spaces   and " + " " * 40 + "more ", "tabs\tand\nlines\r\n", "☃ é ñ 中文 \U0001f600", "▁mark ▁▁ marks", "x" * 3000, "no" + "space" * 900, "word " * 700, "日本語" * 400, "\x00\x7f", "the international " * 60, " " * 500, "a" + " " * 333 + "b"]
 
 
