@@ -29,14 +29,14 @@ def _plain_letters() -> tuple[str, str]:
     return "".join(a for a, _ in pairs) + marks, "".join(b for _, b in pairs)
 
 
-def index_folded(text: Column) -> Column:
-    """Lower case without diacritics, as an index stores it."""
-    return F.translate(F.lower(text), *_plain_letters())
+def plain_letters(token: Column) -> Column:
+    """A token without diacritics; most have none, which their length in bytes tells."""
+    return F.when(F.octet_length(token) == F.length(token), token).otherwise(F.translate(token, *_plain_letters()))
 
 
 def index_tokens(text: Column) -> Column:
-    """A text's index tokens in order."""
-    return F.regexp_extract_all(index_folded(F.coalesce(text, F.lit(""))), F.lit(f"({INDEXED})"), 1)
+    """A text's index tokens in order, in lower case, with their diacritics."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({INDEXED})"), 1)
 
 
 def phrases(query: Column) -> Column:

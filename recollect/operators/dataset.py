@@ -119,3 +119,20 @@ def eligible(rows: DataFrame, blocks: DataFrame, key: str, text: str, order: str
     long = F.filter(F.transform(F.split("_b", "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+\z", "")), lambda x: F.length(x) >= LEAKED)
     reason = F.when(F.col("_short"), "short").when(F.col("_first.k") != F.col(key), "duplicate").when(F.col("_b").isNull(), "unresolved").when(F.exists(long, lambda x: F.contains(F.col("_t"), x)), "leakage")
     return each.select(key, F.coalesce(reason, F.lit("eligible")).alias("reason"))
+
+
+def recall_coverage(log: DataFrame, *tables: DataFrame, window: int = 200) -> DataFrame:
+    """(surface, returned, found, scoped, fraction): how many of the ids that the newest `window` entries of a query log (ts, entry, source, ids)
+    returned are known, and have a scope; by surface, and as `*` over all. Each table has (id, scope); an id counts as the first of them that has it.
+    Each id counts once a surface. The window is the report's."""
+    newest = log.orderBy(F.desc("ts"), F.desc("entry")).limit(window)
+    ids = newest.select(F.col("source").alias("surface"), F.explode("ids").alias("id")).filter("id is not null")
+    ids = ids.union(ids.select(F.lit("*"), "id")).distinct()
+    rows, found = ids, F.lit(None).cast("int")
+    for i, t in enumerate(tables):
+        rows = rows.join(t.select("id", F.col("scope").alias(f"_s{i}"), F.lit(True).alias(f"_t{i}")).dropDuplicates(["id"]), "id", "left")
+    scope, found = F.lit(None).cast("string"), F.lit(False)
+    for i in reversed(range(len(tables))):
+        scope, found = F.when(F.col(f"_t{i}"), F.col(f"_s{i}")).otherwise(scope), found | F.coalesce(f"_t{i}", F.lit(False))
+    n = rows.select("surface", found.alias("f"), (found & scope.isNotNull()).alias("s")).groupBy("surface").agg(F.count(F.lit(1)).alias("returned"), F.count_if("f").alias("found"), F.count_if("s").alias("scoped"))
+    return n.withColumn("fraction", F.when(F.col("found") == 0, F.lit(0.0)).otherwise(rounded(F.col("scoped") / F.col("found"))))

@@ -63,3 +63,24 @@ def related(facts: DataFrame, entities: DataFrame, min_confidence: float = 0.7,
     rows = about.join(known, ["subject", "predicate", "value"])
     best = latest(rows, ["subject", "predicate"], F.desc("sessions"), F.desc("confidence"), F.col("value"), F.col("id"))
     return best.orderBy(F.desc("sessions"), F.desc("confidence"), "id").limit(k)
+
+
+def related_to_hits(facts: DataFrame, hits: DataFrame, entities: DataFrame, query: str, min_confidence: float = 0.7, min_sessions: int = 2, k: int = 5, top_hits: int = 5, most_entities: int = 8, newest: int = 50) -> DataFrame:
+    """(query, subject, predicate, value, sessions, rank): the facts to show beside each query's hits (query, session_id, rank).
+
+    The entities (session_id, entity, position) of the first hits count in the order of hits and positions, trimmed, the first `most_entities` of them;
+    of each the `newest` current facts, of which the sure and corroborated ones are kept: one value for each predicate, then the k best. These limits are
+    the operator's. Corroboration is counted over all facts of those subjects, whatever their state.
+    """
+    named = entities.select("session_id", F.trim("entity").alias("subject"), "position").filter("subject <> ''")
+    seen = hits.filter(F.col("rank") <= top_hits).join(named, "session_id").groupBy(query, "subject").agg(F.min(F.struct("rank", "position", "subject")).alias("at"))
+    wanted = seen.withColumn("n", F.row_number().over(Window.partitionBy(query).orderBy("at"))).filter(F.col("n") <= most_entities).select(query, "subject")
+    subjects = wanted.select("subject").distinct()
+    listed = current(facts).join(subjects, "subject", "left_semi")
+    listed = listed.withColumn("n", F.row_number().over(Window.partitionBy("subject").orderBy(F.desc("created_at"), F.desc("id")))).filter(F.col("n") <= newest)
+    known = corroborated(facts.join(subjects, "subject", "left_semi")).filter(F.col("sessions") >= min_sessions)
+    sure = listed.filter(F.col("confidence") >= min_confidence).join(known, ["subject", "predicate", "value"])
+    best = latest(sure, ["subject", "predicate"], F.desc("sessions"), F.desc("confidence"), F.col("value"), F.col("id"))
+    order = Window.partitionBy(query).orderBy(F.desc("sessions"), F.desc("confidence"), "id")
+    rows = wanted.join(best, "subject").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return rows.select(query, "subject", "predicate", "value", "sessions", "rank")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import score as s
-from ..functions.text import index_tokens, phrases, token_set, tokens
+from ..functions.text import index_tokens, phrases, plain_letters, token_set, tokens
 from . import blocks
 from .tables import written
 
@@ -52,7 +52,7 @@ def positions(docs: DataFrame, key: str, weights: dict[str, float] = WEIGHTS) ->
     for i, w in enumerate(weights.values()):
         inside = F.col("_pos") <= F.col(f"_e{i}")
         at, weight = at.when(inside, F.col("_pos") + i * FAR), weight.when(inside, F.lit(float(w)))
-    return rows.select(key, "term", at.cast("long").alias("at"), weight.alias("w"))
+    return rows.select(key, plain_letters(F.col("term")).alias("term"), at.cast("long").alias("at"), weight.alias("w"))
 
 
 def postings(docs: DataFrame, wanted: DataFrame, key: str, weights: dict[str, float] = WEIGHTS) -> DataFrame:
@@ -64,9 +64,11 @@ def postings(docs: DataFrame, wanted: DataFrame, key: str, weights: dict[str, fl
     parts = F.split("phrase", " ")
     of = wanted.select("n", F.size(parts).alias("m"), F.posexplode(parts).alias("off", "term"))
     length = wanted.sparkSession.createDataFrame([(-1, 1, 0, "")], "n long, m int, off int, term string")
-    rows = positions(docs, key, weights).join(small(of.unionByName(length)), "term").select(key, "n", "m", (F.col("at") - F.col("off")).alias("at"), "w", "off")
-    whole = rows.filter("m > 1").groupBy(key, "n", "m", "at").agg(F.count(F.lit(1)).alias("there"), F.max(F.when(F.col("off") == 0, F.col("w"))).alias("w")).filter("there = m")
-    return rows.filter("m = 1").select(key, "n", "w").union(whole.select(key, "n", "w")).groupBy(key, "n").agg(F.sum("w").alias("f"))
+    rows = positions(docs, key, weights).join(small(of.unionByName(length)), "term").select(key, "n", "m", F.when(F.col("m") > 1, F.col("at") - F.col("off")).alias("at"), "w", "off")
+    if not wanted.filter(F.contains("phrase", F.lit(" "))).limit(1).count():
+        return rows.groupBy(key, "n").agg(F.sum("w").alias("f"))
+    found = rows.groupBy(key, "n", "m", "at").agg(F.count(F.lit(1)).alias("there"), F.sum(F.when(F.col("off") == 0, F.col("w"))).alias("w"))
+    return found.filter("m = 1 or there = m").groupBy(key, "n").agg(F.sum("w").alias("f"))
 
 
 def keyword_scores(docs: DataFrame, queries: DataFrame, key: str, query: str, text: str, weights: dict[str, float] = WEIGHTS, k: int | None = None, digits: int | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import score as s
@@ -201,6 +201,20 @@ def r17_related_facts(v: Views) -> DataFrame:
     return f.related(v.versions, entities).select("id", "subject", "predicate", "value", "sessions")
 
 
+@query("""WITH h AS (SELECT 'q' || (seq % 97) AS query_id, id AS session_id, row_number() OVER (PARTITION BY seq % 97 ORDER BY seq) AS rank FROM sessions), e AS (SELECT session_id, entity AS subject, row_number() OVER (PARTITION BY session_id ORDER BY entity DESC) AS position FROM session_entities),
+s AS (SELECT query_id, subject, min((rank, position)) AS place FROM h JOIN e USING (session_id) WHERE rank <= 5 GROUP BY 1, 2), w AS (SELECT query_id, subject FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY place, subject) <= 8),
+l AS (SELECT * FROM versions WHERE superseded_by IS NULL AND retired = 0 AND subject IN (SELECT subject FROM w) QUALIFY row_number() OVER (PARTITION BY subject ORDER BY created_at DESC, id DESC) <= 2),
+c AS (SELECT subject, predicate, value, count(DISTINCT session_id) AS sessions FROM facts GROUP BY 1, 2, 3 HAVING count(DISTINCT session_id) >= 2),
+b AS (SELECT l.*, sessions FROM l JOIN c USING (subject, predicate, value) WHERE confidence >= 0.5 QUALIFY row_number() OVER (PARTITION BY subject, predicate ORDER BY sessions DESC, confidence DESC, value, id) = 1)
+SELECT query_id, subject, predicate, value, sessions, row_number() OVER (PARTITION BY query_id ORDER BY sessions DESC, confidence DESC, id) AS rank FROM w JOIN b USING (subject) QUALIFY rank <= 5""")
+def r17_for_hits(v: Views) -> DataFrame:
+    """Facts beside the hits of 97 queries: the first hits' entities in order, eight at most, and two of each's newest facts."""
+    k = F.col("seq") % 97
+    hits = v.sessions.select(F.concat(F.lit("q"), k.cast("string")).alias("query_id"), F.col("id").alias("session_id"), F.row_number().over(Window.partitionBy(k).orderBy("seq")).alias("rank"))
+    entities = v.session_entities.withColumn("position", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("entity"))))
+    return f.related_to_hits(v.versions, hits, entities, "query_id", min_confidence=0.5, newest=2)
+
+
 @query("""WITH q AS (SELECT a.vec_id AS query_id, list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::DOUBLE + x[2]::DOUBLE) / 2) AS e FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 100 = 0),
 d AS (SELECT query_id, vec_id, list_distance(embedding::DOUBLE[], e) AS distance FROM embeddings, q) SELECT query_id, vec_id FROM d WHERE distance <= 1.0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), vec_id) <= 2""")
 def r18_related_exemplars(v: Views) -> DataFrame:

@@ -236,6 +236,20 @@ def w8_work_digest(v: Views) -> DataFrame:
     return timeline.focus(timeline.runs(_attributed(v), "user_id", "event_type"), "user_id", "event_type")
 
 
+@query("""WITH l AS (SELECT * FROM queries_log ORDER BY ts DESC, event_id DESC LIMIT 2000), i AS (SELECT source AS surface, unnest([returned_id, 'f' || (event_id % 90) || '-1-' || (event_id % 90), 'nobody']) AS id FROM l),
+d AS (SELECT DISTINCT surface, id FROM i UNION SELECT '*', id FROM i), t AS (SELECT id, scope, 0 AS o FROM sessions UNION ALL SELECT id, CASE WHEN retired = 0 THEN 'own' END, 1 FROM facts UNION ALL SELECT 's' || n, 'late', 2 FROM range(100) r(n)),
+x AS (SELECT d.surface, d.id, count(t.id) > 0 AS found, arg_min(coalesce(scope, ''), o) AS scope FROM d LEFT JOIN t USING (id) GROUP BY 1, 2)
+SELECT surface, count(*) AS returned, count(*) FILTER (found) AS found, count(*) FILTER (found AND scope <> '') AS scoped, CASE WHEN count(*) FILTER (found) = 0 THEN 0 ELSE floor(count(*) FILTER (found AND scope <> '') / count(*) FILTER (found) * 1e4 + 0.5) / 1e4 END::DOUBLE AS fraction FROM x GROUP BY 1""")
+def a16_recall_weighted(v: Views) -> DataFrame:
+    """Scopes of what the newest 2000 log entries returned: sessions first, then facts, then a table that knows some numbers as well."""
+    from ..operators.dataset import recall_coverage
+
+    k = F.col("event_id") % 90
+    log = v.queries_log.select("ts", F.col("event_id").alias("entry"), "source", F.array("returned_id", F.concat(F.lit("f"), k.cast("string"), F.lit("-1-"), k.cast("string")), F.lit("nobody")).alias("ids"))
+    late = v.spark.range(100).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("id"), F.lit("late").alias("scope"))
+    return recall_coverage(log, v.sessions, v.facts.select("id", F.when(F.col("retired") == 0, "own").alias("scope")), late, window=2000)
+
+
 # Days of New York in spring, so that one of them has 23 hours. Users play sessions, which come back day after day.
 DAYS = """WITH e AS (SELECT 'u' || user_id AS session, epoch_us(ts + INTERVAL 60 DAY) AS us, event_id, event_type FROM events), z AS (SELECT *, (timezone('America/New_York', make_timestamptz(us)))::DATE AS day FROM e),
 act AS (SELECT * FROM z WHERE substr(session, 2)::INT % 10 <> 0),

@@ -81,6 +81,7 @@ def upserted(stream: DataFrame, key: str, order: str, at: str | None = None, buc
         own = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
         rows = own
         if epoch:
+            _compacted(batch.sparkSession, at, epoch)
             old = _current(batch.sparkSession, at, schema, epoch)
             rows = own.unionByName(old.join(F.broadcast(own.select("bucket").distinct()), "bucket", "left_semi").select(own.columns))  # `buckets` rows
         latest(rows, [key], F.desc(order), F.desc("event_id")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/table/epoch={epoch}")
@@ -100,6 +101,25 @@ def _current(spark: SparkSession, at: str, schema, before: int | None) -> DataFr
     return rows.join(F.broadcast(newest), ["bucket", "epoch"], "left_semi")
 
 
+def _compacted(spark: SparkSession, at: str, before: int) -> None:
+    """Deletes buckets that a later batch has written again, of batches before `before`, which are committed and never run again. A folder name for each
+    bucket and batch is all that is listed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/table")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return
+    held: dict[str, list] = {}
+    for e in fs.listStatus(path):
+        name = e.getPath().getName()
+        if name.startswith("epoch=") and int(name[6:]) < before:
+            for b in fs.listStatus(e.getPath()):
+                held.setdefault(b.getPath().getName(), []).append((int(name[6:]), b.getPath()))
+    for name, found in held.items():
+        if name.startswith("bucket="):
+            for _, old in sorted(found, key=lambda x: x[0])[:-1]:
+                fs.delete(old, True)
+
+
 def _keyed(stream: DataFrame, keys: list[str], schema: str, state: str, step: Callable, order: list[str], timeout: str = "NoTimeout") -> DataFrame:
     """Rows that `step(key, rows in order, state or None)` gives with the new state, for each key."""
 

@@ -664,6 +664,27 @@ def test_keys_that_are_quiet_take_no_room(spark, tmp_path):
     assert state[0] >= 40 and state[-1] < 20
 
 
+def test_upserts_keep_each_bucket_once(spark, tmp_path):
+    """Six batches over the same keys: what committed batches replaced is gone, and the rows are the last ones."""
+    from recollect.streaming import pipelines as p
+
+    for i in range(6):
+        spark.createDataFrame([(k + 100 * i, k, f"2024-01-0{i + 1} 00:00:00") for k in range(20)], "event_id long, k long, at string").select("event_id", "k", F.to_timestamp("at").alias("ts")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/t")
+        table = p.upserted(p.opened(spark, f"{tmp_path}/in/t"), "k", "ts", at=f"{tmp_path}/up", buckets=4)
+        assert values(table, "k", "event_id") == [(k, k + 100 * i) for k in range(20)]
+    assert len(list((tmp_path / "up" / "table").glob("epoch=*/bucket=*"))) <= 8
+
+
+def test_facts_beside_hits(spark):
+    rows = [("f1", "a", "p", "v", "s1", 9), ("f2", "a", "p", "w", "s2", 8), ("f3", "a", "p", "w", "s3", 7), ("f4", "b", "p", "v", "s1", 9), ("f5", "b", "p", "v", "s2", 1), ("f6", "c", "p", "v", "s1", 9), ("f7", "c", "p", "v", "s2", 9)]
+    df = spark.createDataFrame([(*r, None, 0, 0.8) for r in rows], "id string, subject string, predicate string, value string, session_id string, created_at int, superseded_by string, retired int, confidence double")
+    hits = spark.createDataFrame([("q", "s1", 1), ("q", "s2", 6), ("r", "s2", 1), ("r", "s1", 2)], "q string, session_id string, rank int")
+    ents = spark.createDataFrame([("s1", " a ", 2), ("s1", "b", 1), ("s1", " ", 3), ("s2", "c", 1), ("s2", "a", 2)], "session_id string, entity string, position int")
+    got = values(facts.related_to_hits(df, hits, ents, "q", most_entities=2), "q", "rank", "subject", "value", "sessions")
+    assert got == [("q", 1, "a", "w", 2), ("q", 2, "b", "v", 2), ("r", 1, "a", "w", 2), ("r", 2, "c", "v", 2)]
+    assert values(facts.related_to_hits(df, hits, ents, "q", newest=1), "q", "subject") == [("q", "b"), ("r", "b"), ("r", "c")]
+
+
 def test_alerts_name_the_first_of_two_questions(spark):
     entities = spark.createDataFrame([("a b", 3, 61, "active"), ("c", 1, 46, None), ("d", 1, 31, "snoozed"), ("e", 0, 90, "active"), ("f", 2, 30, "active"), ("g", 1, 70, "active")], "entity string, n long, age long, status string")
     hidden = spark.createDataFrame([("stale_g",)], "alert_id string")
