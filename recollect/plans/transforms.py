@@ -328,6 +328,31 @@ def s11_message_json(v: Views) -> DataFrame:
     return _digested(t.sessions(t.message_json(docs.union(dumps))))
 
 
+@query("""WITH c AS (SELECT *, CASE WHEN conv_id % 3 = 0 THEN 'dump' WHEN conv_id % 3 = 1 THEN 'both' ELSE 'live' END AS shape FROM conversations)
+SELECT 'conv_' || conv_id || '_z' AS session, count(*) AS n_turns, md5(string_agg('[' || role || '] ' || CASE WHEN shape = 'dump' THEN 'dumped ' ELSE '' END || text, chr(10) || chr(10) ORDER BY turn)) AS digest FROM c WHERE trim(text) <> '' AND role <> 'system' GROUP BY conv_id""")
+def s11_dumps(v: Views) -> DataFrame:
+    """Sessions of which some have a dumped request only, without an id in it, and some have a live document beside."""
+    turn = lambda text: F.sort_array(F.collect_list(F.struct("turn", "role", text.alias("content"))))
+    whole = v.conversations.groupBy("conv_id").agg(turn(F.col("text")).alias("m"), turn(F.concat(F.lit("dumped "), "text")).alias("d"))
+    live = whole.filter("conv_id % 3 <> 0").select(F.concat(F.lit("/x/live-"), "conv_id").alias("file"), F.to_json(F.struct(_name().alias("session_id"), F.col("m").alias("messages"))).alias("value"))
+    dumps = whole.filter("conv_id % 3 <> 2").select(F.concat(F.lit("/a/"), _name(), F.lit(".json")).alias("file"), F.to_json(F.struct(F.lit("").alias("session_id"), F.struct(F.struct(F.col("d").alias("messages")).alias("body")).alias("request"))).alias("value"))
+    return _digested(t.sessions(t.message_json(live.union(dumps))))
+
+
+@query("""WITH c AS (SELECT *, CASE WHEN role = 'assistant' AND conv_id % 4 = 1 THEN 'error' END AS stop FROM conversations WHERE role IN ('user', 'assistant')),
+a AS (SELECT conv_id, coalesce(bool_or(role = 'user' AND trim(text) <> ''), false) AND NOT (coalesce(bool_or(role = 'assistant' AND trim(text) <> ''), false) AND coalesce(bool_or(role = 'assistant' AND stop IS NULL), false)) AS aborted FROM c GROUP BY 1)
+SELECT 'conv_' || c.conv_id || '_z' AS session, any_value(aborted) AS aborted, count(*) AS n_turns, md5(string_agg('[' || role || '] ' || text, chr(10) || chr(10) ORDER BY turn)) AS digest FROM c JOIN a USING (conv_id) WHERE trim(text) <> '' GROUP BY c.conv_id""")
+def s10_sessions(v: Views) -> DataFrame:
+    """Sessions of messages, of which every fourth has errors for answers; texts are lists of blocks in some."""
+    stop = F.when((F.col("role") == "assistant") & (F.col("conv_id") % 4 == 1), "error")
+    blocks = F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))))
+    content = F.when(F.col("conv_id") % 2 == 0, blocks).otherwise(F.col("text"))
+    rows = _json_lines(v, type=F.lit("message"), message=F.struct(F.col("role"), content.alias("content"), stop.alias("stopReason")))
+    heads = v.conversations.select("conv_id").distinct().select(F.concat(F.lit("/x/"), F.col("conv_id").cast("string")).alias("file"), F.lit(-1).cast("long").alias("pos"), F.to_json(F.struct(F.lit("session").alias("type"), _name().alias("id"))).alias("line"))
+    found = t.custom_sessions(rows.union(heads))
+    return found.select("session", "aborted", "n_turns", F.md5("body").alias("digest"))
+
+
 @query("SELECT 'conv_' || conv_id || '_z' AS session, count(*) AS n_turns, md5(string_agg(role || ': ' || text, chr(10) || chr(10) ORDER BY turn)) AS digest FROM conversations WHERE trim(text) <> '' AND conv_id % 5 <> 0 GROUP BY 1")
 def s12_relational(v: Views) -> DataFrame:
     heads = v.conversations.select(_name().alias("id"), (F.col("conv_id") % 5 == 0).alias("archived")).distinct()
@@ -342,6 +367,36 @@ def s13_keyed_rows(v: Views) -> DataFrame:
     return _digested(t.sessions(t.keyed_rows(rows), t.plain))
 
 
+@query("""WITH c AS (SELECT *, conv_id % 2 = 0 AS tab FROM conversations)
+SELECT CASE WHEN tab THEN 'crc_' ELSE 'crw_' END || conv_id AS session, count(*) AS n_turns, md5(string_agg(CASE WHEN tab AND role <> 'user' THEN 'assistant' ELSE role END || ': ' || trim(text), chr(10) || chr(10) ORDER BY turn)) AS digest
+FROM c WHERE trim(text) <> '' AND (tab OR role IN ('user', 'assistant')) GROUP BY conv_id, tab""")
+def s13_workspace_rows(v: Views) -> DataFrame:
+    """Three workspaces, each with one value for its composers and one for its chat tabs; composers' turns go by type or by role."""
+    k = F.col("conv_id")
+    kind = F.when(F.col("role") == "user", "1").when(F.col("role") == "assistant", "2")
+    tab = k % 2 == 0
+    turn = F.struct("turn", F.when(tab, F.col("role")).when(F.col("turn") % 2 == 0, kind).alias("type"), F.when(~tab & (F.col("turn") % 2 == 1), F.col("role")).alias("role"), F.when(~tab | (F.col("turn") % 3 > 0), F.col("text")).alias("text"), F.when(tab & (F.col("turn") % 3 == 0), F.col("text")).alias("rawText"))
+    each = v.conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("c")).withColumn("space", k % 3)
+    composers = each.filter(~tab).groupBy("space").agg(F.to_json(F.struct(F.collect_list(F.struct(k.cast("string").alias("composerId"), F.lit(5).alias("createdAt"), F.col("c").alias("conversation"))).alias("allComposers"))).alias("value"))
+    tabs = each.filter(tab).groupBy("space").agg(F.to_json(F.struct(F.collect_list(F.struct(k.cast("string").alias("tabId"), F.lit(5).alias("lastSendTime"), F.col("c").alias("bubbles"))).alias("tabs"))).alias("value"))
+    rows = composers.select(F.lit(t.COMPOSERS).alias("key"), "value").union(tabs.select(F.lit(t.CHATS), "value"))
+    return _digested(t.sessions(t.workspace_rows(rows), t.plain))
+
+
+@query("""WITH r AS (SELECT 'block_jsonl' AS reader, 'conv_' || conv_id || '_z' AS session, turn FROM conversations WHERE trim(text) <> '' UNION ALL SELECT 'generic_jsonl', 'conv_' || conv_id || '_z', turn FROM conversations WHERE text IS NOT NULL
+UNION ALL SELECT 'keyed_rows', CAST(conv_id AS VARCHAR), turn FROM conversations WHERE role IN ('user', 'assistant')) SELECT reader, session, count(*) AS n, min(turn) AS first, max(turn) AS last FROM r GROUP BY 1, 2""")
+def s16_by_reader(v: Views) -> DataFrame:
+    """The turns that readers make of the same conversations."""
+    block = F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))))
+    blocks = _json_lines(v, type=F.col("role"), sessionId=_name(), message=F.struct(F.col("role"), block.alias("content")))
+    kind = F.when(F.col("role") == "user", 1).when(F.col("role") == "assistant", 2).otherwise(3)
+    keyed = v.conversations.select(F.concat_ws(":", F.lit("bubble"), "conv_id", "turn").alias("key"), F.to_json(F.struct(kind.alias("type"), F.col("text").alias("text"))).alias("value"))
+    generic = lambda rows: t.READERS["generic_jsonl"](rows, {"content": "c", "role": "r", "session_id": "s"})
+    made = {"block_jsonl": t.READERS["block_jsonl"](blocks).filter("text <> ''"), "generic_jsonl": generic(_json_lines(v, c=F.col("text"), r=F.col("role"), s=_name())), "keyed_rows": t.READERS["keyed_rows"](keyed)}
+    counts = [turns.groupBy("session").agg(F.count(F.lit(1)).alias("n"), F.min("pos").cast("long").alias("first"), F.max("pos").cast("long").alias("last")).select(F.lit(name).alias("reader"), "*") for name, turns in made.items()]
+    return counts[0].union(counts[1]).union(counts[2])
+
+
 #: A user's turn is one line, so its line breaks are made spaces; other turns keep all lines.
 LOG = r"""l AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN '#### ' || regexp_replace(text, '\s+', ' ', 'g') ELSE text END AS t FROM conversations),
 b AS (SELECT conv_id, turn // 4 AS part, string_agg(t, chr(10) ORDER BY turn) AS b FROM l GROUP BY 1, 2), c AS (SELECT conv_id, part, string_split(chr(10) || b, chr(10) || '#### ')[2:] AS c FROM b),

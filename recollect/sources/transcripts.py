@@ -150,14 +150,34 @@ def custom_jsonl(rows: DataFrame, signal_type: str = "signal") -> tuple[DataFram
     return turns, signals
 
 
+def custom_sessions(rows: DataFrame) -> DataFrame:
+    """(session, aborted, n_turns, label, body) of custom lines (file, pos, line): user's and assistant's messages with text, whose content is a text
+    or a list of blocks. A session with a user's turn is aborted if no assistant's turn has text, or every assistant's message ended in an error."""
+    at = lambda p: F.get_json_object("line", f"$.{p}")
+    j = rows.select("file", "pos", at("type").alias("type"), at("id").alias("id"), at("message.role").alias("role"), at("message.content").alias("content"), at("message.stopReason").alias("stop"), F.coalesce(F.try_to_timestamp(at("message.timestamp")), F.try_to_timestamp(at("timestamp"))).alias("ts"))
+    stem = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.jsonl$", "")
+    head = j.groupBy("file").agg(F.max_by("id", F.when((F.col("type") == "session") & F.col("id").isNotNull(), F.col("pos"))).alias("session")).select("file", F.coalesce("session", stem).alias("session"))
+    said = j.filter((F.col("type") == "message") & F.col("role").isin("user", "assistant"))
+    blocks = F.transform(F.from_json("content", "array<struct<type:string,text:string>>"), lambda b: F.when(b["type"] == "text", b["text"]))
+    text = F.when(F.col("content").startswith("["), F.array_join(F.filter(blocks, lambda x: x != ""), "\n")).otherwise(F.col("content"))
+    said = said.withColumn("text", text).join(head, "file")
+    worked = F.bool_or((F.col("role") == "assistant") & (F.coalesce("stop", F.lit("")) != "error"))
+    spoke = lambda who: F.bool_or((F.col("role") == who) & (F.trim("text") != ""))
+    ends = said.groupBy("session").agg((F.coalesce(spoke("user"), F.lit(False)) & ~(F.coalesce(spoke("assistant"), F.lit(False)) & F.coalesce(worked, F.lit(False)))).alias("aborted"))
+    return sessions(said.select("session", "pos", "role", "text", "ts")).join(ends, "session").select("session", "aborted", "n_turns", "label", "body")
+
+
 def message_json(docs: DataFrame) -> DataFrame:
-    """Whole JSON documents (file, value) of two shapes: live `messages`, or a dumped request; of a session the live one counts."""
+    """Whole JSON documents (file, value) of two shapes: live `messages` beside no request, or a dumped request. A document without a session's id is
+    the session that its file is named after; of a session the live document counts, of several the first by file."""
     message = "array<struct<role:string,content:string,timestamp:string>>"
     j = docs.select("file", F.from_json("value", f"session_id string, messages {message}, request struct<body:struct<messages:{message}>>").alias("j"))
-    j = j.filter("j.session_id is not null").withColumn("live", F.col("j.messages").isNotNull())
-    one = Window.partitionBy("j.session_id").orderBy(F.desc("live"), "file")
+    name = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.json$", "")
+    j = j.withColumns({"session": F.coalesce(F.nullif("j.session_id", F.lit("")), name), "live": F.col("j.messages").isNotNull() & F.col("j.request").isNull()})
+    j = j.withColumn("m", F.when(F.col("live"), F.col("j.messages")).otherwise(F.col("j.request.body.messages"))).filter(F.size("m") > 0)
+    one = Window.partitionBy("session").orderBy(F.desc("live"), "file")
     j = j.withColumn("r", F.row_number().over(one)).filter("r = 1")
-    t = j.select(F.col("j.session_id").alias("session"), F.posexplode(F.coalesce("j.messages", "j.request.body.messages")).alias("pos", "m"))
+    t = j.select("session", F.posexplode("m").alias("pos", "m"))
     seconds = F.timestamp_seconds(F.expr("try_cast(m.timestamp AS DOUBLE)"))
     return t.filter("m.role <> 'system'").select("session", "pos", F.col("m.role").alias("role"), F.col("m.content").alias("text"), F.coalesce(seconds, F.try_to_timestamp("m.timestamp")).alias("ts"))
 
@@ -181,6 +201,28 @@ def keyed_rows(rows: DataFrame) -> DataFrame:
     return inline.unionByName(single).select("session", "pos", role.alias("role"), F.col("b.text").alias("text"), F.timestamp_millis("b.at").alias("ts")).filter("role is not null")
 
 
+#: Keys of an editor's workspace table, and what is listed in their values.
+COMPOSERS, CHATS = "composer.composerData", "workbench.panel.aichat.view.aichat.chatdata"
+
+
+def workspace_rows(rows: DataFrame) -> DataFrame:
+    """Turns of a workspace's table (key, value): `crw_<id>` of composers that hold their conversation, `crc_<id>` of chat tabs.
+
+    In a composer a turn is the user's by type 1 or role `user`, the assistant's by type 2 or role `assistant`, and others are none; in a tab it
+    is the user's by type `user`, else the assistant's, and its raw text counts before its text. A turn has the time that its conversation was made at.
+    """
+    turn = "array<struct<type:string,role:string,text:string,rawText:string>>"
+    when = lambda *c: F.timestamp_millis(F.coalesce(*c))
+    c = rows.filter(F.col("key") == COMPOSERS).select(F.explode(F.from_json("value", f"allComposers array<struct<composerId:string,createdAt:long,lastUpdatedAt:long,conversation:{turn}>>")["allComposers"]).alias("c"))
+    c = c.select(F.concat(F.lit("crw_"), "c.composerId").alias("session"), F.posexplode("c.conversation").alias("pos", "b"), when("c.createdAt", "c.lastUpdatedAt").alias("ts"))
+    user, other = (F.col("b.type") == "1") | (F.col("b.role") == "user"), (F.col("b.type") == "2") | (F.col("b.role") == "assistant")
+    c = c.select("session", "pos", F.when(user, "user").when(other, "assistant").alias("role"), F.trim("b.text").alias("text"), "ts").filter("role is not null")
+    t = rows.filter(F.col("key") == CHATS).select(F.explode(F.from_json("value", f"tabs array<struct<tabId:string,lastSendTime:long,bubbles:{turn}>>")["tabs"]).alias("c"))
+    t = t.select(F.concat(F.lit("crc_"), "c.tabId").alias("session"), F.posexplode("c.bubbles").alias("pos", "b"), when("c.lastSendTime").alias("ts"))
+    t = t.select("session", "pos", F.when(F.col("b.type") == "user", "user").otherwise("assistant").alias("role"), F.trim(F.coalesce("b.rawText", "b.text")).alias("text"), "ts")
+    return c.union(t).filter("session is not null and text <> ''")
+
+
 def markdown_log(rows: DataFrame) -> DataFrame:
     """Lines of a chat log, blank ones included: a heading starts a session, `#### ` is a user's turn of one line, and what
     follows up to the next is the assistant's, where lines with `> ` are tool actions. What comes before a user is dropped.
@@ -223,7 +265,7 @@ def pushed(rows: DataFrame) -> DataFrame:
 #: Readers by the kind of a source; a webhook pushes and has none.
 READERS: dict[str, Callable | None] = {
     "block_jsonl": block_jsonl, "event_jsonl": event_jsonl, "custom_jsonl": custom_jsonl, "message_json": message_json, "relational": relational,
-    "keyed_rows": keyed_rows, "markdown_log": markdown_log, "generic_jsonl": generic_jsonl, "webhook": None,
+    "keyed_rows": keyed_rows, "workspace_rows": workspace_rows, "markdown_log": markdown_log, "generic_jsonl": generic_jsonl, "webhook": None,
 }
 
 
