@@ -136,3 +136,40 @@ def recall_coverage(log: DataFrame, *tables: DataFrame, window: int = 200) -> Da
         scope, found = F.when(F.col(f"_t{i}"), F.col(f"_s{i}")).otherwise(scope), found | F.coalesce(f"_t{i}", F.lit(False))
     n = rows.select("surface", found.alias("f"), (found & scope.isNotNull()).alias("s")).groupBy("surface").agg(F.count(F.lit(1)).alias("returned"), F.count_if("f").alias("found"), F.count_if("s").alias("scoped"))
     return n.withColumn("fraction", F.when(F.col("found") == 0, F.lit(0.0)).otherwise(rounded(F.col("scoped") / F.col("found"))))
+
+
+def catalogue(entities: DataFrame, laid: DataFrame) -> DataFrame:
+    """(entity, n, type, display, status, coherence_computed, coherence) of entities (entity, n, age, type, display, status) under an overlay.
+
+    A merged entity's own count is added to that of its target, where there is one; its row stays, as `retired`. Retired goes before snoozed, which goes
+    before the status that was. Coherence is computed from the folded count, and an override stands beside it.
+    """
+    one = lambda kind, name: laid.filter((F.col("kind") == kind) & (F.col("subject_type") == "entity")).select(F.col("subject_id").alias("entity"), F.col("value").alias(name))
+    rows = entities
+    for kind, name in (("merge_entity", "_into"), ("retire_entity", "_retired"), ("snooze", "_snoozed"), ("label_entity", "_type"), ("rename_entity", "_display"), ("set_coherence", "_state")):
+        rows = rows.join(one(kind, name), "entity", "left")
+    more = entities.join(one("merge_entity", "_to"), "entity").groupBy(F.col("_to").alias("entity")).agg(F.sum("n").alias("_more"))
+    rows = rows.join(more, "entity", "left").withColumn("n", F.col("n") + F.coalesce("_more", F.lit(0)))
+    status = F.when(F.col("_retired").isNotNull() | F.col("_into").isNotNull(), "retired").when(F.col("_snoozed").isNotNull(), "snoozed").otherwise(F.col("status"))
+    state = coherence(F.col("n"), F.col("age"))
+    return rows.select("entity", "n", F.coalesce("_type", "type").alias("type"), F.coalesce("_display", "display").alias("display"), status.alias("status"), state.alias("coherence_computed"), F.coalesce("_state", state).alias("coherence"))
+
+
+def metrics(sessions: DataFrame, entities: DataFrame, now: str) -> DataFrame:
+    """One row: sessions of this week and of the last one, entities with sessions by effective coherence (healthy, sparse, stale), and decisions of
+    sessions that are neither superseded nor replaced. Sessions have (started_at, status, decisions), a number; entities are a `catalogue`."""
+    age = (micros(F.lit(now)) - micros(F.col("started_at"))) / F.lit(86_400_000_000)
+    live = ~F.coalesce(F.col("status").isin("superseded", "replaced"), F.lit(False))
+    a = sessions.agg(F.count_if((age >= 0) & (age < 7)).alias("this_week"), F.count_if((age >= 7) & (age < 14)).alias("last_week"), F.coalesce(F.sum(F.when(live, F.col("decisions"))), F.lit(0)).alias("closed_decisions"))
+    known, state = F.col("n") > 0, F.coalesce("coherence", F.lit("sparse"))
+    b = entities.agg(F.count_if(known & (state == "active")).alias("healthy"), F.count_if(known & ~state.isin("active", "stale")).alias("sparse"), F.count_if(known & (state == "stale")).alias("stale"))
+    return a.crossJoin(b)  # one row each
+
+
+def facets(entities: DataFrame, alerts: DataFrame) -> DataFrame:
+    """(facet, value, n): alerts by `severity`, with `all`; and for each coherence its entities by number of sessions, and those with an override."""
+    severity = alerts.select(F.explode(F.array(F.lit("all"), "severity")).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n")).select(F.lit("severity").alias("facet"), "value", "n")
+    size = F.when(F.col("n") == 1, "1").when(F.col("n") <= 5, "2-5").otherwise("6+")
+    other = F.when(F.col("coherence") != F.col("coherence_computed"), "overridden")
+    each = entities.filter("n > 0").select(F.col("coherence").alias("facet"), F.explode(F.array_compact(F.array(F.lit("any"), size, other))).alias("value"))
+    return severity.union(each.groupBy("facet", "value").agg(F.count(F.lit(1)).alias("n")).select("facet", "value", "n"))

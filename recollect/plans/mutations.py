@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.score import micros
 from ..operators import mutations as m
 from ..operators.tables import shared_dir
-from .registry import NOW, Views, query
+from .registry import NOW, NOW_SESSIONS, Views, query
 
 
 def _batch(v: Views) -> DataFrame:
@@ -94,6 +94,52 @@ def m2_projection(v: Views) -> DataFrame:
     return m.projected(entities, m.overlay(_actions(v), NOW))
 
 
+ENTITIES = LAID + """, e AS (SELECT 'e' || CAST(user_id % 40 AS VARCHAR) AS entity, count(*) FILTER (event_type = 'signup') AS n, floor((epoch_us($now) - epoch_us(max(ts) - to_days((user_id % 40)::INT))) / 86400000000)::BIGINT AS age, 'kind' || CAST(user_id % 3 AS VARCHAR) AS type FROM events WHERE event_id % 50 = user_id % 40 GROUP BY user_id % 40, user_id % 3),
+u AS (SELECT entity, sum(n)::BIGINT AS n, min(age) AS age, min(type) AS type FROM e GROUP BY 1), oe AS (SELECT * FROM o WHERE subject_type = 'entity'),
+f AS (SELECT v.value AS entity, sum(n) AS more FROM u JOIN oe v ON v.subject_id = u.entity AND v.kind = 'merge_entity' GROUP BY 1), g AS (SELECT u.entity, (n + coalesce(more, 0))::BIGINT AS n, age, type FROM u LEFT JOIN f USING (entity)),
+h AS (SELECT *, CASE WHEN n = 0 THEN 'sparse' WHEN age > 30 THEN 'stale' WHEN n >= 3 THEN 'active' ELSE 'sparse' END AS coherence_computed FROM g), val AS (SELECT subject_id AS entity, max(value) FILTER (kind = 'label_entity') AS t, max(value) FILTER (kind = 'rename_entity') AS d, max(value) FILTER (kind = 'set_coherence') AS c,
+  count(*) FILTER (kind IN ('merge_entity', 'retire_entity')) > 0 AS gone, count(*) FILTER (kind = 'snooze') > 0 AS later FROM oe GROUP BY 1),
+cat AS (SELECT h.entity, n, coalesce(t, type) AS type, coalesce(d, h.entity) AS display, CASE WHEN gone THEN 'retired' WHEN later THEN 'snoozed' ELSE 'active' END AS status, coherence_computed, coalesce(c, coherence_computed) AS coherence FROM h LEFT JOIN val USING (entity))"""
+
+
+def _catalogue(v: Views) -> DataFrame:
+    """Entities that some events name, with few sessions each, and older the larger their number is."""
+    from ..operators.dataset import catalogue
+
+    k = F.col("user_id") % 40
+    age = F.floor((micros(F.lit(NOW)) - micros(F.max("ts") - F.make_dt_interval(F.first(k).cast("int")))) / F.lit(86_400_000_000))
+    rows = v.events.filter(F.col("event_id") % 50 == k).groupBy(k.alias("k"), (F.col("user_id") % 3).alias("m")).agg(F.count_if(F.col("event_type") == "signup").alias("n"), age.alias("age"))
+    rows = rows.groupBy(F.concat(F.lit("e"), F.col("k").cast("string")).alias("entity")).agg(F.sum("n").alias("n"), F.min("age").alias("age"), F.concat(F.lit("kind"), F.min("m").cast("string")).alias("type"))
+    return catalogue(rows.withColumns({"display": F.col("entity"), "status": F.lit("active")}), m.overlay(_actions(v), NOW))
+
+
+@query(ENTITIES + " SELECT * FROM cat")
+def m2_catalogue(v: Views) -> DataFrame:
+    return _catalogue(v)
+
+
+@query(ENTITIES + """, xs AS (SELECT s.*, (SELECT count(*) FROM facts f WHERE f.session_id = s.id AND f.kind = 'decision') AS decisions, date_diff('second', started_at, $then) / 86400 AS age FROM sessions s)
+SELECT count(*) FILTER (age >= 0 AND age < 7) AS this_week, count(*) FILTER (age >= 7 AND age < 14) AS last_week, coalesce(sum(decisions) FILTER (coalesce(status NOT IN ('superseded', 'replaced'), true)), 0)::BIGINT AS closed_decisions,
+(SELECT count(*) FROM cat WHERE n > 0 AND coherence = 'active') AS healthy, (SELECT count(*) FROM cat WHERE n > 0 AND coherence NOT IN ('active', 'stale')) AS sparse, (SELECT count(*) FROM cat WHERE n > 0 AND coherence = 'stale') AS stale FROM xs""")
+def a10_metrics(v: Views) -> DataFrame:
+    from ..operators.dataset import metrics
+
+    decided = v.facts.filter("kind = 'decision'").groupBy(F.col("session_id").alias("id")).agg(F.count(F.lit(1)).alias("decisions"))
+    return metrics(v.sessions.join(decided, "id", "left"), _catalogue(v), NOW_SESSIONS)
+
+
+@query(ENTITIES + """, al AS (SELECT CASE WHEN age > 60 THEN 'high' WHEN age > 45 THEN 'medium' ELSE 'low' END AS severity FROM h WHERE age > 30)
+SELECT 'severity' AS facet, value, count(*) AS n FROM (SELECT unnest(['all', severity]) AS value FROM al) GROUP BY 2
+UNION ALL SELECT coherence, value, count(*) FROM (SELECT coherence, unnest(list_filter(['any', CASE WHEN n = 1 THEN '1' WHEN n <= 5 THEN '2-5' ELSE '6+' END, CASE WHEN coherence <> coherence_computed THEN 'overridden' END], lambda y: y IS NOT NULL)) AS value FROM cat WHERE n > 0) GROUP BY 1, 2""")
+def a21_facets(v: Views) -> DataFrame:
+    from ..operators.dataset import facets, stale_alerts
+
+    k = F.col("user_id") % 40
+    age = F.floor((micros(F.lit(NOW)) - micros(F.max("ts") - F.make_dt_interval(F.first(k).cast("int")))) / F.lit(86_400_000_000))
+    aged = v.events.filter(F.col("event_id") % 50 == k).groupBy(k.alias("k"), F.col("user_id") % 3).agg(age.alias("age")).groupBy(F.concat(F.lit("e"), F.col("k").cast("string")).alias("entity")).agg(F.min("age").alias("age"))
+    return facets(_catalogue(v), stale_alerts(aged, aged.select("entity").limit(0)))
+
+
 @query("""WITH n AS (SELECT id, session_id, subject, predicate, row_number() OVER (ORDER BY created_at, id) AS pos FROM facts WHERE session_id LIKE 's%3'), w AS (SELECT subject, predicate, arg_max(id, pos) AS winner FROM n GROUP BY 1, 2),
 a AS (SELECT id, subject, predicate, superseded_by FROM versions WHERE session_id NOT IN (SELECT session_id FROM n) UNION ALL SELECT id, subject, predicate, NULL FROM n)
 SELECT id, coalesce(superseded_by, CASE WHEN winner <> id THEN winner END) AS superseded_by FROM a LEFT JOIN w USING (subject, predicate)""")

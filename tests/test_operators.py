@@ -695,6 +695,39 @@ def test_alerts_name_the_first_of_two_questions(spark):
     assert rows[1].summary == 'Last touch 46 days ago · 1 unresolved open question: "why"'
 
 
+def test_catalogue_under_an_overlay(spark):
+    """Counts fold into targets that are there, overrides stand beside what is computed, and facets and metrics go by what shows."""
+    ents = spark.createDataFrame([("a", 2, 5, "t", "a", None), ("b", 1, 40, "t", "b", "active"), ("c", 0, None, None, "c", "active"), ("d", 4, 1, "t", "d", "active")], "entity string, n long, age long, type string, display string, status string")
+    laid = spark.createDataFrame([("merge_entity", "entity", "b", "a"), ("merge_entity", "entity", "d", "nowhere"), ("label_entity", "entity", "a", "u"), ("rename_entity", "entity", "a", "A"), ("set_coherence", "entity", "a", "stale"), ("snooze", "entity", "c", "later"), ("snooze", "alert", "a", "later")], "kind string, subject_type string, subject_id string, value string")
+    cat = dataset.catalogue(ents, laid)
+    got = {r["entity"]: (r["n"], r["type"], r["display"], r["status"], r["coherence_computed"], r["coherence"]) for r in cat.collect()}
+    assert got == {"a": (3, "u", "A", None, "active", "stale"), "b": (1, "t", "b", "retired", "stale", "stale"), "c": (0, None, "c", "snoozed", "sparse", "sparse"), "d": (4, "t", "d", "retired", "active", "active")}
+    alerts = spark.createDataFrame([("x", "high"), ("y", "high"), ("z", "low")], "entity string, severity string")
+    assert values(dataset.facets(cat, alerts), "facet", "value", "n") == [("active", "2-5", 1), ("active", "any", 1), ("severity", "all", 3), ("severity", "high", 2), ("severity", "low", 1), ("stale", "1", 1), ("stale", "2-5", 1), ("stale", "any", 2), ("stale", "overridden", 1)]
+    rows = spark.createDataFrame([("2024-01-31 00:00:00", None, 2), ("2024-01-24 00:00:00", "closed", 3), ("2024-01-25 12:00:00", "superseded", 5), ("2024-01-17 00:00:00", "replaced", None), ("2024-02-01 00:00:00", "active", 1), (None, "active", 1)], "at string, status string, decisions int").withColumn("started_at", F.to_timestamp("at"))
+    one_ = dataset.metrics(rows, cat, "2024-01-31 00:00:00").first()
+    assert (one_["this_week"], one_["last_week"], one_["closed_decisions"], one_["healthy"], one_["sparse"], one_["stale"]) == (2, 1, 7, 1, 0, 2)
+
+
+def test_recall_coverage_takes_the_first_table(spark):
+    log = spark.createDataFrame([(1, 1, "old", ["a"]), (2, 2, "x", ["a", "b", None]), (3, 3, "x", ["a", "zz"]), (3, 4, "y", [])], "ts int, entry int, source string, ids array<string>")
+    one_ = spark.createDataFrame([("a", None), ("a", None)], "id string, scope string")
+    two = spark.createDataFrame([("a", "s"), ("b", "s")], "id string, scope string")
+    assert values(dataset.recall_coverage(log, one_, two, window=3), "surface", "returned", "found", "scoped", "fraction") == [("*", 3, 2, 1, 0.5), ("x", 3, 2, 1, 0.5)]
+
+
+def test_aborted_sessions(spark):
+    line = lambda role, text, stop=None, **x: json.dumps({"type": "message", "message": {"role": role, "content": text, "stopReason": stop}} | x)
+    files = {
+        "fine": [json.dumps({"type": "session", "id": "s"}), line("user", "hi"), line("assistant", [{"type": "text", "text": "a"}, {"type": "tool", "text": "x"}, {"type": "text", "text": "b"}]), line("assistant", "", "error")],
+        "empty": [line("user", "hi"), line("assistant", " ")], "errors": [line("user", "hi"), line("assistant", "sorry", "error")],
+        "alone": [line("assistant", "hello")], "odd": ["{", json.dumps({"type": "custom_message"}), line("system", "x"), line("user", "only")],
+    }
+    df = spark.createDataFrame([(f"/p/{f}.jsonl", i, x) for f, xs in files.items() for i, x in enumerate(xs)], "file string, pos long, line string")
+    got = {r["session"]: (r["aborted"], r["n_turns"], r["body"]) for r in transcripts.custom_sessions(df).collect()}
+    assert got == {"s": (False, 2, "[user] hi\n\n[assistant] a\nb"), "empty": (True, 1, "[user] hi"), "errors": (True, 2, "[user] hi\n\n[assistant] sorry"), "alone": (False, 1, "[assistant] hello"), "odd": (True, 1, "[user] only")}
+
+
 def test_relative_floors_take_the_upper_median(spark):
     hits = spark.createDataFrame([("f", "c", "a", 4.0), ("f", "c", "b", 2.0), ("f", "c", "b", 2.0), ("f", "c", "d", 4.0), ("z", "c", "a", 0.0), ("n", "other", "a", 9.0)], "fire string, conversation_id string, id string, score double")
     gold = spark.createDataFrame([("c", "a"), ("c", "a")], "conversation_id string, id string")
