@@ -45,12 +45,19 @@ def merged(intervals: DataFrame, key: str | None = None) -> DataFrame:
 
 
 def attributed(span_rows: DataFrame, events: DataFrame, key: str, topic: str, ts: str = "ts") -> DataFrame:
-    """Each span with the topic of most of its events; ties go to the first by name. A join by key and range."""
-    e = events.select(key, topic, micros(F.col(ts)).alias("us"))
-    inside = span_rows.join(e, key).filter("us between start_us and end_us")
-    n = inside.groupBy(key, "span", "start_us", "end_us", topic).agg(F.count(F.lit(1)).alias("hits"))
-    w = Window.partitionBy(key, "span").orderBy(F.desc("hits"), topic)
-    return n.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
+    """Each span with the topic of most of its events; ties go to the first by name. A key's spans don't overlap.
+
+    Spans and events are sorted together by key and time: an event is in the last span that has begun, if that hasn't ended. One pass for each key,
+    however many spans it has.
+    """
+    span = F.struct("span", "start_us", "end_us")
+    begun = span_rows.select(key, F.col("start_us").alias("us"), F.lit(0).alias("kind"), span.alias("of"), F.lit(None).cast(events.schema[topic].dataType).alias(topic))
+    e = events.select(key, micros(F.col(ts)).alias("us"), F.lit(1).alias("kind"), F.lit(None).cast(begun.schema["of"].dataType).alias("of"), topic)
+    w = Window.partitionBy(key).orderBy("us", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    inside = begun.union(e).withColumn("of", F.last("of", ignorenulls=True).over(w)).filter("kind = 1 and us <= of.end_us")
+    n = inside.groupBy(key, "of.span", "of.start_us", "of.end_us", topic).agg(F.count(F.lit(1)).alias("hits"))
+    first = Window.partitionBy(key, "span").orderBy(F.desc("hits"), topic)
+    return n.withColumn("r", F.row_number().over(first)).filter("r = 1").drop("r")
 
 
 def runs(segments: DataFrame, key: str, topic: str) -> DataFrame:
