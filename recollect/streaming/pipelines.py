@@ -17,12 +17,12 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.score import micros
-from ..operators import graph
+from ..operators import tables
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder in the shared one."""
-    return f"{graph.shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{tables.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def opened(spark: SparkSession, path: str, per_trigger: int | None = None) -> DataFrame:
