@@ -6,9 +6,11 @@ vectors. Each vector goes to its nearest list, and if it lies at a boundary, to
 most `closure` times as far. Centroids are searched by a graph of their neighbours, in memory, walked from fixed entry
 nodes as far as distances stay within the ratio that is asked for.
 
-Search: a query walks the graph and takes the lists whose centroid is within a ratio of its nearest one's distance. The
-ratio is the least of a ladder at which sampled queries find `recall` of their sampled neighbours by that walk; it ends
-with all lists. Lists are packed into shards of bounded size (a longer list is cut by a hash of its vectors). A query goes
+Search: a query walks the graph and takes the nearest lists that hold k others for certain, and those whose centroid is
+within a ratio of the last one's distance. The ratio is the least of a ladder at which the table's own queries (`measured`
+of them, all if there are fewer) find `recall` of their true neighbours by that walk, and all but a fiftieth of them
+`least`; it ends with all lists. True neighbours are sought among all vectors by brute force, as queries may lie elsewhere
+than vectors do, and a sample may lack the nearest. Lists are packed into shards of bounded size (a longer list is cut by a hash of its vectors). A query goes
 to the shards of its lists only, and a shard's vectors once for each block of queries that ask it; each task returns a
 query's best of a shard.
 
@@ -43,6 +45,8 @@ class PostingParams:
     replicas: int = 4
     closure: float = 1.08
     recall: float = 0.95
+    least: float = 0.8
+    measured: int = 512
     degree: int = 24
     entries: int = 8
     shard: int = 40_000
@@ -67,14 +71,14 @@ class Centroids:
             self.edges = np.concatenate([own, random.integers(0, n, (n, 4)), np.roll(np.arange(n), -1)[:, None]], 1)
         self.entry = random.permutation(n)[:entries]
 
-    def near(self, x: np.ndarray, ratio: float) -> np.ndarray:
-        """Squared distances (rows x centroids), infinite where the walk didn't come or found a distance beyond the ratio."""
+    def near(self, x: np.ndarray, ratio: float, sizes: np.ndarray | None = None, need: int = 0) -> np.ndarray:
+        """Squared distances (rows x centroids), infinite where the walk didn't come or found a distance beyond the ratio
+        of the nearest one's, or of that up to which lists of these sizes hold `need` entries."""
         dist = np.full((len(x), len(self.at)), np.inf)
         dist[:, self.entry] = _squares(x, self.at[self.entry])
         done = np.zeros(dist.shape, bool)
         while True:
-            best = dist.min(1, keepdims=True)
-            row, col = np.nonzero((dist <= best * max(ratio, 1.05) ** 2 + 1e-12) & ~done)
+            row, col = np.nonzero((dist <= _limit(dist, max(ratio, 1.05), sizes, need)) & np.isfinite(dist) & ~done)
             if not len(row):
                 break
             done[row, col] = True
@@ -84,10 +88,30 @@ class Centroids:
             for s in range(0, len(row), 65536):
                 r, c = row[s : s + 65536], col[s : s + 65536]
                 dist[r, c] = ((x[r] - self.at[c]) ** 2).sum(1)
-        dist[dist > dist.min(1, keepdims=True) * ratio**2 + 1e-12] = np.inf
+        dist[dist > _limit(dist, ratio, sizes, need)] = np.inf
         return dist
 
 
+def _limit(dist: np.ndarray, ratio: float, sizes: np.ndarray | None, need: int) -> np.ndarray:
+    """The squared distance of each row up to which lists are taken; infinite where those known don't hold enough."""
+    if np.isinf(ratio):
+        return np.full((len(dist), 1), np.inf)
+    base = dist.min(1, keepdims=True)
+    if sizes is not None:
+        left, m = np.arange(len(dist)), 32
+        while len(left):  # mostly a few lists are enough
+            m = min(m, dist.shape[1])
+            some = np.argpartition(dist[left], m - 1, axis=1)[:, :m]
+            far = np.take_along_axis(dist[left], some, 1)
+            order = np.argsort(far, axis=1, kind="stable")
+            enough = np.cumsum(sizes[np.take_along_axis(some, order, 1)], axis=1) >= need
+            last = np.take_along_axis(np.take_along_axis(far, order, 1), enough.argmax(1)[:, None], 1)[:, 0]
+            base[left, 0] = np.where(enough.any(1), last, np.inf)
+            left = left[~enough.any(1)] if m < dist.shape[1] else left[:0]
+            m *= 8
+    return base * ratio**2 + 1e-12
+
+
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(0, (a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T)
 
@@ -120,23 +144,38 @@ def _query(x: np.ndarray) -> np.ndarray:
 
 
 def fit(x: np.ndarray, most: float, n_all: int, p: PostingParams) -> tuple[Centroids, float]:
-    """Centroids and the search ratio, from sampled vectors."""
-    points = _augment(x, most)
+    """What indexing needs, from sampled vectors: the centroids, and the square of the largest norm as it came."""
     k = int(max(1, min(max(p.min_lists, p.spread * np.sqrt(n_all)), len(x) // 8)))
-    centroids = Centroids(balanced_means(points, k, p.seed), p.degree, p.entries, p.seed)
-    asked = np.random.default_rng(p.seed).permutation(len(x))[:200]
-    found = np.concatenate([assign(centroids, points[s : s + 1024], p) for s in range(0, len(points), 1024)])
-    lists = np.zeros((len(points), len(centroids.at)), bool)
-    lists[np.repeat(np.arange(len(points)), p.replicas)[found.ravel() >= 0], found.ravel()[found.ravel() >= 0]] = True
-    score = x[asked] @ x.T
-    score[np.arange(len(asked)), asked] = -np.inf
-    top = np.argsort(-score, axis=1)[:, : min(p.k, len(x) - 1)]
-    for ratio in (*np.arange(1.0, 2.0, 0.02), *np.arange(2.0, 4.0, 0.2)):
-        probed = np.isfinite(centroids.near(_query(x[asked]), ratio))
-        hits = np.mean([(lists[t] & probe).any(1).mean() if len(t) else 1.0 for t, probe in zip(top, probed, strict=True)])
-        if hits >= p.recall:
-            return centroids, float(ratio)
-    return centroids, 1e9
+    return Centroids(balanced_means(_augment(x, most), k, p.seed), p.degree, p.entries, p.seed), most
+
+
+def probed(centroids: Centroids, x: np.ndarray, ratio: float, sizes: np.ndarray, p: PostingParams) -> np.ndarray:
+    """Which lists (queries x lists) a query asks; the nearest ones hold k + 1 vectors, though each may be in `replicas` lists."""
+    return np.isfinite(centroids.near(_query(x), ratio, sizes, p.replicas * (p.k + 1)))
+
+
+def widest(centroids: Centroids, sizes: np.ndarray, x: np.ndarray, weight: np.ndarray, true: pd.DataFrame, p: PostingParams) -> float:
+    """The least ratio at which queries x, each standing for `weight` rows, find enough of their true neighbours.
+
+    `true` has (query, share, lists): the place of a query in x, what part of its neighbours this one is, the lists that hold it.
+    """
+    query, share = true["query"].to_numpy(), true["share"].to_numpy()
+    which, of = np.repeat(np.arange(len(true)), true["lists"].str.len()), np.concatenate([np.zeros(0, np.int64), *true["lists"]]).astype(np.int64)
+    some = np.unique(query)  # a query without any candidate has nothing to find
+
+    def enough(ratio: float) -> bool:
+        asked = probed(centroids, x, ratio, sizes, p)
+        got = np.zeros(len(true), bool)
+        np.logical_or.at(got, which, asked[query[which], of])
+        found = np.bincount(query, share * got, len(x))[some]
+        return np.average(found, weights=weight[some]) >= p.recall and np.average(found >= p.least, weights=weight[some]) >= 0.98
+
+    ladder = [*np.arange(1.0, 2.0, 0.02), *np.arange(2.0, 4.0, 0.2), np.inf]
+    low, high = 0, len(ladder) - 1
+    while low < high and len(some):  # a wider ratio finds no less
+        middle = (low + high) // 2
+        low, high = (low, middle) if enough(ladder[middle]) else (middle + 1, high)
+    return float(ladder[high])
 
 
 def assign(centroids: Centroids, points: np.ndarray, p: PostingParams) -> np.ndarray:
@@ -162,6 +201,42 @@ def _best(q: np.ndarray, v: np.ndarray, reps: np.ndarray, k: int) -> list[tuple[
     return out
 
 
+def _measured(asked: DataFrame, classes: DataFrame, lists: DataFrame, p: PostingParams) -> tuple[np.ndarray, np.ndarray, pd.DataFrame]:
+    """Some queries' vectors, how many sampled rows have each, and their true neighbours among all vectors, as `widest` takes them."""
+    some = sampled(asked, "vec_id", p.measured).select("vec_id", "embedding")
+    some = classes.select("rep", "embedding").join(F.broadcast(some), "embedding").toPandas()  # at most about `measured` rows
+    weight = some.groupby("rep").size()
+    some = some.drop_duplicates("rep").sort_values("rep")
+    own, k = some["rep"].to_numpy(), p.k + 1
+    x = stack(some["embedding"])
+    shared = classes.sparkSession.sparkContext.broadcast(x)
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q = shared.value
+        score, rep, copies = np.full((len(q), k), -np.inf), np.full((len(q), k), -1), np.zeros((len(q), k), np.int64)
+        for pdf in batches:
+            for s in range(0, len(pdf), 4096):
+                part = pdf.iloc[s : s + 4096]
+                every = [(score, q @ stack(part["embedding"]).T), (rep, part["rep"].to_numpy()), (copies, part["copies"].to_numpy())]
+                every = [np.concatenate([old, np.broadcast_to(new, (len(q), len(part)))], 1) for old, new in every]
+                row, col = np.nonzero(every[0] >= -np.partition(-every[0], k - 1, axis=1)[:, k - 1 : k])
+                order = np.lexsort((every[1][row, col], -every[0][row, col], row))  # ties at the last place to the smaller rep
+                top = col[order[np.searchsorted(row, np.arange(len(q)))[:, None] + np.arange(k)]]
+                score, rep, copies = (np.take_along_axis(z, top, 1) for z in every)
+        row, col = np.nonzero(copies)
+        yield pd.DataFrame({"query": row, "rep": rep[row, col], "score": score[row, col], "copies": copies[row, col]})
+
+    found = classes.select("rep", "embedding", F.size("ids").alias("copies")).mapInPandas(best, "query long, rep long, score double, copies long")
+    found = found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rep"))).filter(F.col("r") <= k)
+    found = lists.select("rep", "list").join(F.broadcast(found), "rep").groupBy("query", "rep", "r", "copies").agg(F.collect_set("list").alias("lists"))
+    true = found.toPandas().sort_values(["query", "r"])
+    rows = true["copies"] - (true["rep"].to_numpy() == own[true["query"].to_numpy(np.int64)])
+    before = rows.groupby(true["query"]).cumsum() - rows
+    rows = rows.clip(upper=(p.k - before).clip(lower=0))
+    true["share"] = rows / rows.groupby(true["query"]).transform("sum").clip(lower=1)
+    return x, weight.to_numpy(np.float64), true[rows > 0]
+
+
 def nearest(vectors: DataFrame, is_query, p: PostingParams = PostingParams(), key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row that `is_query` (a condition on vec_id) picks."""
     spark, k = vectors.sparkSession, p.k
@@ -185,11 +260,11 @@ def nearest(vectors: DataFrame, is_query, p: PostingParams = PostingParams(), ke
     if not stats["q"]:
         return spark.createDataFrame([], schema)
     sample = np.array(sampled(classes.select("rep", "embedding"), "rep", p.sample).orderBy("rep").toPandas()["embedding"].tolist(), np.float64)
-    centroids, ratio = fit(sample, stats["most"], stats["n"], p)
-    shared = spark.sparkContext.broadcast((centroids, ratio, stats["most"]))  # at most sample / 8 centroids
+    centroids, most = fit(sample, stats["most"], stats["n"], p)
+    shared = spark.sparkContext.broadcast((centroids, most))  # at most sample / 8 centroids
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        graph, _, most = shared.value
+        graph, most = shared.value
         for pdf in batches:
             for s in range(0, len(pdf), 1024):
                 part = pdf.iloc[s : s + 1024]
@@ -199,8 +274,9 @@ def nearest(vectors: DataFrame, is_query, p: PostingParams = PostingParams(), ke
 
     lists = written(classes.select("rep", "embedding").mapInPandas(index, f"list int, rep long, embedding array<{kind}>"), "lists")
     # Lists are packed into shards: at most sample / 8 sizes come to the driver.
-    place, used, shard = {}, 0, 0
+    place, used, shard, sizes = {}, 0, 0, np.zeros(len(centroids.at), np.int64)
     for r in lists.groupBy("list").count().orderBy("list").collect():
+        sizes[r["list"]] = r["count"]
         parts = -(-r["count"] // p.shard)
         for part in range(parts):
             size = -(-r["count"] // parts)
@@ -209,21 +285,22 @@ def nearest(vectors: DataFrame, is_query, p: PostingParams = PostingParams(), ke
             used += size
             place.setdefault(r["list"], []).append(shard)
     where = spark.sparkContext.broadcast({c: np.array(s) for c, s in place.items()})
+    ratio = widest(centroids, sizes, *_measured(asked, classes, lists, p), p)
+    within = spark.sparkContext.broadcast((sizes, ratio))
 
     def to_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pdf.assign(shard=np.array([where.value[c][r * 2654435761 % (1 << 32) % len(where.value[c])] for c, r in zip(pdf["list"], pdf["rep"], strict=True)], np.int32))
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        graph, within, _ = shared.value
+        (graph, _), (sizes, ratio) = shared.value, within.value
         for pdf in batches:
             for s in range(0, len(pdf), 1024):
                 part = pdf.iloc[s : s + 1024]
-                dist = graph.near(_query(stack(part["embedding"])), within)
                 out = []
-                for rep, vec, d in zip(part["rep"], part["embedding"], dist, strict=True):
+                for rep, vec, take in zip(part["rep"], part["embedding"], probed(graph, stack(part["embedding"]), ratio, sizes, p), strict=True):
                     by: dict[int, list[int]] = {}
-                    for c in np.flatnonzero(np.isfinite(d)):
+                    for c in np.flatnonzero(take):
                         for x in where.value.get(int(c), ()):
                             by.setdefault(int(x), []).append(int(c))
                     out += [(x, rep, vec, sorted(set(c))) for x, c in by.items()]

@@ -57,6 +57,43 @@ def test_the_query_s_own_parameters_reach_recall(spark, sf):
     assert len(posting_lists.fit(x, (x * x).sum(1).max(), len(x), posting_lists.PostingParams())[0].at) >= 8
 
 
+def _far_queries(n=3000, d=32, copies=1):
+    """Vectors in 40 groups; those that are asked lie in none of them."""
+    random = np.random.default_rng(5)
+    x = 3 * random.normal(size=(40, d))[random.integers(0, 40, n)] + random.normal(size=(n, d))
+    x[::20] = random.normal(size=(len(x[::20]), d))
+    return np.repeat(x, copies, 0)
+
+
+@pytest.mark.parametrize(("copies", "measured"), [(1, 512), (1, 60), (20, 512)])
+def test_queries_unlike_the_other_rows_reach_recall(spark, copies, measured):
+    x = _far_queries(3000 // copies, copies=copies)
+    df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in posting_lists.nearest(df, F.col("vec_id") % 20 == 0, posting_lists.PostingParams(measured=measured)).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    recall = []
+    for q in range(0, 3000, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        best = np.lexsort((np.arange(3000), -np.round(s, 9)))[:20]
+        assert len(got[q]) == 20
+        recall.append(len(set(best) & got[q]) / 20)
+    assert np.mean(recall) >= 0.9 and np.mean(np.array(recall) >= 0.5) >= 0.95
+
+
+def test_queries_alone_in_their_lists_get_all_their_rows(spark):
+    """The nearest list of such a query is its own and holds nothing else."""
+    far = 50 * np.eye(48)[:40]
+    near = np.random.default_rng(1).normal(size=(760, 48)) * 0.01
+    x = np.concatenate([far, near])
+    ids = np.concatenate([np.arange(40) * 20, [i for i in range(800) if i % 20]])
+    df = spark.createDataFrame([(int(i), list(map(float, v))) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    p = posting_lists.PostingParams(min_lists=60)
+    got = posting_lists.nearest(df, F.col("vec_id") % 20 == 0, p).groupBy("query_id").count().collect()
+    assert sorted((r["query_id"], r["count"]) for r in got) == [(20 * i, 20) for i in range(40)]
+
+
 def test_nearest_keeps_doubles(spark):
     rows = [(0, [1.0, 1e-12]), (1, [1.0, 2e-12]), (2, [1.0, 3e-12])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
