@@ -3,16 +3,20 @@
 An anchor's positives are the rows of its label with the highest scores; a hard negative of anchor and positive is a row of
 another label whose score lies in a window below the positive's. Scores are inner products of integers.
 
-Candidates are sliced into bit-planes, two's complement, and an anchor's product with them is summed plane by plane, the most
-significant first. After the plane of weight 2^k what a candidate still can add lies between 2^k - 1 times the sums of the
-anchor's negative and of its positive components, so that every pair has an interval for its score. A pair is dropped once
-its interval cannot qualify: once it lies outside of every window, or below the lower bounds of as many candidates as a window
-takes, that are certain to be in it. While most pairs are left, a plane is one matrix product; afterwards only the pairs
-left are carried on. Scores of pairs that see the last plane are exact.
+Candidates are sliced into bit-planes, two's complement, and an anchor's product with them is summed from the most significant
+planes on. The upper planes are one slice, one matrix product for many anchors and rows. After it what a candidate still can add lies
+between 2^b - 1 times the sums of the anchor's negative and of its positive components, b planes being left, so that every pair has an
+interval for its score. A pair is dropped once its interval cannot qualify: once it lies outside of every window, or not above as
+many candidates as a window takes, that were found before. The lower planes are added for the pairs left only, one by one (or once more
+as a matrix product where most are left); scores are exact then. b is as large as leaves intervals narrow against the anchors' own lengths.
+
+Rows are met in the order of their ids, so that a later row with the score of the last one taken is dropped too; few rows come first, then ever more,
+as what they leave is the bound for all others.
 
 Anchors, a stated part of the rows, meet all rows in blocks of bounded size: positives by label, negatives over all. A block pair
 gives back as many rows for each anchor and window as are asked for, and the best of all blocks are taken, never all pairs. A label that a third
-of all rows have is cut into blocks like any other.
+of all rows have is cut into blocks like any other. A row is sent once for every block of anchors, an anchor once for every block of rows, so that blocks
+are large; the groups are dealt over a stated number of tasks, as their work is not in their bytes.
 
 Cases: rows with a null id or label, a null vector, or a null or non-finite component take no part, and neither do those with
 a component beyond 2^26, whose scores may pass a long; zero vectors do take part; vectors of different lengths don't meet;
@@ -34,6 +38,10 @@ from .tables import dropped, written
 
 LARGEST = 1 << 26
 NEVER = 1 << 62
+#: Rows that are multiplied at once: at first, and at most.
+FIRST, WIDEST = 256, 4096
+#: Rows of the table of blocks up to which it is copied to all executors, and tasks that groups are dealt over.
+FEW_KEYS, MOST_TASKS = 100_000, 2000
 
 
 @dataclass(frozen=True)
@@ -43,96 +51,97 @@ class MiningParams:
     #: A negative's score is between these shares of the positive's, in hundredths.
     least: int = 50
     most: int = 95
-    #: Rows of a task: anchors, and what they are compared with; anchors that are multiplied at once.
-    anchor_block: int = 512
-    block: int = 4096
-    rows_at_once: int = 128
-    #: Pairs are carried on one by one once at most this share of them is left.
+    #: Rows of a group: anchors, and what they are compared with, fewer where vectors are long; anchors that are multiplied at once.
+    anchor_block: int = 8192
+    block: int = 65536
+    components: int = 1 << 22
+    rows_at_once: int = 256
+    #: Pairs are carried on one by one if at most this share of them is left.
     few: float = 0.1
 
 
-def _kth(row: np.ndarray, value: np.ndarray, k: int, n: int) -> np.ndarray:
-    """The k-th largest value of each of n rows, and the least possible where there are fewer."""
-    order = np.lexsort((-value, row))
-    start = np.searchsorted(row[order], np.arange(n + 1))
-    at = start[:-1] + k - 1
-    out = np.full(n, -NEVER, np.int64)
-    there = at < start[1:]
-    out[there] = value[order][at[there]]
-    return out
-
-
-def _alive(low, high, row, lo, hi, k: int, n: int) -> np.ndarray:
-    """Of pairs (given by their anchor's row) those that may be among a window's k best."""
-    out = np.zeros(len(row), bool)
-    for w in range(lo.shape[1]):
-        least, most = lo[row, w], hi[row, w]
-        maybe = (high >= least) & (low <= most)
-        sure = (low >= least) & (high <= most)
-        out |= maybe & (high >= _kth(row[sure], low[sure], k, n)[row])
-    return out
-
-
-def _alive_dense(low, high, open_, lo, hi, k: int) -> np.ndarray:
-    """The same for a matrix of all pairs, of which `open_` are left."""
-    out = np.zeros_like(open_)
-    for w in range(lo.shape[1]):
-        least, most = lo[:, w : w + 1], hi[:, w : w + 1]
-        maybe = open_ & (high >= least) & (low <= most)
-        if k <= low.shape[1]:
-            sure = np.where(maybe & (low >= least) & (high <= most), low, -NEVER)
-            maybe &= high >= np.partition(sure, -k, axis=1)[:, -k, None]
-        out |= maybe
-    return out
-
-
-def best(anchors: np.ndarray, rows: np.ndarray, ids: np.ndarray, open_: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: int, few: float = 0.1):
-    """(anchor, window, row, score) of the k best rows of each anchor and window [lo, hi], of the pairs in `open_`."""
+def _slice_end(anchors: np.ndarray, bits: int, slack: float) -> int:
+    """How many planes the first slice leaves: as many as keep the mean width of an interval within `slack` of an anchor's product with itself."""
+    width, own, b = np.abs(anchors).sum(1).mean(), (anchors.astype(np.float64) ** 2).sum(1).mean(), 0
+    while b + 1 < bits and ((2 << b) - 1) * width <= slack * own:
+        b += 1
+    return b
+
+
+def _merged(score: np.ndarray, row: np.ndarray, w: int, a: np.ndarray, r: np.ndarray, value: np.ndarray) -> None:
+    """Takes pairs of anchors and rows into the best ones of window w, in place."""
+    who, k = np.unique(a), score.shape[2]
+    a, r, value = np.concatenate([a, np.repeat(who, k)]), np.concatenate([r, row[who, w].ravel()]), np.concatenate([value, score[who, w].ravel()])
+    order = np.lexsort((r, -value, a))
+    place = np.arange(len(order)) - np.searchsorted(a[order], a[order])
+    order, place = order[place < k], place[place < k]
+    score[a[order], w, place], row[a[order], w, place] = value[order], r[order]
+
+
+def best(anchors: np.ndarray, rows: np.ndarray, ids: np.ndarray, open_, lo: np.ndarray, hi: np.ndarray, k: int, few: float = 0.1, at_once: int = 256, slack: float = 0.03):
+    """(anchor, window, row, score) of the k best rows of each anchor and window [lo, hi], of the pairs in `open_`: a matrix, or a
+    function of pairs (anchor, row)."""
     none = np.zeros(0, np.int64)
-    if not open_.any():
+    if not len(anchors) or not len(rows):
         return none, none, none, none
+    is_open = open_ if callable(open_) else lambda a, r: open_[a, r]
+    order = np.argsort(ids, kind="stable")
+    rows = rows[order]
     bits = int(max(np.abs(rows).max(initial=0), 1)).bit_length() + 1
-    exact = np.abs(anchors).sum(1).max(initial=0) < 1 << 24
-    left = anchors.astype(np.float32) if exact else anchors
-    down, up = np.minimum(anchors, 0).sum(1), np.maximum(anchors, 0).sum(1)
-    total, pairs = np.zeros(open_.shape, np.int64), None
-    for b in range(bits - 1, -1, -1):
-        plane = (rows >> b) & 1
-        weight, rest = (-1 if b == bits - 1 else 1) << b, (1 << b) - 1
-        if pairs is None:
-            total += weight * (left @ plane.T.astype(left.dtype)).astype(np.int64)
-            open_ = _alive_dense(total + rest * down[:, None], total + rest * up[:, None], open_, lo, hi, k)
-            if b == 0 or open_.mean() <= few:
-                pairs = np.nonzero(open_)
-                score = total[pairs]
-                del total
-        else:
-            a, r = pairs
-            for s in range(0, len(a), 1 << 16):
-                part = slice(s, s + (1 << 16))
-                score[part] += weight * np.einsum("ij,ij->i", anchors[a[part]], plane[r[part]])
-            live = _alive(score + rest * down[a], score + rest * up[a], a, lo, hi, k, len(anchors))
-            pairs, score = (a[live], r[live]), score[live]
-    out = []
-    for w in range(lo.shape[1]):
-        a, r = pairs
-        inside = np.flatnonzero((score >= lo[a, w]) & (score <= hi[a, w]))
-        order = inside[np.lexsort((ids[r[inside]], -score[inside], a[inside]))]
-        place = np.arange(len(order)) - np.searchsorted(a[order], a[order])
-        order = order[place < k]
-        out.append((a[order], np.full(len(order), w), r[order], score[order]))
-    return tuple(np.concatenate(x) for x in zip(*out))
-
-
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    largest = int(np.abs(anchors).sum(1).max(initial=0)) << (bits - 1)
+    kind = np.float32 if largest < 1 << 24 else np.float64 if largest < 1 << 53 else np.int64  # in which all sums are exact
+    limit = min(largest + 1, NEVER)
+    b = _slice_end(anchors, bits, slack)
+    upper, lower = (rows >> b << b).astype(kind), rows & ((1 << b) - 1)
+    found = []
+    for s in range(0, len(anchors), at_once):
+        part = slice(s, s + at_once)
+        own, least, most = anchors[part], lo[part], hi[part]
+        left, real = own.astype(kind), least <= most
+        if not real.any():
+            continue
+        down, up = (f(own, 0).sum(1) * ((1 << b) - 1) for f in (np.minimum, np.maximum))
+        score, row = np.full((*least.shape, k), -NEVER), np.full((*least.shape, k), -1)
+        start, width = 0, FIRST
+        while start < len(rows):
+            here, start, width = slice(start, start + width), start + width, min(2 * width, WIDEST)
+            total = left @ upper[here].T
+            need = np.where(real, np.maximum(least, score[:, :, -1] + 1), NEVER)
+            floor, ceiling = need.min(1) - up, np.where(real, most, -NEVER).max(1) - down
+            seen = total >= np.clip(floor, -limit, limit).astype(kind)[:, None]
+            seen &= total <= np.clip(ceiling, -limit, limit).astype(kind)[:, None]
+            a, r = np.divmod(np.flatnonzero(seen), total.shape[1])
+            value = total[a, r].astype(np.int64)
+            live, many = is_open(s + a, order[here.start + r]), len(a) > few * seen.size
+            live &= np.logical_or.reduce([(value + up[a] >= need[a, w]) & (value + down[a] <= most[a, w]) for w in range(lo.shape[1])])
+            a, r, value = a[live], r[live], value[live]
+            if b and many:
+                value += (left @ lower[here].T.astype(kind))[a, r].astype(np.int64)
+            elif b:
+                for t in range(0, len(a), 1 << 16):
+                    some = slice(t, t + (1 << 16))
+                    value[some] += np.einsum("ij,ij->i", own[a[some]], lower[here.start + r[some]])
+            for w in range(lo.shape[1]):
+                inside = np.flatnonzero((value >= need[a, w]) & (value <= most[a, w]))
+                if len(inside):
+                    _merged(score, row, w, a[inside], here.start + r[inside], value[inside])
+        a, w, place = np.nonzero(row >= 0)
+        found.append((s + a, w, order[row[a, w, place]], score[a, w, place]))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (none, none, none, none)
+
+
+def _matrix(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False)
     return flat.reshape(len(column), len(flat) // len(column))
 
 
 def _meet(rows: DataFrame, anchors: DataFrame, key: list[str], same_label: bool, k: int, p: MiningParams) -> DataFrame:
     """(row_, w, vec_id, score): the k best of each block pair, for each anchor `row_` and window w."""
-    n = lambda df, size, name: df.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    size = lambda most: F.least(F.lit(most), F.greatest(F.lit(64), F.floor(F.lit(p.components) / F.greatest("dim", F.lit(1)))))
+    n = lambda df, most, name: df.groupBy(*key).agg(F.count(F.lit(1)).alias(name)).withColumn(name, F.ceil(F.col(name) / size(most)).cast("int"))
     blocks = n(anchors, p.anchor_block, "na").join(n(rows, p.block, "nr"), key)
+    groups, keys = blocks.agg(F.coalesce(F.sum(F.col("na").cast("long") * F.col("nr")), F.lit(0)), F.count(F.lit(1))).first()
+    blocks = F.broadcast(blocks) if keys <= FEW_KEYS else blocks
     part = lambda c: F.pmod(F.xxhash64("row_"), F.col(c)).cast("int")
     spread = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     names = [*dict.fromkeys([*key, "i", "j", "row_", "vec_id", "label", "x"])]
@@ -145,19 +154,17 @@ def _meet(rows: DataFrame, anchors: DataFrame, key: list[str], same_label: bool,
         own, other = table.filter(pa.array(is_anchor)), table.filter(pa.array(~is_anchor))
         found = []
         if len(own) and len(other):
-            x, y, lo, hi = _matrix(own["x"]), _matrix(other["x"]), _matrix(own["lo"]), _matrix(own["hi"])
+            x, y, lo, hi = _matrix(own["x"], np.int64), _matrix(other["x"], np.int32), _matrix(own["lo"], np.int64), _matrix(own["hi"], np.int64)
             a_id, r_id, a_label, r_label, a_row = (t[c].to_numpy() for t, c in ((own, "vec_id"), (other, "vec_id"), (own, "label"), (other, "label"), (own, "row_")))
-            for s in range(0, len(x), p.rows_at_once):
-                part = slice(s, s + p.rows_at_once)
-                open_ = a_id[part, None] != r_id[None, :]
-                if not same_label:
-                    open_ &= a_label[part, None] != r_label[None, :]
-                a, w, r, score = best(x[part], y, r_id, open_, lo[part], hi[part], k, p.few)
-                found.append((a_row[part][a], w, r_id[r], score))
+            is_open = lambda a, r: (a_id[a] != r_id[r]) & (same_label | (a_label[a] != r_label[r]))
+            a, w, r, score = best(x, y, r_id, is_open, lo, hi, k, p.few, p.rows_at_once)
+            found.append((a_row[a], w, r_id[r], score))
         columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 4
         return pa.table({name: pa.array(c.astype(np.int64)) for name, c in zip(("row_", "w", "vec_id", "score"), columns)})
 
-    return left.union(right).groupBy(*key, "i", "j").applyInArrow(compare, "row_ long, w long, vec_id long, score long")
+    # A stated number of tasks: Spark would put groups of few bytes into one, however long they take.
+    dealt = left.union(right).repartition(max(1, min(3 * groups, MOST_TASKS)), *key, "i", "j")
+    return dealt.groupBy(*key, "i", "j").applyInArrow(compare, "row_ long, w long, vec_id long, score long")
 
 
 def _first(found: DataFrame, k: int) -> DataFrame:

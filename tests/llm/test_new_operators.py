@@ -70,6 +70,27 @@ def test_intervals_drop_pairs_but_no_answer():
     assert (np.sort(score.reshape(20, 4)) == np.sort(whole, axis=1)[:, -4:]).all()
 
 
+def test_mining_is_dealt_over_tasks(spark):
+    """Groups of few bytes are much work: they don't end up in one task."""
+    rows = spark.range(3000).select(F.col("id").alias("vec_id"), F.col("id").alias("row_"), (F.col("id") % 3).alias("label"), F.array(F.col("id").cast("int"), F.lit(1)).alias("x"), F.lit(2).alias("dim"))
+    asked = rows.filter("vec_id % 50 = 0").withColumns({"lo": F.array(F.lit(-hard_negatives.NEVER)), "hi": F.array(F.lit(hard_negatives.NEVER))})
+    found = hard_negatives._meet(rows, asked, ["dim"], False, 2, hard_negatives.MiningParams(anchor_block=20, block=500))
+    assert found.select(F.spark_partition_id()).distinct().count() > 4
+
+
+def test_best_rows_over_many_tiles():
+    """Ties go to smaller ids wherever their rows stand, and a window that is full still takes better rows."""
+    rng = np.random.default_rng(3)
+    a, y, ids = rng.integers(-40, 40, (7, 5)), rng.integers(-3, 4, (9000, 5)), rng.permutation(9000)
+    lo, hi = np.tile([-60, 10, 5], (7, 1)), np.tile([90, 120, -5], (7, 1))
+    got = hard_negatives.best(a, y, ids, lambda i, r: (i + r) % 3 > 0, lo, hi, 4, at_once=3)
+    want = set()
+    for i, w in itertools.product(range(7), range(2)):
+        ok = [(-int(s), int(ids[r]), r) for r, s in enumerate(y @ a[i]) if (i + r) % 3 and lo[i, w] <= s <= hi[i, w]]
+        want |= {(i, w, r, -s) for s, _, r in sorted(ok)[:4]}
+    assert set(zip(*(c.tolist() for c in got))) == want
+
+
 @pytest.fixture(scope="module")
 def library():
     return Tokenizer.from_file(bpe.DEFAULT_VOCABULARY)
