@@ -21,6 +21,8 @@ WEIGHTS = {"label": 10.0, "summary": 4.0, "body": 1.0}
 SMALL, SMALL_BYTES = 200_000, 64 << 20
 #: What lies between the places of two fields' tokens.
 FAR = 1 << 40
+#: Tokens in a row that are looked up as one term.
+RUN = 4
 
 
 def small(df: DataFrame, limit: int = SMALL, size: int = SMALL_BYTES) -> DataFrame:
@@ -40,32 +42,59 @@ def query_phrases(queries: DataFrame, query: str, text: str) -> DataFrame:
     return queries.select(query, F.explode(phrases(F.col(text))).alias("phrase")).groupBy(query, "phrase").agg(F.count(F.lit(1)).alias("times"))
 
 
-def positions(docs: DataFrame, key: str, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+def positions(docs: DataFrame, key: str, weights: dict[str, float] = WEIGHTS, lengths: tuple[int, ...] = (1,)) -> DataFrame:
     """(key, term, at, w): a row for each index token of each field with its place and the field's weight, and one without a term whose w is
-    the number of all tokens. Places of different fields lie apart, so that no phrase runs from one to the next."""
+    the number of all tokens. For other `lengths` than 1 a term is so many tokens in a row, joined by spaces, at the place of the first one; it's null
+    where the field ends before. Places of different fields and lengths lie apart, so that no phrase runs from one to the next."""
     each = docs.select(key, *(index_tokens(F.col(c)).alias(f"_{i}") for i, c in enumerate(weights)))
-    sizes = [F.size(f"_{i}") for i in range(len(weights))]
-    ends = [sum(sizes[: i + 1], F.lit(0)) for i in range(len(weights))]
-    every = F.concat(F.array(F.lit("")), *(F.col(f"_{i}") for i in range(len(weights))))
-    rows = each.select(key, *(e.alias(f"_e{i}") for i, e in enumerate(ends)), F.posexplode(every).alias("_pos", "term"))
-    at, weight = F.when(F.col("_pos") == 0, F.lit(-FAR)), F.when(F.col("_pos") == 0, F.col(f"_e{len(weights) - 1}").cast("double"))
-    for i, w in enumerate(weights.values()):
-        inside = F.col("_pos") <= F.col(f"_e{i}")
-        at, weight = at.when(inside, F.col("_pos") + i * FAR), weight.when(inside, F.lit(float(w)))
-    return rows.select(key, plain_letters(F.col("term")).alias("term"), at.cast("long").alias("at"), weight.alias("w"))
+    if max(lengths) > 1:  # else tokens lose their diacritics one by one, after others have gone
+        each = each.select(key, *(F.transform(f"_{i}", plain_letters).alias(f"_{i}") for i in range(len(weights))))
+
+    def runs(i: int, length: int) -> Column:
+        own = F.col(f"_{i}")
+        rest = lambda x, at: F.concat(x, *(y for k in range(1, length) for y in (F.lit(" "), F.get(own, at + k))))
+        return own if length == 1 else F.transform(own, rest)
+
+    kinds = [(i, length) for i in range(len(weights)) for length in lengths]
+    sizes = [F.size(f"_{i}") for i, _ in kinds]
+    ends = [sum(sizes[: k + 1], F.lit(0)) for k in range(len(kinds))]
+    every = F.concat(F.array(F.lit("")), *(runs(*kind) for kind in kinds))
+    tokens_in = sum((F.size(f"_{i}") for i in range(len(weights))), F.lit(0)).cast("double")
+    rows = each.select(key, tokens_in.alias("_n"), *(e.alias(f"_e{k}") for k, e in enumerate(ends)), F.posexplode(every).alias("_pos", "term"))
+    at, weight = F.when(F.col("_pos") == 0, F.lit(-FAR)), F.when(F.col("_pos") == 0, F.col("_n"))
+    values = list(weights.values())
+    for k, (i, _) in enumerate(kinds):
+        inside = F.col("_pos") <= F.col(f"_e{k}")
+        at, weight = at.when(inside, F.col("_pos") + k * FAR), weight.when(inside, F.lit(float(values[i])))
+    term = F.col("term") if max(lengths) > 1 else plain_letters(F.col("term"))
+    return rows.select(key, term.alias("term"), at.cast("long").alias("at"), weight.alias("w"))
+
+
+def matches(docs: DataFrame, wanted: DataFrame, key: str, weights: dict[str, float] = WEIGHTS) -> tuple[DataFrame, bool]:
+    """(key, n, m, at, w, off) of the places where `wanted` phrases (phrase, n) are, and whether some phrases are of several pieces.
+
+    A phrase of up to `RUN` tokens is one term, of which each match is an occurrence; so a word that is in many phrases isn't paired with all of them
+    wherever it stands. A longer one is m pieces of `RUN` tokens each, whose matches have to reach the same place `at`, once they are moved back by `off`.
+    """
+    parts, size = F.split("phrase", " "), F.size(F.split("phrase", " "))
+    starts = F.when(size <= RUN, F.array(F.lit(0))).otherwise(F.array_distinct(F.concat(F.sequence(F.lit(0), F.greatest(size - RUN, F.lit(0)), F.lit(RUN)), F.array(size - RUN))))
+    of = wanted.select("n", parts.alias("parts"), F.size(starts).alias("m"), F.explode(starts).alias("off"))
+    of = of.select("n", "m", "off", F.array_join(F.slice("parts", F.col("off") + 1, F.lit(RUN)), " ").alias("term"))
+    length = wanted.sparkSession.createDataFrame([(-1, 1, 0, "")], "n long, m int, off int, term string")
+    there = {r[0] for r in wanted.select(F.least(size, F.lit(RUN + 1))).distinct().collect()}  # RUN + 1 numbers at most
+    lengths = tuple(sorted({min(x, RUN) for x in there})) or (1,)
+    at = F.when(F.col("m") > 1, F.col("at") - F.col("off")).alias("at")
+    return positions(docs, key, weights, lengths).join(small(of.unionByName(length)), "term").select(key, "n", "m", at, "w", "off"), RUN + 1 in there
 
 
 def postings(docs: DataFrame, wanted: DataFrame, key: str, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """(key, n, f): the weighted counts of the `wanted` phrases (phrase, n), and for n = -1 the length of the document.
 
-    One pass over the texts: tokens that nobody asks for end in the scan's own stage. A phrase of several tokens is matched by
-    intersecting their places, each moved back by its place in the phrase; a place that all of them reach is an occurrence.
+    One pass over the texts: what nobody asks for ends in the scan's own stage. Long phrases are matched by intersecting the places of their
+    pieces; a place that all of them reach is an occurrence.
     """
-    parts = F.split("phrase", " ")
-    of = wanted.select("n", F.size(parts).alias("m"), F.posexplode(parts).alias("off", "term"))
-    length = wanted.sparkSession.createDataFrame([(-1, 1, 0, "")], "n long, m int, off int, term string")
-    rows = positions(docs, key, weights).join(small(of.unionByName(length)), "term").select(key, "n", "m", F.when(F.col("m") > 1, F.col("at") - F.col("off")).alias("at"), "w", "off")
-    if not wanted.filter(F.contains("phrase", F.lit(" "))).limit(1).count():
+    rows, pieces = matches(docs, wanted, key, weights)
+    if not pieces:
         return rows.groupBy(key, "n").agg(F.sum("w").alias("f"))
     found = rows.groupBy(key, "n", "m", "at").agg(F.count(F.lit(1)).alias("there"), F.sum(F.when(F.col("off") == 0, F.col("w"))).alias("w"))
     return found.filter("m = 1 or there = m").groupBy(key, "n").agg(F.sum("w").alias("f"))

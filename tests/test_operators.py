@@ -89,6 +89,17 @@ def test_phrases_by_hand(spark):
     assert score("ts. ts")[1] == pytest.approx(2 * score("ts")[1])
 
 
+def test_words_of_many_phrases_are_not_paired_with_them(spark):
+    """What is matched are occurrences of phrases, and not every phrase that has a word wherever the word stands; long phrases are intersected."""
+    docs = spark.createDataFrame([(1, "the", "the one the two", "the one " * 50 + "the x"), (2, "", "b", "a b " * 6)], "id long, label string, summary string, body string")
+    phrases = [f"the {x}" for x in ("one", "two", "x", *range(200))] + ["a b a b a b a", "b a b a b b", "a b a b", "a b a b a b a b a b a b a b"]
+    wanted = spark.createDataFrame([(p, n) for n, p in enumerate(phrases)], "phrase string, n long")
+    rows, pieces = recall.matches(docs, wanted, "id")
+    assert pieces and rows.filter("id = 1 and n >= 0").count() == 53
+    got = {(x["id"], x["n"]): x["f"] for x in recall.postings(docs, wanted, "id").collect()}
+    assert got == {(1, -1): 107, (2, -1): 13, (1, 0): 54, (1, 1): 4, (1, 2): 1, (2, 203): 3, (2, 205): 5}
+
+
 def test_phrases_against_every_place(spark):
     """Random texts and queries, in one pass and in blocks, against a plain loop over all places."""
     import random
