@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import Steps, by_range, shared_dir, written
+from .recall import is_small, small
+from .tables import Steps, by_range, dropped, shared_dir, written
+
+#: Rows that are followed inside of a task at once.
+HERE = 1 << 17
 
 
 def _ranked(pointing: DataFrame, steps: Steps) -> tuple[DataFrame, int]:
@@ -157,11 +167,89 @@ def _spread(values: DataFrame, e: DataFrame) -> DataFrame:
         before = now
 
 
+def _here(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together to tables of `HERE` rows at most, or of one batch."""
+    held, n = [], 0
+    for t in tables:
+        if held and n + len(t) > HERE:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+        held.append(t)
+        n += len(t)
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _after(to: np.ndarray) -> np.ndarray:
+    """Where ways (places of the next one, or -1) have come to after more steps than there are places."""
+    at = np.where(to < 0, np.arange(len(to)), to)
+    for _ in range(len(to).bit_length()):
+        at = at[at]
+    return at
+
+
+def _pieces(pointing: DataFrame) -> DataFrame:
+    """(piece, n, to, e, ring): pointers (n, p) as they lie, by pieces of bounded size: nodes whose way leaves the piece, the place of the next
+    node in it (or -1), and the node outside that the way comes to first; and the nodes of circles inside of the piece."""
+    kind = pointing.schema["n"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _here(batches):
+            n, p = t["n"].combine_chunks(), t["p"].combine_chunks()
+            to = pc.fill_null(pc.index_in(p, value_set=n), -1).to_numpy(zero_copy_only=False).astype(np.int32)
+            at = _after(to)
+            leaves = np.flatnonzero(to[at] < 0)
+            place = np.full(len(to) + 1, -1, np.int32)  # -1 stays -1
+            place[leaves] = np.arange(len(leaves))
+            ring = np.unique(at[to[at] >= 0])
+            cells = [[uuid.uuid4().hex], [n.take(pa.array(leaves))], [place[to[leaves]]], [p.take(pa.array(at[leaves]))], [n.take(pa.array(ring))]]
+            whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x[0])], pa.int32()), x[0] if isinstance(x[0], pa.Array) else pa.array(x[0]))
+            yield pa.RecordBatch.from_arrays([pa.array(cells[0]), *map(whole, cells[1:])], ["piece", "n", "to", "e", "ring"])
+
+    return pointing.select("n", "p").mapInArrow(run, f"piece string, n array<{kind}>, to array<int>, e array<{kind}>, ring array<{kind}>")
+
+
+def _passed(pieces: DataFrame) -> DataFrame:
+    """(node): the nodes of pieces (n, to) that ways from the places `first` pass."""
+    kind = pieces.schema["n"].dataType.elementType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            for k in range(len(t)):
+                n, to, first = (t[c].slice(k, 1).flatten() for c in ("n", "to", "first"))
+                jump = np.append(to.to_numpy(zero_copy_only=False), -1)  # the last place is outside, and is -1 too
+                seen = np.zeros(len(jump), bool)
+                seen[first.to_numpy(zero_copy_only=False)] = True
+                for _ in range(len(jump).bit_length()):
+                    seen[jump[seen]] = True
+                    jump = jump[jump]
+                yield pa.RecordBatch.from_arrays([n.filter(pa.array(seen[:-1]))], ["node"])
+
+    return pieces.select("n", "to", "first").mapInArrow(run, f"node {kind}")
+
+
 def pointer_cycles(nodes: DataFrame, key: str, pointer: str) -> DataFrame:
     """(node) on cycles of a graph where each node points to one other at most: where ways that never end run round. A node that points to
-    itself is on none."""
-    ways = resolved(nodes, key, pointer)
-    return ways.filter((F.col("circular")) & (F.col("hops") == 0)).select(F.col(key).alias("node"))
+    itself is on none.
+
+    Rows that lie side by side often point to each other, as versions do in the order of a window. So pieces of the rows, as they lie, are
+    followed inside of the tasks first: circles inside of a piece are found, and ways that leave it lead straight to where they enter another one.
+    Only nodes that are entered from outside go through the rounds of joins; the ways that these take inside their pieces are on the cycle
+    with them. Rows in no order at all stay right, but nearly all of them go through the rounds.
+    """
+    of = nodes.select(F.col(key).alias("n"), F.col(pointer).alias("p")).filter("n is not null and p is not null and p <> n")
+    pieces = written(_pieces(of), "pieces")
+    left = pieces.select("piece", F.posexplode(F.arrays_zip("n", "e")).alias("at", "x"))
+    left = left.select("piece", "at", F.col("x.n").alias("n"), F.col("x.e").alias("e"))
+    entered = written(pieces.select(F.explode(F.array_distinct("e")).alias("n")).distinct(), "entered")
+    inner = written(left.join(small(entered), "n", "left_semi"), "inner")
+    ways = resolved(inner.select("n", "e"), "n", "e")
+    met = written(inner.join(ways.filter(F.col("circular") & (F.col("hops") == 0)).select("n"), "n", "left_semi").select("piece", "at"), "met")
+    firsts = met.groupBy("piece").agg(F.collect_list("at").alias("first"))  # of a piece's rows
+    on = pieces.join(F.broadcast(firsts) if is_small(met) else firsts, "piece")
+    out = written(_passed(on).union(pieces.select(F.explode("ring").alias("node"))), "cycles")
+    dropped(pieces, entered, inner, ways, met)
+    return out
 
 
 def marked_superseded(edges: DataFrame, wanted: DataFrame, sessions: DataFrame) -> DataFrame:

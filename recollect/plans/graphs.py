@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import base_name
@@ -172,9 +172,10 @@ def i3_session_cycles(v: Views) -> DataFrame:
 SELECT v.id AS node FROM versions v JOIN n USING (subject, predicate)""")
 def i5c_fact_cycles(v: Views) -> DataFrame:
     """Facts on cycles of supersedence: the chains of some subjects, whose newest fact points to their oldest."""
-    one = v.versions.filter("subject like '%7'").groupBy("subject", "predicate").agg(F.min_by("id", "version").alias("id"), F.max_by("id", "version").alias("oldest"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-    rows = v.versions.select("id", "superseded_by").join(one.select("id", "oldest"), "id", "left")
-    return graph.pointer_cycles(rows.select("id", F.coalesce("superseded_by", "oldest").alias("p")), "id", "p")
+    own = Window.partitionBy("subject", "predicate")
+    closes = F.col("subject").like("%7") & (F.col("version") == 1) & (F.count(F.lit(1)).over(own) > 1)
+    rows = v.versions.select("id", F.when(closes, F.max_by("id", "version").over(own)).otherwise(F.col("superseded_by")).alias("p"))
+    return graph.pointer_cycles(rows, "id", "p")
 
 
 @query("SELECT id, CASE WHEN status IN ('superseded', 'replaced') AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.to_session = s.id AND ((kind = 'supersedes' AND status = 'superseded') OR (kind = 'replaces' AND status = 'replaced'))) THEN 'closed' ELSE status END AS status FROM sessions s")

@@ -74,6 +74,31 @@ def test_bm25_by_hand(spark):
     assert got == {1: pytest.approx(want(10, 3)), 2: pytest.approx(want(1, 3))}
 
 
+def test_pointer_cycles_by_pieces(spark, monkeypatch):
+    """Circles inside of pieces and across them, ways into them and ways that end; of rows in order only few go through the rounds."""
+    import random
+
+    r = random.Random(2)
+    points = {k: k + 1 for k in range(4999)} | {5000 + k: 5000 + (k + 1) % 3000 for k in range(3000)} | {9000 + k: r.choice([None, *range(9000, 9400), 12, 5005, -1]) for k in range(400)}
+    on = set()
+    for k in points:
+        seen, at = {}, k
+        while at in points and points[at] not in (None, at) and at not in seen:
+            seen[at], at = len(seen), points[at]
+        on |= {x for x, n in seen.items() if at in seen and n >= seen[at]}
+    assert len(on) > 3000
+    ranked, sizes = graph._ranked, []
+    monkeypatch.setattr(graph, "_ranked", lambda pointing, steps: sizes.append(pointing.count()) or ranked(pointing, steps))
+    monkeypatch.setattr(graph, "HERE", 500)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    rows = list(points.items())
+    for n, given in enumerate((rows, r.sample(rows, len(rows)))):
+        df = spark.createDataFrame([(f"n{a}", None if b is None else f"n{b}") for a, b in given], "a string, b string")
+        assert values(graph.pointer_cycles(df, "a", "b"), "node") == sorted((f"n{k}",) for k in on)
+        assert n or max(sizes) < 700
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_phrases_by_hand(spark):
     """A token that an index splits is a phrase: side by side, in one field, with a document frequency of its own; places overlap."""
     rows = [(1, "see foo-bar.ts", "", "x"), (2, "", "", "foo x bar ts"), (3, "foo", "bar ts", ""), (4, "", "FOO_bar", "ts foo bar TS."), (5, "", "", "a a a b"), (6, "", "Caf\u00e9 ol\u00e9", "cafe\u0301"), (7, None, None, None)]
