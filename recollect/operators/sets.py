@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as x
 from ..functions.score import jaccard
 from .recall import small
-from .tables import Steps, by_range, written
+from .tables import Steps, by_range, dropped, written
 
 
 def set_key(array: Column) -> Column:
@@ -44,28 +46,38 @@ def similar_sets(sets: DataFrame, key: str, items: str, similarity: float) -> Da
 
     Equal sets are one beforehand. Items have a global order from the rarest on. Of two sets at similarity t the smaller one, of n items, shares
     one of its first n - ceil(2t / (1 + t) n) + 1 items with the first n - ceil(t n) + 1 of the larger: an index of the one is probed by the other,
-    under the item and the smaller one's size. Where the shared item stands says how many more there can be after it (positional filter), so
-    that most pairs end there. An item that very many sets are indexed under is split into blocks, each of which all its probes visit.
+    under the item and the class of the smaller one's size; a class is as wide as the sizes that one set may meet, so that it probes two of them.
+    Where the shared item stands says how many more there can be after it (positional filter), and 64 bits of each set, one for each item's hash, how
+    many items of one the other lacks at least (bitmap filter), so that most pairs end there and are never written. An item that very many sets are
+    indexed under is split into blocks, each of which all its probes visit. Each step is a job of its own, whose shuffle files go with it.
     """
     rows = sets.select(F.col(key).alias("key"), F.array_sort(F.array_distinct(items)).alias("s")).filter(F.size("s") > 0)
     member = written(rows.groupBy("s").agg(F.min("key").alias("rep"), F.collect_list("key").alias("keys")), "sets")
-    each = member.select("rep", F.size("s").alias("n"), F.explode("s").alias("item"))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))
+    bits = F.reduce("s", F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(bit(x)))
+    each = member.select("rep", F.size("s").alias("n"), bits.alias("bits"), F.explode("s").alias("item"))
     often = each.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
     place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "item"))
     prefix = lambda share: F.col("n") - F.ceil(F.round(F.lit(share) * F.col("n"), 9)) + 1
-    first = written(each.join(often, "item").withColumn("at", place).filter(F.col("at") <= prefix(similarity)).select("rep", "n", "item", "at"), "prefixes")
-    index = first.filter(F.col("at") <= prefix(2 * similarity / (1 + similarity))).select(F.col("rep").alias("y"), F.col("n").alias("ny"), "item", F.col("at").alias("aty"))
-    sizes = F.explode(F.sequence(F.ceil(F.round(F.lit(similarity) * F.col("n"), 9)).cast("int"), F.col("n")))
-    probe = first.select(F.col("rep").alias("x"), F.col("n").alias("nx"), "item", F.col("at").alias("atx"), sizes.alias("ny"))
-    many = index.groupBy("item", "ny").agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("blocks")).filter("blocks > 1")
-    many = small(many)  # one row at most for every SPLIT index rows
+    first = written(each.join(often, "item").withColumn("at", place).filter(F.col("at") <= prefix(similarity)).select("rep", "n", "item", "at", "bits"), "prefixes")
+    least = lambda n: F.ceil(F.round(F.lit(similarity) * n, 9))
+    step = max(-math.log(similarity), 1e-9)
+    size = lambda n: F.floor(F.log(n) / step).alias("size")
+    index = first.filter(F.col("at") <= prefix(2 * similarity / (1 + similarity))).select(F.col("rep").alias("y"), F.col("n").alias("ny"), size(F.col("n")), "item", F.col("at").alias("aty"), F.col("bits").alias("by"))
+    sizes = F.explode(F.sequence(size(least(F.col("n"))), size(F.col("n"))))
+    probe = first.select(F.col("rep").alias("x"), F.col("n").alias("nx"), "item", F.col("at").alias("atx"), F.col("bits").alias("bx"), sizes.alias("size"))
+    many = index.groupBy("item", "size").agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("blocks")).filter("blocks > 1")
+    many = small(written(many, "many"))  # one row at most for every SPLIT index rows
     blocks = F.coalesce("blocks", F.lit(1))
-    index = index.join(many, ["item", "ny"], "left").withColumn("block", F.pmod(F.xxhash64("y"), blocks)).drop("blocks")
-    probe = probe.join(many, ["item", "ny"], "left").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long")))).drop("blocks")
+    index = index.join(many, ["item", "size"], "left").withColumn("block", F.pmod(F.xxhash64("y"), blocks)).drop("blocks")
+    probe = probe.join(many, ["item", "size"], "left").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long")))).drop("blocks")
     reach = 1 + F.least(F.col("nx") - F.col("atx"), F.col("ny") - F.col("aty"))
+    lacks = lambda a, b: F.bit_count(F.col(a).bitwiseAND(F.bitwise_not(F.col(b))))
+    reach = F.least(reach, F.col("nx") - lacks("bx", "by"), F.col("ny") - lacks("by", "bx"))
     enough = F.ceil(F.round(F.lit(similarity / (1 + similarity)) * (F.col("nx") + F.col("ny")), 9))
-    other = (F.col("ny") < F.col("nx")) | (F.col("ny") == F.col("nx")) & (F.col("y") < F.col("x"))
-    pairs = probe.join(index, ["item", "ny", "block"]).filter(other & (reach >= enough)).select("x", "y").distinct()
+    other = (F.col("ny") >= least(F.col("nx"))) & ((F.col("ny") < F.col("nx")) | (F.col("ny") == F.col("nx")) & (F.col("y") < F.col("x")))
+    pairs = written(probe.join(index, ["item", "size", "block"]).filter(other & (reach >= enough)).select("x", "y").distinct(), "pairs")
+    dropped(first)
     s = lambda n: member.select(F.col("rep").alias(n), F.col("s").alias(f"s{n}"), F.col("keys").alias(f"k{n}"))
     both = pairs.join(s("x"), "x").join(s("y"), "y").withColumn("similarity", jaccard(F.col("sx"), F.col("sy"))).filter(F.col("similarity") >= similarity)
     apart = both.select(F.explode("kx").alias("p"), "ky", "similarity").select("p", F.explode("ky").alias("q"), "similarity")
@@ -79,13 +91,16 @@ def rederived(sessions: DataFrame, members: DataFrame, links: DataFrame, gap_day
     Sessions have id, started_at and decisions (an array of tokens). Similar decisions come first, as they are rare;
     members, of which some are in a large share of sessions, only test pairs that are known. Links are pairs (a, b).
     """
-    pairs = similar_sets(sessions, "id", "decisions", similarity)
-    both = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = pairs.join(both, ["a", "b"], "left_anti")
+    sessions = written(sessions.select("id", F.col("started_at").cast("timestamp").alias("t"), "decisions"), "sessions")
+    pairs = written(similar_sets(sessions, "id", "decisions", similarity), "similar")
     own = members.groupBy("id").agg(F.collect_set("member").alias("m"))
-    s = lambda n: sessions.join(own, "id").select(F.col("id").alias(n), F.col("started_at").cast("timestamp").alias(f"t{n}"), F.col("m").alias(f"m{n}"))
+    known = written(sessions.select("id", "t").join(own, "id"), "known")
+    s = lambda n: known.select(F.col("id").alias(n), F.col("t").alias(f"t{n}"), F.col("m").alias(f"m{n}"))
     far = pairs.join(s("a"), "a").join(s("b"), "b").filter(F.abs(F.unix_timestamp("ta") - F.unix_timestamp("tb")) > gap_days * 86400)
-    return far.filter(F.arrays_overlap("ma", "mb")).select("a", "b", "similarity")
+    found = written(far.filter(F.arrays_overlap("ma", "mb")).select("a", "b", "similarity"), "apart")
+    dropped(sessions, pairs, known)
+    both = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return found.join(both, ["a", "b"], "left_anti")
 
 
 def merge_suggestions(streams: DataFrame, min_score: float) -> DataFrame:

@@ -99,6 +99,50 @@ def test_pointer_cycles_by_pieces(spark, monkeypatch):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_shuffle_files_go_with_the_job_that_wrote_them(spark):
+    """A step's shuffle files are gone when it is written, and the setting is what it was before."""
+    import os
+    import time
+
+    from recollect.operators.tables import CLEANUP, written
+
+    def files():
+        return {f for top, _, names in os.walk(spark.conf.get("spark.local.dir")) for f in names if f.startswith("shuffle_") and f.endswith(".data")}
+
+    before, kept = files(), spark.conf.get(CLEANUP, None)
+    rows = written(spark.range(20000).withColumn("k", F.col("id") % 7).groupBy("k").agg(F.collect_list("id").alias("all")), "step")
+    assert rows.count() == 7 and spark.conf.get(CLEANUP, None) == kept
+    late = time.time() + 20
+    while files() - before and time.time() < late:
+        time.sleep(0.2)
+    # The count of the rows is a job of its own, with a file for each task at most.
+    assert sum(spark.sparkContext._jvm.java.io.File(f).length() for f in files() - before) < 1000
+
+
+def test_similar_sets_leave_few_pairs(spark, monkeypatch):
+    """Sets that share a single item but lack others by their bits aren't written as pairs; results are those of all pairs."""
+    import random
+
+    from recollect.operators import sets as module
+
+    r = random.Random(4)
+    sets = {k: frozenset(r.sample(range(60), r.choice([1, 2, 3, 4, 5, 9]))) for k in range(400)}
+    df = spark.createDataFrame([(k, list(s)) for k, s in sets.items()], "id long, s array<long>")
+    written, sizes = module.written, {}
+
+    def counted(table, name="step"):
+        out = written(table, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(module, "written", counted)
+    for t in (0.5, 0.75, 1.0):
+        want = {(a, b): len(x & y) / len(x | y) for a, x in sets.items() for b, y in sets.items() if a < b and len(x & y) >= t * len(x | y)}
+        got = {(x["a"], x["b"]): x["similarity"] for x in module.similar_sets(df, "id", "s", t).collect()}
+        assert got == pytest.approx(want) and want
+        assert sizes["pairs"] < 2 * len(want) + 10
+
+
 def test_phrases_by_hand(spark):
     """A token that an index splits is a phrase: side by side, in one field, with a document frequency of its own; places overlap."""
     rows = [(1, "see foo-bar.ts", "", "x"), (2, "", "", "foo x bar ts"), (3, "foo", "bar ts", ""), (4, "", "FOO_bar", "ts foo bar TS."), (5, "", "", "a a a b"), (6, "", "Caf\u00e9 ol\u00e9", "cafe\u0301"), (7, None, None, None)]
